@@ -169,6 +169,23 @@ LABELLED = (
     (120, 0.02, 2, 0.5, 7, 0.0, 1, 0, 0, 1),
     (7, 0.0, 120, 0.02, 12, 0.2, 1, 0, 0, 1),
     (12, 0.2, 7, 0.0, 0, 0.0, 0, 1, 0, 0),
+    (1, 0.0, 2, 0.0, 1, 1.0, 1, 0, 0, 1),
+    (5, 0.0, 8, 0.0, 2, 1.0, 1, 0, 0, 1),
+    (9, 0.0, 1, 0.0, 6, 0.9, 1, 0, 1, 1),
+    (20, 0.1, 4, 0.0, 3, 1.0, 1, 0, 0, 1),
+    (3, 0.0, 5, 0.2, 4, 1.0, 1, 0, 0, 1),
+    # first and last blocks of a page that holds an article only
+    (8, 0.0, 0, 0.0, 50, 0.0, 1, 0, 1, 1),
+    (3, 0.0, 0, 0.0, 1, 0.0, 1, 0, 0, 1),
+    (5, 0.0, 0, 0.0, 1, 1.0, 1, 0, 1, 1),
+    (1, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1),
+    (30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (30, 0.0, 0, 0.0, 1, 0.0, 0, 0, 0, 1),
+    (1, 0.0, 0, 0.0, 2, 0.0, 1, 0, 0, 1),
+    (50, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 1),
+    (2, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 1),
+    (1, 0.0, 3, 1.0, 0, 0.0, 1, 0, 0, 1),
+    (4, 0.8, 20, 0.0, 0, 0.0, 1, 0, 0, 1),
     # furniture inside an article: share links, advert, reader comments
     (3, 1.0, 50, 0.0, 3, 1.0, 1, 1, 0, 0),
     (25, 0.0, 50, 0.0, 40, 0.0, 1, 1, 0, 0),
@@ -187,6 +204,10 @@ LABELLED = (
     (40, 0.0, 12, 0.1, 3, 0.7, 0, 0, 0, 1),
     (18, 0.0, 5, 0.0, 22, 0.0, 0, 0, 0, 1),
     (22, 0.0, 18, 0.0, 2, 1.0, 0, 0, 0, 1),
+    (40, 0.0, 0, 0.0, 50, 0.0, 0, 0, 0, 1),
+    (35, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (9, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (7, 0.0, 0, 0.0, 45, 0.0, 0, 0, 1, 1),
     (1, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0),
     (2, 1.0, 1, 1.0, 3, 1.0, 0, 0, 0, 0),
     (3, 1.0, 2, 1.0, 6, 0.0, 0, 0, 0, 0),

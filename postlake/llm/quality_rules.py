@@ -1,7 +1,7 @@
 """Quality rules that vote or abstain, weighed by expectation-maximisation. DataFrame functions only.
 
 Each rule reads one property of a text and votes good (1), bad (-1) or abstains (0). No labels are used: a
-two-class model with one rate per rule and class is fitted to the counts of vote patterns. There are at most
+model of good texts and kinds of junk, with one rate per rule and class, is fitted to the counts of vote patterns. There are at most
 3 ** number of rules patterns whatever the corpus, so each round of the fit is one aggregation of that small
 table; the texts are read once. A text is kept if its posterior probability of good reaches one half.
 """
@@ -18,13 +18,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 POSITION_BITS = 24
-ROUNDS = 20
+ROUNDS = 12
 
 #: name: (value above which a rule votes bad, value up to which it votes good); between them it abstains.
 HIGH_IS_BAD = {
     "symbols": (0.10, 0.01),
     "repeats": (0.30, 0.05),
-    "dup_lines": (0.30, 0.0),
+    "dup_lines": (0.50, 0.0),
     "capitals": (0.50, 0.20),
     "shouts": (0.10, 0.02),
     "long_words": (12.0, 9.0),
@@ -102,49 +102,59 @@ def votes(counts: DataFrame) -> DataFrame:
     return counts.withColumns(out)
 
 
-def _log_odds(model: dict) -> Column:
-    """Of good against bad."""
-    total = F.lit(model["prior"])
-    for name in RULES:
-        up, down = model[name]
-        total = total + F.when(F.col(f"vote_{name}") == 1, up).when(F.col(f"vote_{name}") == -1, down).otherwise(0.0)
-    return total
+def cells() -> Column:
+    """The votes that were cast, as indexes: 2 r for a good vote of rule r, 2 r + 1 for a bad one."""
+    cast = [F.when(F.col(f"vote_{x}") == 1, 2 * r).when(F.col(f"vote_{x}") == -1, 2 * r + 1) for r, x in enumerate(RULES)]
+    return F.array_compact(F.array(*cast))
+
+
+def responsibilities(model: dict) -> Column:
+    """P(class | votes) for each class: good first, then one kind of junk per rule. Needs a column ``cells``.
+
+    The model's numbers are array literals, so every round of the fit runs the same compiled code.
+    """
+    width = 2 * len(RULES)
+    prior, rates = F.lit([float(x) for x in model["prior"]]), F.lit([float(x) for row in model["rates"] for x in row])
+    logs = F.transform(F.sequence(F.lit(0), F.lit(len(RULES))), lambda k: F.aggregate("cells", F.get(prior, k), lambda s, c: s + F.get(rates, k * width + c)))
+    powers = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
+    total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(powers, lambda x: x / total)
 
 
 def fit(patterns: DataFrame) -> dict:
-    """Expectation-maximisation on the vote patterns (vote_<rule>..., n): log-odds of each vote, and of the classes.
+    """Expectation-maximisation on vote patterns (cells, n): log prior of each class and log rates of its votes.
 
-    It starts from the belief that a single bad vote makes a text bad with probability 0.8, two 0.96 and so on, as
-    kinds of junk rarely break more than one rule. Rates are smoothed by one vote in a hundred, so no vote is certain.
+    Junk comes in kinds that break one rule and keep the others, so a single class of bad texts would not do: there is a
+    class of good texts and one of junk for each rule. It starts from the belief that a text without a bad vote is good with
+    probability 0.95, and that else its bad votes share 0.9. The rates are the rules' accuracies: how often a rule's vote
+    is good on good texts, and bad on each kind of junk. They are smoothed and never certain.
     """
-    names = [f"vote_{x}" for x in RULES]
-    bad_votes = sum((F.when(F.col(x) == -1, 1).otherwise(0) for x in names), F.lit(0))
-    good = F.when(bad_votes == 0, 0.95).otherwise(F.pow(F.lit(0.2), bad_votes))
+    kinds, width = len(RULES) + 1, 2 * len(RULES)
+    bad = F.filter("cells", lambda c: c % 2 == 1)
+    share = lambda k: F.when(F.size(bad) == 0, 0.05 / len(RULES)).when(F.array_contains(bad, 2 * k - 1), 0.9 / F.size(bad)).otherwise(0.0)
+    start = F.transform(F.sequence(F.lit(0), F.lit(len(RULES))), lambda k: F.when(k == 0, F.when(F.size(bad) == 0, 0.95).otherwise(0.1)).otherwise(share(k)))
     model: dict = {}
     for _ in range(ROUNDS):
-        weights = patterns.withColumn("good", good)
-        sums = [F.sum(F.col("n") * F.col("good")).alias("good"), F.sum(F.col("n") * (1 - F.col("good"))).alias("bad")]
-        for x in names:
-            for vote, tag in ((1, "up"), (-1, "down")):
-                of = F.when(F.col(x) == vote, F.col("n")).otherwise(0)
-                sums += [F.sum(of * F.col("good")).alias(f"{x}_{tag}_good"), F.sum(of * (1 - F.col("good"))).alias(f"{x}_{tag}_bad")]
-        s = weights.agg(*sums).first()
-        if not s["good"] or s["bad"] is None:  # no rows
+        weighed = patterns.withColumn("weights", responsibilities(model) if model else start).withColumn("counted", F.array_append("cells", F.lit(-1)))
+        weighed = weighed.select("n", "counted", F.posexplode("weights").alias("kind", "weight"))
+        sums = weighed.select("kind", "n", "weight", F.explode("counted").alias("cell")).groupBy("kind", "cell").agg(F.sum(F.col("n") * F.col("weight")).alias("sum"))
+        found = {(r["kind"], r["cell"]): r["sum"] for r in sums.collect()}  # kinds * (2 * rules + 1) rows
+        if not found:
             break
-        new = {"prior": math.log((s["good"] + 1) / (s["bad"] + 1))}
-        for rule, x in zip(RULES, names):
-            rate = {}
-            for side in ("good", "bad"):
-                up, down = s[f"{x}_up_{side}"], s[f"{x}_down_{side}"]
-                rate[side] = (up + 0.5) / (up + down + 1)
-                rate[side] = min(max(rate[side], 0.002), 0.998)
-            new[rule] = (math.log(rate["good"] / rate["bad"]), math.log((1 - rate["good"]) / (1 - rate["bad"])))
-        done = model and max(abs(a - b) for k in new for a, b in zip(*([v] if isinstance(v, float) else v for v in (new[k], model[k])))) < 1e-4
+        total = sum(found[k, -1] for k in range(kinds))
+        new = {"prior": [math.log((found[k, -1] + 0.01) / (total + 0.01 * kinds)) for k in range(kinds)], "rates": []}
+        for k in range(kinds):
+            row = [0.0] * width
+            for r in range(len(RULES)):
+                up, down = found.get((k, 2 * r), 0.0), found.get((k, 2 * r + 1), 0.0)
+                rate = min(max((up + 0.05) / (up + down + 0.1), 0.002), 0.998)
+                row[2 * r], row[2 * r + 1] = math.log(rate), math.log(1 - rate)
+            new["rates"].append(row)
+        moved = max(abs(a - b) for a, b in zip(sum(new["rates"], new["prior"]), sum(model["rates"], model["prior"]))) if model else 1.0
         model = new
-        if done:
+        if moved < 1e-3:
             break
-        good = 1 / (1 + F.exp(-_log_odds(model)))
-    return model or {"prior": 0.0, **{rule: (0.0, 0.0) for rule in RULES}}
+    return model or {"prior": [0.0] * kinds, "rates": [[0.0] * width for _ in range(kinds)]}
 
 
 def quality_rules(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -155,9 +165,8 @@ def quality_rules(documents: DataFrame, scratch: Scratch | None = None) -> DataF
     ``kept`` is the verdict, and false for those.
     """
     scratch = scratch or Scratch(documents.sparkSession, "rules")
-    counted = scratch.table(votes(text_counts(documents)), "votes")
-    names = [f"vote_{x}" for x in RULES]
-    model = fit(scratch.table(counted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "patterns"))
+    counted = scratch.table(votes(text_counts(documents)).withColumn("cells", cells()), "votes")
+    model = fit(scratch.table(counted.groupBy("cells").agg(F.count("*").alias("n")).coalesce(1), "patterns"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = counted.withColumn("posterior", 1 / (1 + F.exp(-_log_odds(model)))).withColumn("base_failed", base)
+    out = counted.withColumn("posterior", F.get(responsibilities(model), F.lit(0))).withColumn("base_failed", base).drop("cells")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from postlake.llm.decontamination import find_leaks
 from postlake.llm.html_text import extract_text
+from postlake.llm.language_model import language_scores
+from postlake.llm.license_scan import scan_licenses
+from postlake.llm.line_dedup import dedupe_lines
+from postlake.llm.mixing import mix
 from postlake.llm.near_duplicates import near_duplicates
+from postlake.llm.quality_classifier import quality_scores
 from postlake.llm.quality_rules import quality_rules
 from postlake.llm.warc import archived_pages
 from postlake.sources.tables import table
@@ -17,24 +23,46 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "removed", F.size("removed").alias("n_removed"), "text")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_html_text": op1_html_text,
-    "op4_near_duplicates": op4_near_duplicates,
-    "op8_quality_rules": op8_quality_rules,
-    "op10_warc": op10_warc,
+    f.__name__: f
+    for f in (op1_html_text, op2_decontamination, op3_language_model, op4_near_duplicates, op5_line_dedup, op6_mixing, op7_quality_classifier, op8_quality_rules, op9_license_scan, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {
