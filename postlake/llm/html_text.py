@@ -174,6 +174,9 @@ LABELLED = (
     (9, 0.0, 1, 0.0, 6, 0.9, 1, 0, 1, 1),
     (20, 0.1, 4, 0.0, 3, 1.0, 1, 0, 0, 1),
     (3, 0.0, 5, 0.2, 4, 1.0, 1, 0, 0, 1),
+    (1, 0.0, 1, 0.0, 1, 1.0, 1, 0, 0, 1),
+    (3, 0.0, 0, 0.0, 2, 1.0, 1, 0, 0, 1),
+    (2, 0.0, 1, 0.0, 9, 1.0, 1, 0, 1, 1),
     # first and last blocks of a page that holds an article only
     (8, 0.0, 0, 0.0, 50, 0.0, 1, 0, 1, 1),
     (3, 0.0, 0, 0.0, 1, 0.0, 1, 0, 0, 1),
@@ -203,6 +206,11 @@ LABELLED = (
     (12, 0.1, 60, 0.0, 40, 0.0, 0, 0, 0, 1),
     (40, 0.0, 12, 0.1, 3, 0.7, 0, 0, 0, 1),
     (18, 0.0, 5, 0.0, 22, 0.0, 0, 0, 0, 1),
+    (1, 0.0, 40, 0.0, 50, 0.0, 0, 0, 0, 1),
+    (2, 0.0, 12, 0.0, 1, 0.0, 0, 0, 0, 1),
+    (1, 0.0, 2, 0.0, 14, 0.0, 0, 0, 0, 1),
+    (2, 0.0, 3, 0.0, 2, 0.0, 0, 0, 1, 1),
+    (1, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 1),
     (22, 0.0, 18, 0.0, 2, 1.0, 0, 0, 0, 1),
     (40, 0.0, 0, 0.0, 50, 0.0, 0, 0, 0, 1),
     (35, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 1),
