@@ -26,7 +26,7 @@ from postlake.sources.scratch import Scratch
 WINDOW = 5
 COVERED = 0.8
 #: Share of placeholder fillings that may contradict others, as a word may be misspelt.
-CONTRADICTIONS = 0.2
+CONTRADICTIONS = 0.1
 BROADCAST = 4_000_000
 # Number words and units.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
@@ -82,7 +82,8 @@ def _windows_of(column_id: str, wanted):
                 slots = np.where(kinds > 0, value, 0).astype(np.uint64).view(np.int64)
                 for p in keep.tolist():
                     ids.append(key), found.append(h[p]), at.append(p), lengths.append(len(shape)), values.append(slots[p : p + size])
-            yield pd.DataFrame({"id": ids, "hash": np.array(found, dtype=np.uint64).view(np.int64), "pos": at, "n": lengths, "slots": values})
+            if ids:
+                yield pd.DataFrame({"id": ids, "hash": np.array(found, dtype=np.uint64).view(np.int64), "pos": at, "n": lengths, "slots": values})
 
     return emit
 

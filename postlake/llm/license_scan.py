@@ -95,7 +95,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for k, unit in [*enumerate(lines), *([(-1, text)] if len(lines) > 1 else [])]:
                 if top := templates.best(unit):
                     rows.append((doc_id, top[0], k, round(top[1], 6)))
-        yield pd.DataFrame(rows, columns=["doc_id", "license", "line", "dice"]).astype({"doc_id": "Int64"})
+        if rows:
+            yield pd.DataFrame(rows, columns=["doc_id", "license", "line", "dice"]).astype({"doc_id": "Int64"})
 
 
 def scan_licenses(documents: DataFrame) -> DataFrame:
