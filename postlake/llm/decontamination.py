@@ -20,7 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from postlake.llm.words import WordCache, windows
+from postlake.llm.words import WordTable, each, windows
 from postlake.sources.scratch import Scratch
 
 WINDOW = 5
@@ -48,12 +48,12 @@ def _describe(token: str) -> tuple[int, int, int, int]:
     return xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")) or 1, int(len(core) > 1 and core[0].isupper() and core[1:].islower()), int(ends), kind
 
 
-def template(text: str | None, cache: WordCache) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def template(text: str | None, cache: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template hashes, value hashes and kinds (0: plain word) of a text's words, without those of punctuation only."""
-    rows = np.array([cache[x] for x in text.split()] if text else [], dtype=np.uint64).reshape(-1, 4)
-    ends = np.concatenate([[1], rows[:-1, 2]]) if len(rows) else rows[:, 2]
-    word = rows[:, 0] != 0
-    value, capital, after_end, kind = rows[word, 0], rows[word, 1] == 1, ends[word] == 1, rows[word, 3].astype(np.int64)
+    value, capital, ends, kind = cache.rows(text.split() if text else [])
+    word = value != 0
+    after_end = np.concatenate([[True], ends])[: len(ends)][word]
+    value, capital, kind = value[word], capital[word], kind[word]
     number = kind == NUMBER
     unit = (kind == UNIT) & np.concatenate([[False], number[:-1]])[: len(kind)]
     kinds = np.where(number, NUMBER, np.where(unit, UNIT, np.where(capital & ~after_end, NAME, 0)))
@@ -64,7 +64,7 @@ def _windows_of(column_id: str, wanted):
     """Emits (id, hash, pos, n, values) for each window, or for those whose hash is in ``wanted`` (a broadcast)."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordCache(_describe)
+        cache = WordTable(each(_describe), (np.uint64, np.bool_, np.bool_, np.int64))
         known = None if wanted is None else wanted.value
         for batch in batches:
             ids, found, at, lengths, values = [], [], [], [], []

@@ -10,7 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from postlake.llm.words import WordCache
+from postlake.llm.words import WordTable, each
 
 BUCKETS = 1 << 14
 #: The upper quarter of the buckets is for shapes, so words and shapes never share one.
@@ -18,27 +18,26 @@ WORD_BUCKETS = BUCKETS * 3 // 4
 DIMENSIONS = 32
 _NONZERO = 4
 _BLOCK = 256
-_RUNS = ((re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"9"), (re.compile(rb"([^aA9])\1+"), rb"\1"))
+_KINDS = bytes(ord("A") if 65 <= c <= 90 else ord("9") if 48 <= c <= 57 else ord("a") if c >= 97 and c <= 122 or c >= 128 else c for c in range(256))
+_RUN = re.compile(rb"(.)\1+", re.DOTALL)
 _EDGES = bytes(set(range(33, 127)) - set(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 
 
 def _buckets(word: bytes) -> tuple[int, int]:
     """Of the bare lower-case word and of its shape, such as Aa, a, or AA! with runs of one kind cut to one."""
     core = word.strip(_EDGES).lower() or word
-    shape = word
-    for pattern, by in _RUNS:
-        shape = pattern.sub(by, shape)
-    return xxhash.xxh32_intdigest(core) % WORD_BUCKETS, WORD_BUCKETS + xxhash.xxh32_intdigest(shape[:8], seed=1) % (BUCKETS - WORD_BUCKETS)
+    shape = _RUN.sub(rb"\1", word.translate(_KINDS))[:8]
+    return xxhash.xxh32_intdigest(core) % WORD_BUCKETS, WORD_BUCKETS + xxhash.xxh32_intdigest(shape, seed=1) % (BUCKETS - WORD_BUCKETS)
 
 
-def bucket_cache() -> WordCache:
-    return WordCache(_buckets)
+def bucket_cache() -> WordTable:
+    return WordTable(each(_buckets), (np.int64, np.int64))
 
 
-def token_buckets(text: str | None, cache: WordCache) -> np.ndarray:
+def token_buckets(text: str | None, cache: WordTable) -> np.ndarray:
     """A row (word's bucket, shape's bucket) for each word of the whole text."""
     tokens = text.encode("utf-8", "surrogatepass").split() if text else []
-    return np.array([cache[x] for x in tokens], dtype=np.int64).reshape(-1, 2)
+    return np.stack(cache.rows(tokens), axis=1)
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:

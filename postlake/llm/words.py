@@ -31,6 +31,43 @@ class WordCache(dict):
         return value
 
 
+class WordTable(dict):
+    """Numbers words, and keeps what ``make`` gives for them in arrays; emptied beyond ``limit`` words.
+
+    A text then costs one look-up per word, arrays are read by number, and ``make`` gets all new words of a text at once:
+    it returns an array per column.
+    """
+
+    def __init__(self, make, dtypes: tuple, limit: int = 400_000):
+        super().__init__()
+        self.make, self.limit, self.fresh = make, limit, []
+        self.columns = [np.zeros(limit, dtype=d) for d in dtypes]
+
+    def __missing__(self, word):
+        k = self[word] = len(self)
+        self.fresh.append(word)
+        return k
+
+    def rows(self, tokens: list) -> list[np.ndarray]:
+        """The columns' values for each token."""
+        if len(self) > self.limit:
+            self.clear()
+        k = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        if self.fresh:
+            end, start = len(self), len(self) - len(self.fresh)
+            if end > len(self.columns[0]):
+                self.columns = [np.concatenate([c, np.zeros(end, dtype=c.dtype)]) for c in self.columns]
+            for column, values in zip(self.columns, self.make(self.fresh)):
+                column[start:end] = np.array(values, dtype=column.dtype)
+            self.fresh = []
+        return [c[k] for c in self.columns]
+
+
+def each(make):
+    """A function of one word as one of many, for ``WordTable``."""
+    return lambda found: zip(*map(make, found))
+
+
 def hash_cache() -> WordCache:
     return WordCache(xxhash.xxh64_intdigest)
 
