@@ -16,7 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<([/!?]?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]++|\"[^\"]*\"|'[^']*'){0,512}+)>|<([/!?]?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.DOTALL)
+#: Comments, CDATA, tags with quoted values, tags with broken quotes. Nothing is tried twice, so broken pages cost no more.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<([/!?]?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^'\"<>]++|\"[^\"]{0,9999}+\"|'[^']{0,9999}+'){0,512}+)>|<([/!?]?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 
