@@ -28,6 +28,8 @@ LEAST_BYTES = 1000
 ARCHIVE_BYTES = 256 << 20
 STRETCH_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
+#: Bytes of archives that a reading task gets.
+TASK_BYTES = 32 << 20
 _DATE = "2024-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -159,7 +161,9 @@ def read_records(selected: DataFrame, folder: str) -> DataFrame:
     The rows of a stretch of 8 MB meet in one task; a record has some hundred bytes at least, which bounds them.
     """
     stretches = selected.withColumn("stretch", F.floor(F.col("offset") / STRETCH_BYTES)).groupBy("file", "stretch").agg(F.collect_list(F.struct("offset", "length")).alias("spans"))
-    return stretches.select("file", "spans").mapInPandas(_reader(folder), RECORDS)
+    total = selected.agg(F.sum("length").alias("bytes")).first()["bytes"] or 0
+    # rows are tiny beside what they stand for, so their number of tasks follows the bytes to read
+    return stretches.select("file", "spans").repartition(1 + total // TASK_BYTES).mapInPandas(_reader(folder), RECORDS)
 
 
 def archived_pages(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
