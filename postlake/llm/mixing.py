@@ -122,16 +122,32 @@ def fit_rates(judged: DataFrame, shares: list[float], rounds: int = ROUNDS) -> t
     return best_y, best_size
 
 
-def mix(documents: DataFrame, labels: DataFrame, scratch: Scratch | None = None, domains=DOMAINS) -> DataFrame:
-    """``documents`` (doc_id, text and any others) with tokens, posterior, rate and copies; columns of these names are replaced.
+def _with_rates(judged: DataFrame, y: np.ndarray) -> DataFrame:
+    chance = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1_000_003)) / 1_000_003.0
+    out = judged.withColumn("rate", _rate(y))
+    return out.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+
+
+def mix_rates(documents: DataFrame, labels: DataFrame, scratch: Scratch | None = None, domains=DOMAINS) -> DataFrame:
+    """doc_id, tokens, posterior, rate and copies for each row of ``documents`` (doc_id, text; others ignored).
 
     ``copies`` is rate rounded up or down by a hash of the id, so its mean is the rate. A null or empty text has
     no tokens; its posterior is the prior. Repeated rows get the same rate each. An empty table gives no rows; without labels
-    the posteriors are even. Texts are read twice, as the rates depend on all posteriors; they are neither copied nor shuffled.
+    the posteriors are even.
+    """
+    scratch = scratch or Scratch(documents.sparkSession, "mix")
+    model = documents.sparkSession.sparkContext.broadcast(fit_domains(documents, labels, domains))
+    judged = scratch.table(with_posteriors(documents.select("doc_id", "text"), model).drop("text"), "judged")
+    y, _ = fit_rates(judged, [share for _, _, share in domains])
+    return _with_rates(judged, y)
+
+
+def mix(documents: DataFrame, labels: DataFrame, scratch: Scratch | None = None, domains=DOMAINS) -> DataFrame:
+    """All columns of ``documents`` with those of ``mix_rates``; columns of these names are replaced.
+
+    Texts are judged twice, as the rates depend on all posteriors; they are neither copied nor shuffled.
     """
     scratch = scratch or Scratch(documents.sparkSession, "mix")
     model = documents.sparkSession.sparkContext.broadcast(fit_domains(documents, labels, domains))
     y, _ = fit_rates(scratch.table(with_posteriors(documents.select("text"), model).drop("text"), "judged"), [share for _, _, share in domains])
-    chance = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1_000_003)) / 1_000_003.0
-    out = with_posteriors(documents, model).withColumn("rate", _rate(y))
-    return out.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+    return _with_rates(with_posteriors(documents, model), y)

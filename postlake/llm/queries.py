@@ -11,7 +11,7 @@ from postlake.llm.html_text import extract_text
 from postlake.llm.language_model import language_scores
 from postlake.llm.license_scan import scan_licenses
 from postlake.llm.line_dedup import dedupe_lines
-from postlake.llm.mixing import mix
+from postlake.llm.mixing import mix_rates
 from postlake.llm.near_duplicates import near_duplicates
 from postlake.llm.quality_classifier import quality_scores
 from postlake.llm.quality_rules import quality_rules
@@ -40,7 +40,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+    return mix_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
