@@ -101,7 +101,8 @@ def test_mixing(spark):
     df, labels = labelled(spark)
     domains = (("good", "quality = 1", 0.5), ("junk", "quality = 0", 0.5))
     out = mixing.mix_rates(df, labels, domains=domains)
-    assert {tuple(r) for r in out.select("doc_id", "rate").collect()} == {tuple(r) for r in mixing.mix(df, labels, domains=domains).select("doc_id", "rate").collect()}
+    both = [{(r["doc_id"], round(r["rate"], 5)) for r in x.select("doc_id", "rate").collect()} for x in (out, mixing.mix(df, labels, domains=domains))]
+    assert both[0] == both[1]
     total = out.agg(F.sum("tokens")).first()[0]
     sums = out.agg(*(F.sum(F.col("tokens") * F.get("posterior", k) * F.col("rate")) for k in range(2)), F.min("rate")).first()
     assert abs(sums[0] / total - 0.5) < 1e-3 and abs(sums[1] / total - 0.5) < 1e-3 and sums[2] >= 0
