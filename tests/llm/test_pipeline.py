@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -44,5 +45,5 @@ def test_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     ours, theirs = QUERIES[name](spark, DATA).toPandas(), con.sql(ORACLE_SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns) and len(ours) == len(theirs)
-    text = lambda f: sorted(tuple(str(None if x != x else x).removesuffix(".0") for x in r) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))
+    text = lambda f: sorted(tuple(str(None if pd.isna(x) else x).removesuffix(".0") for x in r) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))
     assert text(ours) == text(theirs)
