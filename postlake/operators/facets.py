@@ -74,10 +74,17 @@ def group_rank(label: Column) -> Column:
 
 
 def match_statistics(matched: DataFrame, role: str, level: str) -> DataFrame:
-    """Counts by role, by confidence and over all rows, in one pass."""
-    sets = matched.groupingSets([[F.col(role)], [F.col(level)], []], F.col(role), F.col(level)).agg(F.count("*").alias("n"), F.count(role).alias("n_matched"), F.grouping_id().alias("kind"))
-    kind = F.when(F.col("kind") == 1, "role").when(F.col("kind") == 2, "confidence").otherwise("all")
-    return sets.select(kind.alias("kind"), F.coalesce(role, level).alias("value"), "n", "n_matched").where("kind = 'all' or value is not null")
+    """Rows (kind, value, n, n_matched): counts by role, by confidence and over all rows.
+
+    Rows are counted per pair first; the groupings then work on a few rows.
+    """
+    pairs = matched.groupBy(role, level).agg(F.count("*").alias("c"))
+    hit = F.when(F.col(role).isNotNull(), F.col("c")).otherwise(0)
+    sums = [F.sum("c").alias("n"), F.sum(hit).alias("n_matched")]
+    parts = pairs.groupingSets([[F.col(role)], [F.col(level)]], F.col(role), F.col(level)).agg(*sums, F.grouping(role).alias("by_level"))
+    parts = parts.select(F.when(F.col("by_level") == 1, "confidence").otherwise("role").alias("kind"), F.coalesce(role, level).alias("value"), "n", "n_matched").where("value is not null")
+    every = pairs.agg(*sums).select(F.lit("all").alias("kind"), F.lit(None).cast("string").alias("value"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_matched", F.lit(0)).alias("n_matched"))
+    return every.unionByName(parts)
 
 
 def expectations(checks: dict[str, tuple[DataFrame, Column]]) -> DataFrame:

@@ -120,14 +120,8 @@ def all_pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'confidence', c, count(*), count(r) FROM m WHERE c IS NOT NULL GROUP BY c"""
 )
 def match_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = postings(spark, sf_dir).select(role.match(F.col("title")).alias("m")).select(F.col("m.role_id").alias("role_id"), F.col("m.confidence").alias("confidence"))
-    # counted per pair first: the three groupings then work on a few rows
-    pairs = matched.groupBy("role_id", "confidence").agg(F.count("*").alias("c"))
-    sets = pairs.groupingSets([[F.col("role_id")], [F.col("confidence")], []], F.col("role_id"), F.col("confidence")).agg(F.sum("c").alias("n"), F.sum(F.when(F.col("role_id").isNotNull(), F.col("c")).otherwise(0)).alias("n_matched"), F.grouping("role_id").alias("gr"), F.grouping("confidence").alias("gc"))
-    kind = F.when((F.col("gr") == 1) & (F.col("gc") == 1), "all").when(F.col("gr") == 0, "role").otherwise("confidence")
-    counted = matched.agg(F.count("*").alias("n"), F.count("role_id").alias("n_matched")).select(F.lit("all").alias("kind"), F.lit(None).cast("string").alias("value"), "n", "n_matched")
-    parts = sets.select(kind.alias("kind"), F.coalesce("role_id", "confidence").alias("value"), "n", "n_matched").where("kind <> 'all' and value is not null")
-    return counted.unionByName(parts)
+    matched = postings(spark, sf_dir).select(role.match(F.col("title")).alias("m")).select("m.role_id", "m.confidence")
+    return facets.match_statistics(matched, "role_id", "confidence")
 
 
 #: Cities of the regions stand in for customers' places: each customer's key picks one.
