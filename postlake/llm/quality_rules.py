@@ -116,9 +116,13 @@ def responsibilities(model: dict) -> Column:
     width = 2 * len(RULES)
     prior, rates = F.lit([float(x) for x in model["prior"]]), F.lit([float(x) for row in model["rates"] for x in row])
     logs = F.transform(F.sequence(F.lit(0), F.lit(len(RULES))), lambda k: F.aggregate("cells", F.get(prior, k), lambda s, c: s + F.get(rates, k * width + c)))
-    powers = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(powers, lambda x: x / total)
+    powers = _once(logs, lambda x: _once(F.array_max(x), lambda most: F.transform(x, lambda v: F.exp(v - most))))
+    return _once(powers, lambda x: _once(F.aggregate(x, F.lit(0.0), lambda s, v: s + v), lambda total: F.transform(x, lambda v: v / total)))
+
+
+def _once(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` as a bound variable, computed one time."""
+    return F.transform(F.array(c), use)[0]
 
 
 def fit(patterns: DataFrame) -> dict:
