@@ -2,9 +2,10 @@
 
 A text becomes a template: numbers, names and units turn into typed placeholders, other words are lower-cased and
 lose their outer punctuation. Windows of five template words are joined on their hashes. Within a document, the hits on an
-item that follow each other form an occurrence; it counts if its windows cover at least 0.8 of the item's words and
-its placeholders are filled consistently: equal values of the item stand for equal values of the document and the
-other way round. An exact copy fills each with itself; a re-parameterised question fills them with others.
+item are aligned: an occurrence is a chain of hits that go on in both texts, best on one diagonal (place in the document
+less place in the item), with a step to another one where words were put in or left out. It counts if its windows cover at
+least 0.8 of the item's words and its placeholders are filled consistently: equal values of the item stand for equal values of
+the document and the other way round. An exact copy fills each with itself; a re-parameterised question fills them with others.
 
 The windows of the benchmark are counted first. Up to ``BROADCAST`` their sorted hashes (8 bytes each) go to the
 tasks, which then pass on matching windows only; a larger benchmark gets every window of the corpus in the join.
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from postlake.llm.words import WordTable, each, windows
 from postlake.sources.scratch import Scratch
@@ -88,6 +89,76 @@ def _windows_of(column_id: str, wanted):
     return emit
 
 
+def _chains(d: np.ndarray, i: np.ndarray, item_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each hit (in order of d, then i) the best chain that ends there: words covered, its worth, the hit before (or -1).
+
+    A chain's worth is the words that it covers less one for each change of the diagonal.
+    """
+    words, worth, before = np.full(len(d), WINDOW), np.full(len(d), WINDOW), np.full(len(d), -1)
+    begin, end = np.searchsorted(d, d - item_words), np.searchsorted(d, d)
+    shift = d - i
+    for k in range(len(d)):
+        lo, hi = begin[k], end[k]
+        if lo < hi:
+            new = np.minimum(i[k] - i[lo:hi], WINDOW)
+            gain = np.where(new > 0, worth[lo:hi] + new - (shift[lo:hi] != shift[k]), 0)
+            best = int(gain.argmax())
+            if gain[best] > WINDOW:
+                words[k], worth[k], before[k] = words[lo + best] + new[best], gain[best], lo + best
+    return words, worth, before
+
+
+def _filling(asked: np.ndarray, given: np.ndarray, i: np.ndarray) -> tuple[int, bool, bool]:
+    """Number of slots that the hits of an alignment fill; whether each is filled with itself; whether that is consistent."""
+    at, of = i[:, None] + np.arange(WINDOW), asked != 0
+    slots = set(zip(at[of].tolist(), asked[of].tolist(), given[of].tolist()))
+    pairs = {x[1:] for x in slots}
+    exact = all(a == g for a, g in pairs)
+    contradictions = 2 * len(pairs) - len({a for a, _ in pairs}) - len({g for _, g in pairs})
+    return len(slots), exact, exact or contradictions <= CONTRADICTIONS * len(slots)
+
+
+def _alignments(d: np.ndarray, i: np.ndarray, given: np.ndarray, asked: np.ndarray, item_words: int) -> Iterator[tuple[int, float, int, bool]]:
+    """start, covered, n_slots and exact of each occurrence of an item in a document, from all its hits there."""
+    order = np.lexsort((i, d))
+    d, i, given, asked = d[order], i[order], given[order], asked[order]
+    while len(d):
+        words, worth, before = _chains(d, i, item_words)
+        enough = np.flatnonzero(words >= COVERED * item_words)
+        if not len(enough):
+            return
+        used = np.zeros(len(d), dtype=bool)
+        for k in enough[np.argsort(-worth[enough], kind="stable")].tolist():
+            chain = []
+            while k >= 0 and not used[k]:
+                chain.append(k)
+                k = before[k]
+            if k >= 0:
+                continue
+            chain = np.array(chain[::-1])
+            shift = d[chain] - i[chain]
+            kinds, sizes = np.unique(shift, return_counts=True)
+            used[chain] = True
+            # a step to another diagonal may bring wrong fillings; then its longest diagonal alone
+            for part in (chain, chain[shift == kinds[sizes.argmax()]]):
+                covered = WINDOW + int(np.minimum(np.diff(i[part]), WINDOW).sum())
+                n, exact, consistent = _filling(asked[part], given[part], i[part])
+                if covered >= COVERED * item_words and consistent:
+                    yield int(d[part[0]]), round(covered / item_words, 4), n, exact
+                    used |= (d >= d[part[0]]) & (d <= d[part[-1]])
+                    break
+        d, i, given, asked = d[~used], i[~used], given[~used], asked[~used]
+
+
+def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for doc, item, n, d, i, given, asked in batch.itertuples(index=False):
+            given, asked = np.array(list(given), dtype=np.int64), np.array(list(asked), dtype=np.int64)
+            out += [(doc, item, *x) for x in _alignments(np.asarray(d, dtype=np.int64), np.asarray(i, dtype=np.int64), given, asked, n)]
+        yield pd.DataFrame(out, columns=["doc_id", "item_id", "start", "covered", "n_slots", "exact"])
+
+
 _SCHEMA = "id long, hash long, pos int, n int, slots array<long>"
 
 
@@ -111,17 +182,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, scratch: Scratch | No
     found = docs.mapInPandas(_windows_of("doc_id", wanted), _SCHEMA).select(F.col("id").alias("doc_id"), "hash", F.col("pos").alias("doc_pos"), F.col("slots").alias("doc_slots"))
     hits = scratch.table(found.join(items, "hash").drop("hash"), "hits")
 
-    in_order = Window.partitionBy("doc_id", "item_id").orderBy("doc_pos", "item_pos")
-    new = F.coalesce((F.col("item_pos") <= F.lag("item_pos").over(in_order)) | (F.col("doc_pos") - F.lag("doc_pos").over(in_order) > F.col("item_words")), F.lit(True))
-    hits = hits.withColumn("new", new.cast("int")).withColumn("occurrence", F.sum("new").over(in_order))
-    key = ["doc_id", "item_id", "occurrence"]
-    filled = F.filter(F.transform("item_slots", lambda v, i: F.struct((F.col("item_pos") + i).alias("at"), v.alias("asked"), F.get("doc_slots", i).alias("given"))), lambda x: x["asked"] != 0)
-    # an occurrence has at most an item's windows
-    runs = hits.withColumn("filled", filled).groupBy(*key).agg(F.min("doc_pos").alias("start"), F.max("item_words").alias("item_words"), F.sort_array(F.collect_set("item_pos")).alias("at"), F.array_distinct(F.flatten(F.collect_list("filled"))).alias("slots"))
-    covered = F.aggregate("at", F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")), lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(WINDOW), p - s["last"])).alias("n")), lambda s: s["n"])
-    pairs = F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["asked"], x["given"]))))
-    asked, given = F.size(F.array_distinct("slots.asked")), F.size(F.array_distinct("slots.given"))
-    contradictions = 2 * pairs - asked - given
-    runs = runs.withColumns({"covered": covered / F.col("item_words"), "n_slots": F.size("slots"), "contradictions": contradictions, "exact": F.forall("slots", lambda x: x["asked"] == x["given"])})
-    good = (F.col("covered") >= COVERED) & (F.col("exact") | (F.col("contradictions") <= CONTRADICTIONS * F.col("n_slots")))
-    return runs.where(good).select("doc_id", "item_id", "start", F.round("covered", 4).alias("covered"), "n_slots", "exact").distinct()
+    # a document's hits on an item; all together must cover enough of the item
+    hit = F.struct("doc_pos", "item_pos", "doc_slots", "item_slots")
+    groups = hits.groupBy("doc_id", "item_id", "item_words").agg(F.collect_set(hit).alias("hits"))
+    at = F.array_sort(F.array_distinct("hits.item_pos"))
+    most = F.aggregate(at, F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")), lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(WINDOW), p - s["last"])).alias("n")), lambda s: s["n"])
+    groups = groups.where(most >= COVERED * F.col("item_words")).select("doc_id", "item_id", "item_words", *(F.col(f"hits.{k}").alias(k) for k in ("doc_pos", "item_pos", "doc_slots", "item_slots")))
+    return groups.mapInPandas(_occurrences, "doc_id long, item_id long, start int, covered double, n_slots int, exact boolean").distinct()

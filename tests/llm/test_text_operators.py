@@ -144,6 +144,22 @@ def test_decontamination(spark):
     assert find_leaks(docs_of(spark, []), bench).count() == 0 and find_leaks(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_items_with_equal_windows(spark):
+    """A run of numbers and a repeated phrase: windows of a document hit several places of the item."""
+    rng = random.Random(7)
+    fill = lambda n: " ".join(made_words(rng, n))
+    w = made_words(rng, 40)
+    run = [*w[:12], *"11 22 33 44 55 66".split(), *w[12:24]]
+    phrase = [*w[24:29], *w[29:33], *w[24:29], *w[33:38], *w[24:29]]
+    numbers = "7 8 9 10 11 12 13 14".split()
+    other = [*w[:12], *"12 23 34 45 56 67".split(), *w[12:24]]
+    longer = [*run[:20], "inserted", "twice", *run[20:]]
+    rows = [(k, f"{fill(30)} {' '.join(x)} {fill(20)}") for k, x in enumerate((run, other, longer, phrase, [*phrase, *fill(3).split(), *phrase], numbers))]
+    bench = spark.createDataFrame([(1, " ".join(run)), (2, " ".join(phrase)), (3, " ".join(numbers))], "item_id long, text string")
+    out = sorted((r["doc_id"], r["item_id"], r["start"], r["covered"], r["exact"]) for r in find_leaks(docs_of(spark, rows), bench).collect())
+    assert out == [(0, 1, 30, 1.0, True), (1, 1, 30, 1.0, False), (2, 1, 30, 1.0, True), (3, 2, 30, 1.0, True), (4, 2, 30, 1.0, True), (4, 2, 57, 1.0, True), (5, 3, 30, 1.0, True)]
+
+
 def base_counts(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
