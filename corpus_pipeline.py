@@ -17,6 +17,8 @@ from postlake.sources.tables import table
 
 #: After the quality stage junk has gone, so the mix is between clean and toxic text.
 MIX = (("clean", "toxic = 0", 0.97), ("toxic", "toxic = 1", 0.03))
+#: Near copies are those whose sets of five-word shingles have at least this Jaccard similarity, in hundredths.
+SIMILAR = 80
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
     scratch = Scratch(spark, "one")
-    return without_ids(docs, scratch.table(near_duplicates(docs, scratch).where("not kept").select("doc_id"), "others"))
+    return without_ids(docs, scratch.table(near_duplicates(docs, scratch, SIMILAR).where("not kept").select("doc_id"), "others"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ A document's set holds its distinct five-word shingles (see ``words``). A sketch
 seven bits of a shingle's hash name a bucket, and the bucket's smallest remainder is kept as its count of
 leading zeros (6 bits) and the 10 bits after the first one (the mantissa), 16 bits in all. Four registers make
 one 64-bit band, so a sketch is 32 longs and a band's key needs no further hashing of shingles. Two sets of
-Jaccard 0.85 miss each other in all 32 bands with a probability below 1e-9.
+Jaccard 0.85 miss each other in all 32 bands with a probability below 1e-9, of 0.8 below 1e-7.
 
 Steps, each a Spark job over the whole table:
 
@@ -39,8 +39,8 @@ BUCKET_BITS, MANTISSA_BITS, BAND = 7, 10, 4
 #: A random register of one set equals that of another: equal zero counts (about 1 in 3) and equal mantissas.
 CHANCE = 2.0**-MANTISSA_BITS / 3
 SMALL = 16
-#: Link if PERCENT[0] * shared >= PERCENT[1] * union.
-PERCENT = (100, 85)
+#: Link if 100 * shared >= PERCENT * union, unless a caller gives another percentage.
+PERCENT = 85
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -89,23 +89,26 @@ def _close_enough(limit: float):
     return keep
 
 
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache, last, hub = hash_cache(), None, None
-    for batch in batches:
-        linked = []
-        for text_a, text_b in zip(batch["text_a"], batch["text_b"]):
-            if text_a != last:
-                last, hub = text_a, shingle_set(text_a, cache)
-            other = shingle_set(text_b, cache)
-            shared = intersection_size(hub, other)
-            linked.append(PERCENT[0] * shared >= PERCENT[1] * (len(hub) + len(other) - shared))
-        yield batch.loc[linked, ["a", "b"]]
+def _confirm(percent: int):
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache, last, hub = hash_cache(), None, None
+        for batch in batches:
+            linked = []
+            for text_a, text_b in zip(batch["text_a"], batch["text_b"]):
+                if text_a != last:
+                    last, hub = text_a, shingle_set(text_a, cache)
+                other = shingle_set(text_b, cache)
+                shared = intersection_size(hub, other)
+                linked.append(100 * shared >= percent * (len(hub) + len(other) - shared))
+            yield batch.loc[linked, ["a", "b"]]
+
+    return confirm
 
 
-def near_duplicates(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``documents`` (doc_id, text; others ignored).
 
-    component_id is the smallest doc_id that links reach, kept marks that one. A null, empty or blank text has no
+    Texts are linked from a Jaccard similarity of ``percent`` hundredths. component_id is the smallest doc_id that links reach, kept marks that one. A null, empty or blank text has no
     shingles and is its own component. A row without doc_id has no component and is kept. Rows with one doc_id
     count as one document in the links. An empty table gives an empty result.
     """
@@ -131,11 +134,11 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None) -> Dat
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         near = pairs.distinct().join(heads.select(F.col("id").alias("b"), F.col("bands").alias("bands_b")), "b").join(heads.select(F.col("id").alias("a"), F.col("bands").alias("bands_a")), "a")
-        near = scratch.table(near.mapInPandas(_close_enough(PERCENT[1] / PERCENT[0]), "a long, b long"), f"{name}-near")
+        near = scratch.table(near.mapInPandas(_close_enough(percent / 100), "a long, b long"), f"{name}-near")
         ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
         texts = scratch.table(with_ids(docs, ids), f"{name}-texts")
         full = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        links = scratch.table(full.mapInPandas(_confirm, "a long, b long").distinct(), f"{name}-links")
+        links = scratch.table(full.mapInPandas(_confirm(percent), "a long, b long").distinct(), f"{name}-links")
         scratch.drop(f"{name}-texts")
         return links
 

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
+from postlake.llm.near_duplicates import near_duplicates
 from postlake.llm.queries import ORACLE_SQL, QUERIES
 from postlake.sources.tables import TABLES
 
@@ -47,3 +48,12 @@ def test_sql(spark, name):
     assert sorted(ours.columns) == sorted(theirs.columns) and len(ours) == len(theirs)
     text = lambda f: sorted(tuple(str(None if pd.isna(x) else x).removesuffix(".0") for x in r) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))
     assert text(ours) == text(theirs)
+
+
+def test_near_copies_of_the_pipeline(spark):
+    """Jaccard 0.82: one document for the pipeline's stage, two for op4."""
+    words = [f"w{k}" for k in range(104)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:94], *(f"x{k}" for k in range(10))]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.one_of_near_duplicates(spark, docs, "").collect()] == [1]
+    assert near_duplicates(docs).where("kept").count() == 2
