@@ -16,9 +16,12 @@ Steps, each a Spark job over the whole table:
 4. the collision-corrected estimate of Jaccard removes pairs six standard deviations below the limit;
 5. the others are confirmed on the full shingle sets, and components are computed;
 6. buckets that still hold several components get a second hub outside the first one's component, until
-   that finds no further link.
+   that finds no further link;
+7. in buckets that hold several components even then, all pairs across components are compared: a bucket is cut into
+   chunks of ``CHUNK`` classes and a task takes two chunks' sketches at a time. A pair counts in its first common bucket only.
 
-So no group is ever expanded into all its pairs, and no copy is compared twice.
+So copies in one component are never expanded into all their pairs, and every pair that shares a bucket is either in one
+component or compared. Step 7 grows with the square of a bucket's classes if these are alike but not near copies.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ BUCKET_BITS, MANTISSA_BITS, BAND = 7, 10, 4
 #: A random register of one set equals that of another: equal zero counts (about 1 in 3) and equal mantissas.
 CHANCE = 2.0**-MANTISSA_BITS / 3
 SMALL = 16
+CHUNK = 512
 #: Link if 100 * shared >= PERCENT * union, unless a caller gives another percentage.
 PERCENT = 85
 
@@ -78,17 +82,56 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "digest": digests, "bands": bands})
 
 
+def _near(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
+    """Which rows of registers aren't six standard deviations below the limit."""
+    j, n = estimate(a, b)
+    return j >= limit - 6 * np.sqrt(limit * (1 - limit) / n)
+
+
 def _close_enough(limit: float):
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 a, b = (np.array(batch[k].tolist(), dtype=np.int64).view(np.uint16) for k in ("bands_a", "bands_b"))
-                j, n = estimate(a, b)
-                yield batch.loc[j >= limit - 6 * np.sqrt(limit * (1 - limit) / n), ["a", "b"]]
+                yield batch.loc[_near(a, b, limit), ["a", "b"]]
 
     return keep
 
 
+def _across(limit: float):
+    """Pairs of near sketches in different components, for each (key, lo, hi): chunks lo and hi of a bucket."""
+
+    def pairs(band: int, ids: np.ndarray, components: np.ndarray, chunks: np.ndarray, bands: np.ndarray, lo: int, hi: int) -> Iterator[pd.DataFrame]:
+        left, right = np.flatnonzero(chunks == lo), np.flatnonzero(chunks == hi)
+        sketches = bands.view(np.uint16)
+        for x in left.tolist():
+            others = right[components[right] != components[x]]
+            others = others[ids[others] > ids[x]] if lo == hi else others
+            others = others[_near(sketches[x][None], sketches[others], limit)]
+            if len(others):
+                first = ((bands[others] == bands[x]) & (bands[x] != 0)).argmax(axis=1)
+                others = others[first == band]
+                yield pd.DataFrame({"a": np.minimum(ids[x], ids[others]), "b": np.maximum(ids[x], ids[others])})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            same = (rest[["key", "lo", "hi"]] == rest[["key", "lo", "hi"]].iloc[-1]).all(axis=1) if len(rest) else None
+            if same is not None and not same.all():
+                yield from groups(rest[~same])
+                rest = rest[same]
+        if rest is not None and len(rest):
+            yield from groups(rest)
+
+    def groups(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for (_, lo, hi), g in rows.groupby(["key", "lo", "hi"], sort=False):
+            bands = np.array(g["bands"].tolist(), dtype=np.int64)
+            yield from pairs(int(g["band"].iloc[0]), g["id"].to_numpy(), g["component"].to_numpy(), g["chunk"].to_numpy(), bands, lo, hi)
+
+    return compare
+
+
 def _confirm(percent: int):
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, last, hub = hash_cache(), None, None
@@ -120,7 +163,7 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, percen
     classes = scratch.table(classes, "classes")
     heads = scratch.table(sketches.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "bands"), "heads")
 
-    rows = heads.select("id", F.posexplode("bands").alias("band", "packed")).where("packed <> 0").select("id", F.xxhash64("band", "packed").alias("key")).distinct()
+    rows = heads.select("id", F.posexplode("bands").alias("band", "packed")).where("packed <> 0").select("id", "band", F.xxhash64("band", "packed").alias("key")).distinct()
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = scratch.table(rows.join(shared, "key"), "rows")
     central = scratch.table(rows.groupBy("id").agg(F.sum("n").alias("met")), "central")
@@ -158,6 +201,18 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, percen
         links = links.unionByName(more)
         components = connected_components(links, scratch, f"again-cc-{k}")
 
+    placed = rows.where(F.col("n") > SMALL).join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    last = F.ceil(F.col("n") / CHUNK).cast("int") - 1
+    placed = placed.join(mixed, "key").withColumn("last", last).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int"))
+    # one row for each chunk that this one meets, its own included
+    placed = placed.select("key", "band", "id", "component", "chunk", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    placed = placed.select("key", "band", "id", "component", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+    placed = placed.join(heads, "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    more = confirmed(scratch.table(placed.mapInPandas(_across(percent / 100), "a long, b long"), "across"), "across")
+    if more.limit(1).count():
+        components = connected_components(links.unionByName(more), scratch, "across-cc")
+
     placed = classes.join(components, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     # equal ids in several classes count as one document
     return (

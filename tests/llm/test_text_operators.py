@@ -70,6 +70,18 @@ def test_near_duplicates(spark):
     assert near_duplicates.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_near_duplicates_in_a_family(spark, monkeypatch):
+    """Texts of one template, too unlike to link, with one pair of near copies among them: all buckets are large."""
+    monkeypatch.setattr(near_duplicates, "CHUNK", 20)
+    rng = random.Random(9)
+    base = made_words(rng, 276)
+    rows = [(k, " ".join([*base, *(f"{k}x{j}" for j in range(24 if k < 2 else 25))])) for k in range(60)]
+    sets = {i: shingles(t) for i, t in rows}
+    assert [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])] == [(0, 1)]
+    out = near_duplicates.near_duplicates(docs_of(spark, rows)).collect()
+    assert [(r["doc_id"], r["component_id"]) for r in out if not r["kept"]] == [(1, 0)]
+
+
 def test_sketches():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2) + np.uint64(1))
