@@ -107,6 +107,8 @@ def _across(limit: float):
         for x in left.tolist():
             others = right[components[right] != components[x]]
             others = others[ids[others] > ids[x]] if lo == hi else others
+            if not len(others):
+                continue
             others = others[_near(sketches[x][None], sketches[others], limit)]
             if len(others):
                 first = ((bands[others] == bands[x]) & (bands[x] != 0)).argmax(axis=1)
