@@ -7,8 +7,8 @@ words, which no machine could hold, are only needed in a join: a scoring task su
 (row, word, times) for words outside the ``KNOWN`` most frequent ones.
 
 The weights are fitted by truncated backpropagation in numpy: every task runs over its own training texts with the
-state carried from window to window, then the tasks' weights are averaged, weighted by tokens. ``ROUNDS`` rounds each use
-another 1/``SHARE`` of the training texts, so what is learnt from grows with the corpus; the counts use all of it.
+state carried from window to window, then the tasks' weights are averaged, weighted by tokens. ``SHARE`` rounds each use
+another 1/``SHARE`` of the training texts, so the weights learn from each text once; the counts use all of them too.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ HEAD, TAILS, HIDDEN = 31, 64, 16
 CLASSES = 1 + HEAD + TAILS
 #: Steps of backpropagation and texts side by side in training; the same in scoring, where the state goes on.
 TRAIN_WINDOW, TRAIN_LANES, WINDOW, LANES = 16, 128, 32, 1024
-ROUNDS, SHARE = 2, 4
+SHARE = 4
 #: Words whose counts go to every task, 16 bytes each.
 KNOWN = 1 << 20
 END = 0
@@ -273,7 +273,7 @@ def fit_weights(train: DataFrame, vocabulary, log_class: np.ndarray) -> np.ndarr
     context = train.sparkSession.sparkContext
     flat = GatedModel(log_class).flat()
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARE))
-    for k in range(ROUNDS):
+    for k in range(SHARE):
         trained = train.where(part == k).select("text").mapInPandas(_trainer(vocabulary, context.broadcast(flat), 0.01 / (1 + k)), "weights binary, tokens long")
         rows = trained.repartition(16).mapInPandas(_sum_weights, "weights binary, tokens long").collect()
         if rows:

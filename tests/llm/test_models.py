@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from postlake.llm import language_model, mixing, quality_classifier, warc
@@ -52,6 +53,26 @@ def test_language_scores(spark, monkeypatch):
     assert language_model.language_scores(df.limit(0)).count() == 0
 
 
+def test_weights_learn_from_all_training_texts(spark, monkeypatch, tmp_path):
+    """Each row reaches one round's training."""
+    log_class = np.full(language_model.CLASSES, -2.0, dtype=np.float32)
+    size, folder = len(language_model.GatedModel(log_class).flat()), str(tmp_path)
+
+    def trainer(vocabulary, weights, rate):
+        def train(batches):
+            for batch in batches:
+                for text in batch["text"]:
+                    with open(f"{folder}/{text}", "a") as f:
+                        f.write("x")
+                yield pd.DataFrame({"weights": [np.zeros(size).tobytes()], "tokens": [len(batch)]})
+
+        return train
+
+    monkeypatch.setattr(language_model, "_trainer", trainer)
+    language_model.fit_weights(spark.createDataFrame([(k, f"t{k}") for k in range(50)], "doc_id long, text string"), None, log_class)
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {f"t{k}": "x" for k in range(50)}
+
+
 def test_gated_model():
     m = language_model.GatedModel(np.log(np.full(language_model.CLASSES, 1 / language_model.CLASSES)))
     states, _ = m.run(np.zeros((3, 2), dtype=int), np.zeros((2, language_model.HIDDEN), dtype=np.float32))
