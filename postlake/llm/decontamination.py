@@ -21,6 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from postlake.llm.rows import bounded_batches
 from postlake.llm.words import WordTable, each, windows
 from postlake.sources.scratch import Scratch
 
@@ -171,6 +172,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, scratch: Scratch | No
     """
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark, "leaks")
+    bounded_batches(spark)
     items = benchmark.where("item_id is not null").select("item_id", "text").distinct().mapInPandas(_windows_of("item_id", None), _SCHEMA).where(F.col("n") >= WINDOW)
     items = scratch.table(items.select(F.col("id").alias("item_id"), "hash", F.col("pos").alias("item_pos"), F.col("n").alias("item_words"), F.col("slots").alias("item_slots")), "items")
     hashes = items.select("hash").distinct()

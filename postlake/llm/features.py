@@ -10,6 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from postlake.llm.rows import bounded_batches
 from postlake.llm.words import WordTable, each
 
 BUCKETS = 1 << 14
@@ -90,6 +91,7 @@ def word_vectors(documents: DataFrame) -> np.ndarray:
     A task adds up the index vectors of the words before and after each word; tasks send 2 MB each, and the sums of a
     block of buckets are added as they stream by. The result has a fixed size, whatever the corpus.
     """
+    bounded_batches(documents.sparkSession)
     parts = documents.select("text").mapInPandas(_contexts, "block int, sums binary")
     sums = parts.repartition(BUCKETS // _BLOCK, "block").mapInPandas(_add, "block int, sums binary").toArrow().to_pandas().sort_values("block")
     vectors = np.zeros((BUCKETS, DIMENSIONS), dtype=np.float32)

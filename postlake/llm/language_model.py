@@ -1,14 +1,16 @@
-"""Log-likelihoods of documents under a gated recurrent model with a class-factored output.
+"""Log-likelihoods of documents under a gated recurrent model with a class-factored softmax.
 
-A word's probability is P(class | what came before) * P(word | class). Classes are the end of a text, the
-``HEAD`` most frequent words on their own, and ``TAILS`` classes by a word's last letters. The recurrent state sees classes;
-inside a class, words have add-one probabilities from the counts of the whole training part. So the counts of rare
-words, which no machine could hold, are only needed in a join: a scoring task sums what it knows and passes on
-(row, word, times) for words outside the ``KNOWN`` most frequent ones.
+A word's probability is P(class | what came before) * P(word | class, what came before), both learnt. Classes are the end of a
+text, the ``HEAD`` most frequent words on their own, and ``TAILS`` classes by a word's last letters. A tail class has a softmax
+of its own over its ``SLOTS - 1`` most frequent words and one slot for all others, which share it by add-one counts. The state
+sees the same codes: end, head word, or class and slot. So the counts of rare words, which no machine could
+hold, are only needed in a join: a scoring task sums what it knows and passes on (row, word, times) for words outside the
+``KNOWN`` most frequent ones.
 
 The weights are fitted by truncated backpropagation in numpy: every task runs over its own training texts with the
-state carried from window to window, then the tasks' weights are averaged, weighted by tokens. ``SHARE`` rounds each use
-another 1/``SHARE`` of the training texts, so the weights learn from each text once; the counts use all of them too.
+state carried from window to window within ``SEGMENT`` tokens, then the tasks' weights are averaged, weighted by tokens. Each of
+``ROUNDS`` rounds uses its share of the training texts, so the weights learn from each text once; the counts use all of them too.
+A score carries the state through the whole text.
 """
 
 from __future__ import annotations
@@ -22,21 +24,32 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlake.llm.features import remainder
+from postlake.llm.rows import bounded_batches
 from postlake.llm.words import WordTable, words
 from postlake.sources.scratch import Scratch
 
-HEAD, TAILS, HIDDEN = 31, 64, 16
-CLASSES = 1 + HEAD + TAILS
-#: Steps of backpropagation and texts side by side in training; the same in scoring, where the state goes on.
-TRAIN_WINDOW, TRAIN_LANES, WINDOW, LANES = 16, 128, 32, 1024
-SHARE = 4
-#: Words whose counts go to every task, 16 bytes each.
-KNOWN = 1 << 20
+HEAD, TAILS, SLOTS, HIDDEN = 31, 32, 32, 16
+SINGLE = 1 + HEAD  # classes of one code: the end and the head words
+CLASSES, CODES = SINGLE + TAILS, SINGLE + TAILS * SLOTS
+#: Steps of backpropagation and segments side by side in training; steps and texts side by side in scoring.
+TRAIN_WINDOW, TRAIN_LANES, WINDOW, LANES = 16, 512, 32, 2048
+SEGMENT = 1024
+#: Rows of states whose outputs are computed at once, so that arrays stay in the cache.
+BLOCK = 512
+ROUNDS = 2
+#: Tokens, two bytes each, that a task holds at once.
+GATHERED = 1 << 22
+#: Words whose counts go to every task, 24 bytes each.
+KNOWN = 1 << 18
 END = 0
 END_HASH = 0x454E44
+_ONES, _COUNT = np.ones(max(WINDOW * LANES, TRAIN_WINDOW * TRAIN_LANES), dtype=np.float32), np.arange(max(WINDOW * LANES, TRAIN_WINDOW * TRAIN_LANES))
 _PUNCTUATION = b".,;:!?'\"()[]{}<>|#*$%&+-_=/\\~`^@"
 
 
+_CLASS = np.concatenate([np.arange(SINGLE), SINGLE + np.arange(CODES - SINGLE) // SLOTS])
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -45,81 +58,96 @@ def word_hash(word: bytes) -> int:
     return _signed(xxhash.xxh64_intdigest(word))
 
 
-def tail_class(word: bytes) -> int:
+def tail(word: bytes) -> int:
     """By the last two bytes without outer punctuation, and the character that ends the word if it is punctuation."""
     core = word.strip(_PUNCTUATION)
     key = core[-2:] + (b"\x00" + word[-1:] if core and not word.endswith(core) else b"" if core else word[:1])
-    return 1 + HEAD + xxhash.xxh32_intdigest(key) % TAILS
+    return xxhash.xxh32_intdigest(key) % TAILS
+
+
+def class_of(codes: np.ndarray) -> np.ndarray:
+    return _CLASS[codes]
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(word, tail, n) sums of each batch; the end of each text counts as a word."""
+    """(word, tail, n) sums of each batch; the end of each text counts as a word, of tail -1."""
     for batch in batches:
         times: Counter = Counter()
         for text in batch["text"]:
             times.update(words(text))
-        rows = [(word_hash(w), tail_class(w), n) for w, n in times.items()]
-        yield pd.DataFrame([*rows, (END_HASH, END, len(batch))], columns=["word", "tail", "n"]).astype({"tail": np.int32})
+        rows = [(word_hash(w), tail(w), n) for w, n in times.items()]
+        yield pd.DataFrame([*rows, (END_HASH, -1, len(batch))], columns=["word", "tail", "n"]).astype({"tail": np.int32})
 
 
 class Vocabulary:
-    """What tasks know of the counts: head words, the most frequent words, sums per class."""
+    """What tasks know of the counts: the most frequent words with their codes and counts, and sums per code."""
 
     def __init__(self, top: pd.DataFrame, by_tail: pd.DataFrame, n: int, v: int):
-        top = top.sort_values(["n", "word"], ascending=[False, True])
         self.n, self.v = n, v
-        words_only = top[top["word"] != END_HASH]
-        self.head = {int(w): 1 + k for k, w in enumerate(words_only["word"].to_numpy()[:HEAD])}
-        self.least_head = int(words_only["n"].to_numpy()[:HEAD].min()) if len(words_only) else 1
+        top = top.sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
+        is_end = (top["tail"] == -1).to_numpy()
+        top["code"] = SINGLE + SLOTS * top["tail"].to_numpy(dtype=np.int64)
+        top.loc[is_end, "code"] = END
+        rest = np.flatnonzero(~is_end)
+        top.loc[rest[:HEAD], "code"] = 1 + np.arange(len(rest[:HEAD]))
+        rank = top.loc[rest[HEAD:]].groupby("tail").cumcount().to_numpy() + 1
+        inside = rank < SLOTS
+        top.loc[rest[HEAD:][inside], "code"] += rank[inside]
         order = np.argsort(top["word"].to_numpy())
-        self.words, self.counts = top["word"].to_numpy()[order], top["n"].to_numpy()[order]
-        self.ends = int(by_tail.loc[by_tail["tail"] == END, "n"].sum())
-        self.class_n, self.class_v = np.zeros(CLASSES), np.zeros(CLASSES)
-        for tail, count, size in by_tail.itertuples(index=False):
-            self.class_n[tail], self.class_v[tail] = count, size
-        for w, k in self.head.items():
-            row = words_only[words_only["word"] == w].iloc[0]
-            self.class_n[k], self.class_v[k] = row["n"], 1
-            self.class_n[row["tail"]] -= row["n"]
-            self.class_v[row["tail"]] -= 1
-
-    def log_class(self) -> np.ndarray:
-        """Natural logs of the classes' shares, so that an unfitted model equals add-one counts."""
-        size = self.class_n + self.class_v + 1
-        return np.log(size / size.sum())
+        self.words, self.counts, self.codes = (top[k].to_numpy(dtype=np.int64)[order] for k in ("word", "n", "code"))
+        # what each code counts for: words with a code of their own by themselves, the others of a tail together
+        self.ends = int(by_tail.loc[by_tail["tail"] == -1, "n"].sum())
+        self.size = np.zeros(CODES)
+        others = SINGLE + SLOTS * np.arange(TAILS)
+        known_n, known_v = np.zeros(TAILS), np.zeros(TAILS)
+        own = top[~is_end & ~top["code"].isin(others)]
+        np.add.at(known_n, own["tail"].to_numpy(), own["n"].to_numpy())
+        np.add.at(known_v, own["tail"].to_numpy(), 1)
+        self.size[own["code"].to_numpy()] = own["n"].to_numpy() + 1
+        self.size[END] = self.ends + 1
+        sums = by_tail[by_tail["tail"] >= 0].set_index("tail").reindex(range(TAILS), fill_value=0)
+        self.size[others] = (sums["n"].to_numpy() - known_n) + (sums["v"].to_numpy() - known_v) + 1
+
+    def logs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logs of the classes' shares and of the slots' shares in their tails, so that an unfitted model equals add-one counts."""
+        slots = self.size[SINGLE:].reshape(TAILS, SLOTS)
+        classes = np.concatenate([self.size[:SINGLE], slots.sum(axis=1)])
+        with np.errstate(divide="ignore"):
+            return np.maximum(np.log(classes / classes.sum()), -30), np.maximum(np.log(slots / slots.sum(axis=1, keepdims=True)), -30)
 
     def describe(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, classes and counts of words; a count is -1 if the word isn't among the known ones."""
+        """Hashes, codes and counts of words; a count is -1 if the word isn't among the known ones."""
         hashes = np.fromiter(map(word_hash, found), dtype=np.int64, count=len(found))
-        classes = np.fromiter(map(tail_class, found), dtype=np.int64, count=len(found))
-        if not len(self.words):
-            return hashes, classes, np.full(len(found), -1)
-        k = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        counts = np.where(self.words[k] == hashes, self.counts[k], -1)
-        for i in np.flatnonzero(counts >= self.least_head):
-            classes[i] = self.head.get(int(hashes[i]), classes[i])
-        return hashes, classes, counts
+        k = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
+        known = self.words[k] == hashes if len(self.words) else np.zeros(len(found), dtype=bool)
+        codes, counts = np.empty(len(found), dtype=np.int64), np.full(len(found), -1)
+        codes[known], counts[known] = self.codes[k[known]], self.counts[k[known]]
+        for i in np.flatnonzero(~known).tolist():
+            codes[i] = SINGLE + SLOTS * tail(found[i])
+        return hashes, codes, counts
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place; exp may overflow to infinity, which gives 0."""
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def word_table(vocabulary: Vocabulary) -> WordTable:
+    """Hash, code and count of words."""
+    return WordTable(vocabulary.describe, (np.int64, np.int16, np.int64))
 
 
 class GatedModel:
-    """h' = (1 - z) * tanh(x_n + r * (h u_n)) + z * h with gates z and r; class logits are h' w + c."""
+    """A gated unit and two softmaxes.
+
+    With a = x[code] + h u in three parts: z = 1 / (1 + exp(a_z)), r = 1 / (1 + exp(a_r)), the candidate is
+    tanh(-(x_n + r * (h u)_n) / 2) and the next state z h + (1 - z) candidate. Class logits are h w + c, slot logits in tail k are h v[k] + d[k].
+    """
 
-    SHAPES = {"x": (CLASSES, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "w": (HIDDEN, CLASSES), "c": (CLASSES,)}
+    SHAPES = {"x": (CODES, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "w": (HIDDEN, CLASSES), "c": (CLASSES,), "v": (TAILS, HIDDEN, SLOTS), "d": (TAILS, SLOTS)}
 
-    def __init__(self, log_class: np.ndarray, seed: int = 11):
+    def __init__(self, logs: tuple[np.ndarray, np.ndarray] | None = None, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.p = {k: (rng.normal(0, 0.2, s) if k != "w" else rng.normal(0, 0.02, s)).astype(np.float32) for k, s in self.SHAPES.items()}
-        self.p["c"] = log_class.astype(np.float32)
+        self.p = {k: rng.normal(0, 0.02 if k in "wv" else 0.2, s).astype(np.float32) for k, s in self.SHAPES.items()}
+        if logs:
+            self.p["c"], self.p["d"] = (x.astype(np.float32) for x in logs)
         self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
+        self.s = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.t = 0
 
     def flat(self) -> np.ndarray:
@@ -133,68 +161,124 @@ class GatedModel:
             at += size
 
     def run(self, inputs: np.ndarray, h: np.ndarray, keep: bool = False):
-        """States after each of the inputs (steps x lanes), and what backpropagation needs if ``keep``."""
-        u, x, n = self.p["u"], self.p["x"], HIDDEN
-        states, parts = np.empty((len(inputs), len(h), n), dtype=np.float32), []
+        """States after each of the inputs (steps x units x lanes), and what backpropagation needs if ``keep``.
+
+        Within a step, units come first and lanes second, so that the parts of a gate are whole blocks of memory.
+        """
+        n, u, x = HIDDEN, np.ascontiguousarray(self.p["u"].T), np.ascontiguousarray(self.p["x"].T)
+        states, parts = np.empty((len(inputs), n, h.shape[1]), dtype=np.float32), []
         for t, ids in enumerate(inputs):
-            a, g = x[ids], h @ u
-            gates = _sigmoid(a[:, : 2 * n] + g[:, : 2 * n])
-            z, r = gates[:, :n], gates[:, n:]
-            new = 2 * _sigmoid(2 * (a[:, 2 * n :] + r * g[:, 2 * n :])) - 1  # tanh
+            a, g = x.take(ids, axis=1), u @ h
+            gates = a[: 2 * n]
+            gates += g[: 2 * n]
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            z, r = gates[:n], gates[n:]
+            new = r * g[2 * n :]
+            new += a[2 * n :]
+            np.exp(new, out=new)
+            new += 1
+            np.divide(2, new, out=new)
+            new -= 1
             if keep:
-                parts.append((h, z, r, new, g[:, 2 * n :]))
-            h = new + z * (h - new)
-            states[t] = h
+                parts.append((h, z, r, new, g[2 * n :]))
+            h = np.subtract(h, new, out=states[t])
+            h *= z
+            h += new
         return states, parts
 
-    def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural logs of P(target class), steps x lanes; step by step, so that arrays stay in the cache."""
-        out, lanes = np.empty(targets.shape, dtype=np.float32), np.arange(targets.shape[1])
-        for t, state in enumerate(states):
-            logits = state @ self.p["w"]
-            logits += self.p["c"]
-            logits -= logits.max(axis=1, keepdims=True)
-            picked = logits[lanes, targets[t]]
-            out[t] = picked - np.log(np.exp(logits, out=logits).sum(axis=1))
+    def _exp(self, states: np.ndarray, weights: np.ndarray, bias: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The exponentials of the logits, their sums, and the logit of ``picked``. States lie within -1 and 1, so logits hardly ever reach the bound."""
+        logits = states @ weights
+        logits += bias
+        np.minimum(logits, 60, out=logits)
+        own = logits[_COUNT[: len(picked)], picked]
+        np.exp(logits, out=logits)
+        return logits, logits @ _ONES[: logits.shape[1]] + np.float32(1e-30), own
+
+    def _by_tail(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+        """Positions of the codes that have a slot, by tail; their slots; each tail's stretch of both."""
+        at = np.flatnonzero(codes >= SINGLE)
+        k, slots = np.divmod(codes[at].astype(np.int32) - SINGLE, SLOTS)
+        order = np.argsort(k.astype(np.int16), kind="stable")
+        ends = np.cumsum(np.bincount(k, minlength=TAILS)).tolist()
+        return at[order], slots[order], [(j, slice(lo, hi)) for j, (lo, hi) in enumerate(zip([0, *ends], ends)) if lo < hi]
+
+    def log_probabilities(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Natural logs of P(code), a row of states each."""
+        p, out = self.p, np.empty(len(codes))
+        for lo in range(0, len(codes), BLOCK):
+            _, total, own = self._exp(states[lo : lo + BLOCK], p["w"], p["c"], class_of(codes[lo : lo + BLOCK]))
+            out[lo : lo + BLOCK] = own - np.log(total)
+        at, slots, stretches = self._by_tail(codes)
+        inside, logs = states.take(at, axis=0), np.empty(len(at))
+        for k, part in stretches:
+            _, total, own = self._exp(inside[part], p["v"][k], p["d"][k], slots[part])
+            logs[part] = own - np.log(total)
+        out[at] += logs
         return out
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
-        """One step of Adam on a window; returns the last state, for the next window."""
+        """One step of Adam on a window (steps x lanes); returns the last state, for the next window."""
         n, p = HIDDEN, self.p
         states, parts = self.run(inputs, h, keep=True)
-        flat = states.reshape(-1, n)
-        logits = flat @ p["w"] + p["c"]
-        e = np.exp(logits - logits.max(axis=1, keepdims=True))
-        d = e / e.sum(axis=1, keepdims=True)
-        d[np.arange(len(d)), targets.ravel()] -= 1
-        d *= (mask.ravel() / max(1, mask.sum()))[:, None]
-        slopes = {"w": flat.T @ d, "c": d.sum(axis=0), "u": np.zeros_like(p["u"]), "x": np.zeros_like(p["x"])}
-        from_output = (d @ p["w"].T).reshape(states.shape)
-        back = np.zeros_like(h)
-        d_input = np.empty((len(inputs), len(h), 3 * n), dtype=np.float32)
+        flat, codes, weight = _rows(states), targets.ravel(), mask.ravel() / np.float32(max(1, mask.sum()))
+        slopes, from_output = {k: np.zeros_like(p[k]) for k in "wcuvd"}, np.empty_like(flat)
+        for lo in range(0, len(codes), BLOCK):
+            some, share, picked = flat[lo : lo + BLOCK], weight[lo : lo + BLOCK], class_of(codes[lo : lo + BLOCK])
+            e, total, _ = self._exp(some, p["w"], p["c"], picked)
+            e *= (share / total)[:, None]
+            e[_COUNT[: len(e)], picked] -= share
+            slopes["w"] += some.T @ e
+            slopes["c"] += _ONES[: len(e)] @ e
+            np.matmul(e, p["w"].T, out=from_output[lo : lo + BLOCK])
+        at, slots, stretches = self._by_tail(codes)
+        inside, back_inside, weight = flat.take(at, axis=0), np.empty((len(at), n), dtype=np.float32), weight[at]
+        for k, part in stretches:
+            e, total, _ = self._exp(inside[part], p["v"][k], p["d"][k], slots[part])
+            e *= (weight[part] / total)[:, None]
+            e[_COUNT[: len(e)], slots[part]] -= weight[part]
+            slopes["v"][k], slopes["d"][k] = inside[part].T @ e, _ONES[: len(e)] @ e
+            np.matmul(e, p["v"][k].T, out=back_inside[part])
+        from_output[at] += back_inside
+        from_output = np.ascontiguousarray(from_output.reshape(len(inputs), -1, n).transpose(0, 2, 1))
+        back, d_state = np.zeros_like(h), np.empty((3 * n, h.shape[1]), dtype=np.float32)
+        d_input = np.empty((len(inputs), 3 * n, h.shape[1]), dtype=np.float32)
         for t in range(len(inputs) - 1, -1, -1):
             before, z, r, new, g = parts[t]
-            dh = from_output[t] + back
-            d_new = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = d_new * g * r * (1 - r)
-            dg = np.concatenate([dz, dr, d_new * r], axis=1)
-            slopes["u"] += before.T @ dg
-            back = dh * z + dg @ p["u"].T
-            d_input[t] = np.concatenate([dz, dr, d_new], axis=1)
-        one_hot = np.zeros((inputs.size, CLASSES), dtype=np.float32)
-        one_hot[np.arange(inputs.size), inputs.ravel()] = 1
-        slopes["x"] = one_hot.T @ d_input.reshape(-1, 3 * n)
+            back += from_output[t]
+            d_new = (z - 1) * (1 - new * new)
+            d_new *= back
+            d_new *= 0.5
+            da = d_input[t]
+            np.multiply((new - before) * back, z * (1 - z), out=da[:n])
+            np.multiply(d_new * g, r * (r - 1), out=da[n : 2 * n])
+            da[2 * n :] = d_new
+            d_state[: 2 * n] = da[: 2 * n]
+            np.multiply(d_new, r, out=d_state[2 * n :])
+            slopes["u"] += before @ d_state.T
+            back *= z
+            back += p["u"] @ d_state
         self.t += 1
         for k, s in slopes.items():
-            s = np.clip(s, -1, 1)
-            self.m[k] = 0.9 * self.m[k] + 0.1 * s
-            self.v[k] = 0.99 * self.v[k] + 0.01 * s * s
-            self.p[k] = self.p[k] - (rate / (1 - 0.9**self.t) * self.m[k] / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)).astype(np.float32)
-        return states[-1]
+            self._adam(k, slice(None), s, rate)
+        rows, ids = np.unique(inputs, return_inverse=True)
+        cells = ids.reshape(len(inputs), 1, -1) * (3 * n) + np.arange(3 * n)[:, None]
+        slope = np.bincount(cells.ravel(), d_input.ravel(), minlength=len(rows) * 3 * n).reshape(-1, 3 * n).astype(np.float32)
+        self._adam("x", rows, slope, rate)
+        return states[-1].copy()
+
+    def _adam(self, name: str, rows, slope: np.ndarray, rate: float) -> None:
+        """Only the rows of codes that occur are moved, and their means with them."""
+        slope = np.clip(slope, -1, 1)
+        m = 0.9 * self.m[name][rows] + np.float32(0.1) * slope
+        s = 0.99 * self.s[name][rows] + np.float32(0.01) * slope * slope
+        self.m[name][rows], self.s[name][rows] = m, s
+        self.p[name][rows] -= np.float32(rate / (1 - 0.9**self.t)) * m / (np.sqrt(s / np.float32(1 - 0.99**self.t)) + np.float32(1e-6))
 
     def totals(self, sequences: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
-        """log10 of the probability of each whole sequence of classes, its end included.
+        """log10 of the probability of each whole sequence of codes, its end included.
 
         Sequences of like length run side by side, window by window, each with its own state carried on.
         """
@@ -203,55 +287,72 @@ class GatedModel:
         for at in range(0, len(order), lanes):
             group = order[at : at + lanes]
             lengths = np.array([len(sequences[i]) for i in group])
-            h, last = np.zeros((len(group), HIDDEN), dtype=np.float32), np.full(len(group), END)
+            h, last = np.zeros((HIDDEN, len(group)), dtype=np.float32), np.full((1, len(group)), END)
             for start in range(0, int(lengths.max(initial=0)), WINDOW):
                 live = int(np.count_nonzero(lengths > start))
-                steps = min(WINDOW, int(lengths[0]) - start)
-                targets = np.zeros((live, steps), dtype=np.int64)
-                for k in range(live):
-                    part = sequences[group[k]][start : start + steps]
-                    targets[k, : len(part)] = part
-                mask = np.arange(start, start + steps)[None, :] < lengths[:live, None]
-                inputs = np.concatenate([last[:live, None], targets[:, :-1]], axis=1)
-                states, _ = self.run(inputs.T, h[:live])
-                logs = self.log_probabilities(states, targets.T)
-                out[group[:live]] += (logs.T * mask).sum(axis=1)
-                h, last = states[-1], targets[:, -1]
+                targets = _grid([sequences[i] for i in group[:live]], start, min(WINDOW, int(lengths[0]) - start))
+                states, _ = self.run(np.concatenate([last[:, :live], targets[:-1]]), h[:, :live])
+                kept = np.arange(start, start + len(targets))[:, None] < lengths[:live]
+                lane = np.broadcast_to(np.arange(live), kept.shape)[kept]
+                out[group[:live]] += np.bincount(lane, self.log_probabilities(_rows(states)[kept.ravel()], targets[kept]), minlength=live)
+                h, last = states[-1], targets[-1:]
         return out / np.log(10)
 
 
-def word_table(vocabulary: Vocabulary) -> WordTable:
-    """Hash, class and count of words."""
-    return WordTable(vocabulary.describe, (np.int64, np.int64, np.int64))
+def _rows(states: np.ndarray) -> np.ndarray:
+    """A row for each step and lane."""
+    return states.transpose(0, 2, 1).reshape(-1, HIDDEN)
+
+
+def _grid(sequences: list[np.ndarray], start: int, steps: int) -> np.ndarray:
+    """Steps x lanes of the sequences from ``start`` on; beyond a sequence's end there are ends."""
+    out = np.full((len(sequences), steps), END)
+    for row, s in zip(out, sequences):
+        part = s[start : start + steps]
+        row[: len(part)] = part
+    return np.ascontiguousarray(out.T)
 
 
-def _classes(text: str | None, table: WordTable) -> np.ndarray:
-    return np.append(table.rows(words(text))[1], END)
+def train_on(model: GatedModel, sequences: list[np.ndarray], rate: float, rng: np.random.Generator) -> None:
+    """One pass over the sequences, in segments of like length side by side."""
+    full = [np.concatenate([[np.int16(END)], s]) for s in sequences]
+    segments = sorted((x[k : k + SEGMENT + 1] for x in full for k in range(0, len(x) - 1, SEGMENT)), key=len, reverse=True)
+    for g in rng.permutation(-(-len(segments) // TRAIN_LANES)).tolist():
+        group = segments[g * TRAIN_LANES : (g + 1) * TRAIN_LANES]
+        lengths = np.array([len(x) - 1 for x in group])
+        h = np.zeros((HIDDEN, len(group)), dtype=np.float32)
+        for start in range(0, int(lengths[0]), TRAIN_WINDOW):
+            live, steps = int(np.count_nonzero(lengths > start)), min(TRAIN_WINDOW, int(lengths[0]) - start)
+            codes = _grid(group[:live], start, steps + 1)
+            mask = (np.arange(start, start + steps)[:, None] < lengths[:live]).astype(np.float32)
+            h = model.learn(codes[:-1], codes[1:], mask, h[:, :live], rate)
 
 
-def _trainer(vocabulary, weights, rate: float):
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Batches joined up to ``GATHERED`` tokens, so that texts of like length find each other; with their sequences."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += sum(map(len, batch["codes"])) // 2
+        if size >= GATHERED:
+            rows = pd.concat(some, ignore_index=True)
+            yield rows, [np.frombuffer(x, dtype=np.int16) for x in rows["codes"]]
+            some, size = [], 0
+    if size:
+        rows = pd.concat(some, ignore_index=True)
+        yield rows, [np.frombuffer(x, dtype=np.int16) for x in rows["codes"]]
+
+
+def _trainer(weights, rate: float):
     """Trains on this task's texts; yields the sum of its weights times its tokens, and the tokens."""
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         np.seterr(over="ignore")
-        table, model = word_table(vocabulary.value), GatedModel(vocabulary.value.log_class())
+        model, tokens, rng = GatedModel(), 0, np.random.default_rng(17)
         model.set_flat(weights.value)
-        tokens = 0
-        for batch in batches:
-            sequences = sorted((_classes(text, table) for text in batch["text"]), key=len, reverse=True)
-            for at in range(0, len(sequences), TRAIN_LANES):
-                group = sequences[at : at + TRAIN_LANES]
-                lengths = np.array([len(x) for x in group])
-                grid = np.zeros((lengths[0], len(group)), dtype=np.int64)
-                for k, x in enumerate(group):
-                    grid[: len(x), k] = x
-                mask = (np.arange(lengths[0])[:, None] < lengths).astype(np.float32)
-                inputs = np.concatenate([np.full((1, len(group)), END), grid[:-1]])
-                h = np.zeros((len(group), HIDDEN), dtype=np.float32)
-                for start in range(0, lengths[0], TRAIN_WINDOW):
-                    cut, live = slice(start, start + TRAIN_WINDOW), int(np.count_nonzero(lengths > start))
-                    h = model.learn(inputs[cut, :live], grid[cut, :live], mask[cut, :live], h[:live], rate)
-                tokens += int(lengths.sum())
+        for _, sequences in _gathered(batches):
+            train_on(model, sequences, rate, rng)
+            tokens += sum(map(len, sequences))
         if tokens:
             yield pd.DataFrame({"weights": [(model.flat().astype(np.float64) * tokens).tobytes()], "tokens": [tokens]})
 
@@ -268,48 +369,55 @@ def _sum_weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"weights": [total.tobytes()], "tokens": [tokens]})
 
 
-def fit_weights(train: DataFrame, vocabulary, log_class: np.ndarray) -> np.ndarray:
-    """Rounds of training in all tasks and averaging. The tasks' weights (about 100 kB) are summed by 16 tasks."""
+def fit_weights(train: DataFrame, logs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Rounds of training in all tasks and averaging. The tasks' weights (about 600 kB) are summed by 16 tasks."""
     context = train.sparkSession.sparkContext
-    flat = GatedModel(log_class).flat()
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARE))
-    for k in range(SHARE):
-        trained = train.where(part == k).select("text").mapInPandas(_trainer(vocabulary, context.broadcast(flat), 0.01 / (1 + k)), "weights binary, tokens long")
+    flat = GatedModel(logs).flat()
+    for k in range(ROUNDS):
+        trained = train.where(F.col("part") == k).select("codes").mapInPandas(_trainer(context.broadcast(flat), 0.01 / (1 + k)), "weights binary, tokens long")
         rows = trained.repartition(16).mapInPandas(_sum_weights, "weights binary, tokens long").collect()
         if rows:
             flat = (sum(np.frombuffer(r["weights"]) for r in rows) / sum(r["tokens"] for r in rows)).astype(np.float32)
     return flat
 
 
-_SCORED = ["row", "doc_id", "n_tokens", "n_known", "base", "model", "word", "class", "times"]
+_CODED = ["row", "doc_id", "part", "n_tokens", "n_known", "base", "within", "codes", "word", "code", "times"]
+_CODED_TYPES = "row long, doc_id long, part int, n_tokens long, n_known long, base double, within double, codes binary, word long, code int, times long"
 
 
-def _scorer(vocabulary, weights):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        np.seterr(over="ignore")
+def _coder(vocabulary):
+    """For each text its codes and what the known words add to its scores; and (row, word, code, times) of words that aren't known."""
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab = vocabulary.value
-        model, table = GatedModel(vocab.log_class()), word_table(vocab)
-        model.set_flat(weights.value)
-        all_words, in_class = np.log10(vocab.n + vocab.v + 1), np.log10(vocab.class_n + vocab.class_v + 1)
-        end = np.log10(vocab.ends + 1.0)
+        table, end_code = word_table(vocab), np.int16(END)
+        all_words, in_code, end = np.log10(vocab.n + vocab.v + 1), np.log10(np.maximum(vocab.size, 1)), np.log10(vocab.ends + 1.0)
         for batch in batches:
-            sequences, rows, rare = [], [], []
-            for row, doc_id, text in zip(batch["row"], batch["doc_id"], batch["text"]):
-                hashes, classes, counts = table.rows(words(text))
+            rows, rare = [], []
+            for row, doc_id, part, text in zip(batch["row"], batch["doc_id"], batch["part"], batch["text"]):
+                hashes, codes, counts = table.rows(words(text))
                 known = counts >= 0
-                logs = np.log10(counts[known] + 1.0).sum() + end
-                base = logs - all_words * (np.count_nonzero(known) + 1)
-                within = logs - in_class[classes[known]].sum() - in_class[END]
-                sequences.append(np.append(classes, END))
-                rows.append((row, doc_id, len(classes) + 1, np.count_nonzero(known) + (vocab.ends > 0), base, within))
-                if not known.all():
+                n = np.count_nonzero(known)
+                logs = np.log10(counts[known] + 1.0).sum()
+                rows.append((row, doc_id, part, len(codes) + 1, n + (vocab.ends > 0), logs + end - all_words * (n + 1), logs - in_code[codes[known]].sum(), np.append(codes, end_code).tobytes()))
+                if n < len(codes):
                     word, first, times = np.unique(hashes[~known], return_index=True, return_counts=True)
-                    rare.append(np.stack([np.full(len(word), row), word, classes[~known][first], times]))
-            out = pd.DataFrame(rows, columns=["row", "doc_id", "n_tokens", "n_known", "base", "model"])
-            out["model"] += model.totals(sequences)
-            yield out.reindex(columns=_SCORED).astype({k: "Int64" for k in _SCORED if k not in ("base", "model")})
+                    rare.append(np.stack([np.full(len(word), row), word, codes[~known][first], times]))
+            out = pd.DataFrame(rows, columns=_CODED[:8]).reindex(columns=_CODED)
+            yield out.astype({k: "Int64" for k in _CODED if k not in ("base", "within", "codes")})
             if rare:  # a frame of its own: beside missing values whole numbers would turn into floats
-                yield pd.DataFrame(dict(zip(("row", "word", "class", "times"), np.concatenate(rare, axis=1))), dtype="Int64").reindex(columns=_SCORED)
+                yield pd.DataFrame(dict(zip(("row", "word", "code", "times"), np.concatenate(rare, axis=1))), dtype="Int64").reindex(columns=_CODED)
+
+    return code
+
+
+def _scorer(weights):
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        np.seterr(over="ignore")
+        model = GatedModel()
+        model.set_flat(weights.value)
+        for rows, sequences in _gathered(batches):
+            yield rows.drop(columns="codes").assign(model=rows["within"] + model.totals(sequences))
 
     return score
 
@@ -338,27 +446,30 @@ def score_documents(documents: DataFrame, train: Column | None = None, scratch:
     """
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark, "lm")
-    docs = documents.select("doc_id", "text")
-    learn = docs if train is None else docs.where(F.coalesce(train, F.lit(False)))
-    counted = learn.select("text").mapInPandas(_count, "word long, tail int, n long")
+    bounded_batches(spark)
+    learn = F.lit(True) if train is None else F.coalesce(train, F.lit(False))
+    counted = documents.where(learn).select("text").mapInPandas(_count, "word long, tail int, n long")
     counts = scratch.table(counted.groupBy("word").agg(F.min("tail").alias("tail"), F.sum("n").alias("n")).where("n > 0"), "counts")
-    by_tail = counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()  # a row per class
+    by_tail = counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()  # a row per tail
     n, v = int(by_tail["n"].sum()), int(by_tail["v"].sum())
     vocabulary = Vocabulary(most_frequent(counts, KNOWN), by_tail, n, v)
-    sent = spark.sparkContext.broadcast(vocabulary)
-    weights = spark.sparkContext.broadcast(fit_weights(learn, sent, vocabulary.log_class()))
+    part = F.when(learn, F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).cast("int")).otherwise(-1)
+    docs = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", part.alias("part"), "text")
+    coded = scratch.table(docs.mapInPandas(_coder(spark.sparkContext.broadcast(vocabulary)), _CODED_TYPES), "coded")
+    texts = coded.where("word is null").select("row", "doc_id", "n_tokens", "n_known", "base", "within", "codes", "part")
+    weights = spark.sparkContext.broadcast(fit_weights(texts, vocabulary.logs()))
 
-    schema = "row long, doc_id long, n_tokens long, n_known long, base double, model double, word long, class int, times long"
-    scored = scratch.table(docs.withColumn("row", F.monotonically_increasing_id()).mapInPandas(_scorer(sent, weights), schema), "scored")
+    scored = texts.drop("part").mapInPandas(_scorer(weights), "row long, doc_id long, n_tokens long, n_known long, base double, within double, model double")
     c = F.coalesce("n", F.lit(0)) + 1
-    in_class = F.get(F.lit([float(x) for x in vocabulary.class_n + vocabulary.class_v + 1]), F.col("class"))
-    rare = scored.where("word is not null").select("row", "word", "class", "times").join(counts.select("word", "n"), "word", "left")
+    # words outside the known ones share the first slot of their tail
+    in_code = F.get(F.lit([float(x) for x in vocabulary.size[SINGLE::SLOTS]]), F.floor((F.col("code") - SINGLE) / SLOTS).cast("int"))
+    rare = coded.where("word is not null").select("row", "word", "code", "times").join(counts.select("word", "n"), "word", "left")
     rare = rare.groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("times") * F.log10(c / float(n + v + 1))).alias("rare_base"),
-        F.sum(F.col("times") * F.log10(c / in_class)).alias("rare_model"),
+        F.sum(F.col("times") * F.log10(c / in_code)).alias("rare_model"),
     )
-    whole = scored.where("word is null").select("row", "doc_id", "n_tokens", "n_known", "base", "model").join(rare, "row", "left")
+    whole = scored.join(rare, "row", "left")
     add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return whole.select(
         "doc_id",

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from postlake.llm.components import connected_components
-from postlake.llm.rows import with_ids
+from postlake.llm.rows import bounded_batches, with_ids
 from postlake.llm.words import hash_cache, intersection_size, shingle_set
 from postlake.sources.scratch import Scratch
 
@@ -159,6 +159,7 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, percen
     """
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark, "near")
+    bounded_batches(spark)
     docs = documents.select("doc_id", "text")
     sketches = scratch.table(docs.mapInPandas(_sketch, "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketches")
     classes = sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))

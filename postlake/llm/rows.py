@@ -5,7 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+#: Rows in an Arrow batch at most: a task holds a batch of texts in the JVM and in Python, each more than once.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to ``BATCH_ROWS``, unless it is lower already."""
+    if not 0 < int(spark.conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
 
 #: Hash residues that stand for ids in a broadcast: at most so many small numbers, whatever the tables' sizes.
 SLOTS = 1 << 20
@@ -39,6 +50,7 @@ def add_columns(docs: DataFrame, fields: list[T.StructField], make: Callable[[],
     ``make`` is called once per task and gives a function from a batch's texts to the new columns. A column of ``docs``
     with the name of a new one is replaced.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(*(f.name for f in fields))
     schema = T.StructType([*docs.schema.fields, *fields])
     at = docs.columns.index("text")

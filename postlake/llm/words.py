@@ -20,7 +20,7 @@ def words(text: str | None) -> list[bytes]:
 class WordCache(dict):
     """Maps a word to a value computed once; emptied at ``limit`` entries, so that memory stays bounded."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 200_000):
         super().__init__()
         self.make, self.limit = make, limit
 
@@ -38,7 +38,7 @@ class WordTable(dict):
     it returns an array per column.
     """
 
-    def __init__(self, make, dtypes: tuple, limit: int = 400_000):
+    def __init__(self, make, dtypes: tuple, limit: int = 200_000):
         super().__init__()
         self.make, self.limit, self.fresh = make, limit, []
         self.columns = [np.zeros(limit, dtype=d) for d in dtypes]

@@ -54,44 +54,93 @@ def test_language_scores(spark, monkeypatch):
 
 
 def test_weights_learn_from_all_training_texts(spark, monkeypatch, tmp_path):
-    """Each row reaches one round's training."""
-    log_class = np.full(language_model.CLASSES, -2.0, dtype=np.float32)
-    size, folder = len(language_model.GatedModel(log_class).flat()), str(tmp_path)
+    """Each training row reaches one round's training, the others none."""
+    size, folder = len(language_model.GatedModel().flat()), str(tmp_path)
 
-    def trainer(vocabulary, weights, rate):
+    def trainer(weights, rate):
         def train(batches):
             for batch in batches:
-                for text in batch["text"]:
-                    with open(f"{folder}/{text}", "a") as f:
+                for codes in batch["codes"]:
+                    with open(f"{folder}/{bytes(codes).decode()}", "a") as f:
                         f.write("x")
                 yield pd.DataFrame({"weights": [np.zeros(size).tobytes()], "tokens": [len(batch)]})
 
         return train
 
     monkeypatch.setattr(language_model, "_trainer", trainer)
-    language_model.fit_weights(spark.createDataFrame([(k, f"t{k}") for k in range(50)], "doc_id long, text string"), None, log_class)
-    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {f"t{k}": "x" for k in range(50)}
-
-
-def test_gated_model():
-    m = language_model.GatedModel(np.log(np.full(language_model.CLASSES, 1 / language_model.CLASSES)))
-    states, _ = m.run(np.zeros((3, 2), dtype=int), np.zeros((2, language_model.HIDDEN), dtype=np.float32))
-    every = sum(np.exp(m.log_probabilities(states, np.full((3, 2), k))) for k in range(language_model.CLASSES))
-    assert np.allclose(every, 1, atol=1e-4)
-    rng = np.random.default_rng(2)
-    seqs = [rng.integers(0, language_model.CLASSES, k) for k in (1, 5, 70, 33, 200)]
-    assert np.allclose(m.totals(seqs), [m.totals([s])[0] for s in seqs], rtol=1e-4)  # windows and lanes change nothing
-    # slopes against differences
-    inputs, targets, mask = rng.integers(0, 5, (4, 3)), rng.integers(0, 5, (4, 3)), np.ones((4, 3), dtype=np.float32)
+    rows = [(bytearray(f"t{k}", "ascii"), k % (language_model.ROUNDS + 1) - 1) for k in range(60)]
+    language_model.fit_weights(spark.createDataFrame(rows, "codes binary, part int"), None)
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {bytes(c).decode(): "x" for c, part in rows if part >= 0}
+
+
+def random_model(seed=2):
+    m, rng = language_model.GatedModel(), np.random.default_rng(seed)
+    m.p = {k: rng.normal(0, 0.5, v.shape).astype(np.float32) for k, v in m.p.items()}
+    return m
+
+
+def plain_log10(m, codes):
+    """One word at a time, straight from the definition."""
+    n, p = language_model.HIDDEN, {k: v.astype(float) for k, v in m.p.items()}
+    h, before, total = np.zeros(n), language_model.END, 0.0
+    for code in codes:
+        a, g = p["x"][before], h @ p["u"]
+        z, r = 1 / (1 + np.exp(a[:n] + g[:n])), 1 / (1 + np.exp(a[n : 2 * n] + g[n : 2 * n]))
+        h = z * h + (1 - z) * np.tanh(-(a[2 * n :] + r * g[2 * n :]) / 2)
+        k = int(language_model.class_of(np.array([code]))[0])
+        e = np.exp(h @ p["w"] + p["c"])
+        total += math.log10(e[k] / e.sum())
+        if code >= language_model.SINGLE:
+            t, slot = divmod(code - language_model.SINGLE, language_model.SLOTS)
+            e = np.exp(h @ p["v"][t] + p["d"][t])
+            total += math.log10(e[slot] / e.sum())
+        before = code
+    return total
+
+
+def test_gated_model_scores():
+    m, rng = random_model(), np.random.default_rng(5)
+    seqs = [rng.integers(0, language_model.CODES, k).astype(np.int16) for k in (1, 5, 70, 33, 2200)]
+    plain = [plain_log10(m, s.tolist()) for s in seqs]
+    assert np.allclose(m.totals(seqs), plain, rtol=1e-3)
+    assert np.allclose(m.totals(seqs, lanes=2), plain, rtol=1e-3)  # neither windows nor lanes nor order change anything
+    states, _ = m.run(np.zeros((1, 1), dtype=int), np.zeros((language_model.HIDDEN, 1), dtype=np.float32))
+    rows = np.repeat(language_model._rows(states), language_model.CODES, axis=0)
+    assert abs(np.exp(m.log_probabilities(rows, np.arange(language_model.CODES))).sum() - 1) < 1e-3
+
+
+def test_gated_model_slopes(monkeypatch):
+    m, rng = random_model(), np.random.default_rng(6)
+    inputs, targets = rng.integers(0, language_model.CODES, (4, 3)), rng.integers(0, language_model.CODES, (4, 3))
+    mask, h = np.ones((4, 3), dtype=np.float32), np.zeros((language_model.HIDDEN, 3), dtype=np.float32)
+    mask[3, 2] = 0
 
     def loss():
-        s, _ = m.run(inputs, np.zeros((3, language_model.HIDDEN), dtype=np.float32))
-        return -m.log_probabilities(s, targets).mean()
-
-    before = loss()
-    for _ in range(30):
-        m.learn(inputs, targets, mask, np.zeros((3, language_model.HIDDEN), dtype=np.float32), 0.02)
-    assert loss() < before / 2
+        states, _ = m.run(inputs, h)
+        return -(m.log_probabilities(language_model._rows(states), targets.ravel()) * mask.ravel()).sum() / mask.sum()
+
+    slopes = {}
+    monkeypatch.setattr(m, "_adam", lambda name, rows, slope, rate: slopes.__setitem__(name, (rows, slope)))
+    m.learn(inputs, targets, mask, h, 0.1)
+    for name, (rows, slope) in slopes.items():
+        whole = np.zeros_like(m.p[name])
+        whole[rows] = slope
+        for cell in [np.unravel_index(k, whole.shape) for k in np.argsort(-np.abs(whole), axis=None)[:5]]:
+            kept = m.p[name][cell]
+            m.p[name][cell] = kept + 1e-2
+            up = loss()
+            m.p[name][cell] = kept - 1e-2
+            down = loss()
+            m.p[name][cell] = kept
+            assert abs((up - down) / 2e-2 - whole[cell]) < 0.02 * abs(whole[cell]) + 2e-4, name
+
+
+def test_language_scores_of_long_texts(spark):
+    long = " ".join(f"w{k % 977}" for k in range(200_000))
+    df = spark.createDataFrame([(1, long, 0), (2, "w1 w2", 0), (2, "w1 w2", 0), (3, "w3", 0)], "doc_id long, text string, word int")
+    out = {r["doc_id"]: r for r in language_model.score_documents(df).collect()}
+    assert out[1]["n_tokens"] == 200_001 and out[1]["score"] > out[1]["base_score"]  # a cycle is easy to learn
+    assert out[2]["n_tokens"] == 3
 
 
 def labelled(spark):
