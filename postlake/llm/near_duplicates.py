@@ -14,18 +14,20 @@ Steps, each a Spark job over the whole table:
 3. candidate pairs: every class with the hubs of its buckets, and within buckets of at most ``SMALL`` classes all
    pairs (at most (SMALL - 1)/2 for each row);
 4. the collision-corrected estimate of Jaccard removes pairs six standard deviations below the limit;
-5. the others are confirmed on the full shingle sets, and components are computed;
-6. buckets that still hold several components get a second hub outside the first one's component, until
-   that finds no further link;
-7. in buckets that hold several components even then, all pairs across components are compared: a bucket is cut into
-   chunks of ``CHUNK`` classes and a task takes two chunks' sketches at a time. A pair counts in its first common bucket only.
-
-So copies in one component are never expanded into all their pairs, and every pair that shares a bucket is either in one
-component or compared. Step 7 grows with the square of a bucket's classes if these are alike but not near copies.
+5. the others are confirmed on the full shingle sets, a hub's set being sent once for ``SALT`` partners; then components are computed;
+6. larger buckets that still hold several components are joined to families, and a family's classes are compared across
+   components, exactly, in blocks: a family is cut by size (sets whose sizes differ by more than the limit allows never meet) and
+   into chunks, a task takes two chunks at a time, drops pairs by their estimates and counts the shared shingles
+   of the rest with matrix products. It emits one link for two components at most.
+
+So copies in one component are never expanded into all their pairs, no list of all pairs is ever made, and every pair that shares a
+bucket is either in one component or compared. Step 6 grows with the square of a family's classes if these are alike but not
+near copies, at some 0.1 microseconds a pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,12 @@ BUCKET_BITS, MANTISSA_BITS, BAND = 7, 10, 4
 #: A random register of one set equals that of another: equal zero counts (about 1 in 3) and equal mantissas.
 CHANCE = 2.0**-MANTISSA_BITS / 3
 SMALL = 16
-CHUNK = 512
+#: Partners that a hub's set is sent for at once.
+SALT = 1024
+#: Classes and bytes of sets in a chunk of a family; components from ``APART`` classes have chunks of their own.
+CHUNK, CHUNK_BYTES, APART = 2048, 16 << 20, 256
+#: Shingles, columns of a matrix, and pairs that are counted at once.
+_COLUMNS, _PAIRS = 1024, 4_000_000
 #: Link if 100 * shared >= PERCENT * union, unless a caller gives another percentage.
 PERCENT = 85
 
@@ -98,58 +105,129 @@ def _close_enough(limit: float):
     return keep
 
 
-def _across(limit: float):
-    """Pairs of near sketches in different components, for each (key, lo, hi): chunks lo and hi of a bucket."""
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cache = hash_cache()
+    for batch in batches:
+        yield pd.DataFrame({"id": batch["doc_id"], "shingles": [shingle_set(x, cache).tobytes() for x in batch["text"]]})
 
-    def pairs(band: int, ids: np.ndarray, components: np.ndarray, chunks: np.ndarray, bands: np.ndarray, lo: int, hi: int) -> Iterator[pd.DataFrame]:
-        left, right = np.flatnonzero(chunks == lo), np.flatnonzero(chunks == hi)
-        sketches = bands.view(np.uint16)
-        for x in left.tolist():
-            others = right[components[right] != components[x]]
-            others = others[ids[others] > ids[x]] if lo == hi else others
-            if not len(others):
-                continue
-            others = others[_near(sketches[x][None], sketches[others], limit)]
-            if len(others):
-                first = ((bands[others] == bands[x]) & (bands[x] != 0)).argmax(axis=1)
-                others = others[first == band]
-                yield pd.DataFrame({"a": np.minimum(ids[x], ids[others]), "b": np.maximum(ids[x], ids[others])})
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            same = (rest[["key", "lo", "hi"]] == rest[["key", "lo", "hi"]].iloc[-1]).all(axis=1) if len(rest) else None
-            if same is not None and not same.all():
-                yield from groups(rest[~same])
-                rest = rest[same]
-        if rest is not None and len(rest):
-            yield from groups(rest)
-
-    def groups(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for (_, lo, hi), g in rows.groupby(["key", "lo", "hi"], sort=False):
-            bands = np.array(g["bands"].tolist(), dtype=np.int64)
-            yield from pairs(int(g["band"].iloc[0]), g["id"].to_numpy(), g["component"].to_numpy(), g["chunk"].to_numpy(), bands, lo, hi)
+def _confirm(percent: int):
+    """Pairs (a, b) that are linked, from rows in order: a hub (b is null) with its sets, then its partners with theirs.
 
-    return compare
+    An id has several sets only if it has several texts.
+    """
 
+    def close(x: np.ndarray, y: np.ndarray) -> bool:
+        shared = intersection_size(x, y)
+        return 100 * shared >= percent * (len(x) + len(y) - shared)
 
-def _confirm(percent: int):
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, last, hub = hash_cache(), None, None
+        hub, of = [], None
         for batch in batches:
             linked = []
-            for text_a, text_b in zip(batch["text_a"], batch["text_b"]):
-                if text_a != last:
-                    last, hub = text_a, shingle_set(text_a, cache)
-                other = shingle_set(text_b, cache)
-                shared = intersection_size(hub, other)
-                linked.append(100 * shared >= percent * (len(hub) + len(other) - shared))
-            yield batch.loc[linked, ["a", "b"]]
+            for a, b, data in zip(batch["a"], batch["b"], batch["shingles"]):
+                own = np.frombuffer(data, dtype=np.uint64)
+                if pd.isna(b):
+                    hub, of = [*hub, own] if a == of else [own], a
+                linked.append(not pd.isna(b) and any(close(x, own) for x in hub))
+            out = batch.loc[linked, ["a", "b"]]
+            yield out.astype("int64") if len(out) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     return confirm
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left sets with all right sets.
+
+    Shingles found in many of both are counted with matrix products, the others by listing where they meet.
+    """
+    n, m = len(left), len(right)
+    owner_l, owner_r = np.repeat(np.arange(n), [len(x) for x in left]), np.repeat(np.arange(m), [len(x) for x in right])
+    names, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    place_l, place_r = place[: len(owner_l)], place[len(owner_l) :]
+    times_l, times_r = np.bincount(place_l, minlength=len(names)), np.bincount(place_r, minlength=len(names))
+    meets = times_l * times_r
+    many = np.flatnonzero(meets * 50 > n * m)
+    out = np.zeros((n, m), dtype=np.float32)
+    column = np.full(len(names), -1)
+    for lo in range(0, len(many), _COLUMNS):
+        some = many[lo : lo + _COLUMNS]
+        column[some] = np.arange(len(some))
+        parts = []
+        for owner, at, size in ((owner_l, place_l, n), (owner_r, place_r, m)):
+            hit = column[at] >= 0
+            matrix = np.zeros((size, len(some)), dtype=np.float32)
+            matrix[owner[hit], column[at[hit]]] = 1
+            parts.append(matrix)
+        out += parts[0] @ parts[1].T
+        column[some] = -1
+    few = (meets > 0) & (meets * 50 <= n * m)
+    keep_l, keep_r = few[place_l], few[place_r]
+    owner_l, place_l, owner_r, place_r = owner_l[keep_l], place_l[keep_l], owner_r[keep_r], place_r[keep_r]
+    by = np.argsort(place_r, kind="stable")
+    owner_r, begin = owner_r[by], np.searchsorted(place_r[by], place_l)
+    sizes = times_r[place_l]
+    cuts = np.cumsum(sizes)
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(cuts, (cuts[lo - 1] if lo else 0) + _PAIRS, side="right")))
+        k = sizes[lo:hi]
+        at = np.repeat(begin[lo:hi] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
+        out += np.bincount(np.repeat(owner_l[lo:hi], k) * m + owner_r[at], minlength=n * m).reshape(n, m)
+        lo = hi
+    return out
+
+
+def block_links(left: pd.DataFrame, right: pd.DataFrame | None, percent: int) -> pd.DataFrame:
+    """One link (a, b) for two components at most, between rows (id, component, bands, shingles) of two chunks, or within one."""
+    inner = right is None
+    right = left if inner else right
+    regs = [np.stack([np.frombuffer(np.asarray(x, dtype=np.int64).tobytes(), dtype=np.uint16) for x in t["bands"]]) for t in (left, right)]
+    parts = [t["component"].to_numpy(dtype=np.int64) for t in (left, right)]
+    ids = [t["id"].to_numpy(dtype=np.int64) for t in (left, right)]
+    near = np.zeros((len(left), len(right)), dtype=bool)
+    for x in range(len(left)):
+        others = np.flatnonzero((parts[1] != parts[0][x]) & (ids[1] > ids[0][x] if inner else True))
+        if len(others):
+            near[x, others] = _near(regs[0][x][None], regs[1][others], percent / 100)
+    rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    sets = [[np.frombuffer(t["shingles"].iloc[k], dtype=np.uint64) for k in some] for t, some in ((left, rows), (right, columns))]
+    near = near[np.ix_(rows, columns)]
+    size_l, size_r = (np.array([len(x) for x in some], dtype=np.int64) for some in sets)
+    if near.sum() * 20 < near.size:
+        i, j = np.nonzero(near)
+        shared = np.array([intersection_size(sets[0][a], sets[1][b]) for a, b in zip(i, j)], dtype=np.int64)
+        ok = 100 * shared >= percent * (size_l[i] + size_r[j] - shared)
+        i, j = i[ok], j[ok]
+    else:
+        shared = np.rint(shared_counts(*sets)).astype(np.int64)
+        i, j = np.nonzero(near & (100 * shared >= percent * (size_l[:, None] + size_r[None, :] - shared)))
+    a, b = ids[0][rows[i]], ids[1][columns[j]]
+    links = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "of_a": parts[0][rows[i]], "of_b": parts[1][columns[j]]})
+    return links.drop_duplicates(["of_a", "of_b"])[["a", "b"]]
+
+
+def _compare(percent: int):
+    """Links within each block; the rows of a block follow each other."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        left = rows[rows["side"] == 0]
+        return block_links(left, None if rows["inner"].iloc[0] else rows[rows["side"] == 1], percent)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            for _, rows in batch.groupby(["family", "block"], sort=False):
+                if held and (held[0]["family"].iloc[0], held[0]["block"].iloc[0]) != (rows["family"].iloc[0], rows["block"].iloc[0]):
+                    yield links(pd.concat(held))
+                    held = []
+                held.append(rows)
+        if held:
+            yield links(pd.concat(held))
+
+    return compare
+
+
 def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``documents`` (doc_id, text; others ignored).
 
@@ -164,7 +242,8 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, percen
     sketches = scratch.table(docs.mapInPandas(_sketch, "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketches")
     classes = sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
     classes = scratch.table(classes, "classes")
-    heads = scratch.table(sketches.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "bands"), "heads")
+    heads = sketches.join(classes.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "bands", "n_shingles")
+    heads = scratch.table(heads.distinct(), "heads")
 
     rows = heads.select("id", F.posexplode("bands").alias("band", "packed")).where("packed <> 0").select("id", "band", F.xxhash64("band", "packed").alias("key")).distinct()
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -178,43 +257,48 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, percen
         hubs = hub_of.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("a"))
         return members.select("key", F.col("id").alias("b")).join(hubs, "key").where("a <> b").select("a", "b")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        return scratch.table(with_ids(docs, ids.select(F.col("id").alias("doc_id"))).mapInPandas(_sets, "id long, shingles binary").distinct(), name)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
         near = pairs.distinct().join(heads.select(F.col("id").alias("b"), F.col("bands").alias("bands_b")), "b").join(heads.select(F.col("id").alias("a"), F.col("bands").alias("bands_a")), "a")
-        near = scratch.table(near.mapInPandas(_close_enough(percent / 100), "a long, b long"), f"{name}-near")
-        ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-        texts = scratch.table(with_ids(docs, ids), f"{name}-texts")
-        full = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        links = scratch.table(full.mapInPandas(_confirm(percent), "a long, b long").distinct(), f"{name}-links")
-        scratch.drop(f"{name}-texts")
-        return links
+        near = scratch.table(near.mapInPandas(_close_enough(percent / 100), "a long, b long"), "near")
+        sets = sets_of(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct(), "near-sets")
+        salts = near.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+        partners = near.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+        partners = partners.join(sets.select(F.col("id").alias("b"), "shingles"), "b").select("a", "salt", "b", "shingles")
+        hubs = salts.join(sets.select(F.col("id").alias("a"), "shingles"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles")
+        rows = hubs.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+        return scratch.table(rows.mapInPandas(_confirm(percent), "a long, b long"), "links")
 
     small = rows.where(F.col("n") <= SMALL)
     within = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
-    links = confirmed(with_hubs(rows, rows).unionByName(within), "first")
-    components = connected_components(links, scratch, "first-cc")
-    for k in range(2, 10):
-        placed = rows.join(components, "id", "left").select("key", "id", "met", F.coalesce("component", "id").alias("component"))
-        first = placed.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"), "component")).alias("top")).select("key", F.col("top.component").alias("taken"))
-        outside = placed.join(first, "key").where("component <> taken")
-        hubs = outside.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"), "component")).alias("top")).select("key", (-F.col("top.minus")).alias("a"), F.col("top.component").alias("hubs"))
-        pairs = placed.join(hubs, "key").where("component <> hubs").select("a", F.col("id").alias("b"))
-        more = confirmed(pairs, f"again-{k}")
-        if not more.limit(1).count():
-            break
-        links = links.unionByName(more)
-        components = connected_components(links, scratch, f"again-cc-{k}")
-
-    placed = rows.where(F.col("n") > SMALL).join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    last = F.ceil(F.col("n") / CHUNK).cast("int") - 1
-    placed = placed.join(mixed, "key").withColumn("last", last).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int"))
-    # one row for each chunk that this one meets, its own included
-    placed = placed.select("key", "band", "id", "component", "chunk", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
-    placed = placed.select("key", "band", "id", "component", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
-    placed = placed.join(heads, "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    more = confirmed(scratch.table(placed.mapInPandas(_across(percent / 100), "a long, b long"), "across"), "across")
+    links = confirmed(with_hubs(rows, rows).unionByName(within))
+    components = connected_components(links, scratch, "cc")
+
+    # families: the classes of larger buckets with several components, joined through these buckets
+    placed = rows.where(F.col("n") > SMALL).select("key", "id").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("first")).where("low < high").select("key", "first")
+    placed = scratch.table(placed.join(mixed, "key").select("id", "component", "first"), "mixed")
+    families = connected_components(placed.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")), scratch, "families").withColumnRenamed("component", "family")
+    members = placed.select("id", "component").distinct().join(families, "id").join(heads, "id")
+    # chunks: a large component by itself, the others together; each by size, then by number and bytes
+    apart = members.groupBy("family", "component").agg(F.count("*").alias("n"))
+    members = members.join(apart, ["family", "component"]).withColumn("whole", F.when(F.col("n") >= APART, F.col("component")).otherwise(F.lit(None).cast("long")))
+    members = members.withColumn("step", F.floor(F.log("n_shingles") / math.log(100 / min(percent, 99))))
+    chunk = F.struct(F.coalesce("whole", F.lit(-1)).alias("of"), F.col("whole").isNull().alias("many"), "step")
+    members = members.withColumn("chunk", chunk).select("family", "id", "component", "bands", "n_shingles", "chunk")
+    sizes = members.groupBy("family", "chunk").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n_shingles") * 8 / CHUNK_BYTES)).cast("int").alias("pieces"))
+    members = scratch.table(members.join(sizes, ["family", "chunk"]).select("family", "id", "component", "bands", "chunk", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece")), "members")
+    one = scratch.table(members.select("family", F.struct("chunk", "piece").alias("x")).distinct(), "chunks")
+    blocks = one.join(one.select("family", F.col("x").alias("y")), "family").where("x <= y and abs(x.chunk.step - y.chunk.step) <= 1 and not (x.chunk.of = y.chunk.of and not x.chunk.many and not y.chunk.many)")
+    blocks = blocks.select("family", "x", "y", F.xxhash64("x", "y").alias("block"), (F.col("x") == F.col("y")).alias("inner"))
+    sides = blocks.select("family", "block", "inner", F.col("x").alias("at"), F.lit(0).alias("side")).unionByName(blocks.where("not inner").select("family", "block", "inner", F.col("y").alias("at"), F.lit(1).alias("side")))
+    rows = members.withColumn("at", F.struct("chunk", "piece")).join(sides, ["family", "at"]).join(sets_of(members.select("id"), "member-sets"), "id")
+    rows = rows.select("family", "block", "inner", "side", "id", "component", "bands", "shingles").repartition("family", "block").sortWithinPartitions("family", "block")
+    more = scratch.table(rows.mapInPandas(_compare(percent), "a long, b long"), "family-links")
     if more.limit(1).count():
-        components = connected_components(links.unionByName(more), scratch, "across-cc")
+        components = connected_components(links.unionByName(more), scratch, "cc-all")
 
     placed = classes.join(components, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     # equal ids in several classes count as one document

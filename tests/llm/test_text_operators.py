@@ -82,6 +82,29 @@ def test_near_duplicates_in_a_family(spark, monkeypatch):
     assert [(r["doc_id"], r["component_id"]) for r in out if not r["kept"]] == [(1, 0)]
 
 
+def test_pairs_in_a_family_of_like_texts(spark, monkeypatch):
+    """150 pairs of Jaccard 0.88 in one family whose other pairs have 0.83: every link is found, in one chunk or many."""
+    rng = random.Random(4)
+    common = made_words(rng, 1000)
+    rows = [(2 * k + half, " ".join([*common, *(f"p{k}x{j}" for j in range(34)), *(f"d{k}y{half}z{j}" for j in range(62))])) for k in range(150) for half in (0, 1)]
+    sets = {i: shingles(t) for i, t in rows[:4]}
+    assert 100 * len(sets[0] & sets[1]) >= 85 * len(sets[0] | sets[1]) and 100 * len(sets[0] & sets[2]) < 85 * len(sets[0] | sets[2])
+    for chunk in (2048, 40):
+        monkeypatch.setattr(near_duplicates, "CHUNK", chunk)
+        out = near_duplicates.near_duplicates(docs_of(spark, rows), percent=85).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in out} == {(i, i - i % 2) for i, _ in rows}
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(near_duplicates, "_PAIRS", 50)
+    monkeypatch.setattr(near_duplicates, "_COLUMNS", 7)
+    rng = np.random.default_rng(8)
+    for size in (3, 40, 400):
+        left, right = ([np.unique(rng.zipf(1.3, size) % 1000).astype(np.uint64) for _ in range(n)] for n in (23, 31))
+        counts = near_duplicates.shared_counts(left, right)
+        assert all(counts[i, j] == len(set(a.tolist()) & set(b.tolist())) for i, a in enumerate(left) for j, b in enumerate(right))
+
+
 def test_sketches():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2) + np.uint64(1))
