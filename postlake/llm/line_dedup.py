@@ -3,15 +3,21 @@
 Lines with at least one word count; blank ones stay where they are. A gram is the shortest run of lines, from some
 line on, that holds ``GRAM`` words; of every stretch of grams that starts within ``RUN - GRAM`` words the smallest hash
 is selected. So any run of whole lines with ``RUN`` words or more has a selected gram, and the same one wherever
-the run stands. The first place of a selected gram (by doc_id, then line) is the source of all others: matches are joined
-to it alone, never to each other. From there a match is extended both ways over equal lines; if it comes to ``RUN``
-words, its later copy is removed. Every removed line has an equal one at an earlier place that is not removed.
+the run stands: documents are first joined on the places of their selected grams, and only stretches around a gram that
+occurs twice go on.
+
+There each match is extended both ways: a line's runs are the shortest stretch of lines with ``RUN`` words that begins with it and
+the shortest that ends with it. Any longer match is the union of such runs, so equal runs (by hash of their lines) give every
+match, with whatever place it is shared. The first place of a run (by doc_id, then line) is the source of all others, found by a
+partial minimum and never by pairs; the later places are removed. Every removed line has an equal one at an earlier place that is not
+removed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from postlake.llm.rows import with_ids, without_ids
 from postlake.sources.scratch import Scratch
 
 RUN = 50
@@ -26,36 +32,56 @@ def line_parts(text: Column) -> Column:
     return F.filter(every, lambda x: x["words"] > 0)
 
 
+def _lines(parts: DataFrame, *others: str) -> DataFrame:
+    """A row per line with words: pos, line, hash, and the document's words before it (start), with it (end) and in all (total)."""
+    lines = parts.select("doc_id", "version", *others, F.posexplode("parts").alias("pos", "part"))
+    doc = Window.partitionBy("doc_id", "version")
+    words = F.col("part.words").cast("long")
+    end = F.sum(words).over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.withColumn("end", end).withColumn("total", F.sum(words).over(doc))
+    return lines.select("doc_id", "version", *others, "pos", F.col("part.line").alias("line"), F.col("part.hash").alias("hash"), (F.col("end") - words).alias("start"), "end", "total")
+
+
 def fingerprints(parts: DataFrame) -> DataFrame:
     """Selected grams: doc_id, version, pos (among the lines with words), gram."""
-    lines = parts.select("doc_id", "version", F.posexplode("parts").alias("pos", "part")).select("doc_id", "version", "pos", F.col("part.hash").alias("hash"), F.col("part.words").cast("long").alias("words"))
-    doc = Window.partitionBy("doc_id", "version")
-    so_far = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("start", F.coalesce(F.sum("words").over(so_far), F.lit(0).cast("long"))).withColumn("total", F.sum("words").over(doc))
-    ahead = doc.orderBy("start")
+    lines = _lines(parts)
+    ahead = Window.partitionBy("doc_id", "version").orderBy("start")
     grams = lines.withColumn("gram", F.xxhash64(F.collect_list("hash").over(ahead.rangeBetween(0, GRAM - 1))))
     best = F.max(F.struct((-F.col("gram")).alias("low"), "pos")).over(ahead.rangeBetween(0, RUN - GRAM - 1))
     chosen = grams.withColumn("best", best).where(F.col("total") - F.col("start") >= RUN)
     return chosen.select("doc_id", "version", F.col("best.pos").alias("pos"), (-F.col("best.low")).alias("gram")).distinct()
 
 
+def runs(parts: DataFrame, places: DataFrame) -> DataFrame:
+    """For each line the shortest runs of ``RUN`` words that begin and end with it: key, doc_id, version, pos, lines.
+
+    ``places`` (doc_id, version, low, high) names the documents to look at and the first and last gram there that occurs twice.
+    """
+    lines = _lines(parts.join(places, ["doc_id", "version"]), "low", "high")
+    doc = Window.partitionBy("doc_id", "version")
+
+    def run(stretch, whole: Column) -> Column:
+        hashes, numbers = F.collect_list("hash").over(stretch), F.collect_list("line").over(stretch)
+        return F.struct(F.xxhash64(hashes).alias("key"), F.min("pos").over(stretch).alias("pos"), numbers.alias("lines"), whole.alias("whole"))
+
+    ahead = run(doc.orderBy("start").rangeBetween(0, RUN - 1), F.col("total") - F.col("start") >= RUN)
+    behind = run(doc.orderBy("end").rangeBetween(1 - RUN, 0), F.col("end") >= RUN)
+    lines = lines.select("doc_id", "version", "low", "high", ahead.alias("ahead"), behind.alias("behind"))
+    found = lines.select("doc_id", "version", "low", "high", F.explode(F.array("ahead", "behind")).alias("run")).where("run.whole")
+    # a run holds lines one after the other, so its last one is known from their number
+    found = found.where((F.col("run.pos") <= F.col("high")) & (F.col("run.pos") + F.size("run.lines") > F.col("low")))
+    return found.select("run.key", "doc_id", "version", "run.pos", "run.lines")
+
+
 def removed_lines(parts: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, version, removed: the sorted indexes of the lines to remove. Documents that keep all aren't listed."""
     prints = scratch.table(fingerprints(parts), "fingerprints")
+    twice = prints.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    places = prints.join(twice, "gram").groupBy("doc_id", "version").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    found = scratch.table(runs(parts, places), "runs")
     place = F.struct("doc_id", "version", "pos")
-    firsts = prints.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("gram", "first")
-    matches = prints.join(firsts, "gram").where(place != F.col("first"))
-    matches = matches.select("doc_id", "version", F.col("pos"), F.col("first.doc_id").alias("src_id"), F.col("first.version").alias("src_version"), F.col("first.pos").alias("src_pos"))
-    source = parts.select(F.col("doc_id").alias("src_id"), F.col("version").alias("src_version"), F.transform("parts", lambda x: x["hash"]).alias("theirs"))
-    both = matches.join(parts, ["doc_id", "version"]).join(source, ["src_id", "src_version"])
-
-    equal = lambda i: F.coalesce(F.get("parts", F.col("pos") + i)["hash"] == F.get("theirs", F.col("src_pos") + i), F.lit(False))
-    # the index just past the last possible step never matches, so a difference is always found
-    ahead = F.array_position(F.transform(F.sequence(F.lit(0), F.least(F.size("parts") - F.col("pos"), F.size("theirs") - F.col("src_pos"))), equal), F.lit(False)) - 1
-    behind = F.array_position(F.transform(F.sequence(F.lit(1), F.least("pos", "src_pos") + 1), lambda i: equal(-i)), F.lit(False)) - 1
-    runs = both.select("doc_id", "version", F.slice("parts", (F.col("pos") - behind + 1).cast("int"), (behind + ahead).cast("int")).alias("run"))
-    runs = runs.where(F.aggregate("run", F.lit(0), lambda n, x: n + x["words"]) >= RUN)
-    gone = runs.select("doc_id", "version", F.explode("run.line").alias("line")).distinct()
+    firsts = found.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("key", "first")
+    gone = found.join(firsts, "key").where(place > F.col("first")).select("doc_id", "version", F.explode("lines").alias("line")).distinct()
     return gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("line")).alias("removed"))  # at most a document's lines
 
 
@@ -64,16 +90,19 @@ def dedupe_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataFr
 
     A row without doc_id or without words stays as it is and is no source; a null text stays null, with no lines.
     Rows that repeat a doc_id and its text count as one document and are shortened alike; one doc_id with
-    several texts counts as several documents. An empty table gives none. Columns of the input stay; any named n_lines or
-    removed are replaced.
+    several texts counts as several documents, in the order of their hashes. Ties can't occur: places are ordered by document and line.
+    Long texts are taken whole; a window holds one document's lines, which may spill. An empty table gives none. Columns of the
+    input stay, whatever their names; any named n_lines or removed are replaced.
     """
     scratch = scratch or Scratch(documents.sparkSession, "lines")
     documents = documents.drop("n_lines", "removed")
     versions = documents.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("version"), line_parts(F.col("text")).alias("parts")).where(F.size("parts") > 0)
     parts = scratch.table(versions.dropDuplicates(["doc_id", "version"]), "parts")
-    gone = removed_lines(parts, scratch).select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version"), "removed")
-    joined = documents.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_version")), "left").drop("gone_id", "gone_version")
-    lines = F.split("text", "\n")
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
-    none = F.array().cast("array<int>")
-    return joined.withColumns({"text": F.when(F.col("removed").isNull(), F.col("text")).otherwise(rest), "n_lines": F.coalesce(F.size(lines), F.lit(0)), "removed": F.coalesce("removed", none)})
+    gone = scratch.table(removed_lines(parts, scratch).withColumnRenamed("doc_id", "gone id").withColumnRenamed("version", "gone version").withColumnRenamed("removed", "gone lines"), "gone")
+    ids = gone.select(F.col("gone id").alias("doc_id"))
+    touched = with_ids(documents, ids).join(gone, (F.col("doc_id") == F.col("gone id")) & (F.xxhash64("text") == F.col("gone version")), "left")
+    lines, none = F.split("text", "\n"), F.array().cast("array<int>")
+    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone lines", i)), "\n")
+    counted = F.coalesce(F.size(lines), F.lit(0))
+    shortened = touched.select(*(F.when(F.col("gone lines").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns), counted.alias("n_lines"), F.coalesce("gone lines", none).alias("removed"))
+    return without_ids(documents, ids).select(*(F.col(f"`{c}`") for c in documents.columns), counted.alias("n_lines"), none.alias("removed")).unionByName(shortened)

@@ -20,6 +20,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 #: Hash residues that stand for ids in a broadcast: at most so many small numbers, whatever the tables' sizes.
 SLOTS = 1 << 20
+_SLOT = "slot of ids"
 
 
 def _slot() -> Column:
@@ -27,20 +28,32 @@ def _slot() -> Column:
 
 
 def _slots(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids.select(_slot().alias("slot")).distinct())
+    return F.broadcast(ids.select(_slot().alias(_SLOT)).distinct())
+
+
+def _few(ids: DataFrame) -> bool:
+    """Whether the slots of the ids leave most rows out."""
+    return ids.count() <= SLOTS // 4
 
 
 def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``."""
-    maybe = docs.join(_slots(ids), _slot() == F.col("slot"), "left_semi")
+    """Rows of ``docs`` whose doc_id is in ``ids``, which should be a written table: it is read several times.
+
+    Up to ``SLOTS / 4`` ids a broadcast of their slots leaves most other rows out before the join; with more ids, which is
+    counted first, it would let most rows through, and all rows are joined.
+    """
+    maybe = docs.join(_slots(ids), _slot() == F.col(_SLOT), "left_semi") if _few(ids) else docs
     return maybe.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id isn't in ``ids``, those without doc_id included."""
+    """Rows of ``docs`` whose doc_id isn't in ``ids``, those without doc_id included; by the same two ways."""
+    rest = ids.select("doc_id").distinct()
+    if not _few(ids):
+        return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
     slots = _slots(ids)
-    sure = docs.join(slots, _slot() == F.col("slot"), "left_anti")
-    maybe = docs.join(slots, _slot() == F.col("slot"), "left_semi").join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
+    sure = docs.join(slots, _slot() == F.col(_SLOT), "left_anti")
+    maybe = docs.join(slots, _slot() == F.col(_SLOT), "left_semi").join(rest, "doc_id", "left_anti")
     return sure.unionByName(maybe.select(*docs.columns))
 
 
