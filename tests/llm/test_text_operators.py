@@ -238,15 +238,37 @@ PAGES = [
 ]
 
 
+LONG = " ".join(f"word{k}" for k in range(40))
+SHORT = "one two three four five six"
+#: Layouts that the labelled table doesn't hold.
+OTHER_PAGES = [
+    ("<h1>Hello World</h1><p>" + LONG, "Hello World " + LONG),
+    ("<article><h1>Hello World</h1><p>" + LONG + "</article>", "Hello World " + LONG),
+    (f"<nav><a href=x>Menu</a></nav><div class=author-story><h1>My days</h1><p>{LONG}</p><p>{SHORT}</p><p>{LONG}</p></div><footer>c</footer>", f"My days {LONG} {SHORT} {LONG}"),
+    (f"<article class='post status-publish'><p>{LONG}</p></article>", LONG),
+    (f"<section class=search-result><p>{LONG}</p><p>x y</p></section>", LONG + " x y"),
+    (f"<div><a href=x>{SHORT}</a> <a href=y>{LONG}</a></div><p>{LONG}</p><p>{LONG}</p>", f"{LONG} {LONG}"),
+    (f"<main><p>{LONG}</p><div class='social share'><a href=x>tell others</a></div><p>{SHORT}</p><div class=widget><p>{SHORT}</p></div></main>", f"{LONG} {SHORT}"),
+    (f"<p data-x='{'>' * 12_000}'>{LONG}", LONG),
+    ("<p " + " ".join(f'a{k}=">"' for k in range(900)) + f">{LONG}", LONG),
+    (f"<p>{LONG}<svg><svg>no</svg>no</svg><object><object></object>no</object></p><p title='unclosed>{LONG}</p>", f"{LONG} {LONG}"),
+]
+
+
 def test_html(spark):
-    df = spark.createDataFrame([(i, f"u{i}", h, "clash") for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
+    pages = [*PAGES, *OTHER_PAGES]
+    df = spark.createDataFrame([(i, f"u{i}", h, "clash") for i, (h, _) in enumerate(pages)], "page_id long, url string, html string, text string")
     out = {r["page_id"]: r for r in html_text.extract_text(df).collect()}
-    for i, (_, expected) in enumerate(PAGES):
-        assert out[i]["text"] == expected and out[i]["n_chars"] == len(expected)
+    for i, (_, expected) in enumerate(pages):
+        assert out[i]["text"] == expected and out[i]["n_chars"] == len(expected), i
     assert html_text.extract_text(df.limit(0)).count() == 0
-    tree = html_text.grow(np.array(html_text.LABELLED, dtype=float))
-    table = np.array(html_text.LABELLED, dtype=float)
-    assert ((html_text.judge(tree, table) >= 0.5) == table[:, -1]).all()
+    table = html_text.labelled()
+    tree = html_text.grow(table)
+    assert ((html_text.judge(tree, table) >= 0.5) == table[:, -1]).mean() > 0.97
+    half = html_text.grow(table[::2])  # blocks that the tree hasn't seen
+    assert ((html_text.judge(half, table[1::2]) >= 0.5) == table[1::2, -1]).mean() > 0.85
+    odd = "<a '" * 20_000 + "<p>" * 20_000
+    html_text.page_text(odd, tree)
     html_text.page_text("<p>" * 20_000 + "<" * 5000 + "x" * 200_000, tree)
 
 
