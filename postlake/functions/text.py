@@ -170,8 +170,11 @@ def token_budget(c: Column) -> Column:
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
-    """``12.5%``; no rows give ``NaN%``."""
-    return F.when(whole == 0, "NaN%").otherwise(F.concat(F.format_string(f"%.{digits}f", part * 100.0 / whole), F.lit("%")))
+    """``12.5%`` of two whole numbers, exact and with halves rounded up; no rows give ``NaN%``."""
+    unit = 10**digits
+    scaled = F.call_function("div", part * (200 * unit) + whole, whole * 2)
+    text = F.concat(F.call_function("div", scaled, F.lit(unit)).cast("string"), F.lit("." if digits else ""), F.lpad((scaled % unit).cast("string"), digits, "0"), F.lit("%"))
+    return F.when(whole == 0, "NaN%").otherwise(text)
 
 
 def word(pattern: str) -> str:

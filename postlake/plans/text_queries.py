@@ -105,7 +105,7 @@ def skill_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_NORMALIZE}, j AS (SELECT h.*, p_brand FROM h JOIN part USING (p_partkey))
-    SELECT p_brand, count(*) AS before, count(skill) AS after, count(DISTINCT skill) AS distinct_after, printf('%.1f%%', (count(*) - count(skill)) * 100.0 / count(*)) AS filtered FROM j GROUP BY p_brand"""
+    SELECT p_brand, count(*) AS before, count(skill) AS after, count(DISTINCT skill) AS distinct_after, ((count(*) - count(skill)) * 2000 + count(*)) // (2 * count(*)) // 10 || '.' || ((count(*) - count(skill)) * 2000 + count(*)) // (2 * count(*)) % 10 || '%' AS filtered FROM j GROUP BY p_brand"""
 )
 def cleaning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = table(spark, sf_dir, "part").select("p_brand", skill.normalize(raw_skill()).alias("skill"))

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from postlake.plans.registry import ORACLE_SQL, QUERIES
@@ -21,7 +22,7 @@ def duck():
 
 
 def cell(x):
-    if x is None or x != x:
+    if x is None or pd.isna(x):
         return None
     if isinstance(x, bool) or str(x) in ("True", "False"):
         return str(x)
