@@ -191,6 +191,8 @@ def block_links(left: pd.DataFrame, right: pd.DataFrame | None, percent: int) ->
         if len(others):
             near[x, others] = _near(regs[0][x][None], regs[1][others], percent / 100)
     rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if not len(rows):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
     sets = [[np.frombuffer(t["shingles"].iloc[k], dtype=np.uint64) for k in some] for t, some in ((left, rows), (right, columns))]
     near = near[np.ix_(rows, columns)]
     size_l, size_r = (np.array([len(x) for x in some], dtype=np.int64) for some in sets)

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,15 @@ def test_pairs_in_a_family_of_like_texts(spark, monkeypatch):
         assert {(r["doc_id"], r["component_id"]) for r in out} == {(i, i - i % 2) for i, _ in rows}
 
 
+def test_blocks_without_near_pairs():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, 50).astype(np.uint64) << np.uint64(1)) for _ in range(4)]
+    rows = pd.DataFrame({"id": range(4), "component": [0, 1, 2, 2], "bands": [near_duplicates.registers(x).view(np.int64) for x in sets], "shingles": [x.tobytes() for x in sets]})
+    assert len(near_duplicates.block_links(rows, None, 85)) == 0 and len(near_duplicates.block_links(rows[:2], rows[2:], 85)) == 0
+    rows["shingles"], rows["bands"] = [sets[0].tobytes()] * 4, [rows["bands"][0]] * 4
+    assert sorted(map(tuple, near_duplicates.block_links(rows, None, 85).to_numpy())) == [(0, 1), (0, 2), (1, 2)]  # one for two components
+
+
 def test_shared_counts(monkeypatch):
     monkeypatch.setattr(near_duplicates, "_PAIRS", 50)
     monkeypatch.setattr(near_duplicates, "_COLUMNS", 7)
