@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postlake.functions.text import neutral, trim, word
 
@@ -56,6 +56,7 @@ DUTY = (
     "provide providing lead leading drive driving perform performing execute executing deliver delivering create creating build building"
 ).split()
 DUTY_PHRASES = (r"you\s+will", r"your\s+responsibilities", r"responsibilities\s+include", r"duties\s+include", r"tasks\s+include")
+# Fixed value: what makes a sentence name a degree.
 DEGREE = r"(?:bachelor|master|engineering|science|business)\s+(?:degree|diploma)"
 
 
@@ -93,3 +94,13 @@ def named_in_posting(description: Column, skills: Column) -> Column:
     empty = F.array().cast("array<string>")
     from_skills = F.flatten(F.transform(F.coalesce(skills, empty), named_in))
     return F.array_sort(F.array_distinct(F.concat(F.coalesce(named_in(description), empty), from_skills)))
+
+
+def dictionary(spark: SparkSession) -> DataFrame:
+    """name and category of every certification."""
+    return spark.createDataFrame([(name, category) for name, category, _ in CERTIFICATIONS], "name string, category string")
+
+
+def by_locale(c: Column) -> Column:
+    """A key that orders names as people do: letters before case, accents beside their letters."""
+    return F.collate(c, "UNICODE")

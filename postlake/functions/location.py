@@ -140,3 +140,98 @@ def search_query(raw: Column) -> Column:
     """What a geocoder is asked for a raw location."""
     c = trim(F.regexp_replace(F.regexp_replace(raw, r"(?i)\s*\+\d+\s+more$", ""), r"^\d+\s+", ""))
     return F.when(c.rlike(CODED), F.concat_ws(", ", title_case(F.regexp_extract(c, CODED, 3)), F.upper(F.regexp_extract(c, CODED, 1)))).otherwise(c)
+
+
+# Places that stay as they are, and well-known cities that stand alone.
+KEPT_PLACES = ("Global Recruiting", "Gulf of Mexico", "Noble Interceptor", "Noble BlackLion", "Noble BlackHawk", "Noble BlackHornet", "Noble Faye Kozack")
+US_CITIES = {
+    "houston": "TX", "dallas": "TX", "austin": "TX", "san antonio": "TX", "chicago": "IL", "new york": "NY", "los angeles": "CA", "san francisco": "CA",
+    "seattle": "WA", "boston": "MA", "miami": "FL", "denver": "CO", "phoenix": "AZ", "atlanta": "GA", "philadelphia": "PA",
+}
+OTHER_CITIES = {"aberdeen": "United Kingdom", "london": "United Kingdom", "florence": "Italy", "rome": "Italy", "paris": "France", "tokyo": "Japan", "singapore": "Singapore"}
+
+
+def normalized(c: Column) -> Column:
+    """A place as ``City, ST`` or ``City, Country`` where that is known."""
+
+    def of(x: Column) -> Column:
+        city, rest = trim(F.regexp_extract(x, r"^([^,]+),\s*([A-Za-z\s]+)$", 1)), trim(F.regexp_extract(x, r"^([^,]+),\s*([A-Za-z\s]+)$", 2))
+        state = lookup({name.lower(): code for code, name in US_STATES.items()}, F.lower(rest))
+        alone = F.coalesce(lookup(US_CITIES, F.lower(x)), lookup(OTHER_CITIES, F.lower(x)))
+        return (
+            F.when(x == "", None)
+            .when(x.isin(*KEPT_PLACES), x)
+            .when(x.rlike(r"^[^,]+,\s*[A-Za-z\s]+$"), F.concat_ws(", ", city, F.coalesce(state, rest)))
+            .when(x.rlike(r"^[A-Za-z\s]+$"), F.concat_ws(", ", x, alone))
+            .otherwise(x)
+        )
+
+    return once(trim(c), of)
+
+
+def filter_option(name: Column) -> Column:
+    """struct(label, value, country, search_text) of a normalised place, for a list to choose from."""
+
+    def of(parts: Column) -> Column:
+        n, one, two, three = F.size(parts), parts[0], F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
+        kept, state = name.isin(*KEPT_PLACES), two.isin(*US_STATES)
+        country = F.when(kept, "Other").when(n == 1, "Unknown").when((n == 2) & state, "United States").when(n == 2, two).when(n == 3, three).otherwise("Other")
+        place = F.when(kept | (n == 1), name).when((n == 2) & state, F.concat_ws(", ", one, two)).when(n == 2, one).when(n == 3, F.concat_ws(", ", one, two))
+        words = F.when(kept | (n == 1), name).when((n == 2) & state, F.concat_ws(" ", country, one, two)).when(n == 2, F.concat_ws(" ", two, one)).when(n == 3, F.concat_ws(" ", three, one, two)).otherwise(name)
+        return F.struct(F.coalesce(F.concat_ws(": ", country, place), name).alias("label"), name.alias("value"), country.alias("country"), F.lower(words).alias("search_text"))
+
+    option = once(F.transform(F.split(name, ","), trim), of)
+    whole = F.struct(name.alias("label"), name.alias("value"), F.lit("Other").alias("country"), F.lower(name).alias("search_text"))
+    return F.when(F.size(F.split(name, ",")) > 3, whole).otherwise(option)
+
+
+def country_rank(country: Column) -> Column:
+    """United States first, Unknown and Other last."""
+    return F.when(country == "United States", 0).when(country == "Unknown", 2).when(country == "Other", 3).otherwise(1)
+
+
+_FEATURE = "place_name string, text string, place_type array<string>, center array<double>, relevance double, properties struct<short_code: string>, context array<struct<id: string, text: string, short_code: string>>"
+
+
+def geocoded(answer: Column) -> Column:
+    """A geocoder's JSON feature as a flat struct: place name, city, state, country, their codes, coordinates, confidence."""
+
+    def of(f: Column) -> Column:
+        part = lambda kind: F.get(F.filter(F.coalesce(f["context"], F.array()), lambda x: x["id"].startswith(kind)), F.lit(0))
+        after = lambda code: F.upper(F.get(F.split(code, "-"), F.lit(1)))
+        has = lambda *kinds: F.arrays_overlap(f["place_type"], F.array(*(F.lit(k) for k in kinds)))
+        region, country, own = part("region."), part("country."), f["properties"]["short_code"]
+        return F.struct(
+            f["place_name"].alias("placeName"),
+            F.coalesce(F.when(has("place", "locality"), f["text"]), part("place.")["text"]).alias("city"),
+            F.coalesce(region["text"], F.when(has("region"), f["text"])).alias("state"),
+            F.when(region.isNotNull(), after(region["short_code"])).when(has("region"), after(own)).alias("stateCode"),
+            F.coalesce(country["text"], F.when(has("country"), f["text"])).alias("country"),
+            F.when(country.isNotNull(), F.upper(country["short_code"])).when(has("country"), F.upper(own)).alias("countryCode"),
+            f["center"][0].alias("longitude"),
+            f["center"][1].alias("latitude"),
+            F.coalesce(f["relevance"], F.lit(1.0)).alias("confidence"),
+        )
+
+    return once(F.from_json(answer, _FEATURE), of)
+
+
+def with_states(geo: Column, original: Column, city_state: bool = False) -> Column:
+    """The name of a geocoded place with its state wherever there is one; else ``original``.
+
+    ``city_state`` mends answers for Singapore and falls back to the geocoder's own name first.
+    """
+    country = F.when(geo["country"].isNull() & geo["state"].contains("Singapore"), "Singapore").otherwise(geo["country"]) if city_state else geo["country"]
+    fixed = geo["country"].isNull() & F.coalesce(geo["state"].contains("Singapore"), F.lit(False)) if city_state else F.lit(False)
+    code, state, short, city = F.when(fixed, "SG").otherwise(geo["countryCode"]), F.when(~fixed, geo["state"]), F.when(~fixed, geo["stateCode"]), geo["city"]
+    out = F.when(F.lit(False), original)
+    if city_state:
+        out = out.when((code == "SG") & F.lower(city).isin("singapore", "singapore river"), "Singapore").when((code == "SG") & city.isNotNull(), F.concat(city, F.lit(", Singapore")))
+    out = out.when((code == "US") & city.isNotNull() & short.isNotNull(), F.concat_ws(", ", city, short))
+    out = out.when((code == "CA") & city.isNotNull() & short.isNotNull(), F.concat(city, F.lit(", "), short, F.lit(", Canada")))
+    if city_state:
+        for cc, name in (("BR", "Brazil"), ("IN", "India")):
+            out = out.when((code == cc) & city.isNotNull() & state.isNotNull(), F.concat_ws(", ", city, state, F.lit(name)))
+        out = out.when((code == "GB") & city.isNotNull(), F.concat(city, F.lit(", United Kingdom")))
+    out = out.when(city.isNotNull() & country.isNotNull(), F.concat_ws(", ", city, state, country))
+    return F.coalesce(out, geo["placeName"] if city_state else F.lit(None), original)

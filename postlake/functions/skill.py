@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from postlake.functions.location import lookup, once
 from postlake.functions.text import trim
 
 # Phrases that mark advertising.
@@ -34,23 +35,32 @@ NOUNS = {
     "computational": "computing", "mechanical": "mechanical", "electrical": "electrical", "chemical": "chemical", "mathematical": "mathematics",
     "statistical": "statistics", "logical": "logic", "creative": "creativity", "innovative": "innovation",
 }
+# Short forms spelt out.
 EXPANSIONS = {"written": "written communication", "verbal": "verbal communication", "oral": "oral communication", "interpersonal": "interpersonal communication"}
 # Verbs that start a task.
 ACTION_VERBS = "delegate organize establish maintain develop implement create manage coordinate supervise direct oversee monitor evaluate assess review update prepare conduct perform execute complete ensure provide support assist help facilitate lead guide train teach instruct mentor coach advise".split()
+# Fields that keep their plural.
 FIELD_NAMES = "operations systems analytics logistics mathematics statistics economics".split()
+# Names too general for a skill.
 TOO_GENERIC = (
     "experience", "skills", "knowledge", "ability", "abilities", "qualification", "qualifications", "requirement", "requirements", "background", "expertise",
     "capability", "capabilities", "competency", "competencies", "proficiency", "characteristic", "characteristics", "attribute", "attributes", "trait",
     "traits", "thinking skills", "just experience", "work experience",
 )
+# Words without meaning of their own.
 FILLERS = "a the in for you us and or to that when your our we are is of on at from as".split()
+# Single words too vague for a skill.
 VAGUE = "thinking just programs values benefits work tasks duties activities functions customers drive equivalent competitive".split()
+# Words that are no skill alone.
 VAGUE_ALONE = (
     "college university attitude rules human italian spanish french german chinese japanese portuguese arabic russian hindi marketing design organization "
     "isolation activation deactivation parts lists system systems operator networking projects front-end peers"
 ).split()
+# Parts of phrases that are no skill.
 ARTIFACTS = ("work-life balance", "wellbeing", "policies", "approach", "stakeholders", "colleagues", "teammates", "coworkers", "work location", "upon study", "administrators")
+# Kinds of thinking that are skills.
 THINKING = ("critical", "analytical", "strategic", "creative", "logical", "systems")
+# Closing words that parts of a compound share.
 SUFFIX = r"(?i)\b(skills?|experience|knowledge|ability|abilities|engineering|management|analysis)\b"
 
 # What is no skill by itself.
@@ -65,20 +75,25 @@ BLACKLIST = (
     "part-time", "contract", "temporary", "permanent", "remote", "on-site", "hybrid", "flexible", "immediate", "excellent", "good", "strong", "great", "best",
     "top", "high", "outstanding", "exceptional", "superior", "advanced", "intermediate", "entry-level", "senior", "junior", "mid-level",
 )
+# Gerunds that name skills.
 GERUNDS = (
     "welding programming engineering accounting banking nursing teaching training marketing advertising consulting recruiting troubleshooting debugging testing "
     "planning modeling forecasting budgeting scheduling networking drafting drawing painting building manufacturing processing"
 ).split()
+# Verbs that begin duties.
 IMPERATIVES = (
     "ensure ensures maintain maintains delegate delegates perform performs complete completes execute executes deliver delivers achieve achieves demonstrate "
     "demonstrates provide provides support supports assist assists conduct conducts implement implements follow follows adhere adheres comply complies meet meets "
     "fulfill fulfills satisfy satisfies handle handles"
 ).split()
+# Nouns that begin requirements.
 VAGUE_NOUNS = ("thoroughness", "accuracy", "precision", "consistency", "reliability")
+# Words that begin sentences.
 STARTERS = (
     "with be show demonstrate work working have must should can will able ability experience comprehensive contemporary candidates additional applies active "
     "requires required preferred minimum ba bs ma ms phd join partner become explore discover learn grow take make build create develop pursue achieve"
 ).split()
+# Words of sentences.
 SENTENCE_WORDS = ("you", "your", "we", "our", "must", "should", "will")
 
 
@@ -99,29 +114,46 @@ def split_compound(c: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """A skill's plain name in title case, or NULL if it is none."""
-    raw = trim(c)
+    """A skill's plain name in title case, or NULL if it is none.
+
+    Each step is bound as a variable, so that it is planned and computed once however often it is used.
+    """
+    return once(trim(c), lambda raw: F.when(_is_noise(raw), None).otherwise(once(_bare(raw), _named)))
+
+
+def _is_noise(raw: Column) -> Column:
     low = F.lower(raw)
-    bad = _any([~raw.rlike("^[a-zA-Z]"), raw.contains(","), raw.rlike(r"(?i)\b\d+\+?\s*(years?|yrs?|months?)\b"), raw.rlike("[()]"), raw.rlike(r"(?i)\b(our|we|us)\b"), *(low.contains(x) for x in RECRUITMENT)])
+    return _any([~raw.rlike("^[a-zA-Z]"), raw.contains(","), raw.rlike(r"(?i)\b\d+\+?\s*(years?|yrs?|months?)\b"), raw.rlike("[()]"), raw.rlike(r"(?i)\b(our|we|us)\b"), low.rlike("|".join(RECRUITMENT))])
+
+
+def _bare(raw: Column) -> Column:
+    """Without adjectives and closing words, nouns for verbs, short forms spelt out."""
+    noun = lambda w: once(F.lower(w), lambda k: F.coalesce(lookup(NOUNS, k), w))
     s = trim(F.regexp_replace(F.regexp_replace(raw, rf"(?i)\b(?:{'|'.join(ADJECTIVES)})\b", " "), r"\s+", " "))
-    noun = lambda w: reduce(lambda out, kv: out.when(F.lower(w) == kv[0], kv[1]), NOUNS.items(), F.when(F.lit(False), w)).otherwise(w)
     s = trim(F.array_join(F.filter(F.transform(words(s), noun), lambda w: w != ""), " "))
-    s = trim(F.regexp_replace(s, r"(?i)\s+(skills?|abilities|ability)$", ""))
-    s = trim(F.regexp_replace(s, r"(?i)^understanding\s+", ""))
-    s = reduce(lambda out, kv: out.when(F.lower(s) == kv[0], kv[1]), EXPANSIONS.items(), F.when(F.lit(False), s)).otherwise(s)
-    first = F.get(words(F.lower(s)), F.lit(0))
-    bad2 = _any([F.lower(s) == "understanding", first.isin(*ACTION_VERBS), s.rlike("(?i)that (has|have|had) been"), s.rlike("(?i)^(the )?ability to"), s.rlike(r"(?i)^(with|for) the\b")])
-    s = F.regexp_replace(s, r"(?i)^(and|or|with|the|a|an|of)\s+", "")
-    s = trim(F.regexp_replace(s, r"(?i)\s+(and|or|with|the|a|an|of)$", ""))
-    bad3 = F.coalesce(F.length(s) < 2, F.lit(True))
-    single = lambda w: F.when(F.lower(w).isin(*FIELD_NAMES), w).when(w.endswith("ications") | (w.endswith("ions") & ~w.endswith("sions")), F.regexp_replace(w, "s$", "")).otherwise(w)
-    s = F.array_join(F.transform(F.split(s, " "), single), " ")
+    s = trim(F.regexp_replace(trim(F.regexp_replace(s, r"(?i)\s+(skills?|abilities|ability)$", "")), r"(?i)^understanding\s+", ""))
+    return once(s, lambda x: F.coalesce(lookup(EXPANSIONS, F.lower(x)), x))
+
+
+def _named(s: Column) -> Column:
     low = F.lower(s)
-    meaning = F.filter(words(s), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(*FILLERS))
+    bad = _any([low == "understanding", F.get(words(low), F.lit(0)).isin(*ACTION_VERBS), s.rlike("(?i)that (has|have|had) been"), s.rlike("(?i)^(the )?ability to"), s.rlike(r"(?i)^(with|for) the\b")])
+    edged = trim(F.regexp_replace(F.regexp_replace(s, r"(?i)^(and|or|with|the|a|an|of)\s+", ""), r"(?i)\s+(and|or|with|the|a|an|of)$", ""))
+    single = lambda w: F.when(F.lower(w).isin(*FIELD_NAMES), w).when(w.endswith("ications") | (w.endswith("ions") & ~w.endswith("sions")), F.regexp_replace(w, "s$", "")).otherwise(w)
+    singular = lambda x: F.array_join(F.transform(F.split(x, " "), single), " ")
+    return F.when(bad, None).otherwise(once(edged, lambda x: F.when(F.coalesce(F.length(x) < 2, F.lit(True)), None).otherwise(once(singular(x), _specific))))
+
+
+def _specific(s: Column) -> Column:
+    """In title case, unless it is too general to be a skill."""
+    return once(F.struct(s.alias("s"), F.lower(s).alias("low"), words(F.lower(s)).alias("words"), F.filter(words(s), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(*FILLERS)).alias("meaning")), _judged)
+
+
+def _judged(x: Column) -> Column:
+    s, low, two, meaning = x["s"], x["low"], F.size(x["words"]) == 2, x["meaning"]
+    first, second = F.get(x["words"], F.lit(0)), F.get(x["words"], F.lit(1))
     alone, only = F.size(meaning) == 1, F.lower(F.get(meaning, F.lit(0)))
-    two = F.size(words(low)) == 2
-    first, second = F.get(words(low), F.lit(0)), F.get(words(low), F.lit(1))
-    bad4 = _any(
+    bad = _any(
         [
             low.isin(*TOO_GENERIC),
             F.size(meaning) < 1,
@@ -129,7 +161,7 @@ def normalize(c: Column) -> Column:
             s.rlike(r"(?i)\b(diploma|degree|certification|license|certified|licensed)\b"),
             s.rlike(r"(?i)\s+(I{1,3}V?|VI{1,3}|Iv)$"),
             s.rlike(r"(?i)\b(system|software|tool|platform)\b") & two & F.get(words(s), F.lit(0)).rlike("^[A-Z][a-z]*$"),
-            *(low.contains(x) for x in ARTIFACTS),
+            *(low.contains(k) for k in ARTIFACTS),
             s.rlike("(?i)^[a-z]-"),
             s.rlike(r"\)$") & ~s.contains("("),
             alone & low.isin(*VAGUE_ALONE),
@@ -141,14 +173,17 @@ def normalize(c: Column) -> Column:
             two & second.isin("programs", "values"),
         ]
     )
-    return F.when(bad | bad2 | bad3 | bad4, None).otherwise(F.initcap(low))
+    return F.when(bad, None).otherwise(F.initcap(low))
 
 
 def is_valid(c: Column) -> Column:
     """Whether a text names a skill and isn't a sentence, a header or a requirement. NULL is none."""
-    t = trim(c)
-    low = F.lower(t)
-    parts, cased = words(low), words(t)
+    return once(F.struct(c.alias("c"), trim(c).alias("t"), F.lower(trim(c)).alias("low"), words(F.lower(trim(c))).alias("words")), _is_valid)
+
+
+def _is_valid(x: Column) -> Column:
+    c, t, low, parts = x["c"], x["t"], x["low"], x["words"]
+    cased = words(t)
     n, first = F.size(parts), F.get(parts, F.lit(0))
     fillers = F.size(F.filter(parts, lambda w: w.isin(*FILLERS)))
     indicators = sum((F.when(low.contains(x), 1).otherwise(0) for x in SENTENCE_WORDS), F.lit(0))

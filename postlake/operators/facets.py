@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from postlake.functions import location as loc
 from postlake.operators.filters import is_active
 
 # Employment types in the order of display.
@@ -91,3 +92,44 @@ def expectations(checks: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
     """For each named check, the rows of its table and those that break it."""
     rows = [df.agg(F.lit(name).alias("check"), F.count("*").alias("rows"), F.count_if(bad).alias("broken")) for name, (df, bad) in checks.items()]
     return reduce(DataFrame.unionByName, rows)
+
+
+def place_counts(postings: DataFrame) -> DataFrame:
+    """raw, name, n and first_ord of the active postings' places: raw places are counted first, and each distinct one is parsed once."""
+    raws = exploded(postings.where(is_active()).select("ord", loc.lines(F.col("location")).alias("raws")), "raws", "raw")
+    return counts(raws, "raw").select("raw", loc.formatted(F.col("raw")).alias("name"), "n", "first_ord").where("name is not null")
+
+
+def placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` of a small dictionary with their place in an order."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def shares(counted: DataFrame, kinds: dict[str, tuple[str, int] | None]) -> DataFrame:
+    """kind, value, n and share (whole per cent of all rows, halves up) for each column of ``counted`` (c: rows); some only for their most frequent values."""
+    total = counted.agg(F.sum("c").alias("total"))
+    parts = []
+    for kind, limit in kinds.items():
+        column, most = limit or (kind, 0)
+        one = counted.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.sum("c").alias("n")).select(F.lit(kind).alias("kind"), "value", "n")
+        parts.append(one.orderBy(F.desc("n"), "value").limit(most) if most else one)
+    return reduce(DataFrame.unionByName, parts).join(F.broadcast(total)).select("kind", "value", "n", F.call_function("div", F.col("n") * 200 + F.col("total"), F.col("total") * 2).alias("share"))
+
+
+def _some(values: Column, n: int) -> Column:
+    return F.array_join(F.slice(values, 1, n), ", ")
+
+
+def page_title(roles: Column, locations: Column) -> Column:
+    parts = F.array_join(F.filter(F.array(_some(roles, 2), _some(locations, 2)), lambda x: x != ""), " - ")
+    return F.when(parts == "", "Job Opportunities").otherwise(F.concat(parts, F.lit(" Jobs")))
+
+
+def page_description(n: Column, companies: Column, locations: Column) -> Column:
+    part = lambda word, c: F.when(F.size(c) > 0, F.concat(F.lit(word), _some(c, 3)))
+    return F.concat_ws(" ", F.concat(n.cast("string"), F.lit(" jobs available")), part("at ", companies), part("in ", locations))
+
+
+def toggled(values: Column, value: str) -> Column:
+    """``values`` without ``value`` if it was there, else with it at the end."""
+    return F.when(F.array_contains(values, value), F.array_remove(values, value)).otherwise(F.array_append(values, F.lit(value)))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.plans import event_queries, facet_queries, join_queries, text_queries
+from postlake.plans import catalog_queries, event_queries, facet_queries, join_queries, text_queries
 
-_PARTS = (facet_queries, join_queries, text_queries, event_queries)
+_PARTS = (facet_queries, join_queries, text_queries, event_queries, catalog_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: sql for part in _PARTS for k, sql in part.ORACLE_SQL.items()}
