@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from postlake.llm.rows import with_ids, without_ids
+from postlake.llm.rows import split_by_ids
 from postlake.sources.scratch import Scratch
 
 RUN = 50
@@ -57,7 +57,7 @@ def runs(parts: DataFrame, places: DataFrame) -> DataFrame:
 
     ``places`` (doc_id, version, low, high) names the documents to look at and the first and last gram there that occurs twice.
     """
-    lines = _lines(parts.join(places, ["doc_id", "version"]), "low", "high")
+    lines = _lines(parts.join(places.hint("merge"), ["doc_id", "version"]), "low", "high")
     doc = Window.partitionBy("doc_id", "version")
 
     def run(stretch, whole: Column) -> Column:
@@ -91,7 +91,7 @@ def dedupe_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataFr
     A row without doc_id or without words stays as it is and is no source; a null text stays null, with no lines.
     Rows that repeat a doc_id and its text count as one document and are shortened alike; one doc_id with
     several texts counts as several documents, in the order of their hashes. Ties can't occur: places are ordered by document and line.
-    Long texts are taken whole; a window holds one document's lines, which may spill. An empty table gives none. Columns of the
+    The joins with documents are merge joins at every size, as the other side grows with the corpus. Long texts are taken whole; a window holds one document's lines, which may spill. An empty table gives none. Columns of the
     input stay, whatever their names; any named n_lines or removed are replaced.
     """
     scratch = scratch or Scratch(documents.sparkSession, "lines")
@@ -99,10 +99,12 @@ def dedupe_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataFr
     versions = documents.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("version"), line_parts(F.col("text")).alias("parts")).where(F.size("parts") > 0)
     parts = scratch.table(versions.dropDuplicates(["doc_id", "version"]), "parts")
     gone = scratch.table(removed_lines(parts, scratch).withColumnRenamed("doc_id", "gone id").withColumnRenamed("version", "gone version").withColumnRenamed("removed", "gone lines"), "gone")
-    ids = gone.select(F.col("gone id").alias("doc_id"))
-    touched = with_ids(documents, ids).join(gone, (F.col("doc_id") == F.col("gone id")) & (F.xxhash64("text") == F.col("gone version")), "left")
     lines, none = F.split("text", "\n"), F.array().cast("array<int>")
+    own = [F.col(f"`{c}`") for c in documents.columns]
+    counted = F.coalesce(F.size(lines), F.lit(0)).alias("n_lines")
+    maybe, untouched = split_by_ids(documents, gone.select(F.col("gone id").alias("doc_id")))
+    joined = maybe.join(gone.hint("merge"), (F.col("doc_id") == F.col("gone id")) & (F.xxhash64("text") == F.col("gone version")), "left")
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone lines", i)), "\n")
-    counted = F.coalesce(F.size(lines), F.lit(0))
-    shortened = touched.select(*(F.when(F.col("gone lines").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns), counted.alias("n_lines"), F.coalesce("gone lines", none).alias("removed"))
-    return without_ids(documents, ids).select(*(F.col(f"`{c}`") for c in documents.columns), counted.alias("n_lines"), none.alias("removed")).unionByName(shortened)
+    text = F.when(F.col("gone lines").isNull(), F.col("text")).otherwise(rest).alias("text")
+    out = joined.select(*(text if c == "text" else x for c, x in zip(documents.columns, own)), counted, F.coalesce("gone lines", none).alias("removed"))
+    return out if untouched is None else untouched.select(*own, counted, none.alias("removed")).unionByName(out)

@@ -36,25 +36,29 @@ def _few(ids: DataFrame) -> bool:
     return ids.count() <= SLOTS // 4
 
 
-def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``, which should be a written table: it is read several times.
+def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ``docs`` among which are all whose doc_id is in ``ids``, and the rest. ``ids`` should be a written table: it is read twice.
 
-    Up to ``SLOTS / 4`` ids a broadcast of their slots leaves most other rows out before the join; with more ids, which is
-    counted first, it would let most rows through, and all rows are joined.
+    Up to ``SLOTS / 4`` ids a broadcast of their slots tells them apart with few mistakes, and without moving a text; with more ids,
+    which are counted first, it would tell little: then all rows come first, and there is no rest.
     """
-    maybe = docs.join(_slots(ids), _slot() == F.col(_SLOT), "left_semi") if _few(ids) else docs
+    if not _few(ids):
+        return docs, None
+    slots = _slots(ids)
+    return docs.join(slots, _slot() == F.col(_SLOT), "left_semi"), docs.join(slots, _slot() == F.col(_SLOT), "left_anti")
+
+
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``ids``."""
+    maybe, _ = split_by_ids(docs, ids)
     return maybe.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id isn't in ``ids``, those without doc_id included; by the same two ways."""
-    rest = ids.select("doc_id").distinct()
-    if not _few(ids):
-        return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
-    slots = _slots(ids)
-    sure = docs.join(slots, _slot() == F.col(_SLOT), "left_anti")
-    maybe = docs.join(slots, _slot() == F.col(_SLOT), "left_semi").join(rest, "doc_id", "left_anti")
-    return sure.unionByName(maybe.select(*docs.columns))
+    """Rows of ``docs`` whose doc_id isn't in ``ids``, those without doc_id included."""
+    maybe, sure = split_by_ids(docs, ids)
+    maybe = maybe.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return maybe if sure is None else sure.unionByName(maybe)
 
 
 def add_columns(docs: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
