@@ -6,15 +6,19 @@ item are aligned: an occurrence is a chain of hits that go on in both texts, bes
 less place in the item), with a step to another one where words were put in or left out. It counts if its windows cover at
 least 0.8 of the item's words and its placeholders are filled consistently: equal values of the item stand for equal values of
 the document and the other way round. An exact copy fills each with itself; a re-parameterised question fills them with others.
+An item of fewer than five words is too little to be found inside a text: it counts where a line of the document consists of its words.
 
-The windows of the benchmark are counted first. Up to ``BROADCAST`` their sorted hashes (8 bytes each) go to the
-tasks, which then pass on matching windows only; a larger benchmark gets every window of the corpus in the join.
+The hash join is one against a table of windows that every task holds: benchmark items are cut into parts of about ``PART`` words
+(some 30 bytes each), counted first, and each part takes a pass over the documents. Windows that many items share, such as the
+phrases of a prompt, don't multiply documents by items: an item is looked at only if a document holds one of its anchors, its
+rarest windows, chosen so that the others cover less than 0.8 of it. So an occurrence always has one, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,7 +33,8 @@ WINDOW = 5
 COVERED = 0.8
 #: Share of placeholder fillings that may contradict others, as a word may be misspelt.
 CONTRADICTIONS = 0.1
-BROADCAST = 4_000_000
+#: Words of benchmark items that a task holds at once.
+PART = 1_000_000
 # Number words and units.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
 UNITS = frozenset("mm cm m km inch inches in foot feet ft yard yards yd mile miles mi mg g kg gram grams kilogram kilograms ounce ounces oz pound pounds lb lbs ton tons ml l litre litres liter liters gallon gallons ms s sec second seconds min minute minutes h hour hours day days week weeks month months year years mph kph hz w kw watt watts v volt volts a amp amps j joule joules n pa bar percent dollar dollars euro euros cent cents usd eur degree degrees".split())
@@ -62,32 +67,127 @@ def template(text: str | None, cache: WordTable) -> tuple[np.ndarray, np.ndarray
     return np.where(kinds > 0, _KIND[kinds], value), value, kinds
 
 
-def _windows_of(column_id: str, wanted):
-    """Emits (id, hash, pos, n, values) for each window, or for those whose hash is in ``wanted`` (a broadcast)."""
+def _words_of(benchmark: DataFrame) -> DataFrame:
+    """item_id, shape and slots (0: a plain word) of each distinct item with a word."""
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordTable(each(_describe), (np.uint64, np.bool_, np.bool_, np.int64))
-        known = None if wanted is None else wanted.value
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = _cache()
         for batch in batches:
-            ids, found, at, lengths, values = [], [], [], [], []
-            for key, text in zip(batch[column_id], batch["text"]):
+            rows = []
+            for key, text in zip(batch["item_id"], batch["text"]):
                 shape, value, kinds = template(text, cache)
-                size = min(WINDOW, len(shape)) if known is None or len(shape) >= WINDOW else 0
-                if not size:
+                if len(shape):
+                    rows.append((key, shape.tobytes(), value.tobytes(), np.where(kinds > 0, value, 0).astype(np.uint64).tobytes(), len(shape)))
+            yield pd.DataFrame(rows, columns=["item_id", "shape", "value", "slots", "n"])
+
+    items = benchmark.where("item_id is not null").select("item_id", "text").distinct()
+    return items.mapInPandas(describe, "item_id long, shape binary, value binary, slots binary, n int")
+
+
+class Items:
+    """A part of the benchmark: windows by item, anchors by hash, short items by the hash of their words."""
+
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values(["item_id", "value"], kind="stable")
+        read = lambda k: [np.frombuffer(x, dtype=np.uint64) for x in rows[k]]
+        shapes, values, slots, ids = read("shape"), read("value"), read("slots"), rows["item_id"].tolist()
+        long = [k for k, x in enumerate(shapes) if len(x) >= WINDOW]
+        self.ids, self.words = [ids[k] for k in long], np.array([len(shapes[k]) for k in long], dtype=np.int64)
+        self.slots, hashes = [slots[k].view(np.int64) for k in long], [windows(shapes[k], WINDOW) for k in long]
+        self.hashes = hashes
+        self.anchors, self.begin, self.of = self._anchors()
+        self.short: dict[int, list[tuple[int, int, int]]] = {}
+        for k, x in enumerate(values):
+            if len(x) < WINDOW:
+                self.short.setdefault(int(windows(x, len(x))[0]) ^ len(x), []).append((ids[k], len(x), int(np.count_nonzero(slots[k]))))
+
+    def _anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted hashes of the anchors, and for each where its items begin in the list of items.
+
+        A window is an anchor of an item if at most as many items share it as an item-wise limit says: the least power of two for which
+        the windows above it cover too little of the item.
+        """
+        n = len(self.ids)
+        of = np.repeat(np.arange(n), [len(x) for x in self.hashes])
+        pos = np.concatenate([np.arange(len(x)) for x in self.hashes]) if n else np.empty(0, dtype=np.int64)
+        names, place = np.unique(np.concatenate(self.hashes) if n else np.empty(0, dtype=np.uint64), return_inverse=True)
+        pairs = np.unique(place * max(n, 1) + of)
+        shared = np.bincount(pairs // max(n, 1), minlength=len(names))[place]
+        limit, most = np.zeros(n, dtype=np.int64), 1
+        while (limit == 0).any():
+            above = shared > most
+            at, item = pos[above], of[above]
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = item[1:] != item[:-1]
+            step = np.where(new, WINDOW, np.minimum(np.diff(at, prepend=0), WINDOW))
+            covered = np.bincount(item, step, minlength=n)
+            limit[(limit == 0) & (covered < COVERED * self.words)] = most
+            most *= 2
+        anchor = shared <= limit[of]
+        pairs = np.unique(place[anchor] * max(n, 1) + of[anchor])
+        k, begin = np.unique(pairs // max(n, 1), return_index=True)
+        return names[k], np.append(begin, len(pairs)), pairs % max(n, 1)
+
+    def near(self, h: np.ndarray) -> np.ndarray:
+        """The items of which the windows hold an anchor."""
+        if not len(self.anchors):
+            return np.empty(0, dtype=np.int64)
+        k = np.minimum(np.searchsorted(self.anchors, h), len(self.anchors) - 1)
+        k = np.unique(k[self.anchors[k] == h])
+        return np.unique(np.concatenate([self.of[self.begin[x] : self.begin[x + 1]] for x in k])) if len(k) else np.empty(0, dtype=np.int64)
+
+
+def _cache() -> WordTable:
+    return WordTable(each(_describe), (np.uint64, np.bool_, np.bool_, np.int64))
+
+
+def _short_lines(text: str, items: Items, cache: WordTable) -> Iterator[tuple[int, int, float, int, bool]]:
+    """Lines that are a short item, word for word."""
+    start = 0
+    for line in text.split("\n"):
+        value = cache.rows(line.split())[0]
+        value = value[value != 0]
+        if 0 < len(value) < WINDOW:
+            for item, n, n_slots in items.short.get(int(windows(value, len(value))[0]) ^ len(value), ()):
+                if n == len(value):
+                    yield item, start, 1.0, n_slots, True
+        start += len(value)
+
+
+def _finder(sent):
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items, cache = sent.value, _cache()
+        offsets = np.arange(WINDOW)
+        for batch in batches:
+            out = []
+            for doc, text in zip(batch["doc_id"], batch["text"]):
+                if not text:
+                    continue
+                if items.short:
+                    out += [(doc, *x) for x in _short_lines(text, items, cache)]
+                shape, value, kinds = template(text, cache)
+                h = windows(shape, WINDOW)
+                found = items.near(h)
+                if not len(found):
                     continue
-                h = windows(shape, size)
-                keep = np.arange(len(h))
-                if known is not None:
-                    k = np.searchsorted(known, h)
-                    k[k == len(known)] = 0
-                    keep = keep[known[k] == h] if len(known) else keep[:0]
                 slots = np.where(kinds > 0, value, 0).astype(np.uint64).view(np.int64)
-                for p in keep.tolist():
-                    ids.append(key), found.append(h[p]), at.append(p), lengths.append(len(shape)), values.append(slots[p : p + size])
-            if ids:
-                yield pd.DataFrame({"id": ids, "hash": np.array(found, dtype=np.uint64).view(np.int64), "pos": at, "n": lengths, "slots": values})
+                order = np.argsort(h, kind="stable")
+                in_order = h[order]
+                for k in found.tolist():
+                    wanted = items.hashes[k]
+                    lo, hi = np.searchsorted(in_order, wanted), np.searchsorted(in_order, wanted, side="right")
+                    hit = np.flatnonzero(hi > lo)
+                    if not len(hit) or WINDOW + np.minimum(np.diff(hit), WINDOW).sum() < COVERED * items.words[k]:
+                        continue
+                    times = (hi - lo)[hit]
+                    i = np.repeat(hit, times)
+                    d = order[np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())]
+                    given, asked = slots[d[:, None] + offsets], items.slots[k][i[:, None] + offsets]
+                    out += [(doc, items.ids[k], *x) for x in _alignments(d, i, given, asked, int(items.words[k]))]
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "start", "covered", "n_slots", "exact"])
 
-    return emit
+    return find
 
 
 def _chains(d: np.ndarray, i: np.ndarray, item_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,43 +251,22 @@ def _alignments(d: np.ndarray, i: np.ndarray, given: np.ndarray, asked: np.ndarr
         d, i, given, asked = d[~used], i[~used], given[~used], asked[~used]
 
 
-def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for doc, item, n, d, i, given, asked in batch.itertuples(index=False):
-            given, asked = np.array(list(given), dtype=np.int64), np.array(list(asked), dtype=np.int64)
-            out += [(doc, item, *x) for x in _alignments(np.asarray(d, dtype=np.int64), np.asarray(i, dtype=np.int64), given, asked, n)]
-        yield pd.DataFrame(out, columns=["doc_id", "item_id", "start", "covered", "n_slots", "exact"])
-
-
-_SCHEMA = "id long, hash long, pos int, n int, slots array<long>"
-
-
 def find_leaks(documents: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, item_id, start (word among the document's), covered, n_slots, exact: one row per occurrence found.
 
-    ``documents`` needs doc_id and text, ``benchmark`` item_id and text; null texts have no words, rows without an id
-    are skipped. An item with under five words is never found, as such windows are no evidence. Repeated rows count once. No rows
-    if either table is empty.
+    ``documents`` needs doc_id and text, ``benchmark`` item_id and text; others are ignored, whatever their names. Null and empty texts
+    have no words, rows without an id are skipped. Long texts are read whole. Repeated rows count once, and so do ties of equal alignments. No
+    rows if either table is empty.
     """
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark, "leaks")
     bounded_batches(spark)
-    items = benchmark.where("item_id is not null").select("item_id", "text").distinct().mapInPandas(_windows_of("item_id", None), _SCHEMA).where(F.col("n") >= WINDOW)
-    items = scratch.table(items.select(F.col("id").alias("item_id"), "hash", F.col("pos").alias("item_pos"), F.col("n").alias("item_words"), F.col("slots").alias("item_slots")), "items")
-    hashes = items.select("hash").distinct()
-    wanted = None
-    if hashes.count() <= BROADCAST:  # 32 MB at most
-        known = np.sort(hashes.toPandas()["hash"].to_numpy(dtype=np.int64).view(np.uint64))
-        wanted = spark.sparkContext.broadcast(known)
+    items = scratch.table(_words_of(benchmark), "items")
+    total = items.agg(F.sum("n").alias("n")).first()["n"] or 0
     docs = documents.where("doc_id is not null").select("doc_id", "text")
-    found = docs.mapInPandas(_windows_of("doc_id", wanted), _SCHEMA).select(F.col("id").alias("doc_id"), "hash", F.col("pos").alias("doc_pos"), F.col("slots").alias("doc_slots"))
-    hits = scratch.table(found.join(items, "hash").drop("hash"), "hits")
-
-    # a document's hits on an item; all together must cover enough of the item
-    hit = F.struct("doc_pos", "item_pos", "doc_slots", "item_slots")
-    groups = hits.groupBy("doc_id", "item_id", "item_words").agg(F.collect_set(hit).alias("hits"))
-    at = F.array_sort(F.array_distinct("hits.item_pos"))
-    most = F.aggregate(at, F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")), lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(WINDOW), p - s["last"])).alias("n")), lambda s: s["n"])
-    groups = groups.where(most >= COVERED * F.col("item_words")).select("doc_id", "item_id", "item_words", *(F.col(f"hits.{k}").alias(k) for k in ("doc_pos", "item_pos", "doc_slots", "item_slots")))
-    return groups.mapInPandas(_occurrences, "doc_id long, item_id long, start int, covered double, n_slots int, exact boolean").distinct()
+    schema, parts = "doc_id long, item_id long, start int, covered double, n_slots int, exact boolean", -(-total // PART)
+    found = []
+    for k in range(parts):
+        part = items.where(F.pmod(F.xxhash64("item_id", "value"), F.lit(parts)) == k).toArrow().to_pandas()  # about PART words
+        found.append(docs.mapInPandas(_finder(spark.sparkContext.broadcast(Items(part))), schema))
+    return reduce(DataFrame.unionByName, found).distinct() if found else spark.createDataFrame([], schema)

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from postlake.llm import html_text, license_scan, near_duplicates, words
+from postlake.llm import decontamination, html_text, license_scan, near_duplicates, words
 from postlake.llm.decontamination import find_leaks
 from postlake.llm.line_dedup import RUN, dedupe_lines
 from postlake.llm.quality_rules import quality_rules
@@ -189,6 +189,47 @@ def test_decontamination(spark):
     assert find_leaks(docs_of(spark, []), bench).count() == 0 and find_leaks(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_against_all_pairs(spark, monkeypatch):
+    """Every window of every item against every window of every document, in one part and in many."""
+    rng = random.Random(12)
+    prompt = "please answer the following question with one word only".split()
+    vocabulary = [*made_words(rng, 30), "Paris", "London", "Ada", "3", "17", "42", "kg", "km"]
+    items = [(k, " ".join([*(prompt if k % 2 else []), *(rng.choice(vocabulary) for _ in range(rng.randint(3, 40)))])) for k in range(60)]
+    items += [(100, "x " * 5 + "3 4 5 6 7 8 9 10"), (101, "only three words"), (102, "1"), (103, ""), (104, None), (100, "x " * 5 + "3 4 5 6 7 8 9 10")]
+    docs = []
+    for k in range(150):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 2)):
+            copied = (rng.choice(items)[1] or "").split()
+            for j in range(len(copied)):
+                if rng.random() < 0.03:
+                    copied[j] = rng.choice(vocabulary)
+            w += copied + rng.choices(vocabulary, k=3)
+        docs.append((k, " ".join(w)))
+    docs += [(500, "first line\nOnly three words.\nlast"), (501, "not only three words"), (502, "word " * 60_000 + items[0][1] + " word" * 60_000), (503, None)]
+    cache, wanted = decontamination._cache(), set()
+    for d, text in docs:
+        shape, value, kinds = decontamination.template(text, cache)
+        slots = np.where(kinds > 0, value, 0).astype(np.uint64).view(np.int64)
+        h = words.windows(shape, 5).tolist() if len(shape) < 1000 else []
+        for i, item in items:
+            other, v, k2 = decontamination.template(item, cache)
+            if len(other) < 5 or not h:
+                continue
+            asked = np.where(k2 > 0, v, 0).astype(np.uint64).view(np.int64)
+            pairs = [(a, b) for a, x in enumerate(h) for b, y in enumerate(words.windows(other, 5).tolist()) if x == y]
+            if pairs:
+                at, of = np.array(pairs).T
+                wanted |= {(d, i, *x) for x in decontamination._alignments(at, of, slots[at[:, None] + np.arange(5)], asked[of[:, None] + np.arange(5)], len(other))}
+    wanted |= {(500, 101, 2, 1.0, 1, True)}  # three is a number
+    bench = spark.createDataFrame([(i, t, "clash", 0) for i, t in items] + [(None, "a b c d e f", "", 0)], "item_id long, text string, start string, n int")
+    for part in (1_000_000, 60):
+        monkeypatch.setattr(decontamination, "PART", part)
+        found = {tuple(r) for r in find_leaks(docs_of(spark, docs + docs[:5]), bench).collect()}
+        assert {x for x in found if x[0] == 502} and {x for x in found if x[0] != 502} == wanted
+    assert len(wanted) > 100
+
+
 def test_decontamination_of_items_with_equal_windows(spark):
     """A run of numbers and a repeated phrase: windows of a document hit several places of the item."""
     rng = random.Random(7)
