@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+#: Files of a small table for each core of the cluster.
+FILES_PER_CORE = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,9 +45,14 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` once and reads it back."""
+    def table(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """Writes ``df`` once and reads it back. A ``small`` table, of ids or links without texts, gets ``FILES_PER_CORE`` files per core at most.
+
+        Else tables of few rows would become as many files as there are shuffle partitions, in every round of an iteration.
+        """
         path = f"{self.root}/{name}"
+        if small:
+            df = df.coalesce(FILES_PER_CORE * self.spark.sparkContext.defaultParallelism)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
