@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, functions as F
 
 from postlake.sources.scratch import Scratch
@@ -16,16 +18,15 @@ def connected_components(links: DataFrame, scratch: Scratch, label: str) -> Data
     is split by adaptive execution. No links give an empty table.
     """
     both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct()
-    both = scratch.table(both, f"{label}-links")
-    labels = scratch.table(both.groupBy("id").agg(F.least("id", F.min("other")).alias("component")), f"{label}-0")
-    for k in range(1, 64):
+    both = scratch.table(both, f"{label}-links", small=True)
+    labels = scratch.table(both.groupBy("id").agg(F.least("id", F.min("other")).alias("component")), f"{label}-0", small=True)
+    for k in itertools.count(1):
         near = both.join(labels.select(F.col("id").alias("other"), F.col("component").alias("seen")), "other").groupBy("id").agg(F.min("seen").alias("seen"))
         nearer = labels.join(near, "id").select("id", "component", F.least("component", "seen").alias("next"))
         jumped = nearer.join(labels.select(F.col("id").alias("next"), F.col("component").alias("beyond")), "next", "left")
-        new = scratch.table(jumped.select("id", F.least("next", F.coalesce("beyond", "next")).alias("component"), (F.least("next", F.coalesce("beyond", "next")) != F.col("component")).alias("moved")), f"{label}-{k}")
+        new = scratch.table(jumped.select("id", F.least("next", F.coalesce("beyond", "next")).alias("component"), (F.least("next", F.coalesce("beyond", "next")) != F.col("component")).alias("moved")), f"{label}-{k}", small=True)
         scratch.drop(f"{label}-{k - 1}")
         moving = new.where("moved").limit(1).count()
         labels = new.select("id", "component")
         if not moving:
-            break
-    return labels
+            return labels

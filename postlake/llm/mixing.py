@@ -12,6 +12,8 @@ Gram matrix of the domains over documents with positive rates, which comes from
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -23,6 +25,8 @@ from postlake.sources.scratch import Scratch
 SAMPLE = 10_000
 EPOCHS = 8
 ROUNDS = 40
+#: Relative distance of a domain's tokens from its target beyond which a warning says so.
+FAR = 0.01
 #: What the mean squared distance of rates from 1 weighs against squared distances of shares; it decides where targets can't be met.
 CLOSE = 1e-4
 #: Domain, the condition on the labels that makes it, and its target share of the tokens.
@@ -119,6 +123,8 @@ def fit_rates(judged: DataFrame, shares: list[float], rounds: int = ROUNDS) -> t
         last = float(np.linalg.norm(gap))
         gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] / total for j in range(d)] for i in range(d)])
         y = y + step * np.linalg.solve(gram + 1e-7 * np.eye(d), gap)
+    if best_size > FAR:
+        warnings.warn(f"no rates found within {rounds} rounds that bring every domain within {FAR:.0%} of its target: the farthest is {best_size:.2%} off", stacklevel=2)
     return best_y, best_size
 
 

@@ -243,14 +243,14 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, percen
     docs = documents.select("doc_id", "text")
     sketches = scratch.table(docs.mapInPandas(_sketch, "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketches")
     classes = sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    classes = scratch.table(classes, "classes")
+    classes = scratch.table(classes, "classes", small=True)
     heads = sketches.join(classes.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "bands", "n_shingles")
     heads = scratch.table(heads.distinct(), "heads")
 
     rows = heads.select("id", F.posexplode("bands").alias("band", "packed")).where("packed <> 0").select("id", "band", F.xxhash64("band", "packed").alias("key")).distinct()
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = scratch.table(rows.join(shared, "key"), "rows")
-    central = scratch.table(rows.groupBy("id").agg(F.sum("n").alias("met")), "central")
+    central = scratch.table(rows.groupBy("id").agg(F.sum("n").alias("met")), "central", small=True)
     rows = scratch.table(rows.join(central, "id"), "ranked")
     scratch.drop("rows")
 
@@ -264,14 +264,14 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, percen
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         near = pairs.distinct().join(heads.select(F.col("id").alias("b"), F.col("bands").alias("bands_b")), "b").join(heads.select(F.col("id").alias("a"), F.col("bands").alias("bands_a")), "a")
-        near = scratch.table(near.mapInPandas(_close_enough(percent / 100), "a long, b long"), "near")
+        near = scratch.table(near.mapInPandas(_close_enough(percent / 100), "a long, b long"), "near", small=True)
         sets = sets_of(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct(), "near-sets")
         salts = near.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
         partners = near.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
         partners = partners.join(sets.select(F.col("id").alias("b"), "shingles"), "b").select("a", "salt", "b", "shingles")
         hubs = salts.join(sets.select(F.col("id").alias("a"), "shingles"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles")
         rows = hubs.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-        return scratch.table(rows.mapInPandas(_confirm(percent), "a long, b long"), "links")
+        return scratch.table(rows.mapInPandas(_confirm(percent), "a long, b long"), "links", small=True)
 
     small = rows.where(F.col("n") <= SMALL)
     within = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
@@ -292,13 +292,13 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, percen
     members = members.withColumn("chunk", chunk).select("family", "id", "component", "bands", "n_shingles", "chunk")
     sizes = members.groupBy("family", "chunk").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n_shingles") * 8 / CHUNK_BYTES)).cast("int").alias("pieces"))
     members = scratch.table(members.join(sizes, ["family", "chunk"]).select("family", "id", "component", "bands", "chunk", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece")), "members")
-    one = scratch.table(members.select("family", F.struct("chunk", "piece").alias("x")).distinct(), "chunks")
+    one = scratch.table(members.select("family", F.struct("chunk", "piece").alias("x")).distinct(), "chunks", small=True)
     blocks = one.join(one.select("family", F.col("x").alias("y")), "family").where("x <= y and abs(x.chunk.step - y.chunk.step) <= 1 and not (x.chunk.of = y.chunk.of and not x.chunk.many and not y.chunk.many)")
     blocks = blocks.select("family", "x", "y", F.xxhash64("x", "y").alias("block"), (F.col("x") == F.col("y")).alias("inner"))
     sides = blocks.select("family", "block", "inner", F.col("x").alias("at"), F.lit(0).alias("side")).unionByName(blocks.where("not inner").select("family", "block", "inner", F.col("y").alias("at"), F.lit(1).alias("side")))
     rows = members.withColumn("at", F.struct("chunk", "piece")).join(sides, ["family", "at"]).join(sets_of(members.select("id"), "member-sets"), "id")
     rows = rows.select("family", "block", "inner", "side", "id", "component", "bands", "shingles").repartition("family", "block").sortWithinPartitions("family", "block")
-    more = scratch.table(rows.mapInPandas(_compare(percent), "a long, b long"), "family-links")
+    more = scratch.table(rows.mapInPandas(_compare(percent), "a long, b long"), "family-links", small=True)
     if more.limit(1).count():
         components = connected_components(links.unionByName(more), scratch, "cc-all")
 
