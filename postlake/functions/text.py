@@ -29,7 +29,7 @@ BULLET = r"^(?:[•\-*▪]|o |[0-9]+\.)"
 
 def trim(c: Column) -> Column:
     """Strips all white space, not only blanks."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def or_default(c: Column, value) -> Column:
@@ -141,8 +141,8 @@ def is_section_header(line: Column) -> Column:
     """A line that ends in a colon, or is short and in capitals, and holds a known header."""
     t = trim(line)
     low = F.lower(t)
-    body = F.when(low.endswith(":"), F.regexp_replace(low, ":$", "")).when((t == F.upper(t)) & (F.length(t) < 50), low)
-    return F.coalesce(reduce(lambda a, b: a | b, (body.contains(h) for h in SECTION_HEADERS)), F.lit(False))
+    body = F.when(low.endswith(":"), F.regexp_replace(low, ":$", "")).when((F.length(t) < 50) & (t == F.upper(t)), low)
+    return F.coalesce(body.rlike("|".join(SECTION_HEADERS)), F.lit(False))
 
 
 def is_bullet(line: Column) -> Column:

@@ -74,12 +74,12 @@ def group_rank(label: Column) -> Column:
     return F.when(label.startswith("United States"), 0).when(label.isin("Offshore", "Remote", "Other", "Unknown"), 2).otherwise(1)
 
 
-def match_statistics(matched: DataFrame, role: str, level: str) -> DataFrame:
-    """Rows (kind, value, n, n_matched): counts by role, by confidence and over all rows.
+def match_statistics(matched: DataFrame, role: str, level: str, times: str | None = None) -> DataFrame:
+    """Rows (kind, value, n, n_matched): counts by role, by confidence and over all rows; ``times`` is a column that says how often a row counts.
 
     Rows are counted per pair first; the groupings then work on a few rows.
     """
-    pairs = matched.groupBy(role, level).agg(F.count("*").alias("c"))
+    pairs = matched.groupBy(role, level).agg((F.sum(times) if times else F.count("*")).alias("c"))
     hit = F.when(F.col(role).isNotNull(), F.col("c")).otherwise(0)
     sums = [F.sum("c").alias("n"), F.sum(hit).alias("n_matched")]
     parts = pairs.groupingSets([[F.col(role)], [F.col(level)]], F.col(role), F.col(level)).agg(*sums, F.grouping(role).alias("by_level"))

@@ -75,6 +75,34 @@ def roles_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("category", "category_label", "place").agg(F.array_join(F.sort_array(F.collect_list("role_id")), ",").alias("roles"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).orderBy("place")
 
 
+def _sql_keyword(column: str) -> str:
+    """What the first fitting alternative of the first fitting role matches."""
+    first = lambda alternatives: "coalesce(" + ", ".join(f"nullif(regexp_extract({column}, '(?i)({role.plain(x)})', 1), '')" for x in alternatives) + ")"
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{role.pattern(r[3])}') THEN {first(r[3])}" for r in role.ROLES) + " END"
+
+
+@query(f"WITH {POSTINGS}, t AS (SELECT DISTINCT title FROM postings) SELECT title, {_case('title', 1)} AS role_name, {_sql_keyword('title')} AS keyword FROM t")
+def role_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = role.match_titles(postings(spark, sf_dir).select("title").distinct())
+    return titles.select("title", "match.role_name", "match.keyword")
+
+
+@query(
+    f"""WITH {POSTINGS}, p AS (SELECT id, title, {_case('title', 0)} AS word, CASE WHEN id % 7 < 3 THEN {sql_pick(CODES, 'id')} END AS code FROM postings),
+    c AS (SELECT id, word, code, {_ROLE_OF_CODE} END AS coded FROM p)
+    SELECT id, CASE WHEN quality = 1 THEN 'welder' ELSE coalesce(coded, word, 'other') END AS role_id, CASE WHEN quality = 1 THEN 'mapping' WHEN coded IS NOT NULL THEN 'code' WHEN word IS NOT NULL THEN 'keyword' ELSE 'none' END AS how
+    FROM c LEFT JOIN labels ON doc_id = id"""
+)
+def role_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A posting's role: the mapped one, else that of its occupation code, else that of its title, else the rest role."""
+    mapping = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), F.lit("welder").alias("mapped"))
+    code = F.when(F.col("id") % 7 < 3, pick(CODES, F.col("id")))
+    posts = role.match_titles(postings(spark, sf_dir).select("id", "title", F.nullif(role.of_code(code, F.lit("")), F.lit("other")).alias("coded")))
+    posts = posts.select("id", "coded", F.col("match.role_id").alias("keyword")).join(mapping, "id", "left")
+    how = F.when(F.col("mapped").isNotNull(), "mapping").when(F.col("coded").isNotNull(), "code").when(F.col("keyword").isNotNull(), "keyword").otherwise("none")
+    return posts.select("id", F.coalesce("mapped", "coded", "keyword", F.lit("other")).alias("role_id"), how.alias("how"))
+
+
 #: Remote answers on parts: a role or one that doesn't exist, and a confidence.
 ANSWERS, LEVELS = ("welder", "geologist", "no-such-role", "drilling-operations"), ("high", "medium", "low", "none")
 _DECIDED = f"""WITH {_PART_CODES},

@@ -66,7 +66,7 @@ def facet_employment_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {POSTINGS}, {PLACES} SELECT DISTINCT name FROM places")
 def facet_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.distinct_elements(with_names(postings(spark, sf_dir)), "location_names", "name")
+    return facets.place_counts(postings(spark, sf_dir)).select("name").distinct()
 
 
 @query(
@@ -91,7 +91,8 @@ def facet_terms_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {POSTINGS}, {PLACES} SELECT name, count(*) AS n FROM places GROUP BY name ORDER BY n DESC, min(ord), name LIMIT 10")
 def top_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.top_elements(with_names(postings(spark, sf_dir)), "location_names", "name", 10)
+    counts = facets.place_counts(postings(spark, sf_dir)).groupBy("name").agg(F.sum("n").alias("n"), F.min("first_ord").alias("first_ord"))
+    return counts.orderBy(F.desc("n"), "first_ord", "name").limit(10).select("name", "n")
 
 
 @query(
@@ -117,7 +118,7 @@ def top_skills_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT country, region, array_to_string(list_sort(list(DISTINCT name)), ';') AS names FROM g GROUP BY country, region"""
 )
 def group_country_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = facets.distinct_elements(with_names(postings(spark, sf_dir)), "location_names", "name").withColumn("k", loc.group_keys(F.col("name")))
+    names = facets.place_counts(postings(spark, sf_dir)).select("name").distinct().withColumn("k", loc.group_keys(F.col("name")))
     return names.groupBy(F.col("k.country").alias("country"), F.coalesce("k.region", F.lit("Cities")).alias("region")).agg(F.array_join(F.sort_array(F.collect_set("name")), ";").alias("names"))
 
 

@@ -120,8 +120,8 @@ def all_pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'confidence', c, count(*), count(r) FROM m WHERE c IS NOT NULL GROUP BY c"""
 )
 def match_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = postings(spark, sf_dir).select(role.match(F.col("title")).alias("m")).select("m.role_id", "m.confidence")
-    return facets.match_statistics(matched, "role_id", "confidence")
+    titles = role.match_titles(postings(spark, sf_dir).groupBy("title").agg(F.count("*").alias("c")))
+    return facets.match_statistics(titles.select("match.role_id", "match.confidence", "c"), "role_id", "confidence", "c")
 
 
 #: Cities of the regions stand in for customers' places: each customer's key picks one.
@@ -206,7 +206,7 @@ def reference_term_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def role_resolution_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), F.lit("welder").alias("mapped"))
-    matched = postings(spark, sf_dir).select("id", role.match(F.col("title"))["role_id"].alias("keyword")).join(mapping, "id", "left")
+    matched = role.match_titles(postings(spark, sf_dir).select("id", "title")).select("id", F.col("match.role_id").alias("keyword")).join(mapping, "id", "left")
     how = F.when(F.col("mapped").isNotNull(), "mapping").when(F.col("keyword").isNotNull(), "keyword").otherwise("none")
     return matched.select("id", F.coalesce("mapped", "keyword", F.lit("other")).alias("role_id"), how.alias("how"))
 
@@ -216,7 +216,9 @@ def role_resolution_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     active = postings(spark, sf_dir).where(facets.is_active())
-    return active.groupBy(F.coalesce(role.match(F.col("title"))["role_id"], F.lit("other")).alias("role_id")).agg(F.count("*").alias("n")).withColumn("last", F.col("role_id") == "other").orderBy("last", F.desc("n"), "role_id")
+    titles = role.match_titles(active.groupBy("title").agg(F.count("*").alias("c")))
+    counts = titles.groupBy(F.coalesce("match.role_id", F.lit("other")).alias("role_id")).agg(F.sum("c").alias("n"))
+    return counts.withColumn("last", F.col("role_id") == "other").orderBy("last", F.desc("n"), "role_id")
 
 
 @query(
