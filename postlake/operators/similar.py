@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Words that don't count in fuzzy matches.
 STOP_WORDS = ("and", "the", "for", "with", "from", "into", "that", "this", "have", "has", "been", "are", "was", "were", "will", "can", "may")
@@ -25,6 +25,32 @@ def similar_to(postings: DataFrame, key: int, n: int = 5, active: Column | None
     return ranked.orderBy("tier", F.desc("score"), "ord").limit(n).select("id", "tier", "score")
 
 
+def most_similar(postings: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
+    """query_id, id, tier and score of the n postings most like each query (both: id, ord, company, skills, places), itself left out.
+
+    A company's other postings come first, in their order, so n + 1 per company are enough for all its queries. Only queries that
+    these don't fill go on to postings of other companies: 2 for a shared place and 1 for each shared skill, found by equi-joins
+    on places and skills; postings without either never meet.
+    """
+    place = Window.partitionBy("company").orderBy("ord")
+    first = postings.select("company", "id", "ord").withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= n + 1).select("company", "id", "ord")
+    own = queries.select(F.col("id").alias("query_id"), "company").join(first, "company").where("id <> query_id")
+    own = own.select("query_id", "id", "ord", F.lit(0).alias("tier"), F.lit(0).cast("long").alias("score"))
+    short = queries.join(own.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= n).select(F.col("query_id").alias("id")), "id", "left_anti")
+
+    def shared(array: str, worth: int) -> DataFrame:
+        left = short.select(F.col("id").alias("query_id"), F.col("company").alias("_company"), F.explode(F.array_distinct(array)).alias("_x"))
+        right = postings.select("id", "ord", "company", F.explode(array).alias("_x"))
+        pairs = left.join(right, "_x").where("company <> _company")
+        pairs = pairs.select("query_id", "id", "ord").distinct() if worth > 1 else pairs
+        return pairs.select("query_id", "id", "ord", F.lit(worth).alias("_worth"))
+
+    others = shared("places", 2).unionByName(shared("skills", 1)).groupBy("query_id", "id", "ord").agg(F.sum("_worth").alias("score"))
+    every = own.unionByName(others.select("query_id", "id", "ord", F.lit(1).alias("tier"), "score"))
+    best = Window.partitionBy("query_id").orderBy("tier", F.desc("score"), "ord")
+    return every.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= n).select("query_id", "id", "tier", "score")
+
+
 def terms(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[\s\-/]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS))
 

@@ -70,12 +70,12 @@ def facet_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: regexp_full_match(x, '[A-Za-z]{1,3}')) AS ws FROM documents),
+    """WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: regexp_full_match(x, '[A-Za-z]+')) AS ws FROM documents),
     e AS (SELECT doc_id, generate_subscripts(ws, 1) AS p, unnest(ws) AS term FROM w)
     SELECT term FROM (SELECT term, row_number() OVER (PARTITION BY lower(term) ORDER BY doc_id, p) AS r FROM e) WHERE r = 1"""
 )
 def facet_skills_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.lit(None).cast("string").alias("status"), F.filter(F.split("text", " "), lambda x: x.rlike("^[A-Za-z]{1,3}$")).alias("skills"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.lit(None).cast("string").alias("status"), F.filter(F.split("text", " "), lambda x: x.rlike("^[A-Za-z]+$")).alias("skills"))
     return facets.distinct_ignoring_case(docs, "skills", "term")
 
 

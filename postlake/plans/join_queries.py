@@ -155,28 +155,32 @@ def region_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {POSTINGS}, allp AS (SELECT id, ord, company, skills, list_filter(string_split(location, chr(10)), lambda x: x NOT IN ('', 'locations')) AS raws FROM postings),
-    cur AS (SELECT company AS c0, skills AS s0, raws AS r0 FROM allp WHERE id = 42),
-    s AS (SELECT id, ord, CASE WHEN company = c0 THEN 0 ELSE 1 END AS tier,
-      CASE WHEN company = c0 THEN 0 ELSE CASE WHEN list_has_any(raws, r0) THEN 2 ELSE 0 END + len(list_filter(skills, lambda x: list_contains(s0, x))) END AS score FROM allp, cur WHERE id <> 42)
-    SELECT id, CAST(tier AS INTEGER) AS tier, CAST(score AS INTEGER) AS score FROM s WHERE tier = 0 OR score > 0 ORDER BY tier, score DESC, ord LIMIT 20000"""
+    q AS (SELECT id AS query_id, company AS c0, skills AS s0, raws AS r0 FROM allp WHERE id % 50 = 0),
+    s AS (SELECT query_id, id, ord, CASE WHEN company = c0 THEN 0 ELSE 1 END AS tier,
+      CASE WHEN company = c0 THEN 0 ELSE CASE WHEN list_has_any(raws, r0) THEN 2 ELSE 0 END + len(list_filter(skills, lambda x: list_contains(s0, x))) END AS score FROM allp, q WHERE id <> query_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, score DESC, ord) AS r FROM s WHERE tier = 0 OR score > 0)
+    SELECT query_id, id, CAST(tier AS INTEGER) AS tier, CAST(score AS BIGINT) AS score FROM r WHERE r <= 5"""
 )
 def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.similar_to(with_names(postings(spark, sf_dir)), 42, 20_000)
+    """For every posting whose id is divisible by 50 the five most similar ones."""
+    rows = postings(spark, sf_dir).select("id", "ord", "company", "skills", loc.lines(F.col("location")).alias("places"))
+    return similar.most_similar(rows, rows.where("id % 50 = 0"), 5)
 
 
 @query(
-    """WITH ref AS (SELECT p_partkey AS ref_ord, p_name || ' ' || lower(p_type) AS name FROM part WHERE p_partkey < 200),
+    """WITH ref AS (SELECT min(p_partkey) AS ref_ord, p_name || ' ' || lower(p_type) AS name FROM part GROUP BY 2),
     v AS (SELECT DISTINCT lower(p_brand) || ' ' || p_name AS value FROM part),
-    vw AS (SELECT value, list_filter(string_split_regex(value, '[\\s\\-/#]+'), lambda w: length(w) >= 2) AS ws FROM (SELECT replace(value, '#', ' ') AS value FROM v)),
+    vw AS (SELECT value, list_filter(string_split_regex(value, '[\\s\\-/]+'), lambda w: length(w) >= 2) AS ws FROM v),
     rw AS (SELECT ref_ord, name, list_filter(string_split_regex(lower(name), '[\\s\\-/]+'), lambda w: length(w) >= 2) AS ts FROM ref),
     p AS (SELECT value, name, ref_ord, len(list_filter(ws, lambda w: list_contains(ts, w))) AS o, len(ws) AS n, len(ts) AS m FROM vw, rw),
     s AS (SELECT value, name, ref_ord, (o / n + o / m) / 2 AS score FROM p WHERE o > 0)
-    SELECT value, name, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY score DESC, ref_ord) AS r FROM s WHERE score >= 0.6) WHERE r = 1"""
+    SELECT value, name, round(least(score, 1.0), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY score DESC, ref_ord) AS r FROM s WHERE score >= 0.6) WHERE r = 1"""
 )
 def fuzzy_reference_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names and types of parts as the reference, in the order of their first part; all distinct brands and names as values."""
     part = table(spark, sf_dir, "part")
-    reference = part.where("p_partkey < 200").select(F.col("p_partkey").alias("ref_ord"), F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("name"))
-    values = part.select(F.replace(F.concat(F.lower("p_brand"), F.lit(" "), F.col("p_name")), F.lit("#"), F.lit(" ")).alias("value"))
+    reference = part.groupBy(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("name")).agg(F.min("p_partkey").alias("ref_ord"))
+    values = part.select(F.concat(F.lower("p_brand"), F.lit(" "), F.col("p_name")).alias("value"))
     return similar.fuzzy_match(values, reference, "value").withColumn("score", F.round("score", 6))
 
 
