@@ -1,5 +1,6 @@
 """Operators on texts against brute force, with odd rows: nulls, empty and long texts, ties, repeats, extra columns, no rows."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from postlake.llm import decontamination, html_text, license_scan, near_duplicates, words
 from postlake.llm.decontamination import find_leaks
 from postlake.llm.line_dedup import RUN, dedupe_lines
-from postlake.llm.quality_rules import quality_rules
+from postlake.llm.quality_rules import ROUNDS, RULES, quality_rules
 
 SCHEMA = "doc_id long, text string, n_lines string, score string"
 
@@ -258,6 +259,41 @@ def base_counts(text):
     return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
+def posteriors_by_hand(votes):
+    """Expectation-maximisation over single rows, as its definition says; no grouping of patterns, no arrays of logs."""
+    kinds, rules = len(RULES) + 1, len(RULES)
+    weights = []
+    for row in votes:
+        bad = [r for r, v in enumerate(row) if v == -1]
+        weights.append([0.1 if bad else 0.95, *((0.9 / len(bad) if r in bad else 0.0) if bad else 0.05 / rules for r in range(rules))])
+    before = None
+    for _ in range(ROUNDS):
+        mass = [sum(w[k] for w in weights) for k in range(kinds)]
+        prior = [(m + 0.01) / (sum(mass) + 0.01 * kinds) for m in mass]
+        rates = [[min(max((sum(w[k] for w, v in zip(weights, votes) if v[r] == 1) + 0.05) / (sum(w[k] for w, v in zip(weights, votes) if v[r]) + 0.1), 0.002), 0.998) for r in range(rules)] for k in range(kinds)]
+        weights = []
+        for row in votes:
+            like = [prior[k] * math.prod(rates[k][r] if v == 1 else 1 - rates[k][r] for r, v in enumerate(row) if v) for k in range(kinds)]
+            weights.append([x / sum(like) for x in like])
+        now = [math.log(x) for k in range(kinds) for x in (prior[k], *rates[k], *(1 - y for y in rates[k]))]
+        if before and max(abs(x - y) for x, y in zip(before, now)) < 1e-3:
+            break
+        before = now
+    return [w[0] for w in weights]
+
+
+def test_posteriors(spark):
+    rng = random.Random(21)
+    texts = [" ".join(made_words(rng, rng.choice((10, 60, 120)))) for _ in range(40)]
+    texts += [" ".join(x + rng.choice(("%", "!", "9", "")) for x in made_words(rng, 90)) for _ in range(20)] + ["Same words here. " * rng.randint(3, 60) for _ in range(8)] + [None, "", "x"]
+    out = quality_rules(docs_of(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    expected = posteriors_by_hand([[r[f"vote_{x}"] for x in RULES] for r in out])
+    for r, p in zip(out, expected):
+        assert abs(r["posterior"] - p) < 1e-3
+        assert r["kept"] == (not r["base_failed"] and r["posterior"] >= 0.5)
+    assert len({round(p, 2) for p in expected}) > 3
+
+
 def test_quality_rules(spark):
     rng = random.Random(5)
     good = [" ".join(made_words(rng, 120)).capitalize() + "." for _ in range(60)]
@@ -348,7 +384,7 @@ def test_stretches_like_templates():
     templates = {"A": ("a b c d e", "x y x y x z x y"), "B": ("b c d a", "q r s t u v w q r a b"), "C": ("one",)}
     t = license_scan.Templates(templates)
     hits = 0
-    for _ in range(200):
+    for _ in range(ROUNDS):
         words = []
         while len(words) < 30:
             words += license_scan.terms(rng.choice(templates[rng.choice("AB")])) if rng.random() < 0.5 else [rng.choice("abcdexyzqrstuvw")]
