@@ -23,12 +23,12 @@ SLOTS = 1 << 20
 _SLOT = "slot of ids"
 
 
-def _slot() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")
+def _slot(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
 
 
-def _slots(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids.select(_slot().alias(_SLOT)).distinct())
+def _slots(ids: DataFrame, key: str) -> DataFrame:
+    return F.broadcast(ids.select(_slot(key).alias(_SLOT)).distinct())
 
 
 def _few(ids: DataFrame) -> bool:
@@ -36,16 +36,16 @@ def _few(ids: DataFrame) -> bool:
     return ids.count() <= SLOTS // 4
 
 
-def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ``docs`` among which are all whose doc_id is in ``ids``, and the rest. ``ids`` should be a written table: it is read twice.
+def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ``docs`` among which are all whose ``key`` is in ``ids``, and the rest. ``ids`` should be a written table: it is read twice.
 
     Up to ``SLOTS / 4`` ids a broadcast of their slots tells them apart with few mistakes, and without moving a text; with more ids,
     which are counted first, it would tell little: then all rows come first, and there is no rest.
     """
     if not _few(ids):
         return docs, None
-    slots = _slots(ids)
-    return docs.join(slots, _slot() == F.col(_SLOT), "left_semi"), docs.join(slots, _slot() == F.col(_SLOT), "left_anti")
+    slots, same = _slots(ids, key), _slot(key) == F.col(_SLOT)
+    return docs.join(slots, same, "left_semi"), docs.join(slots, same, "left_anti")
 
 
 def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:

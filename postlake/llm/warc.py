@@ -21,6 +21,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from postlake.llm.rows import bounded_batches, split_by_ids
 from postlake.sources.scratch import Scratch
 
 #: Payloads below this size are never replaced by a revisit record.
@@ -107,23 +108,30 @@ def _writer(folder: str):
     return write
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
+def with_revisits(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds refers_to: for a page whose payload equals that of a page with a larger id, the largest such id.
 
-    The group is found on digests alone, by partial maxima; only digests that occur more than once come back.
+    The groups are found on digests alone, by partial maxima; only pages of digests that occur more than once are joined to them,
+    so other payloads are never shuffled. Of a group's payloads, the joined ones are all equal.
     """
-    pages = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("bytes"))
-    heads = pages.where(F.col("bytes") >= LEAST_BYTES).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("digest", "head")
+    payload = F.coalesce("html", F.lit(""))
+    pages = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"))
+    heads = pages.where(F.octet_length(payload) >= LEAST_BYTES).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1 and head is not null").select("digest", "head")
+    heads = scratch.table(heads, "heads", small=True)
     refers = F.when((F.col("head") != F.col("page_id")) | (F.col("page_id").isNull() & F.col("head").isNotNull()), F.col("head"))
-    return pages.join(heads, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    maybe, alone = split_by_ids(pages, heads, "digest")
+    joined = maybe.join(heads, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    return joined if alone is None else alone.select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")).unionByName(joined)
 
 
 def write_archives(pages: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
-    """Writes a record for each row of ``pages`` (page_id, url, html) under ``folder``; returns the index.
+    """Writes a record for each row of ``pages`` (page_id, url, html; others ignored) under ``folder``; returns the index.
 
-    A null html is an empty payload; a null url or page_id leaves its header empty. Repeated rows get a record each.
+    A null html is an empty payload; a null url or page_id leaves its header empty. Repeated rows get a record each. A payload of any
+    length is one record; a task holds one at a time beside its batch.
     """
-    return scratch.table(with_revisits(pages).mapInPandas(_writer(folder), INDEX), "index")
+    bounded_batches(pages.sparkSession)
+    return scratch.table(with_revisits(pages, scratch).mapInPandas(_writer(folder), INDEX), "index", small=True)
 
 
 def _reader(folder: str):

@@ -215,3 +215,30 @@ def test_rows(spark):
     assert [r["doc_id"] for r in with_ids(docs, ids).collect()] == [3]
     left = [r["doc_id"] for r in without_ids(docs, ids).collect()]
     assert len(left) == 50 and 3 not in left and None in left
+
+
+def test_odd_rows(spark):
+    """Null, empty and very long texts, repeated rows and columns with the names of results; every row comes back, and equal rows are judged alike."""
+    long = " ".join(f"word{k % 5000}" for k in range(150_000))
+    rows = [(1, None), (2, ""), (3, long), (4, "a b c."), (4, "a b c."), (None, "x y z"), (5, "a b c."), (6, "### %%%"), (7, long)]
+    names = ("score", "predicted", "tokens", "posterior", "rate", "copies", "x", "terms", "slot of ids", "domain", "quality")
+    docs = spark.createDataFrame([(i, t, *["clash"] * len(names)) for i, t in rows], ", ".join(["doc_id long", "text string", *(f"`{n}` string" for n in names)]))
+    labels = spark.createDataFrame([(3, 1, 0), (6, 0, 0), (4, 1, 0), (4, 1, 0), (4, 0, 0), (9, 1, 1), (None, 0, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    judged = quality_classifier.classify_quality(docs, labels).collect()
+    assert len(judged) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) and r["rate"] == "clash" for r in judged)
+    assert len({r["score"] for r in judged if r["text"] == "a b c."}) == 1 and len({r["score"] for r in judged if not r["text"]}) == 1
+    for out in (mixing.mix(docs, labels, domains=(("good", "quality = 1", 0.5), ("junk", "quality = 0", 0.5))).collect(), mixing.mix_rates(docs, labels).collect()):
+        assert sorted(r["tokens"] for r in out) == sorted(len((t or "").split()) for _, t in rows)
+        assert len({r["rate"] for r in out if r["doc_id"] in (4, 5)}) == 1 and all(r["rate"] >= 0 for r in out)
+    assert quality_classifier.classify_quality(docs.limit(0), labels).count() == 0
+
+
+def test_archives_of_odd_pages(spark):
+    long = "<p>é</p>" * 400_000
+    rows = [(1, "u", long), (2, "u", long), (3, None, None), (4, "u\r\nX: y", ""), (None, "u", "x" * 1000), (5, "u", "x" * 1000), (5, "u", "x" * 1000), (6, "u", "x" * 999), (7, "u", "x" * 999)]
+    pages = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, digest string, refers_to string")
+    out = warc.archived_pages(pages).collect()
+    assert len(out) == len(rows)
+    got = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in out)
+    size = len(long.encode())
+    assert got == [(0, 1000, "revisit", 5), (1, size, "revisit", 2), (2, size, "response", None), (3, 0, "response", None), (4, 0, "response", None), (5, 1000, "response", None), (5, 1000, "response", None), (6, 999, "response", None), (7, 999, "response", None)]
