@@ -92,7 +92,7 @@ def named_in(c: Column, table=CERTIFICATIONS) -> Column:
 def named_in_posting(description: Column, skills: Column) -> Column:
     """Of the description and of each skill."""
     empty = F.array().cast("array<string>")
-    from_skills = F.flatten(F.transform(F.coalesce(skills, empty), named_in))
+    from_skills = F.flatten(F.transform(F.coalesce(skills, empty), lambda x: named_in(x)))
     return F.array_sort(F.array_distinct(F.concat(F.coalesce(named_in(description), empty), from_skills)))
 
 

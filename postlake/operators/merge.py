@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from postlake.sources.scratch import Scratch
+
 
 def last_per_key(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
     """The last row of each key, found by partial maxima: no window, so no task needs all rows of a hot key."""
@@ -57,9 +59,11 @@ def missing_keys(values: DataFrame, dictionary: DataFrame, key: str) -> DataFram
 def numbered(df: DataFrame, *order: str, name: str = "row_no") -> DataFrame:
     """Consecutive numbers from 1 in a total order, without one task that sorts all rows.
 
-    Rows are dealt by ranges of the order; the sizes of the ranges (a row per partition) give each its first number.
+    Rows are dealt by ranges of the order and written once, as both the ranges' sizes (a row per partition, which give each its first
+    number) and the rows come from them: a range that is dealt again may have other bounds.
     """
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    dealt = Scratch(df.sparkSession, "numbered").table(dealt, "dealt")
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_size"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

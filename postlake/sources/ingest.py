@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from postlake.functions.text import or_default, split_compact, surrogate_key, trim, url_key
-from postlake.sources.schemas import POSTING, SHEET_COLUMNS
+from postlake.sources.schemas import GEO, POSTING, SHEET_COLUMNS, SKILL
 
 
 def json_postings(spark: SparkSession, path: str) -> DataFrame:
@@ -71,6 +71,21 @@ def dictionary(spark: SparkSession, path: str, value: T.DataType) -> DataFrame:
     return entries.select("key", "value.*")
 
 
+def entries(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A dictionary that ``sinks.write_dictionary`` wrote."""
+    return spark.read.schema(schema).json(path)
+
+
+def places(spark: SparkSession, path: str) -> DataFrame:
+    """The dictionary of geocoded places: key and the parts of ``GEO``."""
+    return dictionary(spark, path, GEO)
+
+
+def known_skills(spark: SparkSession, path: str) -> DataFrame:
+    """The prepared dictionary of skills: key, normalized and onet."""
+    return dictionary(spark, path, SKILL)
+
+
 def batch_files(spark: SparkSession, folder: str) -> DataFrame:
     """Processed batches with the number in their file name."""
     rows = spark.read.schema(POSTING).option("multiLine", True).json(f"{folder}/batch-*-processed.json")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from postlake.operators.merge import last_per_key
-from postlake.sources.sinks import read_snapshot, versions, write_snapshot
+from postlake.sources.sinks import batches_done, read_snapshot, versions, write_snapshot
 
 
 def upsert(existing: DataFrame | None, batch: DataFrame, key: str, *order: str) -> DataFrame:
@@ -14,16 +14,15 @@ def upsert(existing: DataFrame | None, batch: DataFrame, key: str, *order: str)
     return last if existing is None else existing.join(last.select(key), key, "left_anti").unionByName(last)
 
 
-def sync_available(spark: SparkSession, source: str, schema: T.StructType, snapshot: str, checkpoint: str, key: str, *order: str, max_files: int = 1) -> None:
+def sync_available(spark: SparkSession, source: str, schema: T.StructType, snapshot: str, checkpoint: str, key: str, *order: str, max_files: int = 1000) -> None:
     """Processes all files that are there and not yet done, then ends. A batch that runs again after a failure
-    finds its version written and is skipped."""
+    finds its number among the versions and is skipped. Each batch writes a whole version, so a batch takes many files."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
 
     def merge(batch: DataFrame, number: int) -> None:
-        done = versions(spark, snapshot)
-        if len(done) > number:
+        if number in batches_done(spark, snapshot):
             return
-        write_snapshot(upsert(read_snapshot(spark, snapshot) if done else None, batch, key, *order), snapshot)
+        write_snapshot(upsert(read_snapshot(spark, snapshot) if versions(spark, snapshot) else None, batch, key, *order), snapshot, number)
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
