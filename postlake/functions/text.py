@@ -169,6 +169,21 @@ def token_budget(c: Column) -> Column:
     return F.least(F.lit(4096), F.greatest(F.lit(2048), F.ceil(F.length(c) / 2)))
 
 
+def parse_method(strategy: Column, text: Column, well: Column, available: Column, failed: Column) -> Column:
+    """How a description is parsed: by rules (traditional), by a remote model (ai), or not at all (none).
+
+    ``auto`` asks the model only for badly formatted texts, ``ai_only`` never falls back, ``ai_first`` falls back to rules if the model isn't there or fails.
+    """
+    model = F.when(available, "ai")
+    return (
+        F.when(F.coalesce(trim(text), F.lit("")) == "", "none")
+        .when(strategy == "ai_only", F.coalesce(model, F.lit("none")))
+        .when(strategy == "auto", F.when(well, "traditional").otherwise(F.coalesce(model, F.lit("traditional"))))
+        .when((strategy == "ai_first") & available & ~failed, "ai")
+        .otherwise("traditional")
+    )
+
+
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     """``12.5%`` of two whole numbers, exact and with halves rounded up; no rows give ``NaN%``."""
     unit = 10**digits

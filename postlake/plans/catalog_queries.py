@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlake.functions import certification as cert, location as loc, role, skill
 from postlake.functions.region import REGIONS, belongs
-from postlake.functions.text import percent
+from postlake.functions.text import parse_method, percent, token_budget
 from postlake.operators import facets, skills
 from postlake.operators.facets import exploded
 from postlake.operators.filters import is_active
@@ -252,6 +252,63 @@ def merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.withColumn("share", percent(F.col("enhanced"), F.col("total")))
 
 
+_FOUND = f"""f AS (SELECT DISTINCT p_name AS skill, l_suppkey AS code, l_suppkey % 7 = 0 AS priority, (l_suppkey * 31) % 101 AS occ_ord, l_suppkey % 5 AS k FROM lineitem JOIN part ON l_partkey = p_partkey),
+    e AS (SELECT skill, code, priority, occ_ord, unnest([0, 1]) AS elem_ord, k FROM f),
+    n AS (SELECT *, CASE WHEN elem_ord = 1 THEN 'manage ' || skill WHEN k = 0 THEN skill || ' work' WHEN k = 1 THEN 'general ' || split_part(skill, ' ', 1) WHEN k = 2 THEN 'that has been ' || skill WHEN k = 3 THEN split_part(skill, ' ', 2) || ' ' || split_part(skill, ' ', 1) ELSE 'nothing alike' END AS name FROM e)"""
+_SCORE = """CASE WHEN skill = name THEN 1.0 WHEN contains(name, skill) THEN 0.9 WHEN contains(skill, name) THEN 0.85 ELSE
+    0.8 * len(list_intersect(list_distinct(string_split(skill, ' ')), list_distinct(string_split(name, ' ')))) / len(list_distinct(list_concat(string_split(skill, ' '), string_split(name, ' ')))) + 0.2 * least(length(skill), length(name)) / greatest(length(skill), length(name)) END"""
+
+
+@query(
+    f"""WITH {_FOUND}, o AS (SELECT skill, code, row_number() OVER (PARTITION BY skill ORDER BY priority DESC, occ_ord, code) AS rank FROM (SELECT DISTINCT skill, code, priority, occ_ord FROM n)),
+    s AS (SELECT skill, code, name, elem_ord, rank, priority, ({_SCORE}) * CASE WHEN priority THEN 1.3 ELSE 1.0 END AS score FROM n JOIN o USING (skill, code)
+      WHERE rank <= 8 AND NOT regexp_matches(name, '^manage') AND NOT regexp_matches(name, 'that has been')),
+    b AS (SELECT skill, rank, bool_or(priority) AS priority, max(max(score)) OVER (PARTITION BY skill ORDER BY rank) AS best FROM s GROUP BY skill, rank),
+    l AS (SELECT skill, min(rank) AS last FROM b WHERE priority AND best > 0.85 GROUP BY skill)
+    SELECT skill, name, code, round(score, 6) AS score FROM (SELECT s.*, row_number() OVER (PARTITION BY s.skill ORDER BY score DESC, rank, elem_ord) AS r FROM s LEFT JOIN l ON s.skill = l.skill WHERE rank <= coalesce(last, 8) AND score > 0.35) WHERE r = 1"""
+)
+def skill_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best remote element for each skill: suppliers stand for occupations, their parts for skills."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("skill"))
+    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").alias("code")).join(parts, "l_partkey").select("skill", "code").distinct()
+    word = lambda k: F.split_part("skill", F.lit(" "), F.lit(k))
+    kinds = (F.concat("skill", F.lit(" work")), F.concat(F.lit("general "), word(1)), F.concat(F.lit("that has been "), F.col("skill")), F.concat_ws(" ", word(2), word(1)), F.lit("nothing alike"))
+    name = F.get(F.array(*kinds), (F.col("code") % 5).cast("int"))
+    found = pairs.select("skill", "code", (F.col("code") % 7 == 0).alias("priority"), (F.col("code") * 31 % 101).alias("occ_ord"), F.posexplode(F.array(name, F.concat(F.lit("manage "), F.col("skill")))).alias("elem_ord", "name"))
+    return skills.best_of_occupations(found).withColumn("score", F.round("score", 6))
+
+
+STRATEGIES = ("auto", "ai_only", "ai_first", "traditional_only", "unknown")
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, text, source, {sql_pick(STRATEGIES, 'doc_id')} AS strategy, doc_id % 3 <> 0 AS available, doc_id % 4 = 1 AS failed FROM documents),
+    w AS (SELECT *, doc_id % 2 = 0 AS well FROM d)
+    SELECT doc_id, strategy, CASE WHEN coalesce(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '') = '' THEN 'none' WHEN strategy = 'ai_only' THEN CASE WHEN available THEN 'ai' ELSE 'none' END
+      WHEN strategy = 'auto' THEN CASE WHEN well OR NOT available THEN 'traditional' ELSE 'ai' END WHEN strategy = 'ai_first' AND available AND NOT failed THEN 'ai' ELSE 'traditional' END AS method,
+    CAST(least(4096, greatest(2048, ceil(length(text) / 2))) AS BIGINT) AS budget FROM w"""
+)
+def parse_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each document would be parsed under its strategy, and the output tokens to ask of the model."""
+    key = F.col("doc_id")
+    strategy = pick(STRATEGIES, key)
+    method = parse_method(strategy, F.col("text"), key % 2 == 0, key % 3 != 0, key % 4 == 1)
+    return table(spark, sf_dir, "documents").select("doc_id", strategy.alias("strategy"), method.alias("method"), token_budget(F.col("text")).cast("long").alias("budget"))
+
+
+@query(
+    f"""WITH {POSTINGS}, k AS (SELECT quality, doc_id FROM labels)
+    SELECT id, doc_id IS NOT NULL AS matched, CASE WHEN doc_id IS NOT NULL THEN title END AS occupation, CASE WHEN quality = 1 THEN array_to_string(skills, ',') ELSE '' END AS recommended FROM postings LEFT JOIN k ON doc_id = id"""
+)
+def enriched_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings with one struct of what a remote service knows of their occupation."""
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", F.lit(True).alias("known"))
+    posts = postings(spark, sf_dir).select("id", "title", "skills").join(known, "id", "left")
+    recommended = F.when(F.col("quality") == 1, F.col("skills")).otherwise(F.array().cast("array<string>"))
+    enriched = posts.withColumn("onet", F.struct(F.coalesce("known", F.lit(False)).alias("matched"), F.when(F.col("known"), F.col("title")).alias("occupation"), recommended.alias("recommendedSkills")))
+    return enriched.select("id", "onet.matched", "onet.occupation", F.array_join("onet.recommendedSkills", ",").alias("recommended"))
+
+
 # ---- places ----
 
 #: Places as people write them; each customer's key picks one.
