@@ -179,7 +179,7 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def block_links(left: pd.DataFrame, right: pd.DataFrame | None, percent: int) -> pd.DataFrame:
-    """One link (a, b) for two components at most, between rows (id, component, bands, shingles) of two chunks, or within one."""
+    """The pairs (a, b) of components that some link joins, among rows (id, component, bands, shingles) of two chunks, or of one."""
     inner = right is None
     right = left if inner else right
     regs = [np.stack([np.frombuffer(np.asarray(x, dtype=np.int64).tobytes(), dtype=np.uint16) for x in t["bands"]]) for t in (left, right)]
@@ -204,9 +204,8 @@ def block_links(left: pd.DataFrame, right: pd.DataFrame | None, percent: int) ->
     else:
         shared = np.rint(shared_counts(*sets)).astype(np.int64)
         i, j = np.nonzero(near & (100 * shared >= percent * (size_l[:, None] + size_r[None, :] - shared)))
-    a, b = ids[0][rows[i]], ids[1][columns[j]]
-    links = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "of_a": parts[0][rows[i]], "of_b": parts[1][columns[j]]})
-    return links.drop_duplicates(["of_a", "of_b"])[["a", "b"]]
+    a, b = parts[0][rows[i]], parts[1][columns[j]]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
 def _compare(percent: int):
@@ -230,6 +229,16 @@ def _compare(percent: int):
     return compare
 
 
+def _thin(links: DataFrame) -> DataFrame:
+    """Links (a, b) with the same components, but fewer: each b keeps its smallest partner, and its other partners are linked to that one.
+
+    A b has at most one hub and ``SMALL`` partners in each band's bucket. Copies that share their hubs give the same links between these.
+    """
+    met = links.groupBy("b").agg(F.collect_set("a").alias("met")).select("b", "met", F.array_min("met").alias("low"))
+    hubs = met.select(F.col("low").alias("a"), F.explode("met").alias("b")).where("a <> b").distinct()
+    return met.select(F.col("low").alias("a"), "b").unionByName(hubs)
+
+
 def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``documents`` (doc_id, text; others ignored).
 
@@ -276,13 +285,13 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, percen
     small = rows.where(F.col("n") <= SMALL)
     within = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
     links = confirmed(with_hubs(rows, rows).unionByName(within))
-    components = connected_components(links, scratch, "cc")
+    components = connected_components(_thin(links), scratch, "cc")
 
     # families: the classes of larger buckets with several components, joined through these buckets
     placed = rows.where(F.col("n") > SMALL).select("key", "id").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("first")).where("low < high").select("key", "first")
     placed = scratch.table(placed.join(mixed, "key").select("id", "component", "first"), "mixed")
-    families = connected_components(placed.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")), scratch, "families").withColumnRenamed("component", "family")
+    families = connected_components(_thin(placed.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))), scratch, "families").withColumnRenamed("component", "family")
     members = placed.select("id", "component").distinct().join(families, "id").join(heads, "id")
     # chunks: a large component by itself, the others together; each by size, then by number and bytes
     apart = members.groupBy("family", "component").agg(F.count("*").alias("n"))
@@ -298,11 +307,11 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, percen
     sides = blocks.select("family", "block", "inner", F.col("x").alias("at"), F.lit(0).alias("side")).unionByName(blocks.where("not inner").select("family", "block", "inner", F.col("y").alias("at"), F.lit(1).alias("side")))
     rows = members.withColumn("at", F.struct("chunk", "piece")).join(sides, ["family", "at"]).join(sets_of(members.select("id"), "member-sets"), "id")
     rows = rows.select("family", "block", "inner", "side", "id", "component", "bands", "shingles").repartition("family", "block").sortWithinPartitions("family", "block")
-    more = scratch.table(rows.mapInPandas(_compare(percent), "a long, b long"), "family-links", small=True)
-    if more.limit(1).count():
-        components = connected_components(links.unionByName(more), scratch, "cc-all")
+    joined = scratch.table(rows.mapInPandas(_compare(percent), "a long, b long").distinct(), "family-links", small=True)
+    wider = connected_components(joined, scratch, "wider").select(F.col("id").alias("component"), F.col("component").alias("wider"))
 
-    placed = classes.join(components, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    placed = classes.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = placed.join(wider, "component", "left").select("digest", F.coalesce("wider", "component").alias("component_id"))
     # equal ids in several classes count as one document
     return (
         sketches.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))

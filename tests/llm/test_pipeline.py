@@ -1,6 +1,7 @@
 """The whole pipeline on the smallest tables."""
 
 import os
+import random
 
 import pandas as pd
 import pytest
@@ -57,3 +58,28 @@ def test_near_copies_of_the_pipeline(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r["doc_id"] for r in corpus_pipeline.one_of_near_duplicates(spark, docs, "").collect()] == [1]
     assert near_duplicates(docs).where("kept").count() == 2
+
+
+def test_planted_rows(spark, tmp_path):
+    """Copies, near copies, a repeated passage and a benchmark item are caught by their stages; clean documents, null and empty texts stay."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    lines = lambda n: [" ".join(word() for _ in range(12)) for _ in range(n)]
+    item = " ".join(word() for _ in range(25))
+    texts = {k: lines(12) for k in range(20)}
+    passage = lines(5)
+    texts[30], texts[31] = lines(6) + passage + lines(3), lines(2) + passage + lines(7)
+    texts[50] = [" ".join(texts[1]).replace(texts[1][5].split()[0], "changed", 1)]
+    texts[60] = lines(4) + [item] + lines(4)
+    rows = [(k, "\n".join(t), "clash") for k, t in texts.items()] + [(40, " ".join(texts[0]), ""), (70, None, ""), (71, "", ""), (None, "no id", ""), (5, "\n".join(texts[5]), "clash")]
+    pd.DataFrame({"item_id": [1], "text": [item]}).to_parquet(tmp_path / "benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), c) for i, t, c in rows], "doc_id long, text string, lang string, source string, n_chars long, removed string")
+    shorter = corpus_pipeline.without_repeated_lines(spark, docs.drop("removed"), str(tmp_path))
+    got = {r["doc_id"]: r["text"] for r in shorter.collect()}
+    assert got == {i: t for i, t, _ in rows} | {31: "\n".join(texts[31][:2] + texts[31][7:])}
+    ids = lambda df: sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in df.select("doc_id").collect())
+    first = corpus_pipeline.one_of_near_duplicates(spark, docs, str(tmp_path))
+    assert ids(first) == sorted(-1 if i is None else i for i, _, _ in rows if i not in (40, 50))
+    assert first.columns == docs.columns
+    clean = corpus_pipeline.without_benchmark(spark, docs, str(tmp_path))
+    assert ids(clean) == sorted(-1 if i is None else i for i, _, _ in rows if i != 60) and clean.columns == docs.columns
