@@ -1,9 +1,10 @@
 """How far the sources of each language differ in their words, and by which words.
 
-One CountVectorizer counts terms that carry their language, so its minDF holds within each language and the texts of all
-languages take one pass. Its exact sparse document vectors are summed per group by partial aggregation, entry by entry. Two sources
+One CountVectorizer is fitted to terms that carry their language, so its minDF holds within each language and
+all languages take one pass; it sees each term of a document once, as only the number of documents matters there. With the terms that it
+keeps, a second one makes the exact sparse document vectors, which are summed per group by partial aggregation, entry by entry. Two sources
 are compared over blocks of terms and blocks of sources: a task holds at most ``SOURCES`` times two sources and ``TERMS`` terms, and
-terms that neither source of a pair has are added by their number.
+terms that no source of a block has are added by their number.
 
 CountVectorizer keeps its vocabulary on the driver and broadcasts it: the terms that at least ``min_docs`` documents of a language hold.
 """
@@ -12,28 +13,28 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import IllegalArgumentException
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlake.llm.rows import bounded_batches
 from postlake.llm.url_filter import LOWER, UPPER
 from postlake.sources.scratch import Scratch
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN_TERMS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS = 30
 TOP_TERMS = 50
 ADDED = 5
 UNIT = 1_000_000_000
 #: No term holds it, so what follows its last occurrence in a token is the term.
 _BETWEEN = "\x00"
-TERMS, SOURCES = 256, 256
-_PART = "lang string, a string, b string, seen long, value long"
+TERMS, SOURCES = 512, 256
+_PART = "lang string, a int, b int, seen long, value long"
 
 
 def terms(text: Column) -> Column:
     """Runs of letters A-Z and characters outside ASCII, with A-Z lower-cased."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
+    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))  # translate costs more
+    return F.array_remove(F.split(lower, BETWEEN_TERMS), "")
 
 
 def scaled(count: Column, total: Column, kept: Column) -> Column:
@@ -46,62 +47,68 @@ def scaled(count: Column, total: Column, kept: Column) -> Column:
 def group_counts(documents: DataFrame, min_docs: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Counts (lang, source, term_no, n) of the kept terms of every group, and the vocabulary (lang, term_no, term)."""
     spark = documents.sparkSession
-    tokens = F.transform(terms(F.col("text")), lambda t: F.concat(F.col("lang"), F.lit(_BETWEEN), t))
-    docs = documents.select("lang", "source", tokens.alias("tokens"))
-    try:
-        model = CountVectorizer(inputCol="tokens", outputCol="counts", minDF=min_docs, vocabSize=2**31 - 1).fit(docs)
-    except IllegalArgumentException as error:
-        if "vocabulary size should be > 0" not in str(error):
-            raise
+    docs = documents.select("lang", "source", terms(F.col("text")).alias("tokens"))  # cutting twice is cheaper than a table of tokens
+    marked = F.transform(F.array_distinct("tokens"), lambda t: F.concat(F.col("lang"), F.lit(_BETWEEN), t))
+    fitted = CountVectorizer(inputCol="marked", outputCol="counts", minDF=min_docs, vocabSize=2**31 - 1).fit(docs.select(marked.alias("marked")))
+    if not fitted.vocabulary:
         return spark.createDataFrame([], "lang string, source string, term_no int, n long"), spark.createDataFrame([], "lang string, term_no int, term string")
+    listed = [x.rpartition(_BETWEEN) for x in fitted.vocabulary]
+    names = sorted({x[2] for x in listed})
+    number = {x: k for k, x in enumerate(names)}
+    words = pd.DataFrame({"lang": [x[0] for x in listed], "term_no": np.array([number[x[2]] for x in listed], dtype=np.int32), "term": [x[2] for x in listed]})
+    vocabulary = scratch.table(spark.createDataFrame(words, "lang string, term_no int, term string"), "vocabulary", small=True)
+    # a language's documents also count terms that only others keep; these sums go by the join
+    model = CountVectorizerModel.from_vocabulary(names, inputCol="tokens", outputCol="counts")
     entries = model.transform(docs).select("lang", "source", F.unwrap_udt("counts").alias("v")).select("lang", "source", F.inline(F.arrays_zip("v.indices", "v.values")).alias("term_no", "n"))
-    counts = scratch.table(entries.groupBy("lang", "source", "term_no").agg(F.sum(F.col("n").cast("long")).alias("n")), "counts", small=True)
-    listed = [x.rpartition(_BETWEEN) for x in model.vocabulary]
-    words = pd.DataFrame({"lang": [x[0] for x in listed], "term_no": np.arange(len(listed), dtype=np.int32), "term": [x[2] for x in listed]})
-    return counts, scratch.table(spark.createDataFrame(words, "lang string, term_no int, term string"), "vocabulary", small=True)
+    sums = entries.groupBy("lang", "source", "term_no").agg(F.sum(F.col("n").cast("long")).alias("n"))
+    counts = scratch.table(sums.join(vocabulary.select("lang", "term_no"), ["lang", "term_no"], "left_semi").select("lang", "source", "term_no", "n"), "counts", small=True)
+    return counts, vocabulary
 
 
 def _compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Sums of |p - q| over the terms of a block that any of its sources has, for pairs of a left and a right source."""
-    lang, left_block, right_block, _ = key
-    names, at = np.unique(rows["source"].to_numpy(dtype=object), return_inverse=True)
+    lang, low, high, _ = key
+    no, term_no, p = (rows[c].to_numpy() for c in ("no", "term_no", "p"))
+    names, at = np.unique(no, return_inverse=True)
     zero, block = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
     zero[at], block[at] = rows["zero"].to_numpy(), rows["block"].to_numpy()
-    counted = rows["p"].notna().to_numpy()
-    numbers, term = np.unique(rows["term_no"].to_numpy()[counted], return_inverse=True)
-    p = np.repeat(zero[:, None], len(numbers), axis=1)
-    p[at[counted], term] = rows["p"].to_numpy()[counted].astype(np.int64)
+    counted = term_no >= 0
+    numbers, term = np.unique(term_no[counted], return_inverse=True)
+    weight = np.repeat(zero[:, None], len(numbers), axis=1)
+    weight[at[counted], term] = p[counted]
     left, right, sums = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-    for k in np.flatnonzero(block == left_block):
-        others = np.flatnonzero((block == right_block) & ((np.arange(len(names)) > k) if left_block == right_block else True))
+    for k in np.flatnonzero(block == low):
+        others = np.flatnonzero((block == high) & (names > names[k]))
         left.append(np.full(len(others), k))
         right.append(others)
-        sums.append(np.abs(p[others] - p[k]).sum(axis=1))
-    a, b = (names[np.concatenate(x)].astype(object) for x in (left, right))
+        sums.append(np.abs(weight[others] - weight[k]).sum(axis=1))
+    a, b = (names[np.concatenate(x)] for x in (left, right))
     return pd.DataFrame({"lang": np.full(len(a), lang, dtype=object), "a": a, "b": b, "seen": len(numbers), "value": np.concatenate(sums)})
 
 
 def pair_values(weights: DataFrame, groups: DataFrame) -> DataFrame:
-    """lang, a, b, value for both orders of each pair of sources of a language.
+    """lang, source, item, value for both orders of each pair of sources of a language.
 
-    ``weights`` (lang, source, term_no, p) has the counted terms; ``groups`` (lang, source, zero, kept, blocks, block) every group,
-    ``zero`` being the p of a term that it lacks. Every group also has a row without p in each block of terms of its language, so that it is
+    ``weights`` (lang, source, term_no, p) has the counted terms; ``groups`` (lang, source, no, zero, kept) every group, numbered within its language,
+    ``zero`` being the p of a term that it lacks. Every group also has a row without a term in each block of terms of its language, so that it is
     compared there, and in a block -1. Each row goes to every block of sources once, so it is copied as often as a language has ``SOURCES`` sources.
     """
     bounded_batches(weights.sparkSession)
-    part = F.floor(F.col("term_no") / TERMS).cast("int")
-    weights = weights.withColumn("part", part)
+    size, terms_at_once = F.lit(SOURCES), F.lit(TERMS)
+    weights = weights.withColumn("part", F.floor(F.col("term_no") / terms_at_once).cast("int"))
     parts = weights.select("lang", "part").distinct().unionByName(groups.select("lang", F.lit(-1).alias("part")).distinct())
-    known = groups.select("lang", "source", "zero", "block", "blocks")
-    none = known.join(parts, "lang").withColumns({"term_no": F.lit(None).cast("int"), "p": F.lit(None).cast("long")})
+    last = groups.groupBy("lang").agg(F.floor(F.max("no") / size).cast("int").alias("last"))
+    known = groups.join(last, "lang").select("lang", "source", "no", "zero", "last", F.floor(F.col("no") / size).cast("int").alias("block"))
+    none = known.join(parts, "lang").withColumns({"term_no": F.lit(-1), "p": F.lit(0).cast("long")})
     rows = weights.join(known, ["lang", "source"]).unionByName(none)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    rows = rows.select("lang", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "part", "no", "block", "zero", "term_no", "p")
     pairs = rows.groupBy("lang", "low", "high", "part").applyInPandas(_compare, _PART).groupBy("lang", "a", "b").agg(F.sum("seen").alias("seen"), F.sum("value").alias("value"))
-    side = lambda name: groups.select("lang", F.col("source").alias(name), F.col("zero").alias(f"zero_{name}"), "kept")
+    side = lambda name: groups.select("lang", F.col("no").alias(name), F.col("source").alias(f"source_{name}"), F.col("zero").alias(f"zero_{name}"), "kept")
     pairs = pairs.join(side("a"), ["lang", "a"]).join(side("b").drop("kept"), ["lang", "b"])
-    found = pairs.select("lang", "a", "b", (F.col("value") + (F.col("kept") - F.col("seen")) * F.abs(F.col("zero_a") - F.col("zero_b"))).alias("value"))
-    return found.select("lang", F.inline(F.array(F.struct("a", "b", "value"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "value"))))
+    found = pairs.withColumn("value", F.col("value") + (F.col("kept") - F.col("seen")) * F.abs(F.col("zero_a") - F.col("zero_b")))
+    both = lambda x, y: F.struct(F.col(f"source_{x}").alias("source"), F.col(f"source_{y}").alias("item"), "value")
+    return found.select("lang", F.inline(F.array(both("a", "b"), both("b", "a"))))
 
 
 def source_divergence(documents: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, scratch: Scratch | None = None) -> DataFrame:
@@ -118,19 +125,19 @@ def source_divergence(documents: DataFrame, min_docs: int = MIN_DOCS, top_terms:
     kept = vocabulary.groupBy("lang").agg(F.count("*").alias("kept"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     found = scratch.table(given.select("lang", "source").distinct(), "found", small=True)
-    sizes = found.groupBy("lang").agg(F.ceil(F.count("*") / SOURCES).cast("int").alias("blocks"))
-    groups = found.join(totals, ["lang", "source"], "left").join(kept, "lang", "left").join(sizes, "lang")
-    groups = groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept", F.lit(0)).alias("kept"), "blocks")
+    groups = found.join(totals, ["lang", "source"], "left").join(kept, "lang", "left")
+    groups = groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept", F.lit(0)).alias("kept"))
     zero = F.when(F.col("kept") > 0, scaled(F.lit(0), F.col("total"), F.col("kept"))).otherwise(0)
-    groups = scratch.table(groups.withColumns({"zero": zero, "block": F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int")}), "groups", small=True)
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1  # of sources, whose pairs are rows of the result
+    groups = scratch.table(groups.withColumns({"zero": zero, "no": number}), "groups", small=True)
     of_lang = counts.groupBy("lang", "term_no").agg(F.sum("n").alias("n")).join(groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("kept").alias("kept")), "lang")
     of_lang = of_lang.select("lang", "term_no", scaled(F.col("n"), F.col("total"), F.col("kept")).alias("q"))
     weights = counts.join(groups.select("lang", "source", "total", "kept"), ["lang", "source"])
     weights = scratch.table(weights.select("lang", "source", "term_no", scaled(F.col("n"), F.col("total"), F.col("kept")).alias("p")), "weights", small=True)
 
     by = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    over = weights.join(of_lang, ["lang", "term_no"]).where("p > q").join(vocabulary.select("term_no", "term"), "term_no")
+    over = weights.join(of_lang, ["lang", "term_no"]).where("p > q").join(vocabulary, ["lang", "term_no"])
     over = over.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     over = over.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_terms)
-    pairs = pair_values(weights, groups).select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), "value")
+    pairs = pair_values(weights, groups).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
     return pairs.withColumn("rank", F.row_number().over(by)).unionByName(over)
