@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from postlake.functions.location import once
 from postlake.functions.text import neutral, trim, word
 
 # Name, category, alternatives.
@@ -82,11 +86,33 @@ def sentences(c: Column) -> Column:
     return F.filter(parts, lambda x: ~(is_duty(x) | is_degree(x) | is_long(x)))
 
 
+def literal(alternative: str) -> str:
+    """The longest run of letters and digits that every match of an alternative holds, in lower case."""
+    plain = re.sub(r"\[[^\]]*\]\*?\??|\\.|[^A-Za-z0-9]\?|[A-Za-z0-9]\?", " ", alternative)
+    return max(plain.split(), key=len, default="").lower()
+
+
 def named_in(c: Column, table=CERTIFICATIONS) -> Column:
-    """Sorted names of the certifications that a usable sentence of the text holds; empty for missing text."""
-    usable = F.array_join(sentences(c), "\n")
-    found = F.array(*(F.when(usable.rlike(pattern(alternatives)), name) for name, _, alternatives in table))
-    return F.array_sort(F.array_compact(found))
+    """Sorted names of the certifications that a usable sentence of the text holds; empty for missing text.
+
+    Most texts name none. So an expression runs only where the text holds a literal that one of its alternatives needs, and the sentences are
+    split only where one of the text's literals is there at all; each is bound once, however many names look at it.
+    """
+
+    def candidate(low: Column, alternatives: tuple[str, ...]) -> Column:
+        needed = {literal(a) for a in alternatives}
+        return F.lit(True) if "" in needed else reduce(lambda a, b: a | b, (low.contains(x) for x in sorted(needed)))
+
+    def tested(text: Column) -> Column:
+        found = F.array(*(F.when(candidate(text["low"], alternatives) & text["usable"].rlike(pattern(alternatives)), name) for name, _, alternatives in table))
+        return F.array_sort(F.array_compact(found))
+
+    def searched(text: Column) -> Column:
+        usable = once(F.array_join(sentences(text), "\n"), lambda x: once(F.struct(x.alias("usable"), F.lower(x).alias("low")), tested))
+        some = once(F.lower(text), lambda low: reduce(lambda a, b: a | b, (candidate(low, alternatives) for _, _, alternatives in table)))
+        return F.when(some, usable).otherwise(F.array().cast("array<string>"))
+
+    return once(c, searched)
 
 
 def named_in_posting(description: Column, skills: Column) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from postlake.sources.scratch import Scratch
+
 # Words that don't count in fuzzy matches.
 STOP_WORDS = ("and", "the", "for", "with", "from", "into", "that", "this", "have", "has", "been", "are", "was", "were", "will", "can", "may")
 
@@ -25,30 +30,71 @@ def similar_to(postings: DataFrame, key: int, n: int = 5, active: Column | None
     return ranked.orderBy("tier", F.desc("score"), "ord").limit(n).select("id", "tier", "score")
 
 
-def most_similar(postings: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
+def _first(rows: DataFrame, token: str, n: int) -> DataFrame:
+    """The first 2 n + 1 rows of each token by ``ord``, at most n + 1 of a company: whichever row or company is left out, the first n of the others are there."""
+    of_company = Window.partitionBy(token, "company").orderBy("ord")
+    overall = Window.partitionBy(token).orderBy("ord")
+    few = rows.withColumn("_c", F.row_number().over(of_company)).where(F.col("_c") <= n + 1).drop("_c")
+    return few.withColumn("_r", F.row_number().over(overall)).where(F.col("_r") <= 2 * n + 1).drop("_r")
+
+
+def most_similar(postings: DataFrame, queries: DataFrame, n: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """query_id, id, tier and score of the n postings most like each query (both: id, ord, company, skills, places), itself left out.
 
-    A company's other postings come first, in their order, so n + 1 per company are enough for all its queries. Only queries that
-    these don't fill go on to postings of other companies: 2 for a shared place and 1 for each shared skill, found by equi-joins
-    on places and skills; postings without either never meet.
+    A company's other postings come first, in their order, so n + 1 per company are enough for all its queries. Queries that
+    these don't fill go on to postings of other companies: 2 for a shared place and 1 for each shared skill, ties in order.
+
+    No query meets all postings of a place, nor of its commonest skill. A posting that shares places only, one skill only, or one skill
+    and places, can only be among the best if it is among the first of that place, skill, or place with skill, so lists of the first 2 n + 1
+    of each are enough. Their scores give each query a bound, the score of its n-th best so far. What is not on the lists shares two skills or more, and
+    enough of them to reach the bound with 2 for a place: such a posting shares one of the query's rarest skills, those before the last
+    (needed - 1), and only these are joined. NULL places or skills are none.
     """
-    place = Window.partitionBy("company").orderBy("ord")
-    first = postings.select("company", "id", "ord").withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= n + 1).select("company", "id", "ord")
+    scratch = scratch or Scratch(postings.sparkSession, "similar")
+    none = F.array().cast("array<string>")
+    shape = lambda df: df.select("id", "ord", "company", F.coalesce("skills", none).alias("skills"), F.array_distinct(F.coalesce("places", none)).alias("places"))
+    postings, queries = scratch.table(shape(postings), "postings"), scratch.table(shape(queries), "queries")
+    first = postings.select("company", "id", "ord").withColumn("_r", F.row_number().over(Window.partitionBy("company").orderBy("ord"))).where(F.col("_r") <= n + 1).drop("_r")
     own = queries.select(F.col("id").alias("query_id"), "company").join(first, "company").where("id <> query_id")
     own = own.select("query_id", "id", "ord", F.lit(0).alias("tier"), F.lit(0).cast("long").alias("score"))
-    short = queries.join(own.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= n).select(F.col("query_id").alias("id")), "id", "left_anti")
+    full = own.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= n).select(F.col("query_id").alias("id"))
+    short = queries.join(full, "id", "left_anti").select(F.col("id").alias("query_id"), F.col("company").alias("_company"), F.array_distinct("skills").alias("_skills"), F.col("places").alias("_places"))
+    short = scratch.table(short, "short")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        score = F.when(F.arrays_overlap("places", "_places"), 2).otherwise(0) + F.size(F.filter("skills", lambda x: F.array_contains("_skills", x)))
+        other = (F.col("id") != F.col("query_id")) & ~F.coalesce(F.col("company") == F.col("_company"), F.lit(False))
+        return pairs.where(other).select("query_id", "id", "ord", score.cast("long").alias("score"))
+
+    # what at most one skill is shared with: through the lists
+    tokens = _tokens(F.col("places"), F.array_distinct("skills"))
+    lists = _first(postings.withColumn("token", F.explode(tokens)), "token", n)
+    asked = short.withColumn("token", F.explode(_tokens(F.col("_places"), F.col("_skills"))))
+    listed = scratch.table(scored(asked.join(lists, "token")).distinct(), "listed", small=True)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
+    bound = listed.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == n).select("query_id", F.col("score").alias("_bound"))
+
+    # the rest: through the rarest skills
+    with_skills = postings.withColumn("_x", F.explode(F.array_distinct("skills")))
+    times = with_skills.groupBy("_x").agg(F.count("*").alias("_times"))
+    repeats = postings.agg(F.max(F.size("skills") - F.size(F.array_distinct("skills")))).first()[0] or 0
+    ranked = short.select("query_id", F.explode("_skills").alias("_x")).join(times, "_x").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("_times", "_x"))).alias("_own"))
+    needed = F.greatest(F.lit(2), F.coalesce("_bound", F.lit(0)) - 2) - repeats  # a posting's repeated skills count each time
+    probes = ranked.join(bound, "query_id", "left").withColumn("_needed", F.greatest(F.lit(1), needed))
+    probes = probes.select("query_id", F.explode(F.filter("_own", lambda x, k: F.size("_own") - k >= F.col("_needed"))).alias("_p")).select("query_id", F.col("_p._x").alias("_x"))
+    rest = scratch.table(scored(probes.join(with_skills, "_x").join(short, "query_id")), "rest", small=True)
+
+    others = listed.unionByName(rest).distinct().where("score > 0")
+    every = own.unionByName(others.select("query_id", "id", "ord", F.lit(1).alias("tier"), "score"))
+    by = Window.partitionBy("query_id").orderBy("tier", F.desc("score"), "ord")
+    return every.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= n).select("query_id", "id", "tier", "score")
 
-    def shared(array: str, worth: int) -> DataFrame:
-        left = short.select(F.col("id").alias("query_id"), F.col("company").alias("_company"), F.explode(F.array_distinct(array)).alias("_x"))
-        right = postings.select("id", "ord", "company", F.explode(array).alias("_x"))
-        pairs = left.join(right, "_x").where("company <> _company")
-        pairs = pairs.select("query_id", "id", "ord").distinct() if worth > 1 else pairs
-        return pairs.select("query_id", "id", "ord", F.lit(worth).alias("_worth"))
 
-    others = shared("places", 2).unionByName(shared("skills", 1)).groupBy("query_id", "id", "ord").agg(F.sum("_worth").alias("score"))
-    every = own.unionByName(others.select("query_id", "id", "ord", F.lit(1).alias("tier"), "score"))
-    best = Window.partitionBy("query_id").orderBy("tier", F.desc("score"), "ord")
-    return every.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= n).select("query_id", "id", "tier", "score")
+def _tokens(places: Column, skills: Column) -> Column:
+    """Names of the lists of each place, each skill, and each place with each skill."""
+    one = lambda kind, xs: F.transform(xs, lambda x: F.concat_ws("\x00", F.lit(kind), x))
+    both = F.flatten(F.transform(places, lambda p: F.transform(skills, lambda s: F.concat_ws("\x00", F.lit("both"), p, s))))
+    return F.concat(one("place", places), one("skill", skills), both)
 
 
 def terms(c: Column) -> Column:
@@ -58,35 +104,81 @@ def terms(c: Column) -> Column:
 def fuzzy_match(values: DataFrame, reference: DataFrame, value: str, least: float = 0.6) -> DataFrame:
     """The best entry of ``reference`` (ref_ord, name) for each value by the mean of both coverages of their words.
 
-    Equal names win; otherwise words are joined on equality, so pairs without a shared word never meet. Ties go to the
-    earlier entry.
+    Equal names win, ties go to the earlier entry; NULL and values without words match nothing. Words are ordered by the number of names that
+    have them, rarest first. A value of n words and a name of m reach ``least`` only with 2 least n m / (n + m) words in common, so the rarest of
+    these is among the first words of both, all but as many as are needed less one. Only those are joined, per pair of lengths:
+    a common word never makes a pair unless it is needed. The lengths (as many numbers as there are words in the longest name) are literals.
     """
-    v = values.select(value).distinct().withColumn("_words", terms(F.col(value)))
-    r = reference.select("ref_ord", "name").withColumn("_terms", terms(F.col("name")))
-    left = v.select(value, F.size("_words").alias("_n"), F.explode("_words").alias("_word"))
-    right = r.select("ref_ord", "name", F.size("_terms").alias("_m"), F.explode(F.array_distinct("_terms")).alias("_word"))
-    pairs = left.join(right, "_word").groupBy(value, "ref_ord", "name", "_n", "_m").agg(F.count("*").alias("_shared"))
+    of_value, of_name = terms(F.col(value)), terms(F.col("name"))
+    v = values.select(value).distinct().select(value, F.size(of_value).alias("_n"), (F.size(of_value) > F.size(F.array_distinct(of_value))).alias("_repeats"), F.explode(of_value).alias("_word"))
+    r = reference.select("ref_ord", "name", F.size(of_name).alias("_m"), F.explode(F.array_distinct(of_name)).alias("_word"))
+    times = r.groupBy("_word").agg(F.count("*").alias("_times"))
+    v = v.groupBy(value, "_n", "_repeats", "_word").agg(F.count("*").alias("_c")).join(times, "_word")
+    v = v.groupBy(value, "_n", "_repeats").agg(F.sort_array(F.collect_list(F.struct("_times", "_word", "_c"))).alias("_own"))
+    r = r.join(times, "_word").groupBy("ref_ord", "name", "_m").agg(F.sort_array(F.collect_list(F.struct("_times", "_word"))).alias("_theirs"))
+    m_lengths = sorted(x["_m"] for x in r.select("_m").distinct().collect())
+    n_lengths = sorted((x["_n"], x["_repeats"]) for x in v.select("_n", "_repeats").distinct().collect())
+    numbers = F.lit(m_lengths) if m_lengths else F.array().cast("array<int>")
+    pairs_of = F.array(*(F.struct(F.lit(n).alias("_n"), F.lit(again).alias("_repeats")) for n, again in n_lengths)) if n_lengths else F.array().cast("array<struct<_n:int,_repeats:boolean>>")
+    needed = lambda n, m: F.greatest(F.lit(1), F.ceil(2 * least * n * m / (n + m) - 1e-9))
+    reaches = lambda n, m, again: (needed(n, m) <= n) & (again | (needed(n, m) <= m))  # noqa: E731  a name may be shorter than its share in repeated words
+    left = v.withColumn("_m", F.explode(F.filter(numbers, lambda m: reaches(F.col("_n"), m, F.col("_repeats")))))
+    weight = lambda k: F.aggregate(F.slice("_own", k + 1, F.size("_own")), F.lit(0).cast("long"), lambda s, x: s + x["_c"])
+    left = left.withColumn("_word", F.explode(F.filter("_own", lambda x, k: weight(k) >= needed(F.col("_n"), F.col("_m"))))).withColumn("_word", F.col("_word._word"))
+    right = r.withColumn("_of", F.explode(F.filter(pairs_of, lambda x: reaches(x["_n"], F.col("_m"), x["_repeats"])))).select("*", "_of.*").drop("_of")
+    enough = F.when(F.col("_repeats"), 1).otherwise(needed(F.col("_n"), F.col("_m")))
+    right = right.withColumn("_word", F.explode(F.filter("_theirs", lambda x, k: F.size("_theirs") - k >= enough))).withColumn("_word", F.col("_word._word"))
+    pairs = left.join(right, ["_n", "_m", "_repeats", "_word"])
+    common = F.array_intersect(F.transform("_own", lambda x: x["_word"]), F.transform("_theirs", lambda x: x["_word"]))
+    pairs = pairs.where(F.get(common, F.lit(0)) == F.col("_word"))  # of the words that two share, one makes the pair
+    shared = F.aggregate(F.filter("_own", lambda x: F.array_contains(F.transform("_theirs", lambda y: y["_word"]), x["_word"])), F.lit(0).cast("long"), lambda s, x: s + x["_c"])
+    pairs = pairs.select(value, "ref_ord", "name", "_n", "_m", shared.alias("_shared"))
     score = F.when(F.lower(value) == F.lower("name"), 2.0).otherwise((F.col("_shared") / F.col("_n") + F.col("_shared") / F.col("_m")) / 2)
     scored = pairs.withColumn("score", score).where(F.col("score") >= least)
     best = scored.groupBy(value).agg(F.max_by(F.struct("name", "score"), F.struct("score", (-F.col("ref_ord")).alias("_before"))).alias("_best"))
     return best.select(value, F.col("_best.name").alias("name"), F.least(F.col("_best.score"), F.lit(1.0)).alias("score"))
 
 
-def scan_terms(texts: DataFrame, text: str, key: str, reference: list[str]) -> DataFrame:
-    """Rows (key, term) for each term of the list that a text holds as whole words.
+_PIECE = re.compile(rb"[a-z0-9_]+|[^a-z0-9_]+")
+_WORD_BYTES = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789_")
+
 
-    Runs of words are looked up in the list, instead of testing every text against every term.
+def term_trie(reference: list[str]) -> dict:
+    """A trie of the terms' pieces: words, and what stands between them."""
+    trie: dict = {}
+    for place, term in enumerate(dict.fromkeys(reference)):
+        node = trie
+        for piece in _PIECE.findall(term.encode().lower()):
+            node = node.setdefault(piece, {})
+        node.setdefault(None, []).append(place)
+    return trie
+
+
+def terms_in(text: str, trie: dict) -> list[int]:
+    """Places of the terms that the text holds between word edges, in the list's order. Cost: a step for each piece of the text, and more only inside terms."""
+    pieces, found = _PIECE.findall(text.encode("utf-8", "surrogatepass").lower()), set()
+    for k, piece in enumerate(pieces):
+        # signs have an edge before them only after a word, and after them only before a word
+        node, at = trie.get(piece) if k or piece[0] in _WORD_BYTES else None, k
+        while node is not None:
+            if None in node and (pieces[at][0] in _WORD_BYTES or at + 1 < len(pieces)):
+                found.update(node[None])
+            at += 1
+            node = node.get(pieces[at]) if at < len(pieces) else None
+    return sorted(found)
+
+
+def scan_terms(texts: DataFrame, text: str, key: str, reference: list[str], least: int = 0) -> DataFrame:
+    """Rows (key, term) for each term of the list that a text holds as whole words, as the list spells it.
+
+    Letters are compared without case, what stands between a term's words as it is written. Texts of fewer than ``least`` characters and NULL
+    hold none; a term that is listed twice counts once. The list goes with the tasks as a trie.
     """
-    listed = {" ".join(t.lower().split()): t for t in reference}
-    longest = max((k.count(" ") + 1 for k in listed), default=1)
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
-    docs = texts.select(key, tokens.alias("_t"))
-    grams = F.flatten(F.array(*(_runs(k) for k in range(1, longest + 1))))
-    return docs.select(key, F.explode(F.array_intersect(grams, F.array(*(F.lit(k) for k in listed)))).alias("term"))
-
-
-def _runs(k: int) -> Column:
-    """Runs of k words of the column ``_t``."""
-    if k == 1:
-        return F.col("_t")
-    return F.when(F.size("_t") >= k, F.transform(F.sequence(F.lit(0), F.size("_t") - k), lambda i: F.array_join(F.slice("_t", i + 1, k), " "))).otherwise(F.array().cast("array<string>"))
+    names, trie = list(dict.fromkeys(reference)), term_trie(reference)
+
+    @F.pandas_udf("array<string>")
+    def found(column: pd.Series) -> pd.Series:
+        return pd.Series([[names[k] for k in terms_in(x, trie)] if x is not None else [] for x in column])
+
+    long = texts.where(F.length(text) >= least)
+    return long.select(key, F.explode(found(F.col(text))).alias("term"))

@@ -4,38 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from postlake.functions.skill import is_valid, normalize, similarity, split_compound
+from postlake.functions.skill import ACTION_VERBS, is_valid, normalize, similarity, split_compound
 from postlake.functions.text import trim
+from postlake.operators.similar import fuzzy_match
 
-# Words that don't count when a skill is compared with the reference.
-STOP_WORDS = tuple("and the for with from into that this have has been are was were will can may".split())
 LEAST_SCORE = 0.6
 
 
-def _words(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), r"[\s\-/]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS))
-
-
 def canonical(values: DataFrame, reference: DataFrame, prepared: DataFrame) -> DataFrame:
     """``values`` (skill) with canonical: the prepared dictionary's name (key, known), else the reference's (ref_ord, name) that is equal,
     equal with hyphens and slashes as blanks, or most alike by shared words, the first of equals; NULL if none reaches 0.6.
 
-    Shared words are found by an equi-join on words, so no value meets the whole reference; give distinct values.
+    Alike names come from ``similar.fuzzy_match``; give distinct values.
     """
     low = F.lower(F.col("skill"))
     collapsed = trim(F.regexp_replace(F.regexp_replace(low, r"[\-/]+", " "), r"\s+", " "))
     values = values.withColumn("_low", low).withColumn("_flat", collapsed)
-    terms = reference.select("ref_ord", "name", F.lower("name").alias("_key"), _words(F.col("name")).alias("_rw"))
-    first = terms.groupBy("_key").agg(F.min_by("name", "ref_ord").alias("_name"))
-    words = values.select("skill", _words(F.col("_flat")).alias("_sw"))
-    left = words.select("skill", F.size("_sw").alias("_n"), F.explode("_sw").alias("_w"))
-    right = terms.select("ref_ord", "name", F.size("_rw").alias("_m"), F.explode(F.array_distinct("_rw")).alias("_w"))
-    shared = left.join(right, "_w").groupBy("skill", "ref_ord", "name", "_n", "_m").agg(F.count("*").alias("_o"))
-    scored = shared.withColumn("_score", (F.col("_o") / F.col("_n") + F.col("_o") / F.col("_m")) / 2).where(F.col("_score") >= LEAST_SCORE)
-    best = scored.groupBy("skill").agg(F.max_by("name", F.struct("_score", -F.col("ref_ord"))).alias("_alike"))
+    first = reference.groupBy(F.lower("name").alias("_key")).agg(F.min_by("name", "ref_ord").alias("_name"))
+    alike = fuzzy_match(values.select("skill"), reference, "skill", LEAST_SCORE).select("skill", F.col("name").alias("_alike"))
     out = values.join(prepared.select(F.col("key").alias("_low"), "known"), "_low", "left")
     out = out.join(first.select(F.col("_key").alias("_low"), F.col("_name").alias("_exact")), "_low", "left").join(first.select(F.col("_key").alias("_flat"), F.col("_name").alias("_collapsed")), "_flat", "left")
-    return out.join(best, "skill", "left").select("skill", F.coalesce("known", "_exact", "_collapsed", "_alike").alias("canonical"))
+    return out.join(alike, "skill", "left").select("skill", F.coalesce("known", "_exact", "_collapsed", "_alike").alias("canonical"))
 
 
 def processed(raws: DataFrame, reference: DataFrame, prepared: DataFrame, split: bool = True) -> DataFrame:
@@ -56,8 +45,8 @@ def searchable(skills: Column, canonical_skills: Column) -> Column:
     return F.transform(F.coalesce(canonical_skills, skills), F.lower)
 
 
-# Verbs that begin tasks rather than skills.
-TASK_VERBS = tuple("delegate organize establish maintain develop implement create manage coordinate supervise direct oversee monitor evaluate assess review update prepare conduct perform execute complete ensure".split())
+#: Verbs that begin tasks rather than skills: those before the helping ones.
+TASK_VERBS = tuple(ACTION_VERBS[: ACTION_VERBS.index("provide")])
 #: Of a search: occupations that are looked at, the boost of priority ones, the least score and the score that ends the search there.
 OCCUPATIONS, BOOST, LEAST, ENOUGH = 8, 1.3, 0.35, 0.85
 

@@ -10,6 +10,7 @@ from postlake.functions.text import parse_method, percent, token_budget
 from postlake.operators import facets, skills
 from postlake.operators.facets import exploded
 from postlake.operators.filters import is_active
+from postlake.operators.similar import STOP_WORDS
 from postlake.plans.join_queries import _CITIES, _SQL_CITIES, _case, _sql_belongs
 from postlake.plans.postings import PLACES, POSTINGS, pick, postings, sql_pick
 from postlake.plans.text_queries import _NORMALIZE, raw_skill
@@ -180,7 +181,7 @@ def certifications_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The reference list, in order, and a prepared dictionary from a normalised skill to its canonical name.
 REFERENCE = ("Financial Analysis", "Welding", "Ring Management", "Mechanical Design Operations", "Pipe Inspection", "Safety Operations", "Critical Thinking")
 PREPARED = {"safety management": "Health and Safety", "non-destructive testing": "NDT", "welding operations": "WELDING"}
-_WORDS = lambda c: f"list_filter(string_split_regex({c}, '[\\s\\-/]+'), lambda w: length(w) >= 2 AND w NOT IN ({', '.join(repr(w) for w in skills.STOP_WORDS)}))"
+_WORDS = lambda c: f"list_filter(string_split_regex({c}, '[\\s\\-/]+'), lambda w: length(w) >= 2 AND w NOT IN ({', '.join(repr(w) for w in STOP_WORDS)}))"
 _PROCESSED = rf"""{_NORMALIZE},
     ref(ref_ord, name) AS (VALUES {_values(enumerate(REFERENCE))}),
     prepared(key, known) AS (VALUES {_values(PREPARED.items())}),

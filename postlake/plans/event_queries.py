@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from postlake.functions import location as loc
+from postlake.operators.facets import exploded, is_active
+from postlake.plans.postings import PLACES, POSTINGS, postings
+from postlake.sources.answers import AnswerStore
+from postlake.sources.buckets import BucketedSnapshot, sync_buckets
+from postlake.sources.providers import FakeGeocoder
 from postlake.sources.scratch import Scratch
 from postlake.sources.sinks import read_snapshot
 from postlake.sources.tables import table
+from postlake.streaming.status import run_available, status_changes
 from postlake.streaming.sync import latest_status, sessions, sync_available, windowed_counts
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -31,6 +38,50 @@ def incremental_sync_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_snapshot(spark, f"{scratch.root}/snapshot").select("user_id", "event_id", "event_type", F.round("value", 4).alias("value"))
 
 
+@query("SELECT user_id, event_id, event_type, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def bucketed_sync_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same into a bucketed snapshot: events come in three files, a batch each, and a batch rewrites the buckets of its users only."""
+    scratch = Scratch(spark, "buckets")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    most = events.agg(F.max("event_id")).first()[0] or 0
+    for third in range(3):
+        events.where(F.floor(F.col("event_id") * 3 / (most + 1)) == third).coalesce(1).write.mode("append").parquet(f"{scratch.root}/in")
+    snapshot = BucketedSnapshot(spark, f"{scratch.root}/snapshot", "user_id", 16)
+    sync_buckets(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.root}/in"), snapshot, f"{scratch.root}/checkpoint", "event_id")
+    return snapshot.read().select("user_id", "event_id", "event_type", F.round("value", 4).alias("value"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'error' THEN 'paused' WHEN 'purchase' THEN 'removed' ELSE 'active' END AS status FROM events),
+    w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS passed FROM e),
+    o AS (SELECT user_id, ts, status, lag(status) OVER p AS before, lag(ts) OVER p + INTERVAL 48 HOUR AS expires, lead(ts) OVER p AS next, passed FROM e, w WHERE ts <= passed WINDOW p AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    m AS (SELECT user_id, status, CASE WHEN expires < ts THEN 'removed' ELSE before END AS previous, ts AS changed_at FROM o),
+    g AS (SELECT user_id, 'removed' AS status, status AS previous, ts + INTERVAL 48 HOUR AS changed_at FROM o WHERE status <> 'removed' AND ts + INTERVAL 48 HOUR <= passed AND (next IS NULL OR ts + INTERVAL 48 HOUR < next))
+    SELECT * FROM m WHERE previous IS DISTINCT FROM status UNION ALL SELECT * FROM g"""
+)
+def status_lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of users' status, from a stream of events; who isn't heard of for two days is removed."""
+    scratch = Scratch(spark, "status")
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    status = F.when(F.col("event_type") == "error", "paused").when(F.col("event_type") == "purchase", "removed").otherwise("active")
+    run_available(status_changes(events.withColumn("status", status), "user_id", "status", "ts", "event_id", silence_hours=48), f"{scratch.root}/changes", f"{scratch.root}/checkpoint")
+    changes = spark.read.schema("key long, status string, previous string, changed_at timestamp").parquet(f"{scratch.root}/changes")
+    return changes.select(F.col("key").alias("user_id"), "status", "previous", F.col("changed_at").cast("timestamp_ntz").alias("changed_at"))
+
+
+@query(
+    f"""WITH {POSTINGS}, {PLACES}, r AS (SELECT DISTINCT raw, string_split(replace(raw, '-', ','), ',') AS parts FROM places)
+    SELECT raw, CASE WHEN parts[-1] LIKE 'NATION %' THEN 'Nation ' || split_part(parts[-1], ' ', 2) ELSE parts[-1] END AS city, CASE WHEN len(parts) > 1 THEN upper(parts[1][1:2]) ELSE 'NA' END AS country_code FROM r"""
+)
+def stored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places asked of a geocoder through a store of answers, half of them first; the second run asks for the rest only."""
+    store = AnswerStore(spark, f"{Scratch(spark, 'answers').root}/store")
+    raws = exploded(postings(spark, sf_dir).where(is_active()).withColumn("raws", loc.lines(F.col("location"))), "raws", "raw").select("raw").distinct()
+    store.ask(raws.where(F.xxhash64("raw") % 2 == 0), "raw", FakeGeocoder())
+    out = store.ask(raws, "raw", FakeGeocoder()).withColumn("r", F.from_json("response", "city string, countryCode string"))
+    return out.select("raw", "r.city", F.col("r.countryCode").alias("country_code"))
+
+
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 3))

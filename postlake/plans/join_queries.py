@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlake.functions import location as loc, role, skill
@@ -172,8 +174,10 @@ def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     v AS (SELECT DISTINCT lower(p_brand) || ' ' || p_name AS value FROM part),
     vw AS (SELECT value, list_filter(string_split_regex(value, '[\\s\\-/]+'), lambda w: length(w) >= 2) AS ws FROM v),
     rw AS (SELECT ref_ord, name, list_filter(string_split_regex(lower(name), '[\\s\\-/]+'), lambda w: length(w) >= 2) AS ts FROM ref),
-    p AS (SELECT value, name, ref_ord, len(list_filter(ws, lambda w: list_contains(ts, w))) AS o, len(ws) AS n, len(ts) AS m FROM vw, rw),
-    s AS (SELECT value, name, ref_ord, (o / n + o / m) / 2 AS score FROM p WHERE o > 0)
+    vx AS (SELECT value, len(ws) AS n, unnest(ws) AS w FROM vw),
+    rx AS (SELECT ref_ord, name, len(ts) AS m, unnest(list_distinct(ts)) AS w FROM rw),
+    p AS (SELECT value, name, ref_ord, n, m, count(*) AS o FROM vx JOIN rx USING (w) GROUP BY ALL),
+    s AS (SELECT value, name, ref_ord, (o / n + o / m) / 2 AS score FROM p)
     SELECT value, name, round(least(score, 1.0), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY score DESC, ref_ord) AS r FROM s WHERE score >= 0.6) WHERE r = 1"""
 )
 def fuzzy_reference_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,13 +200,50 @@ def jaccard_length_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, unnest(['apache license', 'mit', 'idiot', 'the of', 'general public license', 'version']) AS term, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]+'), ' ') || ' ' AS words FROM documents)
-    SELECT doc_id, term FROM t WHERE contains(words, ' ' || term || ' ')"""
+    f"""WITH {POSTINGS}, allp AS (SELECT id, ord, o_custkey AS company, skills, list_filter(string_split(location, chr(10)), lambda x: x NOT IN ('', 'locations')) AS raws FROM postings JOIN orders ON o_orderkey = id),
+    q AS (SELECT id AS query_id, company AS c0, skills AS s0, raws AS r0 FROM allp WHERE id % 50 = 0),
+    s AS (SELECT query_id, id, ord, CASE WHEN company = c0 THEN 0 ELSE 1 END AS tier,
+      CASE WHEN company = c0 THEN 0 ELSE CASE WHEN list_has_any(raws, r0) THEN 2 ELSE 0 END + len(list_filter(skills, lambda x: list_contains(s0, x))) END AS score FROM allp, q WHERE id <> query_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, score DESC, ord) AS r FROM s WHERE tier = 0 OR score > 0)
+    SELECT query_id, id, CAST(tier AS INTEGER) AS tier, CAST(score AS BIGINT) AS score FROM r WHERE r <= 5"""
+)
+def similar_across_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with customers as companies: most have too few other postings, so places and skills of others decide."""
+    company = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("company"))
+    rows = postings(spark, sf_dir).select("id", "ord", "skills", loc.lines(F.col("location")).alias("places")).join(company, "id")
+    return similar.most_similar(rows, rows.where("id % 50 = 0"), 5)
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, text, unnest(['Apache License', 'MIT', 'idiot', 'the of', 'General Public License', 'Version']) AS term FROM documents)
+    SELECT doc_id, term FROM t WHERE regexp_matches(text, '(?i)\b' || term || '\b')"""
 )
 def reference_term_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.scan_terms(table(spark, sf_dir, "documents"), "text", "doc_id", ["Apache License", "MIT", "idiot", "the of", "General Public License", "Version"])
 
 
+#: A reference list by rule: all kinds of parts, every second with a hyphen, and signs at some ends.
+KINDS = tuple(f"{a.title()}{'-' if k % 2 else ' '}{b.title()} {c.title()}" for k, (a, b, c) in enumerate(product(("STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO"), ("ANODIZED", "BURNISHED", "PLATED", "POLISHED", "BRUSHED"), ("TIN", "NICKEL", "BRASS", "STEEL", "COPPER"))))
+LISTED = (*KINDS, "R&D", "C++", "C#", "Brushed", "Non-Polished Tin", "Tin")
+
+
+@query(
+    rf"""WITH d AS (SELECT l_orderkey AS id, string_agg(CASE l_linenumber % 3 WHEN 0 THEN lower(p_type) WHEN 1 THEN split_part(p_type, ' ', 1) || '-' || split_part(p_type, ' ', 2) || ' ' || split_part(p_type, ' ', 3)
+      ELSE 'R&D, C++ non-' || split_part(p_type, ' ', 2) || ' ' || split_part(p_type, ' ', 3) END, ', ' ORDER BY l_linenumber) AS text FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey),
+    t AS (SELECT id, text, unnest([{", ".join(repr(x) for x in LISTED)}]) AS term FROM d WHERE length(text) >= 50)
+    SELECT id, term FROM t WHERE contains(lower(text), lower(term)) AND regexp_matches(text, '(?i)\b' || regexp_escape(term) || '\b')"""
+)
+def reference_terms_in_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of a list in texts that are made of the parts' kinds; texts of under 50 characters are skipped."""
+    kind = lambda k: F.split_part("p_type", F.lit(" "), F.lit(k))
+    hyphened = F.concat(kind(1), F.lit("-"), kind(2), F.lit(" "), kind(3))
+    said = F.when(F.col("l_linenumber") % 3 == 0, F.lower("p_type")).when(F.col("l_linenumber") % 3 == 1, hyphened).otherwise(F.concat(F.lit("R&D, C++ non-"), kind(2), F.lit(" "), kind(3)))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").join(parts, "l_partkey").groupBy(F.col("l_orderkey").alias("id"))
+    texts = lines.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", said.alias("said")))), lambda x: x["said"]), ", ").alias("text"))
+    return similar.scan_terms(texts, "text", "id", list(LISTED), least=50)
+
+
 @query(
     f"""WITH {POSTINGS} SELECT id, CASE WHEN doc_id IS NULL THEN coalesce(km, 'other') WHEN quality = 1 THEN 'welder' ELSE coalesce(km, 'other') END AS role_id,
     CASE WHEN quality = 1 THEN 'mapping' WHEN km IS NOT NULL THEN 'keyword' ELSE 'none' END AS how
