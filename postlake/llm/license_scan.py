@@ -80,6 +80,7 @@ TEMPLATES = {
     "Zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",),
 }
 _TERM = re.compile(r"[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?")
+_LINE_END = re.compile("\n")
 
 
 def terms(text: str) -> list[str]:
@@ -178,9 +179,10 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
             lower = (text or "").lower()
-            for start, n, name, _, dice in templates.find(_TERM.findall(lower)):
-                at = next(m.start() for k, m in enumerate(_TERM.finditer(lower)) if k == start)
-                rows.append((doc_id, name, lower.count("\n", 0, at), round(dice, 6), start, n))
+            found = [(m.start(), m[0]) for m in _TERM.finditer(lower)]
+            stretches = templates.find([word for _, word in found])
+            ends = [m.start() for m in _LINE_END.finditer(lower)] if stretches else []
+            rows += [(doc_id, name, bisect.bisect_left(ends, found[start][0]), round(dice, 6), start, n) for start, n, name, _, dice in stretches]
         if rows:
             yield pd.DataFrame(rows, columns=["doc_id", "license", "line", "dice", "start", "words"]).astype({"doc_id": "Int64"})
 
