@@ -2,15 +2,14 @@
 
 Each rule reads one property of a text and votes good (1), bad (-1) or abstains (0). No labels are used: a
 model of good texts and kinds of junk, with one rate per rule and class, is fitted to the counts of vote patterns. There are at most
-3 ** number of rules patterns whatever the corpus, so each round of the fit is one aggregation of that small
-table; the texts are read once. A text is kept if its posterior probability of good reaches one half.
+3 ** number of rules patterns whatever the corpus, so the fit is arithmetic on a few thousand counts; the texts are read once. A text is kept if its posterior probability of good reaches one half.
 """
 
 from __future__ import annotations
 
 import math
-import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlake.sources.scratch import Scratch
@@ -18,7 +17,10 @@ from postlake.sources.scratch import Scratch
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-ROUNDS = 30
+#: Change of every posterior of every pattern from round to round below which the fit has converged.
+STILL = 1e-6
+#: Rates are never surer than this, nor than its opposite.
+MOST_RATE = 0.998
 
 #: name: (value above which a rule votes bad, value up to which it votes good); between them it abstains.
 HIGH_IS_BAD = {
@@ -135,35 +137,72 @@ def fit(patterns: DataFrame) -> dict:
     class of good texts and one of junk for each rule. It starts from the belief that a text without a bad vote is good with
     probability 0.95, and that else its bad votes share 0.9. The rates are the rules' accuracies: how often a rule's vote
     is good on good texts, and bad on each kind of junk. They are smoothed and never certain.
+
+    The patterns with their counts are all that the fit needs, and at most 3 ** number of rules, so they are collected; rounds go on until
+    no posterior moves by ``STILL``; between plain rounds, steps are drawn out along their course.
     """
+    rows = sorted((tuple(r["cells"]), r["n"]) for r in patterns.collect())
     kinds, width = len(RULES) + 1, 2 * len(RULES)
-    bad = F.filter("cells", lambda c: c % 2 == 1)
-    share = lambda k: F.when(F.size(bad) == 0, 0.05 / len(RULES)).when(F.array_contains(bad, 2 * k - 1), 0.9 / F.size(bad)).otherwise(0.0)
-    start = F.transform(F.sequence(F.lit(0), F.lit(len(RULES))), lambda k: F.when(k == 0, F.when(F.size(bad) == 0, 0.95).otherwise(0.1)).otherwise(share(k)))
-    model: dict = {}
-    for _ in range(ROUNDS):
-        weighed = patterns.withColumn("weights", responsibilities(model) if model else start).withColumn("counted", F.array_append("cells", F.lit(-1)))
-        weighed = weighed.select("n", "counted", F.posexplode("weights").alias("kind", "weight"))
-        sums = weighed.select("kind", "n", "weight", F.explode("counted").alias("cell")).groupBy("kind", "cell").agg(F.sum(F.col("n") * F.col("weight")).alias("sum"))
-        found = {(r["kind"], r["cell"]): r["sum"] for r in sums.collect()}  # kinds * (2 * rules + 1) rows
-        if not found:
-            break
-        total = sum(found[k, -1] for k in range(kinds))
-        new = {"prior": [math.log((found[k, -1] + 0.01) / (total + 0.01 * kinds)) for k in range(kinds)], "rates": []}
-        for k in range(kinds):
-            row = [0.0] * width
-            for r in range(len(RULES)):
-                up, down = found.get((k, 2 * r), 0.0), found.get((k, 2 * r + 1), 0.0)
-                rate = min(max((up + 0.05) / (up + down + 0.1), 0.002), 0.998)
-                row[2 * r], row[2 * r + 1] = math.log(rate), math.log(1 - rate)
-            new["rates"].append(row)
-        moved = max(abs(a - b) for a, b in zip(sum(new["rates"], new["prior"]), sum(model["rates"], model["prior"]))) if model else 1.0
-        model = new
-        if moved < 1e-3:
+    if not rows:
+        return {"prior": [0.0] * kinds, "rates": [[0.0] * width for _ in range(kinds)]}
+    cast, n = np.zeros((len(rows), width)), np.array([r[1] for r in rows], dtype=np.float64)
+    for k, (cells, _) in enumerate(rows):
+        cast[k, list(cells)] = 1
+    bad = cast[:, 1::2]
+    of_bad = bad.sum(axis=1, keepdims=True)
+    junk = np.where(of_bad > 0, 0.9 * bad / np.maximum(of_bad, 1), 0.05 / len(RULES))
+    weights = np.concatenate([np.where(of_bad > 0, 0.1, 0.95), junk], axis=1)
+    numbers, seen = _from_weights(weights, cast, n), weights
+    while True:
+        # two plain rounds give a direction and its change; a longer step along them is taken if it doesn't lower the objective
+        one, worth, now = _round(numbers, cast, n)
+        if np.abs(now - seen).max() < STILL:
             break
-    else:
-        warnings.warn(f"the rules' accuracies still moved by {moved:.3f} after {ROUNDS} rounds", stacklevel=2)
-    return model or {"prior": [0.0] * kinds, "rates": [[0.0] * width for _ in range(kinds)]}
+        two, _, seen = _round(one, cast, n)
+        step, bend = one - numbers, two - 2 * one + numbers
+        far = max(1.0, float(np.linalg.norm(step) / max(np.linalg.norm(bend), 1e-300)))
+        numbers = two
+        while far > 1.01:
+            tried = _tidy(one - step + 2 * far * step + far * far * bend)
+            new, reached, seen_there = _round(tried, cast, n)
+            if reached >= worth:
+                numbers, seen = new, seen_there
+                break
+            far = (far + 1) / 2 if far < 4 else far / 4
+    prior, good, bad = _split(numbers)
+    return {"prior": prior.tolist(), "rates": np.stack([good, bad], axis=2).reshape(kinds, width).tolist()}
+
+
+def _split(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log priors, and log rates of good and of bad votes, of log priors followed by the rates' logits."""
+    kinds = len(RULES) + 1
+    logit = numbers[kinds:].reshape(kinds, -1)
+    return numbers[:kinds], -np.logaddexp(0, -logit), -np.logaddexp(0, logit)
+
+
+def _tidy(numbers: np.ndarray) -> np.ndarray:
+    """Priors that sum to one, rates within their bounds."""
+    kinds, most = len(RULES) + 1, math.log(MOST_RATE / (1 - MOST_RATE))
+    return np.concatenate([numbers[:kinds] - np.logaddexp.reduce(numbers[:kinds]), np.clip(numbers[kinds:], -most, most)])
+
+
+def _from_weights(weights: np.ndarray, cast: np.ndarray, n: np.ndarray) -> np.ndarray:
+    mass = weights * n[:, None]
+    prior = np.log((mass.sum(axis=0) + 0.01) / (mass.sum() + 0.01 * mass.shape[1]))
+    votes = mass.T @ cast
+    rate = np.clip((votes[:, 0::2] + 0.05) / (votes[:, 0::2] + votes[:, 1::2] + 0.1), 1 - MOST_RATE, MOST_RATE)
+    return np.concatenate([prior, np.log(rate / (1 - rate)).ravel()])
+
+
+def _round(numbers: np.ndarray, cast: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """The next numbers, and of the given ones the objective (log likelihood with the smoothing's weight) and the posteriors."""
+    prior, good, bad = _split(numbers)
+    logs = prior + cast[:, 0::2] @ good.T + cast[:, 1::2] @ bad.T
+    most = logs.max(axis=1, keepdims=True)
+    powers = np.exp(logs - most)
+    total = powers.sum(axis=1, keepdims=True)
+    worth = float(n @ (np.log(total) + most)[:, 0]) + 0.01 * prior.sum() + 0.05 * (good.sum() + bad.sum())
+    return _from_weights(powers / total, cast, n), worth, powers / total
 
 
 def quality_rules(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
