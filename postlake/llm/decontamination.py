@@ -6,6 +6,8 @@ item are aligned: an occurrence is a chain of hits that go on in both texts, bes
 less place in the item), with a step to another one where words were put in or left out. It counts if its windows cover at
 least 0.8 of the item's words and its placeholders are filled consistently: equal values of the item stand for equal values of
 the document and the other way round. An exact copy fills each with itself; a re-parameterised question fills them with others.
+What is a name rests on capitals, so windows of the plain lower-case words are joined in the same way and add the copies whose case differs.
+An item that is mostly placeholders counts only so, with its own numbers and names, as any list of numbers would fit its template.
 An item of fewer than five words is too little to be found inside a text: it counts where a line of the document consists of its words.
 
 The hash join is one against a table of windows that every task holds: benchmark items are cut into parts of about ``PART`` words
@@ -31,6 +33,8 @@ from postlake.sources.scratch import Scratch
 
 WINDOW = 5
 COVERED = 0.8
+#: Least share of plain words of an item for which other fillings of its placeholders count; other items count with their own only.
+LITERAL = 0.25
 #: Share of placeholder fillings that may contradict others, as a word may be misspelt.
 CONTRADICTIONS = 0.1
 #: Words of benchmark items that a task holds at once.
@@ -84,22 +88,13 @@ def _words_of(benchmark: DataFrame) -> DataFrame:
     return items.mapInPandas(describe, "item_id long, shape binary, value binary, slots binary, n int")
 
 
-class Items:
-    """A part of the benchmark: windows by item, anchors by hash, short items by the hash of their words."""
+class View:
+    """Windows by item, and anchors by hash, over one reading of the items: their templates, or their plain words."""
 
-    def __init__(self, rows: pd.DataFrame):
-        rows = rows.sort_values(["item_id", "value"], kind="stable")
-        read = lambda k: [np.frombuffer(x, dtype=np.uint64) for x in rows[k]]
-        shapes, values, slots, ids = read("shape"), read("value"), read("slots"), rows["item_id"].tolist()
-        long = [k for k, x in enumerate(shapes) if len(x) >= WINDOW]
-        self.ids, self.words = [ids[k] for k in long], np.array([len(shapes[k]) for k in long], dtype=np.int64)
-        self.slots, hashes = [slots[k].view(np.int64) for k in long], [windows(shapes[k], WINDOW) for k in long]
-        self.hashes = hashes
+    def __init__(self, ids: list[int], texts: list[np.ndarray], slots: list[np.ndarray]):
+        self.ids, self.slots, self.words = ids, slots, np.array([len(x) for x in texts], dtype=np.int64)
+        self.hashes = [windows(x, WINDOW) for x in texts]
         self.anchors, self.begin, self.of = self._anchors()
-        self.short: dict[int, list[tuple[int, int, int]]] = {}
-        for k, x in enumerate(values):
-            if len(x) < WINDOW:
-                self.short.setdefault(int(windows(x, len(x))[0]) ^ len(x), []).append((ids[k], len(x), int(np.count_nonzero(slots[k]))))
 
     def _anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted hashes of the anchors, and for each where its items begin in the list of items.
@@ -136,6 +131,61 @@ class Items:
         k = np.unique(k[self.anchors[k] == h])
         return np.unique(np.concatenate([self.of[self.begin[x] : self.begin[x + 1]] for x in k])) if len(k) else np.empty(0, dtype=np.int64)
 
+    def occurrences(self, text: np.ndarray, given: np.ndarray, literal: bool) -> Iterator[tuple]:
+        """item_id, start, covered, n_slots, exact and the item's words, of each occurrence in the words ``text``; ``given`` fills the slots."""
+        h, offsets = windows(text, WINDOW), np.arange(WINDOW)
+        found = self.near(h)
+        if not len(found):
+            return
+        order = np.argsort(h, kind="stable")
+        in_order = h[order]
+        for k in found.tolist():
+            wanted = self.hashes[k]
+            lo, hi = np.searchsorted(in_order, wanted), np.searchsorted(in_order, wanted, side="right")
+            hit = np.flatnonzero(hi > lo)
+            if not len(hit) or WINDOW + np.minimum(np.diff(hit), WINDOW).sum() < COVERED * self.words[k]:
+                continue
+            times = (hi - lo)[hit]
+            i = np.repeat(hit, times)
+            d = order[np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())]
+            asked = self.slots[k][i[:, None] + offsets]
+            if literal:
+                near = near_words(d, asked, int(self.words[k]))
+                d, i, asked = d[near], i[near], asked[near]
+            for x in _alignments(d, i, given[d[:, None] + offsets], asked, int(self.words[k])):
+                yield (self.ids[k], *x, int(self.words[k]))
+
+
+class Items:
+    """A part of the benchmark: both readings of its long items, and short items by the hash of their words."""
+
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values(["item_id", "value"], kind="stable")
+        read = lambda k: [np.frombuffer(x, dtype=np.uint64) for x in rows[k]]
+        shapes, values, slots, ids = read("shape"), read("value"), read("slots"), rows["item_id"].tolist()
+        long = [k for k, x in enumerate(shapes) if len(x) >= WINDOW]
+        told = [k for k in long if has_words(slots[k])]
+        view = lambda of, texts: View([ids[k] for k in of], [texts[k] for k in of], [slots[k].view(np.int64) for k in of])
+        self.templates, self.plain = view(told, shapes), view(long, values)
+        self.short: dict[int, list[tuple[int, int, int]]] = {}
+        for k, x in enumerate(values):
+            if len(x) < WINDOW:
+                self.short.setdefault(int(windows(x, len(x))[0]) ^ len(x), []).append((ids[k], len(x), int(np.count_nonzero(slots[k]))))
+
+
+def has_words(slots: np.ndarray) -> bool:
+    """Whether enough of an item are plain words for its template to tell it from others."""
+    return np.count_nonzero(slots == 0) >= LITERAL * len(slots)
+
+
+def near_words(d: np.ndarray, asked: np.ndarray, item_words: int) -> np.ndarray:
+    """Of hits at the places ``d``, those within two lengths of the item from a hit on a window with a plain word."""
+    told = np.sort(d[(asked == 0).any(axis=1)])
+    if not len(told):
+        return np.zeros(len(d), dtype=bool)
+    k = np.searchsorted(told, d)
+    return np.minimum(np.abs(told[np.minimum(k, len(told) - 1)] - d), np.abs(d - told[np.maximum(k - 1, 0)])) <= 2 * item_words
+
 
 def _cache() -> WordTable:
     return WordTable(each(_describe), (np.uint64, np.bool_, np.bool_, np.int64))
@@ -154,36 +204,26 @@ def _short_lines(text: str, items: Items, cache: WordTable) -> Iterator[tuple[in
         start += len(value)
 
 
+def _in_text(text: str, items: Items, cache: WordTable) -> Iterator[tuple]:
+    """item_id, start, covered, n_slots and exact of each occurrence in a text. Plain words add what the templates don't have at that place."""
+    if items.short:
+        yield from _short_lines(text, items, cache)
+    shape, value, kinds = template(text, cache)
+    slots = np.where(kinds > 0, value, 0).astype(np.uint64).view(np.int64)
+    places: dict[int, list[int]] = {}
+    for *x, _ in items.templates.occurrences(shape, slots, True):
+        places.setdefault(x[0], []).append(x[1])
+        yield tuple(x)
+    for *x, n in items.plain.occurrences(value, value.view(np.int64), False):
+        if all(abs(x[1] - start) >= n for start in places.get(x[0], ())):
+            yield tuple(x)
+
+
 def _finder(sent):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items, cache = sent.value, _cache()
-        offsets = np.arange(WINDOW)
         for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                if not text:
-                    continue
-                if items.short:
-                    out += [(doc, *x) for x in _short_lines(text, items, cache)]
-                shape, value, kinds = template(text, cache)
-                h = windows(shape, WINDOW)
-                found = items.near(h)
-                if not len(found):
-                    continue
-                slots = np.where(kinds > 0, value, 0).astype(np.uint64).view(np.int64)
-                order = np.argsort(h, kind="stable")
-                in_order = h[order]
-                for k in found.tolist():
-                    wanted = items.hashes[k]
-                    lo, hi = np.searchsorted(in_order, wanted), np.searchsorted(in_order, wanted, side="right")
-                    hit = np.flatnonzero(hi > lo)
-                    if not len(hit) or WINDOW + np.minimum(np.diff(hit), WINDOW).sum() < COVERED * items.words[k]:
-                        continue
-                    times = (hi - lo)[hit]
-                    i = np.repeat(hit, times)
-                    d = order[np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())]
-                    given, asked = slots[d[:, None] + offsets], items.slots[k][i[:, None] + offsets]
-                    out += [(doc, items.ids[k], *x) for x in _alignments(d, i, given, asked, int(items.words[k]))]
+            out = [(doc, *x) for doc, text in zip(batch["doc_id"], batch["text"]) if text for x in _in_text(text, items, cache)]
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "start", "covered", "n_slots", "exact"])
 
