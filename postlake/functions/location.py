@@ -125,6 +125,61 @@ def from_geocode(geo: Column) -> Column:
     )
 
 
+def metadata(raw: Column, geo: Column) -> Column:
+    """struct(original, formatted, city, state, state_code, country, country_code, longitude, latitude, source) of a raw place.
+
+    ``geo`` (city, state, stateCode, country, countryCode, coordinates) is the dictionary's entry or NULL; without one the parser decides, and what it can't
+    place is in ``Other``. An entry without country takes that of its code; Singapore's entries, which have none, are a state's.
+    """
+    original = trim(F.regexp_replace(raw, r"(?i)^locations\s*", ""))
+
+    def of(x: Column) -> Column:
+        g, parsed = x["geo"], x["parsed"]
+        city_state = g["country"].isNull() & F.coalesce(g["state"].contains("Singapore"), F.lit(False))
+        code = F.when(city_state, "SG").otherwise(g["countryCode"])
+        named = F.struct(*(g[k].alias(k) for k in ("city", "state", "stateCode", "country", "countryCode")), F.lit(None).cast("string").alias("placeName"))
+        known = F.struct(
+            x["original"].alias("original"),
+            with_states(named, x["original"], True).alias("formatted"),
+            g["city"].alias("city"),
+            F.when(~city_state, g["state"]).alias("state"),
+            F.when(~city_state, g["stateCode"]).alias("state_code"),
+            F.coalesce(g["country"], F.when(city_state, "Singapore").otherwise(lookup(COUNTRIES, F.upper(code))), F.lit("Other")).alias("country"),
+            code.alias("country_code"),
+            g["coordinates"]["longitude"].alias("longitude"),
+            g["coordinates"]["latitude"].alias("latitude"),
+            F.lit("geocoded").alias("source"),
+        )
+        none = F.lit(None).cast("double")
+        guessed = F.struct(
+            x["original"].alias("original"),
+            F.coalesce(parsed["formatted"], x["original"]).alias("formatted"),
+            parsed["city"].alias("city"),
+            parsed["state"].alias("state"),
+            parsed["state_code"].alias("state_code"),
+            F.coalesce(parsed["country"], F.lit("Other")).alias("country"),
+            parsed["country_code"].alias("country_code"),
+            none.alias("longitude"),
+            none.alias("latitude"),
+            F.lit("fallback").alias("source"),
+        )
+        return F.when(g.isNotNull(), known).otherwise(guessed)
+
+    return once(F.struct(original.alias("original"), geo.alias("geo"), parse(raw).alias("parsed")), of)
+
+
+def display_from(cell: Column, geo: Column) -> Column:
+    """As ``display``, but the first location's name comes from its dictionary entry ``geo`` where it has one."""
+    more = F.size(lines(cell)) - 1
+    named = F.when(more > 0, F.concat(from_geocode(geo), F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(from_geocode(geo))
+    return F.when(geo.isNotNull() & (more >= 0), named).otherwise(display(cell))
+
+
+def in_region(name: Column, country: str, region: str) -> Column:
+    """Whether a formatted name lies in a country's region, as the two-level list groups it."""
+    return once(group_keys(name), lambda k: F.coalesce((k["country"] == country) & (k["region"] == region), F.lit(False)))
+
+
 def group_keys(name: Column) -> Column:
     """struct(country, region, city) of a formatted name, for the two-level list."""
     us, canada, brazil, other = r"^([^,]+),\s*([A-Z]{2})$", r"^([^,]+),\s*([A-Z]{2}),\s*Canada$", r"^([^,]+),\s*([^,]+),\s*Brazil$", r"^([^,]+),\s*(.+)$"

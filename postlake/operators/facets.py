@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlake.functions import location as loc
+from postlake.functions.text import percent
 from postlake.operators.filters import is_active
 
 # Employment types in the order of display.
@@ -94,6 +95,33 @@ def expectations(checks: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+# What no clean skill holds.
+INVALID_SKILLS = {
+    "years": r"(?i)\d+\s*(?:years?|yrs?)",
+    "education": r"(?i)bachelor|degree|diploma|certification required",
+    "parentheses": r"\([^)]+\)",
+    "generic start": r"(?i)^(?:with|be|show|demonstrate|must|should|will|can)\s",
+}
+
+
+def skill_checks(postings: DataFrame, array: str, options: DataFrame) -> DataFrame:
+    """check, rows and broken of the quality checks: each kind of invalid skill among the active postings' distinct skills, options (skill) that no active
+    posting has, and active postings without skills (which are reported, not wrong)."""
+    active = postings.where(is_active())
+    skills = active.select(F.explode(array).alias("skill")).groupBy("skill").agg(F.count("*").alias("n"))
+    unused = options.select("skill").distinct().join(skills, "skill", "left")
+    bare = F.coalesce(F.size(array), F.lit(0)) <= 0
+    checks = {name: (skills, F.coalesce(F.col("skill").rlike(pattern), F.lit(False))) for name, pattern in INVALID_SKILLS.items()}
+    return expectations(checks | {"options without postings": (unused, F.col("n").isNull()), "postings without skills": (active, bare)})
+
+
+def match_rate(matched: DataFrame, role: str, times: str | None = None) -> DataFrame:
+    """total, matched, unmatched and match_rate (one decimal; ``NaN%`` without rows) of rows with a role or without."""
+    weight = F.col(times) if times else F.lit(1)
+    sums = matched.agg(F.coalesce(F.sum(weight), F.lit(0)).cast("long").alias("total"), F.coalesce(F.sum(F.when(F.col(role).isNotNull(), weight)), F.lit(0)).cast("long").alias("matched"))
+    return sums.select("total", "matched", (F.col("total") - F.col("matched")).alias("unmatched"), percent(F.col("matched"), F.col("total")).alias("match_rate"))
+
+
 def place_counts(postings: DataFrame) -> DataFrame:
     """raw, name, n and first_ord of the active postings' places: raw places are counted first, and each distinct one is parsed once."""
     raws = exploded(postings.where(is_active()).select("ord", loc.lines(F.col("location")).alias("raws")), "raws", "raw")

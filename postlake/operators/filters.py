@@ -68,6 +68,13 @@ class FilterSpec:
         return out
 
     def apply(self, postings: DataFrame) -> DataFrame:
+        """A posting whose skill_names are NULL, as no canonical ones were found for it, is tested by its raw ``skills`` if it has that column."""
+        if not (self.skills and {"skill_names", "skills"} <= {*postings.columns}):
+            return self._apply(postings)
+        tested = postings.withColumns({"_given": F.col("skill_names"), "skill_names": F.coalesce("skill_names", "skills")})
+        return self._apply(tested).withColumn("skill_names", F.col("_given")).select(*postings.columns)
+
+    def _apply(self, postings: DataFrame) -> DataFrame:
         return reduce(lambda df, p: df.where(p), self.predicates(), postings)
 
 

@@ -384,6 +384,82 @@ def geocoder_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.select("c_custkey", "geo.city", F.col("geo.stateCode").alias("state_code"), F.col("geo.countryCode").alias("country_code"), loc.with_states(F.col("geo"), original, True).alias("with_geodata"), loc.with_states(F.col("geo"), original).alias("geocoded"))
 
 
+@query(
+    f"""WITH {POSTINGS}, {PLACES}, r AS (SELECT DISTINCT raw, 'Nation ' || regexp_extract(raw, '([0-9]+)$', 1) AS city, name FROM places),
+    g AS (SELECT raw, city, name, n_name, n_regionkey, raw LIKE 'GB-%' AND n_nationkey % 2 = 1 AS known FROM r LEFT JOIN nation ON raw LIKE '%NATION ' || n_nationkey)
+    SELECT raw AS original, CASE WHEN known THEN n_name || ', United Kingdom' ELSE name END AS formatted, CASE WHEN known THEN n_name WHEN raw NOT LIKE 'NATION%' THEN city END AS city,
+    CASE WHEN raw LIKE 'US-%' THEN 'Texas' WHEN known THEN 'State ' || n_regionkey END AS state, CASE WHEN raw LIKE 'US-%' THEN 'TX' WHEN raw LIKE 'CA-%' THEN 'AB' WHEN raw LIKE 'BR-%' THEN 'RJ' END AS state_code,
+    CASE raw[1:3] WHEN 'US-' THEN 'United States' WHEN 'CA-' THEN 'Canada' WHEN 'BR-' THEN 'Brazil' WHEN 'GB-' THEN 'United Kingdom' WHEN 'AE-' THEN 'United Arab Emirates' ELSE 'Other' END AS country,
+    CASE WHEN raw LIKE '__-%' THEN raw[1:2] END AS country_code, CASE WHEN known THEN n_regionkey + 0.5 END AS latitude, CASE WHEN known THEN 'geocoded' ELSE 'fallback' END AS source FROM g"""
+)
+def location_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of each raw place: every second British one from a dictionary without countries' names, the others from the parser."""
+    raws = exploded(postings(spark, sf_dir).where(is_active()).withColumn("raws", loc.lines(F.col("location"))), "raws", "raw").select("raw").distinct()
+    none = F.lit(None).cast("string")
+    point = F.struct(F.lit(1.0).alias("longitude"), (F.col("n_regionkey") + 0.5).alias("latitude"))
+    state = F.concat(F.lit("State "), F.col("n_regionkey").cast("string"))
+    geo = F.struct(F.col("n_name").alias("city"), state.alias("state"), none.alias("stateCode"), none.alias("country"), F.lit("GB").alias("countryCode"), point.alias("coordinates"))
+    known = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 1").select(F.concat(F.lit("GB-NATION "), F.col("n_nationkey").cast("string")).alias("raw"), geo.alias("geo"))
+    found = raws.join(known, "raw", "left").select(loc.metadata(F.col("raw"), F.col("geo")).alias("m"))
+    return found.select("m.original", "m.formatted", "m.city", "m.state", "m.state_code", "m.country", "m.country_code", "m.latitude", "m.source")
+
+
+@query(f"WITH {POSTINGS}, {PLACES} SELECT name, count(*) AS n FROM places WHERE name LIKE 'Nation %, TX' GROUP BY name")
+def locations_in_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = facets.place_counts(postings(spark, sf_dir)).groupBy("name").agg(F.sum("n").alias("n"))
+    return counts.where(loc.in_region(F.col("name"), "United States", "TX"))
+
+
+@query(
+    f"""WITH {POSTINGS}, {PLACES}, f AS (SELECT id, raw, name, count(*) OVER (PARTITION BY id) AS n FROM places QUALIFY row_number() OVER (PARTITION BY id ORDER BY place) = 1)
+    SELECT id, CASE WHEN g.n_name IS NOT NULL THEN g.n_name || ', United Kingdom' ELSE name END || CASE WHEN n > 1 THEN ' +' || n - 1 || ' more' ELSE '' END AS place FROM f LEFT JOIN nation g ON raw = 'GB-NATION ' || g.n_nationkey"""
+)
+def location_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place shown for each active posting that has one: its first, by the dictionary where that has it, and the number of others."""
+    shown = postings(spark, sf_dir).where(is_active()).select("id", "location", F.get(loc.lines(F.col("location")), F.lit(0)).alias("raw")).where("raw is not null")
+    none = F.lit(None).cast("string")
+    geo = F.struct(F.col("n_name").alias("city"), none.alias("state"), none.alias("stateCode"), F.lit("United Kingdom").alias("country"), F.lit("GB").alias("countryCode"))
+    known = table(spark, sf_dir, "nation").select(F.concat(F.lit("GB-NATION "), F.col("n_nationkey").cast("string")).alias("raw"), geo.alias("geo"))
+    return shown.join(known, "raw", "left").select("id", loc.display_from(F.col("location"), F.col("geo")).alias("place"))
+
+
+# ---- reports ----
+
+
+@query(
+    f"""WITH {POSTINGS}, m AS (SELECT count(*) AS total, count({_case('title', 0)}) AS matched FROM postings)
+    SELECT total, matched, total - matched AS unmatched, (matched * 2000 + total) // (2 * total) // 10 || '.' || (matched * 2000 + total) // (2 * total) % 10 || '%' AS match_rate FROM m"""
+)
+def match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many postings have a role by their title; each distinct title is matched once."""
+    titles = role.match_titles(postings(spark, sf_dir).groupBy("title").agg(F.count("*").alias("c")))
+    return facets.match_rate(titles.select("match.role_id", "c"), "role_id", "c")
+
+
+#: Parts of skills that make some of them invalid, by the order's key.
+BLEMISHES = ("", "", " 5 years", "", " degree", " (any)", "", "")
+_BLEMISHED = f"""s AS (SELECT id, CASE WHEN id % 5 = 0 THEN NULL ELSE list_transform(skills, lambda x: CASE WHEN id % 9 = 0 THEN 'Must ' ELSE '' END || x || {sql_pick(BLEMISHES, 'id')}) END AS skills FROM active),
+    d AS (SELECT DISTINCT unnest(skills) AS skill FROM s), o AS (SELECT DISTINCT p_type || suffix AS skill FROM part, (VALUES (''), (' unused')) AS t(suffix))"""
+
+
+@query(
+    f"""WITH {POSTINGS}, {_BLEMISHED}
+    SELECT 'years' AS "check", count(*) AS rows, count(*) FILTER (regexp_matches(skill, '(?i)\\d+\\s*(?:years?|yrs?)')) AS broken FROM d
+    UNION ALL SELECT 'education', count(*), count(*) FILTER (regexp_matches(skill, '(?i)bachelor|degree|diploma|certification required')) FROM d
+    UNION ALL SELECT 'parentheses', count(*), count(*) FILTER (regexp_matches(skill, '\\([^)]+\\)')) FROM d
+    UNION ALL SELECT 'generic start', count(*), count(*) FILTER (regexp_matches(skill, '(?i)^(?:with|be|show|demonstrate|must|should|will|can)\\s')) FROM d
+    UNION ALL SELECT 'options without postings', count(*), count(*) FILTER (skill NOT IN (SELECT skill FROM d)) FROM o
+    UNION ALL SELECT 'postings without skills', count(*), count(*) FILTER (coalesce(len(skills), 0) = 0) FROM s"""
+)
+def skill_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality checks of the active postings' skills, some of which are blemished, and of a list of options."""
+    key = F.col("id")
+    blemished = F.transform("skills", lambda x: F.concat(F.when(key % 9 == 0, "Must ").otherwise(""), x, pick(BLEMISHES, key)))
+    posts = postings(spark, sf_dir).select("id", "status", F.when(key % 5 != 0, blemished).alias("skills"))
+    options = table(spark, sf_dir, "part").select("p_type").distinct().select(F.explode(F.array("p_type", F.concat("p_type", F.lit(" unused")))).alias("skill"))
+    return facets.skill_checks(posts, "skills", options)
+
+
 # ---- pages' words ----
 
 

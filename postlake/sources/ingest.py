@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from postlake.functions.text import or_default, split_compact, surrogate_key, trim, url_key
-from postlake.sources.schemas import GEO, POSTING, SHEET_COLUMNS, SKILL
+from postlake.sources.schemas import GEO, OCCUPATION, POSTING, SHEET_COLUMNS, SKILL
+from postlake.sources.sqlite import sqlite_table
 
 
 def json_postings(spark: SparkSession, path: str) -> DataFrame:
@@ -53,22 +54,34 @@ def scraped(rows: DataFrame) -> DataFrame:
     ).orderBy("company", F.desc("scrapedAt"))
 
 
+def sqlite_scraped(spark: SparkSession, path: str, table: str = "scraped_jobs", partitions: int = 8) -> DataFrame:
+    """The scraper's table read from its SQLite file, in ranges of rows."""
+    return scraped(sqlite_table(spark, path, table, partitions))
+
+
 def jdbc_scraped(spark: SparkSession, url: str, table: str = "scraped_jobs", **options: str) -> DataFrame:
     """The scraper's table over JDBC; the driver's jar comes with the session."""
     return scraped(spark.read.format("jdbc").options(url=url, dbtable=table, **options).load())
 
 
-def dictionary(spark: SparkSession, path: str, value: T.DataType) -> DataFrame:
-    """A JSON object used as a map, as rows (key, value...). A missing file gives an empty table."""
-    schema = T.StructType([T.StructField("value", T.StringType())])
+def dictionary(spark: SparkSession, path: str, value: T.DataType, broken: bool = False) -> DataFrame:
+    """A JSON object used as a map, as rows (key, value...). A missing file gives an empty table, and so does one that isn't an object.
+
+    The file is parsed to a VARIANT once and its entries become rows, so that each is cast to the schema by itself: entries that aren't objects, or whose
+    fields have other types, are left out, or are the rows (key, entry) that ``broken`` asks for. Fields that an entry lacks are NULL.
+    """
     try:
         text = spark.read.option("wholetext", True).text(path)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        text = spark.createDataFrame([], schema)
-    entries = text.select(F.explode(F.from_json("value", T.MapType(T.StringType(), value))).alias("key", "value"))
-    return entries.select("key", "value.*")
+        text = spark.createDataFrame([], T.StructType([T.StructField("value", T.StringType())]))
+    parsed = text.select(F.try_parse_json("value").alias("file")).where(F.schema_of_variant("file").startswith("OBJECT"))
+    entries = parsed.lateralJoin(spark.tvf.variant_explode(F.col("file").outer())).select("key", F.col("value").alias("entry"))
+    read = entries.select("key", "entry", F.when(F.schema_of_variant("entry").startswith("OBJECT"), F.try_variant_get("entry", "$", value.simpleString())).alias("read"))
+    if broken:
+        return read.where("read is null").select("key", F.col("entry").cast("string").alias("entry"))
+    return read.where("read is not null").select("key", "read.*")
 
 
 def entries(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -86,6 +99,11 @@ def known_skills(spark: SparkSession, path: str) -> DataFrame:
     return dictionary(spark, path, SKILL)
 
 
+def occupations(spark: SparkSession, path: str) -> DataFrame:
+    """The map of matched occupations: a posting's id as key, and the parts of ``OCCUPATION``."""
+    return dictionary(spark, path, OCCUPATION)
+
+
 def batch_files(spark: SparkSession, folder: str) -> DataFrame:
     """Processed batches with the number in their file name."""
     rows = spark.read.schema(POSTING).option("multiLine", True).json(f"{folder}/batch-*-processed.json")

@@ -15,6 +15,10 @@ GEO = T.StructType(
     + [T.StructField("coordinates", T.StructType([T.StructField("longitude", T.DoubleType()), T.StructField("latitude", T.DoubleType())])), T.StructField("placeType", T.ArrayType(T.StringType())), T.StructField("confidence", T.DoubleType())]
 )
 SKILL = T.StructType([T.StructField("normalized", T.StringType()), T.StructField("onet", T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("description", T.StringType())]))])
+OCCUPATION = T.StructType(
+    [T.StructField(x, T.StringType()) for x in ("match_type", "role_id", "role_name", "confidence", "reasoning", "onet_code", "onet_title")]
+    + [T.StructField("is_priority", T.BooleanType()), T.StructField("match_count", T.LongType())]
+)
 # Column titles of a sheet and the posting's columns.
 SHEET_COLUMNS = {
     "Title": "title", "Company": "company", "Location": "location", "Description": "description", "URL": "url", "Requisition ID": "requisitionId",

@@ -39,6 +39,24 @@ def test_filters(spark):
     assert ids(page(df.where(is_active()), 1, 2)) == [1, 3]
 
 
+def test_skills_without_canonical_names(spark):
+    """A posting whose canonical skills are missing is found by its raw ones; one that has none isn't."""
+    df = spark.createDataFrame([(1, None, ["NDT", "Welding"], ["Welding"]), (2, None, ["welding"], None), (3, None, ["welding"], []), (4, None, None, None)], "id int, status string, skills array<string>, skill_names array<string>")
+    out = FilterSpec(skills=["Welding"]).apply(df)
+    assert ids(out) == [1, 2] and out.columns == df.columns and {r["id"]: r["skill_names"] for r in out.collect()} == {1: ["Welding"], 2: None}
+    assert ids(FilterSpec(skills=["ndt"]).apply(df)) == []
+
+
+def test_rates_and_checks(spark):
+    none = spark.createDataFrame([], "role string")
+    assert facets.match_rate(none, "role").first() == (0, 0, 0, "NaN%")
+    assert facets.match_rate(spark.createDataFrame([("a",), (None,), ("b",)], "role string"), "role").first() == (3, 2, 1, "66.7%")
+    rows = [(1, None, ["Welding", "5 yrs welding", "Must weld"]), (2, "active", None), (3, "removed", ["a degree"]), (4, None, ["Skill (x)", "Welding", "Degrees"])]
+    df = spark.createDataFrame(rows, "id int, status string, skills array<string>")
+    out = {r["check"]: (r["rows"], r["broken"]) for r in facets.skill_checks(df, "skills", spark.createDataFrame([("Welding",), ("Diving",)], "skill string")).collect()}
+    assert out == {"years": (5, 1), "education": (5, 1), "parentheses": (5, 1), "generic start": (5, 1), "options without postings": (2, 1), "postings without skills": (3, 1)}
+
+
 def test_filter_links():
     spec = FilterSpec(companies=["A, Inc", "B"], locations=["Houston, TX"], show_inactive=True)
     assert FilterSpec.from_query(spec.to_query()) == spec

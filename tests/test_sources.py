@@ -10,6 +10,7 @@ from postlake.functions.certification import named_in_posting
 from postlake.functions.region import REGIONS, option_belongs
 from postlake.operators import facets, filters, merge, skills
 from postlake.sources import ingest, providers, sinks
+from postlake.sources.schemas import OCCUPATION
 from postlake.sources.tables import register_views
 from postlake.streaming.sync import sync_available
 
@@ -55,6 +56,34 @@ def test_dictionaries(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == 6
 
 
+def test_dictionary_reports_broken_entries(spark, tmp_path):
+    """Each entry stands for itself: a broken one doesn't take the others with it."""
+    path = tmp_path / "map.json"
+    path.write_text(json.dumps({"1": {"match_type": "ai", "role_id": "welder", "is_priority": True, "match_count": 3, "more": [1]}, "2": {"match_type": "onet_fallback"}, "3": "text", "4": None, "5": {"is_priority": "maybe"}, "6": {"match_type": {"no": "text"}, "match_count": []}, "": {}}))
+    rows = {r["key"]: r for r in ingest.occupations(spark, str(path)).collect()}
+    assert rows["1"]["match_count"] == 3 and rows["1"]["is_priority"] is True and rows["2"]["match_type"] == "onet_fallback" and rows["2"]["role_id"] is None
+    assert {"1", "2", ""} <= {*rows} and not {"3", "4"} & {*rows}
+    broken = {r["key"]: r["entry"] for r in ingest.dictionary(spark, str(path), OCCUPATION, broken=True).collect()}
+    assert {"3", "4"} <= {*broken} and {*rows} | {*broken} == {"", *"123456"} and not {*rows} & {*broken}
+    for odd in ("[1, 2]", "not json", "", "7", "null"):
+        path.write_text(odd)
+        assert ingest.occupations(spark, str(path)).count() == 0
+
+
+def test_metadata_of_places(spark):
+    geo = "city string, state string, stateCode string, country string, countryCode string, coordinates struct<longitude: double, latitude: double>"
+    rows = [("locations\nUS-TX-Houston", None), ("SG-x", ("Singapore River", "Singapore", None, None, None, None)), ("somewhere", ("Oslo", None, None, None, "no", (10.7, 59.9))), ("Houston, TX", None), ("12 Main St.", None), ("GLOBAL", ("X", None, None, None, "ZZ", None)), ("Paris, FR", None)]
+    df = spark.createDataFrame(rows, f"raw string, geo struct<{geo}>")
+    out = [r["m"] for r in df.select(loc.metadata(F.col("raw"), F.col("geo")).alias("m")).collect()]
+    assert [(m["original"], m["country"], m["country_code"], m["source"]) for m in out] == [
+        ("US-TX-Houston", "United States", "US", "fallback"), ("SG-x", "Singapore", "SG", "geocoded"), ("somewhere", "Norway", "no", "geocoded"), ("Houston, TX", "United States", "US", "fallback"),
+        ("12 Main St.", "Other", None, "fallback"), ("GLOBAL", "Other", "ZZ", "geocoded"), ("Paris, FR", "France", "FR", "fallback"),
+    ]
+    assert out[1]["state"] is None and out[2]["latitude"] == 59.9 and out[0]["formatted"] == "Houston, TX"
+    shown = spark.createDataFrame([("a\nb\nlocations", ("Oslo", None, None, "Norway", "NO", None)), ("US-TX-Houston\nx", None), (None, None), ("", ("Oslo", None, None, "Norway", "NO", None))], f"cell string, geo struct<{geo}>")
+    assert [r["d"] for r in shown.select(loc.display_from(F.col("cell"), F.col("geo")).alias("d")).collect()] == ["Oslo, Norway +1 more", "Houston, TX +1 more", None, None]
+
+
 def test_sync_survives_other_writers_and_failures(spark, tmp_path):
     source, snapshot, checks = str(tmp_path / "in"), str(tmp_path / "snap"), str(tmp_path / "check")
     sinks.write_snapshot(spark.createDataFrame([(9, 0)], "k int, n int"), snapshot)  # of another writer
