@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlake.functions import certification as cert, location as loc, role, skill
-from postlake.functions.region import REGIONS, belongs
+from postlake.functions.region import REGIONS
 from postlake.functions.text import parse_method, percent, token_budget
-from postlake.operators import facets, skills
+from postlake.operators import facets, regions, skills
 from postlake.operators.facets import exploded
 from postlake.operators.filters import is_active
 from postlake.operators.similar import STOP_WORDS
@@ -356,7 +356,7 @@ def region_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched places and postings of each region, and how many of the selected places it holds. Postings are counted per place first."""
     place = pick(_CITIES, F.col("o_custkey"))
     counts = table(spark, sf_dir, "orders").groupBy(place.alias("place")).agg(F.count("*").alias("n"))
-    tagged = counts.select("place", "n", F.explode(F.array_compact(F.array(*(F.when(belongs(F.col("place"), r), r.id) for r in REGIONS)))).alias("region"))
+    tagged = counts.join(regions.members(counts, "place", regions.region_keys(spark)), "place")
     chosen = F.col("place").isin("Houston, TX", "Aberdeen, United Kingdom", "Denver, CO")
     return tagged.groupBy("region").agg(F.count("*").alias("places"), F.sum("n").alias("postings"), F.count_if(chosen).alias("selected"))
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlake.functions import location as loc, role, skill
 from postlake.functions.certification import DEGREE, DUTY, DUTY_PHRASES, named_in
-from postlake.functions.region import REGIONS, belongs
-from postlake.operators import facets, merge, similar
+from postlake.functions.region import REGIONS
+from postlake.operators import facets, merge, regions, similar
 from postlake.operators.facets import exploded
 from postlake.plans.facet_queries import with_names
 from postlake.plans.postings import PLACES, POSTINGS, postings
@@ -150,9 +150,23 @@ def _sql_belongs(r) -> str:
 )
 def region_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.get(F.array(*(F.lit(x) for x in _CITIES)), (F.col("c_custkey") % len(_CITIES)).cast("int"))
-    places = table(spark, sf_dir, "customer").select(place.alias("place")).distinct()
-    tagged = F.array_compact(F.array(*(F.when(belongs(F.col("place"), r), r.id) for r in REGIONS)))
-    return places.select(F.explode(tagged).alias("region"), "place")
+    return regions.members(table(spark, sf_dir, "customer").select(place.alias("place")), "place", regions.region_keys(spark))
+
+
+#: Regions that the tables give: a nation's two-letter code, its suppliers' cities, and its region's name as a phrase.
+@query(
+    """WITH k AS (SELECT DISTINCT 'n' || n_nationkey AS region, 'name' AS kind, lower(n_name) AS key FROM nation UNION SELECT DISTINCT 'r' || r_regionkey, 'phrase', lower(r_name) FROM region
+      UNION SELECT DISTINCT 's' || s_nationkey, 'name', lower(s_name) FROM supplier WHERE s_suppkey % 3 = 0),
+    p AS (SELECT DISTINCT s_name || ', ' || n_name || '-' || r_name AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+    SELECT DISTINCT region, place FROM p JOIN k ON CASE kind WHEN 'phrase' THEN contains(lower(place), key) ELSE regexp_matches(lower(place), '(^|[\\s-])' || regexp_escape(key) || '([\\s,-]|$)') END"""
+)
+def region_table_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a table of regions that is made of nations, regions and suppliers."""
+    nation, region, supplier = (table(spark, sf_dir, x) for x in ("nation", "region", "supplier"))
+    row = lambda kind, prefix, number, key: (F.concat(F.lit(prefix), F.col(number).cast("string")).alias("region"), F.lit(kind).alias("kind"), F.lower(key).alias("key"))
+    keys = nation.select(*row("name", "n", "n_nationkey", "n_name")).union(region.select(*row("phrase", "r", "r_regionkey", "r_name"))).union(supplier.where("s_suppkey % 3 = 0").select(*row("name", "s", "s_nationkey", "s_name")))
+    named = supplier.join(nation.withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey").join(region.withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
+    return regions.members(named.select(F.concat("s_name", F.lit(", "), "n_name", F.lit("-"), "r_name").alias("place")), "place", keys.distinct())
 
 
 @query(

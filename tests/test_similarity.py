@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlake.functions.certification import CERTIFICATIONS, literal, named_in, pattern
-from postlake.operators import similar
+from postlake.functions.region import REGIONS, belongs
+from postlake.operators import regions, similar
 from postlake.operators.skills import canonical
 from postlake.sources.scratch import Scratch
 
@@ -111,6 +112,18 @@ def test_scan_like_regular_expressions(spark):
     assert similar.scan_terms(rows, "t", "k", []).count() == 0
 
 
+def test_regions_by_keys_like_patterns(spark):
+    """Equal keys give what the patterns of each region give."""
+    rng = random.Random(7)
+    bits = [*(x for r in REGIONS for x in r.locations), *(k for r in REGIONS for k in r.keywords), *(x.split(",")[0] for r in REGIONS for x in r.locations), "GB-", "NO-Oslo", "CA-AB-x", "-SK-", ", AB, Canada", "US-TX-", "x", "-", ",", " ", "Eagle Fords", "xhouston", "offshore-gulf", "São Paulo"]
+    places = ["".join(rng.choice(["", "", "x", " ", "-", ", "]) + rng.choice(bits) for _ in range(rng.randint(1, 3))) for _ in range(500)] + [None, "", "gb-x", "HOUSTON, tx"]
+    df = spark.createDataFrame([(p,) for p in places], "place string")
+    tagged = F.array_compact(F.array(*(F.when(belongs(F.col("place"), r), r.id) for r in REGIONS)))
+    expected = {tuple(r) for r in df.distinct().select(F.explode(tagged).alias("region"), "place").collect()}
+    assert {tuple(r) for r in regions.members(df, "place", regions.region_keys(spark)).collect()} == expected and len(expected) > 300
+    assert regions.members(df, "place", spark.createDataFrame([], regions.KEYS)).count() == 0
+
+
 def test_literals_are_in_every_match():
     rng = random.Random(1)
     for _, _, alternatives in CERTIFICATIONS:
