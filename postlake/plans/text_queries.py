@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postlake.functions import location as loc, skill, text as tx
+from postlake.functions.markup import strip_html
 from postlake.operators import blocks
 from postlake.operators.facets import exploded
 from postlake.plans.postings import POSTINGS, pick, postings, sql_pick
@@ -163,6 +164,21 @@ def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.clean_text(F.col("html")).alias("plain"))
 
 
+_DECODE_MORE = "x"  # references beyond the basic ones that the pages hold
+for _a, _b in (("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", "\xa0"), ("&rsquo;", "’"), ("&mdash;", "—"), ("&hellip;", "…")):
+    _DECODE_MORE = f"replace({_DECODE_MORE}, '{_a}', '{_b}')"
+
+
+@query(
+    rf"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)^.*?<body[^>]*>', ''), '(?s)<!--.*?-->', '', 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(p|div|h[1-6]|li|ul|ol|section|article|header|footer|tr)>', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM pages),
+    d AS (SELECT page_id, {_DECODE.replace("replace(x,", f"replace({_DECODE_MORE},", 1)} AS x FROM b)
+    SELECT page_id, array_to_string(list_filter(list_transform(string_split(x, chr(10)), lambda l: trim(l, chr(160) || chr(32) || chr(9) || chr(13))), lambda l: l <> ''), chr(10)) AS plain FROM d"""
+)
+def page_body_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of whole pages by the rules of HTML: without the head, with all character references."""
+    return table(spark, sf_dir, "pages").select("page_id", strip_html(tx.break_blocks(F.col("html"))).alias("plain"))
+
+
 # Documents get headers, bullets and blank lines, to be taken apart again.
 def _styled() -> Column:
     body = F.replace(F.replace(F.col("text"), F.lit("\nThe"), F.lit("\n\n- The")), F.lit("\nAn"), F.lit("\n* An"))
