@@ -47,9 +47,10 @@ def fingerprints(parts: DataFrame) -> DataFrame:
     lines = _lines(parts)
     ahead = Window.partitionBy("doc_id", "version").orderBy("start")
     grams = lines.withColumn("gram", F.xxhash64(F.collect_list("hash").over(ahead.rangeBetween(0, GRAM - 1))))
-    best = F.max(F.struct((-F.col("gram")).alias("low"), "pos")).over(ahead.rangeBetween(0, RUN - GRAM - 1))
+    # the least gram, and of equal ones the last: bits are turned, as the least long has no negative
+    best = F.max(F.struct(F.bitwise_not("gram").alias("low"), "pos")).over(ahead.rangeBetween(0, RUN - GRAM - 1))
     chosen = grams.withColumn("best", best).where(F.col("total") - F.col("start") >= RUN)
-    return chosen.select("doc_id", "version", F.col("best.pos").alias("pos"), (-F.col("best.low")).alias("gram")).distinct()
+    return chosen.select("doc_id", "version", F.col("best.pos").alias("pos"), F.bitwise_not("best.low").alias("gram")).distinct()
 
 
 def runs(parts: DataFrame, places: DataFrame) -> DataFrame:
