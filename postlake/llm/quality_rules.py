@@ -205,6 +205,11 @@ def _round(numbers: np.ndarray, cast: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return _from_weights(powers / total, cast, n), worth, powers / total
 
 
+def base_failed() -> Column:
+    """Under 50 words, or over half of them in three-word windows that come again."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def quality_rules(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Counts, votes, ``posterior`` and ``verdict`` for each row of ``documents`` (doc_id, text; others ignored).
 
@@ -216,6 +221,5 @@ def quality_rules(documents: DataFrame, scratch: Scratch | None = None) -> DataF
     scratch = scratch or Scratch(documents.sparkSession, "rules")
     counted = scratch.table(votes(text_counts(documents)).withColumn("cells", cells()), "votes")
     model = fit(scratch.table(counted.groupBy("cells").agg(F.count("*").alias("n")).coalesce(1), "patterns"))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = counted.withColumn("posterior", F.get(responsibilities(model), F.lit(0))).withColumn("base_failed", base).drop("cells")
+    out = counted.withColumn("posterior", F.get(responsibilities(model), F.lit(0))).withColumn("base_failed", base_failed()).drop("cells")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))

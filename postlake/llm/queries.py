@@ -15,7 +15,7 @@ from postlake.llm.line_dedup import dedupe_lines
 from postlake.llm.mixing import mix_rates
 from postlake.llm.near_duplicates import near_duplicates
 from postlake.llm.quality_classifier import quality_scores
-from postlake.llm.quality_rules import quality_rules
+from postlake.llm.quality_rules import base_failed, quality_rules, text_counts
 from postlake.llm.source_divergence import source_divergence
 from postlake.llm.url_filter import BLOCKED, LOWER, RULES, UPPER, judge_urls
 from postlake.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, vector_codes
@@ -76,9 +76,15 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8's rules read of each text, and its first test."""
+    counts = text_counts(table(spark, sf_dir, "documents"))
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_text, op2_decontamination, op3_language_model, op4_near_duplicates, op5_line_dedup, op6_mixing, op7_quality_classifier, op8_quality_rules, op9_license_scan, op10_warc, op11_url_filter, op12_source_divergence, op13_vector_codes)
+    for f in (op1_html_text, op2_decontamination, op3_language_model, op4_near_duplicates, op5_line_dedup, op6_mixing, op7_quality_classifier, op8_quality_rules, op9_license_scan, op10_warc, op11_url_filter, op12_source_divergence, op13_vector_codes, rule_counts)
 }
 
 
@@ -127,6 +133,14 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN head <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN head <> p.page_id THEN head END AS refers_to
         FROM p LEFT JOIN h ON p.d = h.d""",
+    "rule_counts": r"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        g AS (SELECT doc_id, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+        r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g), (VALUES (0), (1), (2)) AS s(k) WHERE c > 1 GROUP BY doc_id),
+        l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+        c AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+          FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id))
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c""",
     "op11_url_filter": f"""
         WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),

@@ -177,6 +177,26 @@ def test_line_dedup(spark):
     assert len(twice) == 3 and all(r["removed"] == [] for r in twice)
 
 
+def test_line_dedup_of_long_texts(spark):
+    """Texts of very many lines, one of them repeated within itself, and one of a single very long line."""
+    rng = random.Random(13)
+    lines = [" ".join(made_words(rng, 6)) for _ in range(6000)]
+    passage = [" ".join(made_words(rng, 30)) for _ in range(4)]
+    rows = [(1, "\n".join(lines[:3000] + passage + lines[3000:])), (2, "\n".join([*passage, "tail"])), (3, "\n".join(lines[:200] * 2)), (4, " ".join(made_words(rng, 60_000)))]
+    out = {r["doc_id"]: r for r in dedupe_lines(docs_of(spark, rows)).collect()}
+    assert out[1]["removed"] == [] and out[2]["removed"] == [0, 1, 2, 3] and out[2]["text"] == "tail" and out[4]["removed"] == []
+    assert out[3]["removed"] == list(range(400)) and out[3]["text"] == ""  # both halves stand in the first text
+
+
+def test_rules_of_long_texts(spark):
+    rng = random.Random(14)
+    word = made_words(rng, 400)
+    rows = [(1, " ".join(rng.choice(word) for _ in range(150_000))), (2, "x\n" * 50_000), (3, "y" * 400_000), (4, " ".join(made_words(rng, 3000)) + " a b c d a b c")]
+    for r in quality_rules(docs_of(spark, rows)).collect():
+        counts = base_counts(dict(rows)[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == counts
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     item = "A train leaves Paris at 9 pm and travels 300 km to Berlin at 120 mph while Anna waits in Paris for 3 hours to see Berlin again".split()
