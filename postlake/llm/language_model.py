@@ -442,7 +442,8 @@ def score_documents(documents: DataFrame, train: Column | None = None, scratch:
     ``train`` is a condition on doc_id that says which rows are learnt from (all by default; not those where it is null). Tokens are the text's words and
     one end; null and empty texts have the end alone. n_known counts tokens that occur in training texts. base_score is the
     log10 probability under add-one counts of single tokens, score that under the model. Repeated rows are scored alike.
-    An empty table gives no rows; without training rows nothing is known.
+    An empty table gives no rows; without training rows nothing is known. Texts are scored whole, however long, with the state carried on; columns other than
+    doc_id and text are ignored, whatever their names. Weights are averaged over the tasks that learn, so scores vary with how the input is split.
     """
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark, "lm")

@@ -139,7 +139,8 @@ def mix_rates(documents: DataFrame, labels: DataFrame, scratch: Scratch | None =
 
     ``copies`` is rate rounded up or down by a hash of the id, so its mean is the rate. A null or empty text has
     no tokens; its posterior is the prior. Repeated rows get the same rate each. An empty table gives no rows; without labels
-    the posteriors are even.
+    the posteriors are even. Long texts are taken whole, within their row; documents of equal words get equal rates, and their copies differ by the hash of
+    their ids alone. Columns other than doc_id and text are ignored, whatever their names.
     """
     scratch = scratch or Scratch(documents.sparkSession, "mix")
     model = documents.sparkSession.sparkContext.broadcast(fit_domains(documents, labels, domains))

@@ -244,7 +244,8 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, percen
 
     Texts are linked from a Jaccard similarity of ``percent`` hundredths. component_id is the smallest doc_id that links reach, kept marks that one. A null, empty or blank text has no
     shingles and is its own component. A row without doc_id has no component and is kept. Rows with one doc_id
-    count as one document in the links. An empty table gives an empty result.
+    count as one document in the links. An empty table gives an empty result. Long texts are taken whole: a task holds a text's shingles at a time, and the
+    sets that it compares, whose sizes are counted first. Equal texts are one class, whose id is their smallest doc_id, so ties can't occur.
     """
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark, "near")

@@ -85,7 +85,8 @@ def classify_quality(documents: DataFrame, labels: DataFrame, train: Column | No
     ``labels`` has doc_id and quality; ``train`` is a condition on doc_id that says which rows may be learnt from (all by
     default). A document with several labels counts with the rounded mean; null labels don't count. Texts that are null or
     have no words get the score of the zero vector. Without labels of both classes every row gets the same score. Columns named
-    score or predicted are replaced. Inputs of a score are the text's words alone.
+    score or predicted are replaced. Inputs of a score are the text's words alone. Long texts are pooled whole, repeated rows are scored alike, an empty table
+    gives no rows.
     """
     sent = documents.sparkSession.sparkContext.broadcast(fit_quality(documents, labels, train))
 

@@ -176,7 +176,12 @@ def read_records(selected: DataFrame, folder: str) -> DataFrame:
 
 def archived_pages(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Writes ``pages`` to archives and returns what is read back: one row per page with its full payload's size and
-    digest, record_type and refers_to. A revisit's size is that of the response it names. Empty tables give no rows."""
+    digest, record_type and refers_to. A revisit's size is that of the response it names. Empty tables give no rows.
+
+    Null and empty html are payloads of no bytes; a null url or page_id stays null, and a page without id is never what others refer to. Of equal
+    payloads the largest page_id is the response; rows that repeat it are responses too. Payloads of any length are kept whole; columns other than
+    page_id, url and html are ignored, whatever their names.
+    """
     scratch = scratch or Scratch(pages.sparkSession, "warc")
     folder = f"{scratch.root}/archives"
     index = write_archives(pages, folder, scratch)
