@@ -13,6 +13,10 @@ from postlake.sources.scratch import Scratch
 STOP_WORDS = ("and", "the", "for", "with", "from", "into", "that", "this", "have", "has", "been", "are", "was", "were", "will", "can", "may")
 
 
+#: Skills of a posting up to which its pairs of skills are looked up.
+MOST_PAIRED = 32
+
+
 def similar_to(postings: DataFrame, key: int, n: int = 5, active: Column | None = None) -> DataFrame:
     """Postings like one: first those of its company, then by shared location (2) and shared skills (1 each).
 
@@ -44,11 +48,12 @@ def most_similar(postings: DataFrame, queries: DataFrame, n: int = 5, scratch: S
     A company's other postings come first, in their order, so n + 1 per company are enough for all its queries. Queries that
     these don't fill go on to postings of other companies: 2 for a shared place and 1 for each shared skill, ties in order.
 
-    No query meets all postings of a place, nor of its commonest skill. A posting that shares places only, one skill only, or one skill
+    No query meets all postings of a place or of a skill. A posting that shares places only, one skill only, or one skill
     and places, can only be among the best if it is among the first of that place, skill, or place with skill, so lists of the first 2 n + 1
     of each are enough. Their scores give each query a bound, the score of its n-th best so far. What is not on the lists shares two skills or more, and
-    enough of them to reach the bound with 2 for a place: such a posting shares one of the query's rarest skills, those before the last
-    (needed - 1), and only these are joined. NULL places or skills are none.
+    enough of them to reach the bound with 2 for a place. The two rarest of these are among the query's skills without its commonest (needed - 2), and
+    that pair is what it is joined by. Postings of more than ``MOST_PAIRED`` skills, and all if some repeat a skill, are joined by the rarest one.
+    NULL places or skills are none.
     """
     scratch = scratch or Scratch(postings.sparkSession, "similar")
     none = F.array().cast("array<string>")
@@ -59,7 +64,9 @@ def most_similar(postings: DataFrame, queries: DataFrame, n: int = 5, scratch: S
     own = own.select("query_id", "id", "ord", F.lit(0).alias("tier"), F.lit(0).cast("long").alias("score"))
     full = own.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= n).select(F.col("query_id").alias("id"))
     short = queries.join(full, "id", "left_anti").select(F.col("id").alias("query_id"), F.col("company").alias("_company"), F.array_distinct("skills").alias("_skills"), F.col("places").alias("_places"))
-    short = scratch.table(short, "short")
+    short = scratch.table(short, "short", small=True)
+    if not short.take(1):
+        return _best(own, n)
 
     def scored(pairs: DataFrame) -> DataFrame:
         score = F.when(F.arrays_overlap("places", "_places"), 2).otherwise(0) + F.size(F.filter("skills", lambda x: F.array_contains("_skills", x)))
@@ -67,27 +74,46 @@ def most_similar(postings: DataFrame, queries: DataFrame, n: int = 5, scratch: S
         return pairs.where(other).select("query_id", "id", "ord", score.cast("long").alias("score"))
 
     # what at most one skill is shared with: through the lists
-    tokens = _tokens(F.col("places"), F.array_distinct("skills"))
-    lists = _first(postings.withColumn("token", F.explode(tokens)), "token", n)
-    asked = short.withColumn("token", F.explode(_tokens(F.col("_places"), F.col("_skills"))))
-    listed = scratch.table(scored(asked.join(lists, "token")).distinct(), "listed", small=True)
+    given = short.select("query_id", "_company", "_skills", "_places")
+    asked = short.select("query_id", F.explode(_tokens(F.col("_places"), F.col("_skills"))).alias("token"))
+    tokens = postings.select("id", "ord", "company", F.explode(_tokens(F.col("places"), F.array_distinct("skills"))).alias("token"))
+    lists = _first(tokens.join(asked.select("token").distinct(), "token", "left_semi"), "token", n)
+    met = asked.join(lists.select("token", "id"), "token").select("query_id", "id").distinct()
+    listed = scratch.table(scored(met.join(postings, "id").join(given, "query_id")), "listed", small=True)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
     bound = listed.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == n).select("query_id", F.col("score").alias("_bound"))
 
     # the rest: through the rarest skills
-    with_skills = postings.withColumn("_x", F.explode(F.array_distinct("skills")))
-    times = with_skills.groupBy("_x").agg(F.count("*").alias("_times"))
+    held = postings.select("id", F.array_distinct("skills").alias("_held"))
+    times = held.select(F.explode("_held").alias("_x")).groupBy("_x").agg(F.count("*").alias("_times"))
     repeats = postings.agg(F.max(F.size("skills") - F.size(F.array_distinct("skills")))).first()[0] or 0
     ranked = short.select("query_id", F.explode("_skills").alias("_x")).join(times, "_x").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("_times", "_x"))).alias("_own"))
     needed = F.greatest(F.lit(2), F.coalesce("_bound", F.lit(0)) - 2) - repeats  # a posting's repeated skills count each time
-    probes = ranked.join(bound, "query_id", "left").withColumn("_needed", F.greatest(F.lit(1), needed))
-    probes = probes.select("query_id", F.explode(F.filter("_own", lambda x, k: F.size("_own") - k >= F.col("_needed"))).alias("_p")).select("query_id", F.col("_p._x").alias("_x"))
-    rest = scratch.table(scored(probes.join(with_skills, "_x").join(short, "query_id")), "rest", small=True)
+    ranked = ranked.join(bound, "query_id", "left").select("query_id", F.transform("_own", lambda x: x["_x"]).alias("_own"), F.greatest(F.lit(1), needed).cast("int").alias("_needed"))
+    paired = F.lit(False) if repeats else F.size("_held") <= MOST_PAIRED
+    pairs = held.where(paired).select("id", F.explode(_pairs(F.col("_held"), F.size("_held"), F.size("_held"))).alias("_t"))
+    firsts = F.size("_own") - F.col("_needed") + 1
+    by_pair = ranked.select("query_id", F.explode(_pairs(F.col("_own"), firsts, firsts + 1)).alias("_t")).join(pairs, "_t").select("query_id", "id")
+    singles = held.where(~paired).select("id", F.explode("_held").alias("_t"))
+    by_one = ranked.select("query_id", F.explode(F.slice("_own", 1, F.greatest(F.lit(0), firsts))).alias("_t")).join(singles, "_t").select("query_id", "id")
+    met = by_pair.unionByName(by_one).distinct()
+    rest = scratch.table(scored(met.join(postings, "id").join(given, "query_id")), "rest", small=True)
 
     others = listed.unionByName(rest).distinct().where("score > 0")
-    every = own.unionByName(others.select("query_id", "id", "ord", F.lit(1).alias("tier"), "score"))
+    return _best(own.unionByName(others.select("query_id", "id", "ord", F.lit(1).alias("tier"), "score")), n)
+
+
+def _best(rows: DataFrame, n: int) -> DataFrame:
     by = Window.partitionBy("query_id").orderBy("tier", F.desc("score"), "ord")
-    return every.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= n).select("query_id", "id", "tier", "score")
+    return rows.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= n).select("query_id", "id", "tier", "score")
+
+
+def _pairs(values: Column, firsts: Column, seconds: Column) -> Column:
+    """A name for each pair of values whose earlier one is among the first ``firsts`` and whose later one is among the first ``seconds``."""
+    name = lambda x, y: F.concat_ws("\x00", F.least(x, y), F.greatest(x, y))
+    few = F.slice(values, 1, F.greatest(F.lit(0), seconds))
+    of = lambda x, i: F.transform(F.slice(few, i + 2, F.size(few)), lambda y: name(x, y))
+    return F.flatten(F.transform(F.slice(few, 1, F.greatest(F.lit(0), firsts)), of))
 
 
 def _tokens(places: Column, skills: Column) -> Column:

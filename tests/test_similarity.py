@@ -69,17 +69,18 @@ def similar_by_hand(rows, queries, n):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_most_similar_like_brute_force(spark, seed):
+@pytest.mark.parametrize("seed", range(5))
+def test_most_similar_like_brute_force(spark, monkeypatch, seed):
     rng = random.Random(seed)
-    skills, places = [f"s{k}" for k in range((3, 12, 40, 6)[seed])], [f"p{k}" for k in range((2, 6, 30, 1)[seed])]
+    monkeypatch.setattr(similar, "MOST_PAIRED", (32, 2, 32, 32, 0)[seed])
+    skills, places = [f"s{k}" for k in range((3, 12, 40, 6, 9)[seed])], [f"p{k}" for k in range((2, 6, 30, 1, 3)[seed])]
     draw = lambda xs, k: rng.sample(xs, min(len(xs), rng.randint(0, k)))
     rows = []
     for k in range(400):
         s, p = draw(skills, 5), draw(places, 3)
         if seed == 3 and rng.random() < 0.2:
             s = s + s[:1]  # repeated skills count each time
-        rows.append((k, (k * 7) % 400, rng.choice([None, *(f"c{j}" for j in range((400, 60, 100, 30)[seed]))]), rng.choice([s, s, s, None]), p))
+        rows.append((k, (k * 7) % 400, rng.choice([None, *(f"c{j}" for j in range((400, 60, 100, 30, 200)[seed]))]), rng.choice([s, s, s, None]), p))
     schema = "id int, ord int, company string, skills array<string>, places array<string>"
     queries = [r for r in rows if r[0] % 5 == 0]
     got = similar.most_similar(spark.createDataFrame(rows, schema), spark.createDataFrame(queries, schema), 4)
