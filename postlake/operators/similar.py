@@ -53,12 +53,12 @@ def most_similar(postings: DataFrame, queries: DataFrame, n: int = 5, scratch: S
     of each are enough. Their scores give each query a bound, the score of its n-th best so far. What is not on the lists shares two skills or more, and
     enough of them to reach the bound with 2 for a place. The two rarest of these are among the query's skills without its commonest (needed - 2), and
     that pair is what it is joined by. Postings of more than ``MOST_PAIRED`` skills, and all if some repeat a skill, are joined by the rarest one.
-    NULL places or skills are none.
+    NULL places or skills are none. Both tables are read several times, so give written ones.
     """
     scratch = scratch or Scratch(postings.sparkSession, "similar")
     none = F.array().cast("array<string>")
     shape = lambda df: df.select("id", "ord", "company", F.coalesce("skills", none).alias("skills"), F.array_distinct(F.coalesce("places", none)).alias("places"))
-    postings, queries = scratch.table(shape(postings), "postings"), scratch.table(shape(queries), "queries")
+    postings, queries = shape(postings), shape(queries)
     first = postings.select("company", "id", "ord").withColumn("_r", F.row_number().over(Window.partitionBy("company").orderBy("ord"))).where(F.col("_r") <= n + 1).drop("_r")
     own = queries.select(F.col("id").alias("query_id"), "company").join(first, "company").where("id <> query_id")
     own = own.select("query_id", "id", "ord", F.lit(0).alias("tier"), F.lit(0).cast("long").alias("score"))

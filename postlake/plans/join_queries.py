@@ -13,6 +13,7 @@ from postlake.operators import facets, merge, regions, similar
 from postlake.operators.facets import exploded
 from postlake.plans.facet_queries import with_names
 from postlake.plans.postings import PLACES, POSTINGS, postings
+from postlake.sources.scratch import Scratch
 from postlake.sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -180,6 +181,7 @@ def region_table_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every posting whose id is divisible by 50 the five most similar ones."""
     rows = postings(spark, sf_dir).select("id", "ord", "company", "skills", loc.lines(F.col("location")).alias("places"))
+    rows = Scratch(spark, "postings").table(rows, "rows")
     return similar.most_similar(rows, rows.where("id % 50 = 0"), 5)
 
 
@@ -225,6 +227,7 @@ def similar_across_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with customers as companies: most have too few other postings, so places and skills of others decide."""
     company = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("company"))
     rows = postings(spark, sf_dir).select("id", "ord", "skills", loc.lines(F.col("location")).alias("places")).join(company, "id")
+    rows = Scratch(spark, "postings").table(rows, "rows")
     return similar.most_similar(rows, rows.where("id % 50 = 0"), 5)
 
 
