@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from postlake.functions.location import once
 from postlake.functions.text import neutral, trim, word
 
-# Name, category, alternatives.
+# Name, category, alternatives. Each alternative begins at a word's edge, which ``pattern`` adds.
 CERTIFICATIONS = (
     ("API 510", "api", (r"API[\s-]*510\b",)),
     ("API 570", "api", (r"API[\s-]*570\b",)),
