@@ -2,10 +2,11 @@
 
 A page becomes a flat list of blocks, cut at block-level tags. A block's features are its word count and link density
 (share of words inside links), both for the block before and after it, and what its open elements say: whether it lies in an article
-or main element, whether the page has one, whether it is a heading, and a mark. A mark of 2 comes from elements that can't be main
+or main element, whether the page has one, whether it is a heading, and a mark. For a block before the
+page's first heading, the share of the page's words that follow this heading counts too: text before a title is rarely main text. A mark of 2 comes from elements that can't be main
 text (nav, aside, forms, hidden ones, reader comments); one of 1 from a class, id or role with a word that often, but not always, names
 page furniture, and then the share of the page's words in that element counts too. The tree is grown by Gini impurity on
-``LAYOUTS``, a small table of pages whose blocks are labelled; growing it takes milliseconds, so each task grows the same tree.
+``LAYOUTS``, a small table of page layouts whose blocks are labelled; growing it takes milliseconds, so each task grows the same tree.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ COMMENT_WORDS = frozenset("comment comments discussion disqus replies reply resp
 HINT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising alert author banner breadcrumb breadcrumbs complementary consent contentinfo cookie cookies copyright disclaimer dropdown footer form gdpr hidden legal login masthead menu menubar meta modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promos promotion recommended related search share sharing sidebar signup skip social sponsor sponsored status subscribe subscription tags toolbar widget widgets".split()
 )
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "has_article", "mark", "share", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "has_article", "mark", "share", "heading", "early")
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -168,7 +169,10 @@ def features(own: list[tuple]) -> np.ndarray:
     x = np.array(own, dtype=float).reshape(-1, 7)
     none = np.zeros((1, 2))
     before, after = np.vstack([none, x[:-1, :2]])[: len(x)], np.vstack([x[1:, :2], none])[: len(x)]
-    return np.column_stack([x[:, 0], x[:, 1], before, after, x[:, 2:]])
+    free = x[:, 0] * (1 - x[:, 1])
+    titled = np.cumsum(x[:, 6]) > 0
+    early = np.where(titled, 0.0, free[titled].sum() / max(free.sum(), 1.0))
+    return np.column_stack([x[:, 0], x[:, 1], before, after, x[:, 2:], early])
 
 
 #: Labelled pages. A block: words, share of them in links, mark, whether it is a heading, whether it is main text; "article" and
@@ -201,14 +205,28 @@ LAYOUTS = (
     ((4, 1.0, 0, 0, 0), (30, 0.9, 0, 0, 0), (30, 0.0, 0, 0, 1), (25, 0.0, 0, 0, 1), (1, 0.0, 0, 0, 1), (50, 0.1, 0, 0, 1), (2, 0.0, 0, 0, 1), (18, 0.0, 0, 0, 1), (12, 0.8, 0, 0, 0), (10, 0.9, 0, 0, 0), (6, 0.5, 0, 0, 0)),
     ((2, 1.0, 2, 0, 0), (3, 1.0, 2, 0, 0), (7, 0.0, 0, 1, 1), (35, 0.0, 0, 0, 1), (9, 0.0, 0, 0, 1), (40, 0.0, 0, 0, 1), (20, 0.0, 1, 0, 0), (28, 0.1, 1, 0, 0), (22, 0.0, 0, 0, 1), (2, 0.0, 2, 1, 0), (60, 0.0, 2, 0, 0), (15, 0.3, 2, 0, 0)),
     ((5, 1.0, 1, 0, 0), (2, 0.0, 0, 1, 1), (3, 0.0, 0, 0, 1), (1, 0.0, 0, 0, 1), (14, 0.0, 0, 0, 1), (2, 0.0, 0, 0, 1), (16, 0.0, 1, 0, 0), (6, 0.0, 2, 0, 0)),
+    # columns of prose beside an article, without a mark or a link; the first one without headings in the article
+    ((60, 0.0, 0, 0, 0), (25, 0.0, 0, 0, 0), "article", (40, 0.0, 0, 0, 1), (3, 0.0, 0, 0, 1), (70, 0.0, 0, 0, 1), "/article", (45, 0.0, 0, 0, 0), (9, 0.0, 0, 0, 0)),
+    ((60, 0.0, 0, 0, 0), "article", (5, 0.0, 0, 1, 1), (80, 0.0, 0, 0, 1), (40, 0.0, 0, 0, 1), (2, 0.0, 0, 0, 1), "/article", (4, 0.0, 0, 1, 0), (35, 0.0, 0, 0, 0)),
+    ((3, 0.0, 0, 1, 0), (30, 0.0, 0, 0, 0), "article", (30, 0.0, 0, 0, 1), (6, 0.0, 0, 1, 1), (55, 0.0, 0, 0, 1), (1, 0.0, 0, 0, 1), "/article", (20, 0.0, 0, 0, 0)),
+    # such columns before the title of a page without an article element
+    ((60, 0.0, 0, 0, 0), (12, 0.0, 0, 0, 0), (5, 0.0, 0, 1, 1), (80, 0.0, 0, 0, 1), (40, 0.0, 0, 0, 1), (3, 0.0, 0, 0, 1)),
+    ((2, 1.0, 0, 0, 0), (40, 0.0, 0, 0, 0), (7, 0.0, 0, 1, 1), (30, 0.0, 0, 0, 1), (4, 0.0, 0, 1, 1), (65, 0.05, 0, 0, 1)),
+    # text whose only heading comes late
+    ((50, 0.0, 0, 0, 1), (40, 0.0, 0, 0, 1), (2, 0.0, 0, 0, 1), (80, 0.0, 0, 0, 1), (4, 0.0, 0, 1, 1), (30, 0.0, 0, 0, 1)),
+    ((30, 0.0, 0, 0, 1), (60, 0.0, 0, 0, 1), (3, 0.0, 0, 1, 0), (4, 1.0, 0, 0, 0), (5, 1.0, 0, 0, 0)),
+    # opening paragraphs before an article's first heading
+    ((2, 1.0, 2, 0, 0), "article", (18, 0.0, 0, 0, 1), (3, 0.0, 0, 1, 1), (90, 0.0, 0, 0, 1), (70, 0.0, 0, 0, 1), "/article", (9, 0.2, 2, 0, 0)),
+    ("article", (2, 0.0, 0, 0, 1), (30, 0.0, 0, 0, 1), (5, 0.0, 0, 1, 1), (100, 0.0, 0, 0, 1), (60, 0.0, 0, 0, 1), "/article"),
+    ("article", (50, 0.0, 0, 0, 1), (20, 0.0, 0, 0, 1), (4, 0.0, 0, 1, 1), (60, 0.0, 0, 0, 1), "/article"),
 )
 
 
-def labelled() -> np.ndarray:
-    """A row per block of ``LAYOUTS``: features and label; every page three times, with its longer blocks shorter and longer too."""
+def labelled(layouts: tuple = LAYOUTS) -> np.ndarray:
+    """A row per block of ``layouts``: features and label; every page three times, with its longer blocks shorter and longer too."""
     table = []
     for factor in (1.0, 0.5, 2.5):
-        for page in LAYOUTS:
+        for page in layouts:
             inside, has_article, own, labels = False, "article" in page, [], []
             kept = [x for x in page if isinstance(x, tuple)]
             words = [max(12, round(x[0] * factor)) if x[0] > 12 else x[0] for x in kept]
