@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postlake.functions.location import once
@@ -115,6 +116,49 @@ def named_in(c: Column, table=CERTIFICATIONS) -> Column:
     return once(c, searched)
 
 
+#: Characters of a sentence on either side of a match, its end included; what lies further away isn't looked at.
+WINDOW = 201
+
+
+def around(text: str, start: int, end: int) -> str:
+    """The match with what surrounds it in its sentence or line, up to ``WINDOW`` code points on each side."""
+    before = re.split(r"[.\n\r]", text[max(0, start - WINDOW) : start])[-1]
+    return before + text[start:end] + re.match(r"[^.\n\r]*[.\n\r]?", text[end : end + WINDOW])[0]
+
+
+def matches(c: Column, table=CERTIFICATIONS) -> Column:
+    """Every match of every alternative in a text: name, alternative and nth (from 1), sentence. Empty for missing text.
+
+    ``named_in`` splits texts into sentences without a bound; here each match is judged by its own window, as two matches in a long line may be.
+    """
+    compiled = [(name, k, literal(a), re.compile(pattern((a,)), re.ASCII)) for name, _, alternatives in table for k, a in enumerate(alternatives, 1)]
+
+    @F.pandas_udf("array<struct<name:string,alternative:int,nth:int,sentence:string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        def of(text: str | None) -> list[dict]:
+            low = (text or "").lower()
+            return [
+                {"name": name, "alternative": k, "nth": nth, "sentence": around(text, m.start(), m.end())}
+                for name, k, needed, expression in compiled
+                if text and needed in low
+                for nth, m in enumerate(expression.finditer(text), 1)
+            ]
+
+        return texts.map(of)
+
+    return found(c)
+
+
+def cited(df: DataFrame, text: str, keys: list[str], table=CERTIFICATIONS) -> DataFrame:
+    """``keys``, name, alternative, nth, sentence and usable for each match in the column ``text``; usable is false for duties, degrees and overlong sentences.
+
+    Texts without a match, and null or empty ones, give no rows; repeated rows give repeated ones. Other columns are ignored.
+    """
+    out = df.select(*keys, F.inline(matches(F.col(text), table))).withColumn("sentence", trim(F.col("sentence")))
+    plain = neutral(F.col("sentence"))
+    return out.withColumn("usable", ~(is_duty(plain) | is_degree(plain) | is_long(plain)))
+
+
 def named_in_posting(description: Column, skills: Column) -> Column:
     """Of the description and of each skill."""
     empty = F.array().cast("array<string>")

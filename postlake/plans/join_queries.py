@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlake.functions import location as loc, role, skill
-from postlake.functions.certification import DEGREE, DUTY, DUTY_PHRASES, named_in
+from postlake.functions.certification import DEGREE, DUTY, DUTY_PHRASES, WINDOW, cited, named_in
 from postlake.functions.region import REGIONS
 from postlake.operators import facets, merge, regions, similar
 from postlake.operators.facets import exploded
@@ -116,6 +116,28 @@ def all_pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(named_in(F.col("text"), LICENCES)).alias("name"))
 
 
+@query(
+    r"""WITH a(name, alternative, re) AS (VALUES PATTERNS),
+    f AS (SELECT doc_id, name, alternative, regexp_extract_all(text, re) AS m, regexp_split_to_array(text, re) AS p FROM documents JOIN a ON regexp_matches(text, re)),
+    e AS (SELECT *, unnest(range(1, len(m) + 1)) AS nth FROM f),
+    c AS (SELECT doc_id, name, alternative, nth, m[nth] AS hit,
+      array_to_string(list_transform(range(1, nth), lambda i: p[i] || m[i]), '') || p[nth] AS before,
+      p[nth + 1] || array_to_string(list_transform(range(nth + 1, len(m) + 1), lambda i: m[i] || p[i + 1]), '') AS after FROM e),
+    s AS (SELECT doc_id, name, alternative, nth, trim(regexp_extract(right(before, WINDOW), '[^.\n\r]*$') || hit || regexp_extract(left(after, WINDOW), '^[^.\n\r]*[.\n\r]?'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS sentence FROM c),
+    n AS (SELECT *, regexp_replace(sentence, '[^\x00-\x7F]', '§', 'g') AS q FROM s)
+    SELECT doc_id, name, CAST(alternative AS INTEGER) AS alternative, CAST(nth AS INTEGER) AS nth, sentence,
+      NOT (regexp_matches(q, '(?i)\b(?:DUTIES)\b') OR regexp_matches(q, '(?i)\b(?:DEGREE)\b') OR (length(q) > 150 AND length(q) - length(replace(q, ',', '')) > 2)) AS usable FROM n""".replace(
+        "PATTERNS", ", ".join(rf"('{name}', {k}, '(?i)\b(?:{a})')" for name, _, alternatives in LICENCES for k, a in enumerate(alternatives, 1))
+    )
+    .replace("WINDOW", str(WINDOW))
+    .replace("DUTIES", "|".join((*DUTY, *DUTY_PHRASES)))
+    .replace("DEGREE", DEGREE)
+)
+def pattern_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match with its sentence, up to 201 characters on each side, and whether the sentence counts."""
+    return cited(table(spark, sf_dir, "documents"), "text", ["doc_id"], LICENCES)
+
+
 @query(
     f"""WITH {POSTINGS}, m AS (SELECT {_case('title', 0)} AS r, {_case('title', 2)} AS c FROM postings)
     SELECT 'all' AS kind, NULL AS value, count(*) AS n, count(r) AS n_matched FROM m

@@ -84,6 +84,23 @@ def test_certifications(spark):
     assert values(spark, given, certification.named_in) == [["API 510", "BOSIET"], [], ["CDL"], ["CDL"], [], []]
 
 
+def test_sentences_of_matches(spark):
+    far, near = "x" * 250, "y" * 150
+    given = [f"You will manage {far} BOSIET {far}, a, b, c", f"You will manage {near} BOSIET {near}", "CDL, CDL\rneeded. API-510 é", f"{'z' * 201}CDL", f"a.{'-' * 201}CDL{'-' * 200}.b", "no match", None, ""]
+    df = spark.createDataFrame([(k, x, "clash") for k, x in enumerate(given)], "k int, t string, name string")
+    out = certification.cited(df, "t", ["k"]).orderBy("k", "name", "nth").collect()
+    got = [(r["k"], r["name"], r["nth"], r["sentence"], r["usable"]) for r in out]
+    assert got == [
+        (0, "BOSIET", 1, f"{'x' * 200} BOSIET {'x' * 200}", True),
+        (1, "BOSIET", 1, given[1], False),
+        (2, "API 510", 1, "API-510 é", True),
+        (2, "CDL", 1, "CDL, CDL", True),
+        (2, "CDL", 2, "CDL, CDL", True),
+        (4, "CDL", 1, f"{'-' * 201}CDL{'-' * 200}.", True),
+    ]
+    assert certification.cited(df.limit(0), "t", ["k"]).count() == 0
+
+
 def test_regions(spark):
     assert len(region.TOP) == 5 and len(region.REGIONS) == 13
     given = ["Houston, TX", "Midland, TX", "Odessa, TX", "Carlsbad, NM", "Singapore", "Dubai, United Arab Emirates", "Aberdeen, United Kingdom", "Calgary, AB, Canada"]
