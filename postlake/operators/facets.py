@@ -19,6 +19,12 @@ def exploded(postings: DataFrame, array: str, name: str) -> DataFrame:
     return postings.select("ord", F.posexplode(array).alias("place", name))
 
 
+def once_each(values: DataFrame, key: str) -> DataFrame:
+    """Distinct values of ``key``, to be parsed once each. Spark moves a filter on a grouping's key below the grouping, where it would be computed for
+    every row, whatever it costs; a key that reads the group's count keeps it above."""
+    return values.groupBy(key).agg(F.count("*").alias("_n")).select(F.when(F.col("_n") > 0, F.col(key)).alias(key))
+
+
 def distinct_values(postings: DataFrame, column: str) -> DataFrame:
     return postings.where(is_active()).select(column).where(F.col(column).isNotNull()).distinct()
 
@@ -123,9 +129,9 @@ def match_rate(matched: DataFrame, role: str, times: str | None = None) -> DataF
 
 
 def place_counts(postings: DataFrame) -> DataFrame:
-    """raw, name, n and first_ord of the active postings' places: raw places are counted first, and each distinct one is parsed once."""
+    """raw, name, n and first_ord of the active postings' places: raw places are counted first, and each distinct one is parsed once (see ``once_each``)."""
     raws = exploded(postings.where(is_active()).select("ord", loc.lines(F.col("location")).alias("raws")), "raws", "raw")
-    return counts(raws, "raw").select("raw", loc.formatted(F.col("raw")).alias("name"), "n", "first_ord").where("name is not null")
+    return counts(raws, "raw").withColumn("raw", F.when(F.col("n") > 0, F.col("raw"))).select("raw", loc.formatted(F.col("raw")).alias("name"), "n", "first_ord").where("name is not null")
 
 
 def placed(rows: DataFrame, *order: Column) -> DataFrame:
