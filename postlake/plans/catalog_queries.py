@@ -14,6 +14,7 @@ from postlake.operators.similar import STOP_WORDS
 from postlake.plans.join_queries import _CITIES, _SQL_CITIES, _case, _sql_belongs
 from postlake.plans.postings import PLACES, POSTINGS, pick, postings, sql_pick
 from postlake.plans.text_queries import _NORMALIZE, raw_skill
+from postlake.sources.scratch import Scratch
 from postlake.sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -416,11 +417,16 @@ def locations_in_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def location_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place shown for each active posting that has one: its first, by the dictionary where that has it, and the number of others."""
-    shown = postings(spark, sf_dir).where(is_active()).select("id", "location", F.get(loc.lines(F.col("location")), F.lit(0)).alias("raw")).where("raw is not null")
+    scratch, cell = Scratch(spark, "display"), F.col("location")
+    cells = postings(spark, sf_dir).where(is_active()).select("id", loc.lines(cell).alias("raws"), loc.named_lines(cell).alias("named")).where(F.size("raws") > 0)
+    first = lambda c: F.get(c, F.lit(0))
+    cells = scratch.table(cells.select("id", first("raws").alias("raw"), (F.size("raws") - 1).alias("more"), first("named").alias("first"), (F.size("named") - 1).alias("others")), "cells")
+    names = scratch.table(facets.once_each(cells.where("first is not null"), "first").select("first", loc.formatted(F.col("first")).alias("name")), "names", small=True)
     none = F.lit(None).cast("string")
     geo = F.struct(F.col("n_name").alias("city"), none.alias("state"), none.alias("stateCode"), F.lit("United Kingdom").alias("country"), F.lit("GB").alias("countryCode"))
     known = table(spark, sf_dir, "nation").select(F.concat(F.lit("GB-NATION "), F.col("n_nationkey").cast("string")).alias("raw"), geo.alias("geo"))
-    return shown.join(known, "raw", "left").select("id", loc.display_from(F.col("location"), F.col("geo")).alias("place"))
+    place = F.when(F.col("geo").isNotNull(), loc.shown(loc.from_geocode(F.col("geo")), F.col("more"))).otherwise(loc.shown(F.col("name"), F.col("others")))
+    return cells.join(known, "raw", "left").join(names, "first", "left").select("id", place.alias("place"))
 
 
 # ---- reports ----
