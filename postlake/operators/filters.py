@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from urllib.parse import parse_qs, urlencode
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from postlake.functions import location as loc
 from postlake.functions.region import REGIONS, belongs
 from postlake.functions.text import company_slug, posting_slug
+from postlake.sources.scratch import Scratch
 
 INACTIVE = ("removed", "paused")
 FACETS = ("companies", "locations", "regions", "skills", "certifications", "roles", "employment_types")
@@ -56,9 +58,7 @@ class FilterSpec:
         if self.employment_types:
             out.append(F.coalesce(F.col("employment_type").isin(self.employment_types), F.lit(False)))
         if self.locations or self.regions:
-            chosen = [r for r in REGIONS if r.id in self.regions]
-            in_region = lambda x: reduce(lambda a, b: a | b, (belongs(x, r) for r in chosen), x.isin(self.locations) if self.locations else F.lit(False))
-            out.append(F.exists("location_names", in_region))
+            out.append(F.exists("location_names", self._in_places))
         if self.skills:
             out.append(F.arrays_overlap(F.transform("skill_names", F.lower), F.array(*(F.lit(x.lower()) for x in self.skills))))
         if self.certifications:
@@ -77,6 +77,25 @@ class FilterSpec:
     def _apply(self, postings: DataFrame) -> DataFrame:
         return reduce(lambda df, p: df.where(p), self.predicates(), postings)
 
+    def apply_to_raw(self, postings: DataFrame, key: str = "id", scratch: Scratch | None = None) -> DataFrame:
+        """As ``apply``, on postings whose places are raw cells (``location``) and whose ``key`` is unique.
+
+        The other facets narrow the rows first, and these are written. Of the distinct raw places that they hold each is parsed once, and the rows with a
+        chosen one are kept.
+        """
+        if not (self.locations or self.regions):
+            return self.apply(postings)
+        scratch = scratch or Scratch(postings.sparkSession, "filter")
+        narrowed = scratch.table(replace(self, locations=[], regions=[]).apply(postings), "narrowed")
+        raws = narrowed.select(key, F.explode(loc.lines(F.col("location"))).alias("raw"))
+        each = raws.groupBy("raw").agg(F.count("*").alias("_n")).select(F.when(F.col("_n") > 0, F.col("raw")).alias("raw"))  # keeps what is parsed above the grouping
+        chosen = scratch.table(each.where(self._in_places(loc.formatted(F.col("raw")))), "chosen", small=True)
+        return narrowed.join(raws.join(chosen, "raw", "left_semi").select(key), key, "left_semi")
+
+    def _in_places(self, name: Column) -> Column:
+        chosen = [r for r in REGIONS if r.id in self.regions]
+        return loc.once(name, lambda x: reduce(lambda a, b: a | b, (belongs(x, r) for r in chosen), x.isin(self.locations) if self.locations else F.lit(False)))
+
 
 def company_page(postings: DataFrame, slug: str, spec: FilterSpec | None = None) -> DataFrame:
     """All of a company's postings, inactive ones too, that pass the other facets."""

@@ -50,7 +50,7 @@ def inactive_count(spark: SparkSession, sf_dir: str) -> DataFrame:
       AND id IN (SELECT id FROM places WHERE name IN ('Nation 7, TX', 'Nation 8, AB, Canada', 'Nation 3, United Kingdom'))"""
 )
 def faceted_filter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SPEC.apply(with_names(postings(spark, sf_dir))).select("id", "company", "employment_type", F.array_join("skills", ",").alias("skills"))
+    return SPEC.apply_to_raw(postings(spark, sf_dir).withColumn("skill_names", F.col("skills"))).select("id", "company", "employment_type", F.array_join("skills", ",").alias("skills"))
 
 
 @query(f"WITH {POSTINGS} SELECT DISTINCT company FROM active")
