@@ -341,7 +341,7 @@ def location_options_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {POSTINGS}, {PLACES}, n AS (SELECT name, count(*) AS n FROM places GROUP BY name) SELECT DISTINCT p.name, n FROM (SELECT DISTINCT name FROM places UNION SELECT 'Nation ' || n_nationkey || ', Norway' FROM nation) p JOIN n USING (name)")
 def location_option_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active postings per option of a location list; options without any are dropped."""
-    counts = facets.place_counts(postings(spark, sf_dir)).groupBy("name").agg(F.sum("n").alias("n"))
+    counts = Scratch(spark, "options").table(facets.place_counts(postings(spark, sf_dir)).groupBy("name").agg(F.sum("n").alias("n")), "counts", small=True)  # read twice
     more = table(spark, sf_dir, "nation").select(F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string"), F.lit(", Norway")).alias("name"))
     return counts.select("name").union(more).distinct().join(counts, "name")
 
