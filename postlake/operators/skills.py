@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlake.functions.skill import ACTION_VERBS, is_valid, normalize, similarity, split_compound
 from postlake.functions.text import trim
+from postlake.operators.facets import once_each
 from postlake.operators.similar import fuzzy_match
 
 LEAST_SCORE = 0.6
@@ -33,7 +34,7 @@ def processed(raws: DataFrame, reference: DataFrame, prepared: DataFrame, split:
     Each raw skill is split (unless ``split`` is off) and normalised; what has no canonical name goes. Only distinct skills are looked up.
     """
     parts = raws.select("id", "place", F.posexplode(split_compound(F.col("raw")) if split else F.array("raw")).alias("part", "raw"))
-    distinct = parts.select("raw").distinct().select("raw", normalize(F.col("raw")).alias("skill")).where("skill is not null")
+    distinct = once_each(parts, "raw").select("raw", normalize(F.col("raw")).alias("skill")).where("skill is not null")
     names = canonical(distinct.select("skill").distinct(), reference, prepared).where("canonical is not null")
     found = parts.join(distinct, "raw").join(names, "skill").select("id", "canonical", F.struct("place", "part").alias("at"))
     once = found.groupBy("id", F.lower("canonical").alias("key")).agg(F.min_by("canonical", "at").alias("name"), F.min("at").alias("at"))
@@ -85,7 +86,7 @@ def standardized(c: Column, answer: Column) -> Column:
 def processed_remotely(raws: DataFrame, answers: DataFrame) -> DataFrame:
     """id and skills: as ``processed``, but valid normalised skills stay, under a remote service's name (skill, answer) where it gave one like them."""
     parts = raws.select("id", "place", F.posexplode(split_compound(F.col("raw"))).alias("part", "raw"))
-    distinct = parts.select("raw").distinct().select("raw", normalize(F.col("raw")).alias("skill")).where(is_valid(F.col("skill")))
+    distinct = once_each(parts, "raw").select("raw", normalize(F.col("raw")).alias("skill")).where(is_valid(F.col("skill")))
     found = parts.join(distinct.join(answers, "skill", "left"), "raw").select("id", standardized(F.col("skill"), F.col("answer")).alias("name"), F.struct("place", "part").alias("at"))
     once = found.groupBy("id", F.lower("name").alias("key")).agg(F.min_by("name", "at").alias("name"), F.min("at").alias("at"))
     return once.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("skills"))

@@ -218,7 +218,8 @@ def skill_cache_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the distinct normalised skills, those that a canonical name was found for."""
     reference = spark.createDataFrame(list(enumerate(REFERENCE)), "ref_ord int, name string")
     prepared = spark.createDataFrame(list(PREPARED.items()), "key string, known string")
-    found = skills.canonical(_brand_skills(spark, sf_dir).select(skill.normalize(F.col("raw")).alias("skill")).where("skill is not null").distinct(), reference, prepared)
+    raws = facets.once_each(_brand_skills(spark, sf_dir), "raw")
+    found = skills.canonical(raws.select(skill.normalize(F.col("raw")).alias("skill")).where("skill is not null").distinct(), reference, prepared)
     sums = found.agg(F.count("*").alias("total"), F.count("canonical").alias("matched"))
     return sums.select("total", "matched", (F.col("total") - F.col("matched")).alias("unmatched"), percent(F.col("matched"), F.col("total"), 0).alias("match_rate"))
 
