@@ -164,14 +164,18 @@ def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.clean_text(F.col("html")).alias("plain"))
 
 
-_DECODE_MORE = "x"  # references beyond the basic ones that the pages hold
-for _a, _b in (("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", "\xa0"), ("&rsquo;", "’"), ("&mdash;", "—"), ("&hellip;", "…")):
-    _DECODE_MORE = f"replace({_DECODE_MORE}, '{_a}', '{_b}')"
+#: All references that the pages hold. Older names also count without a semicolon (a title cut to a length ends with ``&amp``); the ampersand comes last, so that nothing is decoded twice.
+_DECODE_BODY = "x"
+for _name, _b in (("copy", "©"), ("middot", "·"), ("nbsp", "\xa0"), ("lt", "<"), ("gt", ">"), ("quot", '"')):
+    _DECODE_BODY = f"regexp_replace({_DECODE_BODY}, '&{_name};?', '{_b}', 'g')"
+for _a, _b in (("&rsquo;", "’"), ("&mdash;", "—"), ("&hellip;", "…"), ("&#39;", "''")):
+    _DECODE_BODY = f"replace({_DECODE_BODY}, '{_a}', '{_b}')"
+_DECODE_BODY = f"regexp_replace({_DECODE_BODY}, '&amp;?', '&', 'g')"
 
 
 @query(
     rf"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)^.*?<body[^>]*>', ''), '(?s)<!--.*?-->', '', 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(p|div|h[1-6]|li|ul|ol|section|article|header|footer|tr)>', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM pages),
-    d AS (SELECT page_id, {_DECODE.replace("replace(x,", f"replace({_DECODE_MORE},", 1)} AS x FROM b)
+    d AS (SELECT page_id, {_DECODE_BODY} AS x FROM b)
     SELECT page_id, array_to_string(list_filter(list_transform(string_split(x, chr(10)), lambda l: trim(l, chr(160) || chr(32) || chr(9) || chr(13))), lambda l: l <> ''), chr(10)) AS plain FROM d"""
 )
 def page_body_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import time
 from html.parser import HTMLParser
 
+import duckdb
 import pytest
 
 from postlake.functions.markup import body_text, lines_of, strip_html
@@ -93,3 +94,15 @@ def test_time_of_odd_texts():
     for text in ("<a '" * 50_000, "<" * 200_000, "<p " + "a='b' " * 100_000, "<!--" * 50_000, "<p =" * 50_000, "<script>" * 30_000, "</" * 100_000, "<p a=\"" * 30_000, "&" * 100_000):
         body_text(text)
     assert time.perf_counter() - began < 20
+
+
+def test_body_text_like_its_sql_without_semicolons(spark, tmp_path):
+    """A title that is cut to a length may end with a reference without its semicolon."""
+    from postlake.plans.registry import ORACLE_SQL, QUERIES
+
+    pages = ["<p>a &amp</p>b &am", "<h1>&copy &middot &lt&gt &quot</h1>&amp;lt &amp;amp &amp;amp; &nbsp;&rsquo;&#39;", "<body class=x>&amp&amp;&ampx<br>&mdash;&hellip;", None, ""]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    ours = {r["page_id"]: r["plain"] for r in QUERIES["page_body_text"](spark, str(tmp_path)).collect()}
+    assert ours[0] == "a &\nb &am" and ours == dict(con.sql(ORACLE_SQL["page_body_text"]).fetchall())
