@@ -99,6 +99,20 @@ def test_hot_places_and_skills_make_no_pairs(spark):
     assert made < 40 * len(queries)  # against 2000 for each
 
 
+def test_hot_sets_of_skills_make_no_pairs(spark, monkeypatch):
+    """Two skills that every posting has together, and one company with most of the first postings."""
+    rows = [(k, k, "main" if k < 40 and k % 20 else f"c{k}", ["hot", "warm", f"s{k % 400}"], ["everywhere"] if k % 3 else []) for k in range(2000)]
+    schema = "id int, ord int, company string, skills array<string>, places array<string>"
+    df, scratch = spark.createDataFrame(rows, schema), Scratch(spark, "test")
+    queries = [r for r in rows if r[0] % 20 == 0]
+    expected = similar_by_hand(rows, queries, 5)
+    assert {tuple(r) for r in similar.most_similar(df, df.where("id % 20 = 0"), 5, scratch).collect()} == expected
+    made = sum(spark.read.parquet(f"{scratch.root}/{t}").count() for t in ("listed", "rest"))
+    assert made < 60 * len(queries)  # against 2000 for each
+    monkeypatch.setattr(similar, "MOST_SKILLS", 2)  # so the queries meet all that share a skill
+    assert {tuple(r) for r in similar.most_similar(df, df.where("id % 20 = 0"), 5).collect()} == expected
+
+
 LIST = ["Welding", "Non-Destructive Testing", "R", "C++", "C#", "Power BI", "NX", "Health & Safety", "Power", "power  bi", "Welding", "R&D", ".NET", "Testing"]
 
 
