@@ -4,6 +4,7 @@ import os
 import random
 import sqlite3
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from postlake.sources.answers import AnswerStore
 from postlake.sources.buckets import BucketedSnapshot, sync_buckets
 from postlake.sources.ingest import scraped
 from postlake.sources.sqlite import sqlite_table
-from postlake.streaming.status import run_available, status_changes
+from postlake.streaming.status import Lifecycle, run_available, status_changes
 
 HOUR = 3600
 EVENTS = "k string, status string, at long, seq long"
@@ -59,6 +60,86 @@ def test_status_lifecycle_with_late_and_repeated_events(spark, tmp_path):
     assert {x[1] for x in expected} == {"active", "paused", "removed"}
 
 
+class FakeState:
+    """Values, lists and timers of one group in memory, and how often they were called."""
+
+    def __init__(self):
+        self.value, self.values, self.timers, self.calls, self.watermark = None, [], set(), 0, 0
+
+    def getValueState(self, *_):
+        return self
+
+    def getListState(self, *_):
+        return FakeList(self)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+class FakeList:
+    def __init__(self, state):
+        self.state = state
+
+    def get(self):
+        self.state.calls += 1
+        return iter(self.state.values)
+
+    def appendList(self, values):
+        self.put(self.state.values + list(values))
+
+    def put(self, values):
+        self.state.calls += 1
+        self.state.values = list(values)
+
+    def clear(self):
+        self.put([])
+
+
+@pytest.mark.parametrize("n_keys", [1, 7, 300])
+def test_status_lifecycle_calls_the_state_by_groups_of_keys(n_keys):
+    """The state is called as often for 300 keys as for one, over three watermarks; keys may be null, statuses of one time are tied by seq."""
+    rng = random.Random(n_keys)
+    keys, state, changes = [None, *(str(2**62 + k) for k in range(n_keys - 1))], FakeState(), []
+    events = [(rng.choice(keys), rng.choice(["active", "paused", "removed"]), rng.randrange(0, 300 * HOUR, HOUR), n // 2) for n in range(8 * n_keys)]
+    model, micros = Lifecycle(30 * HOUR * 10**6), 10**6
+    for k, watermark in enumerate((100 * HOUR, 200 * HOUR, 290 * HOUR)):
+        new = [e for e in events if e[2] // (100 * HOUR) == k] or [(keys[0], "active", watermark, 0)]
+        events += [e for e in new if e not in events]
+        model.init(state)
+        frame = pd.DataFrame([(0, key, status, at * micros, seq) for key, status, at, seq in new + new[:3]], columns=["bucket", "key", "status", "at", "seq"])
+        assert list(model.handleInputRows((0,), iter([frame]), state)) == []
+        state.watermark = watermark * 1000
+        for timer in sorted(t for t in state.timers if t <= state.watermark):
+            changes += [x for frame in model.handleExpiredTimer((0,), state, timer) for x in frame.itertuples(index=False)]
+            state.timers.discard(timer)
+    got = [(None if pd.isna(key) else key, to, None if pd.isna(before) else before, at // micros) for key, to, before, at in changes]
+    assert sorted(got, key=str) == lifecycle_by_hand(events, 30 * HOUR, 290 * HOUR)
+    assert state.calls <= 21
+
+
+def test_status_lifecycle_of_null_and_long_keys(spark, tmp_path):
+    """Whole numbers beside nulls stay whole; events without a time are left out; several groups hold the keys."""
+    rows = [(k, s, t, n) for n, (k, s, t) in enumerate([(2**53 + 1, "active", 10), (None, "paused", 60), (2**53, "active", 120), (2**53 + 1, "paused", 180), (5, "active", None), (5, "active", 9000)])]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(rows, EVENTS.replace("k string", "k long")).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(EVENTS.replace("k string", "k long")).parquet(source).withColumn("ts", F.timestamp_seconds("at"))
+    run_available(status_changes(stream, "k", "status", "ts", "seq", "1 hours", 30, buckets=2), out, str(tmp_path / "check"))
+    got = {tuple(r) for r in spark.read.parquet(out).select("key", "status", "previous", F.unix_seconds("changed_at")).collect()}
+    assert got == {(2**53 + 1, "active", None, 10), (None, "paused", None, 60), (2**53, "active", None, 120), (2**53 + 1, "paused", "active", 180)}
+
+
 def size_of(folder):
     return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet"))
 
