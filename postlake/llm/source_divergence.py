@@ -1,40 +1,51 @@
 """How far the sources of each language differ in their words, and by which words.
 
-One CountVectorizer is fitted to terms that carry their language, so its minDF holds within each language and
-all languages take one pass; it sees each term of a document once, as only the number of documents matters there. With the terms that it
-keeps, a second one makes the exact sparse document vectors, which are summed per group by partial aggregation, entry by entry. Two sources
+One CountVectorizer is fitted to the terms of all documents; it sees each term of a document once, as only the number of documents matters there.
+Its model makes the exact sparse document vectors, which are summed per group by partial aggregation, entry by entry, together
+with the number of their documents: so a language keeps the terms that its own documents reach, which are among the fitted ones. Two sources
 are compared over blocks of terms and blocks of sources: a task holds at most ``SOURCES`` times two sources and ``TERMS`` terms, and
 terms that no source of a block has are added by their number.
 
-CountVectorizer keeps its vocabulary on the driver and broadcasts it: the terms that at least ``min_docs`` documents of a language hold.
+CountVectorizer keeps its vocabulary on the driver and broadcasts it: the terms that at least ``min_docs`` documents hold.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlake.llm.rows import bounded_batches
-from postlake.llm.url_filter import LOWER, UPPER
 from postlake.sources.scratch import Scratch
 
-BETWEEN_TERMS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS = 30
 TOP_TERMS = 50
 ADDED = 5
 UNIT = 1_000_000_000
-#: No term holds it, so what follows its last occurrence in a token is the term.
-_BETWEEN = "\x00"
+#: Bytes of UTF-8: letters in lower case, those of characters outside ASCII as they are, a space for all others.
+_TERM_BYTES = bytes(k + 32 if 65 <= k <= 90 else k if 97 <= k <= 122 or k >= 128 else 32 for k in range(256))
 TERMS, SOURCES = 512, 256
 _PART = "lang string, a int, b int, seen long, value long"
 
 
-def terms(text: Column) -> Column:
-    """Runs of letters A-Z and characters outside ASCII, with A-Z lower-cased."""
-    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))  # translate costs more
-    return F.array_remove(F.split(lower, BETWEEN_TERMS), "")
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All texts of a batch have their bytes replaced at once, which keeps their lengths, and are then cut at spaces."""
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index("text"))
+        _, ends, data = texts.buffers()
+        plain = pa.Array.from_buffers(texts.type, len(texts), [None, ends, pa.py_buffer((data.to_pybytes() if data else b"").translate(_TERM_BYTES))], offset=texts.offset)
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("lang", "source")), pc.ascii_split_whitespace(plain)], names=["lang", "source", "tokens"])
+
+
+def tokenised(documents: DataFrame) -> DataFrame:
+    """lang, source and tokens of ``documents`` without nulls: runs of letters A-Z and characters outside ASCII, with A-Z lower-cased; and maybe empty ones."""
+    bounded_batches(documents.sparkSession)
+    return documents.select("lang", "source", "text").mapInArrow(_cut, "lang string, source string, tokens array<string>")
 
 
 def scaled(count: Column, total: Column, kept: Column) -> Column:
@@ -47,22 +58,18 @@ def scaled(count: Column, total: Column, kept: Column) -> Column:
 def group_counts(documents: DataFrame, min_docs: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Counts (lang, source, term_no, n) of the kept terms of every group, and the vocabulary (lang, term_no, term)."""
     spark = documents.sparkSession
-    docs = documents.select("lang", "source", terms(F.col("text")).alias("tokens"))  # cutting twice is cheaper than a table of tokens
-    marked = F.transform(F.array_distinct("tokens"), lambda t: F.concat(F.col("lang"), F.lit(_BETWEEN), t))
-    fitted = CountVectorizer(inputCol="marked", outputCol="counts", minDF=min_docs, vocabSize=2**31 - 1).fit(docs.select(marked.alias("marked")))
-    if not fitted.vocabulary:
+    docs = tokenised(documents)  # cutting twice is cheaper than a table of tokens
+    fitted = CountVectorizer(inputCol="tokens", outputCol="counts", minDF=min_docs, vocabSize=2**31 - 1).fit(docs.select(F.array_distinct("tokens").alias("tokens")))
+    terms = pd.DataFrame({"term": fitted.vocabulary}).rename_axis("term_no").reset_index().astype({"term_no": np.int32})
+    terms = terms[terms["term"] != ""]  # what stands before a first term or behind the last
+    if not len(terms):
         return spark.createDataFrame([], "lang string, source string, term_no int, n long"), spark.createDataFrame([], "lang string, term_no int, term string")
-    listed = [x.rpartition(_BETWEEN) for x in fitted.vocabulary]
-    names = sorted({x[2] for x in listed})
-    number = {x: k for k, x in enumerate(names)}
-    words = pd.DataFrame({"lang": [x[0] for x in listed], "term_no": np.array([number[x[2]] for x in listed], dtype=np.int32), "term": [x[2] for x in listed]})
-    vocabulary = scratch.table(spark.createDataFrame(words, "lang string, term_no int, term string"), "vocabulary", small=True)
-    # a language's documents also count terms that only others keep; these sums go by the join
-    model = CountVectorizerModel.from_vocabulary(names, inputCol="tokens", outputCol="counts")
-    entries = model.transform(docs).select("lang", "source", F.unwrap_udt("counts").alias("v")).select("lang", "source", F.inline(F.arrays_zip("v.indices", "v.values")).alias("term_no", "n"))
-    sums = entries.groupBy("lang", "source", "term_no").agg(F.sum(F.col("n").cast("long")).alias("n"))
-    counts = scratch.table(sums.join(vocabulary.select("lang", "term_no"), ["lang", "term_no"], "left_semi").select("lang", "source", "term_no", "n"), "counts", small=True)
-    return counts, vocabulary
+    entries = fitted.transform(docs).select("lang", "source", F.unwrap_udt("counts").alias("v")).select("lang", "source", F.inline(F.arrays_zip("v.indices", "v.values")).alias("term_no", "n"))
+    sums = scratch.table(entries.groupBy("lang", "source", "term_no").agg(F.sum(F.col("n").cast("long")).alias("n"), F.count("*").alias("docs")), "sums")
+    kept = sums.groupBy("lang", "term_no").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
+    vocabulary = scratch.table(kept.join(spark.createDataFrame(terms, "term_no int, term string"), "term_no").select("lang", "term_no", "term"), "vocabulary", small=True)
+    counts = sums.drop("docs").join(vocabulary.select("lang", "term_no"), ["lang", "term_no"], "left_semi").select("lang", "source", "term_no", "n")
+    return scratch.table(counts, "counts", small=True), vocabulary
 
 
 def _compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

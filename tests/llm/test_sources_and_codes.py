@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
@@ -98,6 +99,30 @@ def test_divergence_like_brute_force(spark, monkeypatch, terms, sources):
     assert got == divergences(rows, 9, 4)
 
 
+def test_terms_are_cut_by_bytes(spark):
+    """Whole batches at once, in slices too: any characters, capitals outside ASCII, empty and blank texts."""
+    rng = random.Random(5)
+    rows = [("en", "s", "".join(rng.choice("aZé ÉÜß1.\n\t\u00a0\u2028ſİ漢🙂\x00\x7f@[`{") for _ in range(rng.randrange(12)))) for _ in range(300)]
+    pattern = re.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    expected = [pattern.findall(text.translate(lower)) for _, _, text in rows]
+    df = spark.createDataFrame(rows, "lang string, source string, text string").coalesce(1)
+    assert [[t for t in r["tokens"] if t] for r in divergence.tokenised(df).collect()] == expected
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["lang", "source", "text"])
+    for part, at in ((batch.slice(7, 90), 7), (batch.slice(3, 0), 3)):
+        (out,) = divergence._cut(iter([part]))
+        assert [[t for t in x if t] for x in out.column(2).to_pylist()] == expected[at : at + len(part)]
+
+
+def test_divergence_keeps_terms_by_language(spark):
+    """A term in enough documents of all languages together, but of none alone, is fitted and not kept."""
+    rows = [(lang, source, f"both {lang}{source} own{lang}") for lang in ("de", "en") for source in "st" for _ in range(2)] + [("de", "s", "both"), ("en", "t", "")]
+    df = spark.createDataFrame([(lang, source, text) for lang, source, text in rows], "lang string, source string, text string")
+    for least in (2, 4, 5, 6):
+        got = {tuple(r) for r in source_divergence(df, min_docs=least).select("lang", "source", "part", "item", "value", "rank").collect()}
+        assert got == divergences([(text, lang, source) for lang, source, text in rows], least, 50), least
+
+
 def test_divergence_without_terms_or_rows(spark):
     df = spark.createDataFrame([("a", "en", "s"), ("b", "en", "t")], "text string, lang string, source string")
     assert sorted(tuple(r) for r in source_divergence(df).collect()) == [("en", "s", "pair", "t", 0, 1), ("en", "t", "pair", "s", 0, 1)]
