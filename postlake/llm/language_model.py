@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,8 @@ BLOCK = 512
 ROUNDS = 2
 #: Tokens, two bytes each, that a task holds at once.
 GATHERED = 1 << 22
+#: Words of texts that are looked up at once.
+CODED = 1 << 17
 #: Words whose counts go to every task, 24 bytes each.
 KNOWN = 1 << 18
 END = 0
@@ -390,23 +393,40 @@ def _coder(vocabulary):
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab = vocabulary.value
-        table, end_code = word_table(vocab), np.int16(END)
+        table, end_code = word_table(vocab), np.int16(END).tobytes()
         all_words, in_code, end = np.log10(vocab.n + vocab.v + 1), np.log10(np.maximum(vocab.size, 1)), np.log10(vocab.ends + 1.0)
+
+        def coded(some: list[tuple], texts: list[list[bytes]]) -> Iterator[pd.DataFrame]:
+            row, doc_id, part = zip(*some)
+            lengths = np.array([len(x) for x in texts])
+            hashes, codes, counts = table.rows(list(chain.from_iterable(texts)))
+            at, known = np.repeat(np.arange(len(texts)), lengths), counts >= 0
+            n = np.bincount(at[known], minlength=len(texts))
+            logs = np.bincount(at[known], np.log10(counts[known] + 1.0), minlength=len(texts))
+            within = logs - np.bincount(at[known], in_code[codes[known]], minlength=len(texts))
+            data, ends = codes.astype(np.int16).tobytes(), 2 * np.cumsum(lengths)
+            sequences = [data[lo:hi] + end_code for lo, hi in zip((ends - 2 * lengths).tolist(), ends.tolist())]
+            out = pd.DataFrame(dict(zip(_CODED[:8], (row, doc_id, part, lengths + 1, n + (vocab.ends > 0), logs + end - all_words * (n + 1), within, sequences)))).reindex(columns=_CODED)
+            yield out.astype({k: "Int64" for k in _CODED if k not in ("base", "within", "codes")})
+            if len(data) // 2 > n.sum():  # a frame of its own: beside missing values whole numbers would turn into floats
+                at, hashes, codes = at[~known], hashes[~known], codes[~known]
+                order = np.lexsort((hashes, at))
+                at, hashes, codes = at[order], hashes[order], codes[order]
+                first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (hashes[1:] != hashes[:-1])))
+                rare = (np.array(row)[at[first]], hashes[first], codes[first], np.diff(first, append=len(at)))
+                yield pd.DataFrame(dict(zip(("row", "word", "code", "times"), rare)), dtype="Int64").reindex(columns=_CODED)
+
         for batch in batches:
-            rows, rare = [], []
+            some, texts, size = [], [], 0
             for row, doc_id, part, text in zip(batch["row"], batch["doc_id"], batch["part"], batch["text"]):
-                hashes, codes, counts = table.rows(words(text))
-                known = counts >= 0
-                n = np.count_nonzero(known)
-                logs = np.log10(counts[known] + 1.0).sum()
-                rows.append((row, doc_id, part, len(codes) + 1, n + (vocab.ends > 0), logs + end - all_words * (n + 1), logs - in_code[codes[known]].sum(), np.append(codes, end_code).tobytes()))
-                if n < len(codes):
-                    word, first, times = np.unique(hashes[~known], return_index=True, return_counts=True)
-                    rare.append(np.stack([np.full(len(word), row), word, codes[~known][first], times]))
-            out = pd.DataFrame(rows, columns=_CODED[:8]).reindex(columns=_CODED)
-            yield out.astype({k: "Int64" for k in _CODED if k not in ("base", "within", "codes")})
-            if rare:  # a frame of its own: beside missing values whole numbers would turn into floats
-                yield pd.DataFrame(dict(zip(("row", "word", "code", "times"), np.concatenate(rare, axis=1))), dtype="Int64").reindex(columns=_CODED)
+                some.append((row, doc_id, part))
+                texts.append(words(text))
+                size += len(texts[-1])
+                if size >= CODED:
+                    yield from coded(some, texts)
+                    some, texts, size = [], [], 0
+            if some:
+                yield from coded(some, texts)
 
     return code
 

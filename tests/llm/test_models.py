@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -242,3 +243,31 @@ def test_archives_of_odd_pages(spark):
     got = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in out)
     size = len(long.encode())
     assert got == [(0, 1000, "revisit", 5), (1, size, "revisit", 2), (2, size, "response", None), (3, 0, "response", None), (4, 0, "response", None), (5, 1000, "response", None), (5, 1000, "response", None), (6, 999, "response", None), (7, 999, "response", None)]
+
+
+def test_texts_are_coded_many_at_once(monkeypatch):
+    """The words of many texts are looked up at once; how many makes no difference, nor do null and empty texts and repeated rare words."""
+    rng = np.random.default_rng(3)
+    texts = [None, "", " ", *(" ".join(f"w{k}" for k in rng.integers(0, 60, n)) for n in rng.integers(1, 40, 50))]
+    batch = pd.DataFrame({"row": np.arange(len(texts)) + 2**60, "doc_id": np.arange(len(texts)), "part": 0, "text": texts})
+    counts = pd.concat(language_model._count(iter([batch])))
+    by_tail = counts.groupby("tail").agg(n=("n", "sum"), v=("n", "size")).reset_index()
+    vocabulary = language_model.Vocabulary(counts.sort_values("n").tail(30), by_tail, int(counts["n"].sum()), len(counts))
+    table, calls = language_model.word_table(vocabulary), []
+    look_up = table.rows
+    table.rows = lambda tokens: calls.append(len(tokens)) or look_up(tokens)
+    monkeypatch.setattr(language_model, "word_table", lambda _: table)
+    out = []
+    for at_once in (1 << 17, 1):
+        monkeypatch.setattr(language_model, "CODED", at_once, raising=False)
+        frames = list(language_model._coder(SimpleNamespace(value=vocabulary))(iter([batch])))
+        rows = pd.concat([x for f in frames if len(x := f[f["word"].isna()].iloc[:, :8])], ignore_index=True)
+        rare = pd.concat([x for f in frames if len(x := f.loc[f["word"].notna(), ["row", "word", "code", "times"]])], ignore_index=True).sort_values(["row", "word"], ignore_index=True)
+        out.append((len(calls), rows, rare))
+        calls.clear()
+    (once, rows, rare), (often, rows_2, rare_2) = out
+    assert once == 1 < often
+    pd.testing.assert_frame_equal(rows, rows_2)
+    pd.testing.assert_frame_equal(rare, rare_2)
+    assert rows["n_tokens"].tolist() == [1 + len((t or "").split()) for t in texts]
+    assert rare["times"].sum() + rows["n_known"].sum() == rows["n_tokens"].sum() and (rare["times"] > 1).any()
