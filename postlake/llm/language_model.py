@@ -15,6 +15,7 @@ A score carries the state through the whole text.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postlake.llm.features import remainder
 from postlake.llm.rows import bounded_batches
-from postlake.llm.words import WordTable, words
+from postlake.llm.words import WordCache, WordTable, words
 from postlake.sources.scratch import Scratch
 
 HEAD, TAILS, SLOTS, HIDDEN = 31, 32, 32, 16
@@ -42,23 +43,22 @@ ROUNDS = 2
 GATHERED = 1 << 22
 #: Words of texts that are looked up at once.
 CODED = 1 << 17
+#: Distinct words, some 150 bytes each, that a task counts before it passes their counts on.
+COUNTED = 1 << 18
 #: Words whose counts go to every task, 24 bytes each.
 KNOWN = 1 << 18
 END = 0
 END_HASH = 0x454E44
 _ONES, _COUNT = np.ones(max(WINDOW * LANES, TRAIN_WINDOW * TRAIN_LANES), dtype=np.float32), np.arange(max(WINDOW * LANES, TRAIN_WINDOW * TRAIN_LANES))
 _PUNCTUATION = b".,;:!?'\"()[]{}<>|#*$%&+-_=/\\~`^@"
+_MARKS = frozenset(_PUNCTUATION)
 
 
 _CLASS = np.concatenate([np.arange(SINGLE), SINGLE + np.arange(CODES - SINGLE) // SLOTS])
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def word_hash(word: bytes) -> int:
-    return _signed(xxhash.xxh64_intdigest(word))
+def word_hashes(found: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), dtype=np.uint64, count=len(found)).view(np.int64)
 
 
 def tail(word: bytes) -> int:
@@ -68,18 +68,45 @@ def tail(word: bytes) -> int:
     return xxhash.xxh32_intdigest(key) % TAILS
 
 
+def _tail_of_end(end: bytes) -> int:
+    """The tail of all words with these last three bytes (or of the word, if it has less); -1 if that needs more of the word."""
+    told = len(end) < 3 or _MARKS.isdisjoint(end[1:]) or (end[2] in _MARKS and _MARKS.isdisjoint(end[:2]))
+    return tail(end) if told else -1
+
+
+_TAIL_OF_END = WordCache(_tail_of_end)
+
+
+def tails(found: list[bytes]) -> np.ndarray:
+    """``tail`` of each word."""
+    out = np.fromiter(map(_TAIL_OF_END.__getitem__, [w[-3:] for w in found]), dtype=np.int32, count=len(found))
+    for i in np.flatnonzero(out < 0).tolist():
+        out[i] = tail(found[i])
+    return out
+
+
 def class_of(codes: np.ndarray) -> np.ndarray:
     return _CLASS[codes]
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(word, tail, n) sums of each batch; the end of each text counts as a word, of tail -1."""
+    """(word, tail, n) sums over a task's texts, in parts of about ``COUNTED`` words; the end of each text counts as a word, of tail -1."""
+
+    def counted(times: Counter) -> pd.DataFrame:
+        found = list(times)
+        return pd.DataFrame({"word": word_hashes(found), "tail": tails(found), "n": np.fromiter(times.values(), dtype=np.int64, count=len(found))})
+
+    times, ends = Counter(), 0
     for batch in batches:
-        times: Counter = Counter()
+        ends += len(batch)
         for text in batch["text"]:
             times.update(words(text))
-        rows = [(word_hash(w), tail(w), n) for w, n in times.items()]
-        yield pd.DataFrame([*rows, (END_HASH, -1, len(batch))], columns=["word", "tail", "n"]).astype({"tail": np.int32})
+            if len(times) >= COUNTED:
+                yield counted(times)
+                times.clear()
+    if times:
+        yield counted(times)
+    yield pd.DataFrame({"word": [END_HASH], "tail": np.array([-1], dtype=np.int32), "n": [ends]})
 
 
 class Vocabulary:
@@ -120,13 +147,12 @@ class Vocabulary:
 
     def describe(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes, codes and counts of words; a count is -1 if the word isn't among the known ones."""
-        hashes = np.fromiter(map(word_hash, found), dtype=np.int64, count=len(found))
+        hashes = word_hashes(found)
         k = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
         known = self.words[k] == hashes if len(self.words) else np.zeros(len(found), dtype=bool)
         codes, counts = np.empty(len(found), dtype=np.int64), np.full(len(found), -1)
         codes[known], counts[known] = self.codes[k[known]], self.counts[k[known]]
-        for i in np.flatnonzero(~known).tolist():
-            codes[i] = SINGLE + SLOTS * tail(found[i])
+        codes[~known] = SINGLE + SLOTS * tails([found[i] for i in np.flatnonzero(~known).tolist()])
         return hashes, codes, counts
 
 
@@ -151,7 +177,14 @@ class GatedModel:
             self.p["c"], self.p["d"] = (x.astype(np.float32) for x in logs)
         self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        self.t = 0
+        self.t, self.spaces = 0, {}
+
+    def _space(self, name: str, *shape: int) -> np.ndarray:
+        """An array to compute in, kept under its name until the next call: new memory for each would take more time than what is computed."""
+        size = math.prod(shape)
+        if name not in self.spaces or len(self.spaces[name]) < size:
+            self.spaces[name] = np.empty(size, dtype=np.float32)
+        return self.spaces[name][:size].reshape(shape)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.SHAPES])
@@ -167,18 +200,22 @@ class GatedModel:
         """States after each of the inputs (steps x units x lanes), and what backpropagation needs if ``keep``.
 
         Within a step, units come first and lanes second, so that the parts of a gate are whole blocks of memory.
+        All that is returned lies in the model's own arrays and holds until the next call; ``h`` must not.
         """
-        n, u, x = HIDDEN, np.ascontiguousarray(self.p["u"].T), np.ascontiguousarray(self.p["x"].T)
-        states, parts = np.empty((len(inputs), n, h.shape[1]), dtype=np.float32), []
+        n, lanes, u, x = HIDDEN, h.shape[1], np.ascontiguousarray(self.p["u"].T), np.ascontiguousarray(self.p["x"].T)
+        states, parts, held = self._space("states", len(inputs), n, lanes), [], len(inputs) if keep else 1
+        inner = [self._space(k, held, size, lanes) for k, size in (("inputs", 3 * n), ("before", 3 * n), ("new", n))]
         for t, ids in enumerate(inputs):
-            a, g = x.take(ids, axis=1), u @ h
+            a, g, new = (s[t % held] for s in inner)
+            x.take(ids, axis=1, out=a, mode="clip")
+            np.matmul(u, h, out=g)
             gates = a[: 2 * n]
             gates += g[: 2 * n]
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
             z, r = gates[:n], gates[n:]
-            new = r * g[2 * n :]
+            np.multiply(r, g[2 * n :], out=new)
             new += a[2 * n :]
             np.exp(new, out=new)
             new += 1
@@ -191,11 +228,17 @@ class GatedModel:
             h += new
         return states, parts
 
-    def _exp(self, states: np.ndarray, weights: np.ndarray, bias: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The exponentials of the logits, their sums, and the logit of ``picked``. States lie within -1 and 1, so logits hardly ever reach the bound."""
-        logits = states @ weights
+    def _bounded(self) -> bool:
+        """Whether no logit can come near 60, as states lie within -1 and 1."""
+        p = self.p
+        return max((np.abs(p["w"]).sum(axis=0) + p["c"]).max(), (np.abs(p["v"]).sum(axis=1) + p["d"]).max()) < 59
+
+    def _exp(self, states: np.ndarray, weights: np.ndarray, bias: np.ndarray, picked: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The exponentials of the logits (until the next call), their sums, and the logit of ``picked``. Logits are cut at 60 unless they are ``bounded``."""
+        logits = np.matmul(states, weights, out=self._space("logits", len(states), weights.shape[1]))
         logits += bias
-        np.minimum(logits, 60, out=logits)
+        if not bounded:
+            np.minimum(logits, 60, out=logits)
         own = logits[_COUNT[: len(picked)], picked]
         np.exp(logits, out=logits)
         return logits, logits @ _ONES[: logits.shape[1]] + np.float32(1e-30), own
@@ -210,14 +253,14 @@ class GatedModel:
 
     def log_probabilities(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Natural logs of P(code), a row of states each."""
-        p, out = self.p, np.empty(len(codes))
+        p, out, bounded = self.p, np.empty(len(codes)), self._bounded()
         for lo in range(0, len(codes), BLOCK):
-            _, total, own = self._exp(states[lo : lo + BLOCK], p["w"], p["c"], class_of(codes[lo : lo + BLOCK]))
+            _, total, own = self._exp(states[lo : lo + BLOCK], p["w"], p["c"], class_of(codes[lo : lo + BLOCK]), bounded)
             out[lo : lo + BLOCK] = own - np.log(total)
         at, slots, stretches = self._by_tail(codes)
-        inside, logs = states.take(at, axis=0), np.empty(len(at))
+        inside, logs = states.take(at, axis=0, out=self._space("inside", len(at), HIDDEN), mode="clip"), np.empty(len(at))
         for k, part in stretches:
-            _, total, own = self._exp(inside[part], p["v"][k], p["d"][k], slots[part])
+            _, total, own = self._exp(inside[part], p["v"][k], p["d"][k], slots[part], bounded)
             logs[part] = own - np.log(total)
         out[at] += logs
         return out
@@ -226,31 +269,32 @@ class GatedModel:
         """One step of Adam on a window (steps x lanes); returns the last state, for the next window."""
         n, p = HIDDEN, self.p
         states, parts = self.run(inputs, h, keep=True)
-        flat, codes, weight = _rows(states), targets.ravel(), mask.ravel() / np.float32(max(1, mask.sum()))
-        slopes, from_output = {k: np.zeros_like(p[k]) for k in "wcuvd"}, np.empty_like(flat)
+        steps, _, lanes = states.shape
+        flat, codes, weight = _rows(states, self._space("flat", steps, lanes, n)), targets.ravel(), mask.ravel() / np.float32(max(1, mask.sum()))
+        slopes, from_output, bounded = {k: np.zeros_like(p[k]) for k in "wcuvd"}, self._space("from_output", len(flat), n), self._bounded()
         for lo in range(0, len(codes), BLOCK):
             some, share, picked = flat[lo : lo + BLOCK], weight[lo : lo + BLOCK], class_of(codes[lo : lo + BLOCK])
-            e, total, _ = self._exp(some, p["w"], p["c"], picked)
+            e, total, _ = self._exp(some, p["w"], p["c"], picked, bounded)
             e *= (share / total)[:, None]
             e[_COUNT[: len(e)], picked] -= share
             slopes["w"] += some.T @ e
             slopes["c"] += _ONES[: len(e)] @ e
             np.matmul(e, p["w"].T, out=from_output[lo : lo + BLOCK])
         at, slots, stretches = self._by_tail(codes)
-        inside, back_inside, weight = flat.take(at, axis=0), np.empty((len(at), n), dtype=np.float32), weight[at]
+        inside, back_inside, weight = flat.take(at, axis=0, out=self._space("inside", len(at), n), mode="clip"), self._space("back_inside", len(at), n), weight[at]
         for k, part in stretches:
-            e, total, _ = self._exp(inside[part], p["v"][k], p["d"][k], slots[part])
+            e, total, _ = self._exp(inside[part], p["v"][k], p["d"][k], slots[part], bounded)
             e *= (weight[part] / total)[:, None]
             e[_COUNT[: len(e)], slots[part]] -= weight[part]
             slopes["v"][k], slopes["d"][k] = inside[part].T @ e, _ONES[: len(e)] @ e
             np.matmul(e, p["v"][k].T, out=back_inside[part])
         from_output[at] += back_inside
-        from_output = np.ascontiguousarray(from_output.reshape(len(inputs), -1, n).transpose(0, 2, 1))
-        back, d_state = np.zeros_like(h), np.empty((3 * n, h.shape[1]), dtype=np.float32)
-        d_input = np.empty((len(inputs), 3 * n, h.shape[1]), dtype=np.float32)
-        for t in range(len(inputs) - 1, -1, -1):
+        by_step = self._space("by_step", steps, n, lanes)
+        by_step[:] = from_output.reshape(steps, lanes, n).transpose(0, 2, 1)
+        back, d_state, d_input = np.zeros_like(h), self._space("d_state", 3 * n, lanes), self._space("d_input", steps, 3 * n, lanes)
+        for t in range(steps - 1, -1, -1):
             before, z, r, new, g = parts[t]
-            back += from_output[t]
+            back += by_step[t]
             d_new = (z - 1) * (1 - new * new)
             d_new *= back
             d_new *= 0.5
@@ -266,19 +310,31 @@ class GatedModel:
         self.t += 1
         for k, s in slopes.items():
             self._adam(k, slice(None), s, rate)
-        rows, ids = np.unique(inputs, return_inverse=True)
-        cells = ids.reshape(len(inputs), 1, -1) * (3 * n) + np.arange(3 * n)[:, None]
-        slope = np.bincount(cells.ravel(), d_input.ravel(), minlength=len(rows) * 3 * n).reshape(-1, 3 * n).astype(np.float32)
-        self._adam("x", rows, slope, rate)
+        order = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
+        ids = inputs.ravel()[order]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        by_token = _rows(d_input, self._space("by_token", steps, lanes, 3 * n))
+        in_order = by_token.take(order, axis=0, out=self._space("in_order", len(order), 3 * n), mode="clip")
+        self._adam("x", ids[first], np.add.reduceat(in_order, first, axis=0), rate)
         return states[-1].copy()
 
     def _adam(self, name: str, rows, slope: np.ndarray, rate: float) -> None:
         """Only the rows of codes that occur are moved, and their means with them."""
-        slope = np.clip(slope, -1, 1)
-        m = 0.9 * self.m[name][rows] + np.float32(0.1) * slope
-        s = 0.99 * self.s[name][rows] + np.float32(0.01) * slope * slope
+        slope, m, s = np.clip(slope, -1, 1, out=slope), self.m[name][rows], self.s[name][rows]
+        m *= np.float32(0.9)
+        step = np.float32(0.1) * slope
+        m += step
+        s *= np.float32(0.99)
+        np.multiply(slope, slope, out=step)
+        step *= np.float32(0.01)
+        s += step
+        np.divide(s, np.float32(1 - 0.99**self.t), out=step)
+        np.sqrt(step, out=step)
+        step += np.float32(1e-6)
+        np.divide(m, step, out=step)
+        step *= np.float32(rate / (1 - 0.9**self.t))
         self.m[name][rows], self.s[name][rows] = m, s
-        self.p[name][rows] -= np.float32(rate / (1 - 0.9**self.t)) * m / (np.sqrt(s / np.float32(1 - 0.99**self.t)) + np.float32(1e-6))
+        self.p[name][rows] -= step
 
     def totals(self, sequences: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
         """log10 of the probability of each whole sequence of codes, its end included.
@@ -295,16 +351,24 @@ class GatedModel:
                 live = int(np.count_nonzero(lengths > start))
                 targets = _grid([sequences[i] for i in group[:live]], start, min(WINDOW, int(lengths[0]) - start))
                 states, _ = self.run(np.concatenate([last[:, :live], targets[:-1]]), h[:, :live])
+                rows = _rows(states, self._space("flat", len(targets), live, HIDDEN))
                 kept = np.arange(start, start + len(targets))[:, None] < lengths[:live]
-                lane = np.broadcast_to(np.arange(live), kept.shape)[kept]
-                out[group[:live]] += np.bincount(lane, self.log_probabilities(_rows(states)[kept.ravel()], targets[kept]), minlength=live)
-                h, last = states[-1], targets[-1:]
+                if kept.all():
+                    out[group[:live]] += self.log_probabilities(rows, targets.ravel()).reshape(kept.shape).sum(axis=0)
+                else:
+                    lane = np.broadcast_to(np.arange(live), kept.shape)[kept]
+                    out[group[:live]] += np.bincount(lane, self.log_probabilities(rows[kept.ravel()], targets[kept]), minlength=live)
+                h, last = states[-1].copy(), targets[-1:]
         return out / np.log(10)
 
 
-def _rows(states: np.ndarray) -> np.ndarray:
-    """A row for each step and lane."""
-    return states.transpose(0, 2, 1).reshape(-1, HIDDEN)
+def _rows(states: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """A row for each step and lane; in ``out`` (steps x lanes x units) if given."""
+    rows = states.transpose(0, 2, 1)
+    if out is not None:
+        out[:] = rows
+        rows = out
+    return rows.reshape(-1, states.shape[1])
 
 
 def _grid(sequences: list[np.ndarray], start: int, steps: int) -> np.ndarray:

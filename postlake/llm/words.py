@@ -6,6 +6,9 @@ A word is a run of bytes other than space and the control characters 9 to 13, af
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count, islice
+
 import numpy as np
 import xxhash
 
@@ -31,7 +34,7 @@ class WordCache(dict):
         return value
 
 
-class WordTable(dict):
+class WordTable(defaultdict):
     """Numbers words, and keeps what ``make`` gives for them in arrays; emptied beyond ``limit`` words.
 
     A text then costs one look-up per word, arrays are read by number, and ``make`` gets all new words of a text at once:
@@ -39,27 +42,23 @@ class WordTable(dict):
     """
 
     def __init__(self, make, dtypes: tuple, limit: int = 200_000):
-        super().__init__()
-        self.make, self.limit, self.fresh = make, limit, []
+        super().__init__(count().__next__)
+        self.make, self.limit = make, limit
         self.columns = [np.zeros(limit, dtype=d) for d in dtypes]
 
-    def __missing__(self, word):
-        k = self[word] = len(self)
-        self.fresh.append(word)
-        return k
-
     def rows(self, tokens: list) -> list[np.ndarray]:
         """The columns' values for each token."""
         if len(self) > self.limit:
             self.clear()
+            self.default_factory = count().__next__
+        start = len(self)
         k = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-        if self.fresh:
-            end, start = len(self), len(self) - len(self.fresh)
+        if start < (end := len(self)):
+            fresh = list(islice(reversed(self), end - start))[::-1]
             if end > len(self.columns[0]):
                 self.columns = [np.concatenate([c, np.zeros(end, dtype=c.dtype)]) for c in self.columns]
-            for column, values in zip(self.columns, self.make(self.fresh)):
+            for column, values in zip(self.columns, self.make(fresh)):
                 column[start:end] = np.array(values, dtype=column.dtype)
-            self.fresh = []
         return [c[k] for c in self.columns]
 
 

@@ -271,3 +271,33 @@ def test_texts_are_coded_many_at_once(monkeypatch):
     pd.testing.assert_frame_equal(rare, rare_2)
     assert rows["n_tokens"].tolist() == [1 + len((t or "").split()) for t in texts]
     assert rare["times"].sum() + rows["n_known"].sum() == rows["n_tokens"].sum() and (rare["times"] > 1).any()
+
+
+def test_words_are_counted_over_batches(monkeypatch):
+    """A task passes a word on once for many batches, or in parts if there are many words; sums and tails are those of single words."""
+    rng = np.random.default_rng(4)
+    letters = [*"abcdefgh", *".,!-'", "\u00e9", "\u2019"]
+    texts = [None, "", *(" ".join("".join(rng.choice(letters, rng.integers(1, 7))) for _ in range(rng.integers(1, 60))) for _ in range(60))]
+    batches = [pd.DataFrame({"text": texts[k : k + 10]}) for k in range(0, len(texts), 10)]
+    found = Counter(w for t in texts for w in (t or "").encode().split())
+    hashes = language_model.word_hashes(list(found)).tolist()
+    wanted = {h: (language_model.tail(w), n) for h, (w, n) in zip(hashes, found.items())} | {language_model.END_HASH: (-1, len(texts))}
+    frames = list(language_model._count(iter(batches)))
+    once = pd.concat(frames)
+    assert {r.word: (r.tail, r.n) for r in once.itertuples()} == wanted and len(once) == len(wanted)
+    monkeypatch.setattr(language_model, "COUNTED", 50)
+    parts = list(language_model._count(iter(batches)))
+    assert len(parts) > len(frames) and all(len(x) < 150 for x in parts)
+    assert {w: (t, n) for w, t, n in pd.concat(parts).groupby("word", as_index=False).agg({"tail": "min", "n": "sum"}).itertuples(index=False)} == wanted
+
+
+def test_model_computes_in_its_own_arrays():
+    """A model keeps its arrays from window to window, and what it gave before or computes in another order doesn't show in what it gives."""
+    m, rng = random_model(), np.random.default_rng(7)
+    long, short = ([rng.integers(0, language_model.CODES, k).astype(np.int16) for k in sizes] for sizes in ((90, 64, 64, 10), (3, 40)))
+    first = m.totals(long).tolist()
+    kept = {k: id(v) for k, v in m.spaces.items()}
+    assert m.totals(short).tolist() == random_model().totals(short).tolist()
+    assert m.totals(long).tolist() == first and {k: id(v) for k, v in m.spaces.items()} == kept
+    m.p["w"][0, 0] = 100  # logits beyond the bound
+    assert np.isfinite(m.totals(long)).all()
