@@ -11,9 +11,10 @@ An item that is mostly placeholders counts only so, with its own numbers and nam
 An item of fewer than five words is too little to be found inside a text: it counts where a line of the document consists of its words.
 
 The hash join is one against a table of windows that every task holds: benchmark items are cut into parts of about ``PART`` words
-(some 30 bytes each), counted first, and each part takes a pass over the documents. Windows that many items share, such as the
+(some 60 bytes each), counted first, and each part takes a pass over the documents. Windows that many items share, such as the
 phrases of a prompt, don't multiply documents by items: an item is looked at only if a document holds one of its anchors, its
 rarest windows, chosen so that the others cover less than 0.8 of it. So an occurrence always has one, and nothing is shuffled.
+Words of many texts are described at once, and only texts with an anchor are aligned.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from postlake.llm.rows import bounded_batches
-from postlake.llm.words import WordTable, each, windows
+from postlake.llm.words import WordTable, windows
 from postlake.sources.scratch import Scratch
 
 WINDOW = 5
@@ -39,6 +41,10 @@ LITERAL = 0.25
 CONTRADICTIONS = 0.1
 #: Words of benchmark items that a task holds at once.
 PART = 1_000_000
+#: Words of documents that are looked up at once; few enough that the arrays stay in the cache.
+GROUP = 1 << 13
+#: Places for each anchor, and at most, in a table that tells by a window's last bits that it is no anchor.
+SPREAD, PLACES = 16, 1 << 24
 # Number words and units.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
 UNITS = frozenset("mm cm m km inch inches in foot feet ft yard yards yd mile miles mi mg g kg gram grams kilogram kilograms ounce ounces oz pound pounds lb lbs ton tons ml l litre litres liter liters gallon gallons ms s sec second seconds min minute minutes h hour hours day days week weeks month months year years mph kph hz w kw watt watts v volt volts a amp amps j joule joules n pa bar percent dollar dollars euro euros cent cents usd eur degree degrees".split())
@@ -48,27 +54,50 @@ NUMBER, NAME, UNIT = 1, 2, 3
 _KIND = np.array([0, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F], dtype=np.uint64)
 
 
-def _describe(token: str) -> tuple[int, int, int, int]:
-    """Hash of the bare lower-case word; 0 if nothing is left. Whether it may be a name, ends a sentence; number or unit."""
-    core = token.strip(_STRIP)
-    ends = token.rstrip("\"'”’»)]")[-1:] in (".", "!", "?", ":")
-    if not core:
-        return 0, 0, int(ends), 0
-    low = core.lower()
-    kind = NUMBER if _NUMBER.fullmatch(core) or low in NUMBER_WORDS else UNIT if low in UNITS else 0
-    return xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")) or 1, int(len(core) > 1 and core[0].isupper() and core[1:].islower()), int(ends), kind
+_KINDS = dict.fromkeys(UNITS, UNIT) | dict.fromkeys(NUMBER_WORDS, NUMBER)
+_CLOSING, _ENDS = "\"'”’»)]", (".", "!", "?", ":")
+
+
+def _describe(found: list[str]) -> tuple[np.ndarray, list[bool], list[bool], list[int]]:
+    """For each token: hash of the bare lower-case word, 0 if nothing is left; whether it may be a name; whether it ends a sentence; number or unit."""
+    cores = [x.strip(_STRIP) for x in found]
+    low = [x.lower() for x in cores]
+    value = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in low), dtype=np.uint64, count=len(low))
+    value[value == 0] = 1
+    value[[k for k, x in enumerate(cores) if not x]] = 0
+    capital = [x[:1].isupper() and x[1:].islower() for x in cores]
+    # only what was stripped can end a sentence, as a word ends in none of these marks
+    ends = [x is not core and x.rstrip(_CLOSING).endswith(_ENDS) for x, core in zip(found, cores)]
+    kind = [0 if x.isalpha() and x not in _KINDS else _kind(core, x) for core, x in zip(cores, low)]
+    return value, capital, ends, kind
+
+
+def _kind(core: str, low: str) -> int:
+    return NUMBER if core and _NUMBER.fullmatch(core) else _KINDS.get(low, 0)
 
 
 def template(text: str | None, cache: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template hashes, value hashes and kinds (0: plain word) of a text's words, without those of punctuation only."""
-    value, capital, ends, kind = cache.rows(text.split() if text else [])
-    word = value != 0
-    after_end = np.concatenate([[True], ends])[: len(ends)][word]
-    value, capital, kind = value[word], capital[word], kind[word]
-    number = kind == NUMBER
-    unit = (kind == UNIT) & np.concatenate([[False], number[:-1]])[: len(kind)]
-    kinds = np.where(number, NUMBER, np.where(unit, UNIT, np.where(capital & ~after_end, NAME, 0)))
-    return np.where(kinds > 0, _KIND[kinds], value), value, kinds
+    return templates([text], cache)[:3]
+
+
+def templates(texts: list[str | None], cache: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``template`` gives, of many texts one after the other; and where each text ends."""
+    tokens = [text.split() if text else [] for text in texts]
+    upto = np.cumsum([len(x) for x in tokens])
+    value, capital, ends, kind = cache.rows(list(chain.from_iterable(tokens)))
+    after_end, word = np.ones(len(value) + 1, dtype=bool), value != 0
+    after_end[1:] = ends
+    after_end[upto] = True  # a text's first token
+    value, capital, kind, after_end = value[word], capital[word], kind[word], after_end[:-1][word]
+    upto = np.append(0, np.cumsum(word))[upto]
+    number = np.zeros(len(value) + 1, dtype=bool)
+    number[1:] = kind == NUMBER
+    before = number.copy()
+    before[upto] = False  # a text's first word
+    unit = (kind == UNIT) & before[:-1]
+    kinds = np.where(number[1:], NUMBER, np.where(unit, UNIT, np.where(capital & ~after_end, NAME, 0)))
+    return np.where(kinds > 0, _KIND[kinds], value), value, kinds, upto
 
 
 def _words_of(benchmark: DataFrame) -> DataFrame:
@@ -95,6 +124,9 @@ class View:
         self.ids, self.slots, self.words = ids, slots, np.array([len(x) for x in texts], dtype=np.int64)
         self.hashes = [windows(x, WINDOW) for x in texts]
         self.anchors, self.begin, self.of = self._anchors()
+        self.last_bits = np.uint64(min(PLACES, 1 << (SPREAD * len(self.anchors)).bit_length()) - 1)
+        self.maybe = np.zeros(int(self.last_bits) + 1, dtype=bool)
+        self.maybe[self.anchors & self.last_bits] = True
 
     def _anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted hashes of the anchors, and for each where its items begin in the list of items.
@@ -123,12 +155,18 @@ class View:
         k, begin = np.unique(pairs // max(n, 1), return_index=True)
         return names[k], np.append(begin, len(pairs)), pairs % max(n, 1)
 
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of those windows that are anchors, and the anchors' numbers."""
+        at = np.flatnonzero(self.maybe[h & self.last_bits])
+        if not len(at):
+            return at, at
+        k = np.minimum(np.searchsorted(self.anchors, h[at]), len(self.anchors) - 1)
+        same = self.anchors[k] == h[at]
+        return at[same], k[same]
+
     def near(self, h: np.ndarray) -> np.ndarray:
         """The items of which the windows hold an anchor."""
-        if not len(self.anchors):
-            return np.empty(0, dtype=np.int64)
-        k = np.minimum(np.searchsorted(self.anchors, h), len(self.anchors) - 1)
-        k = np.unique(k[self.anchors[k] == h])
+        k = np.unique(self.hits(h)[1])
         return np.unique(np.concatenate([self.of[self.begin[x] : self.begin[x + 1]] for x in k])) if len(k) else np.empty(0, dtype=np.int64)
 
     def occurrences(self, text: np.ndarray, given: np.ndarray, literal: bool) -> Iterator[tuple]:
@@ -188,7 +226,7 @@ def near_words(d: np.ndarray, asked: np.ndarray, item_words: int) -> np.ndarray:
 
 
 def _cache() -> WordTable:
-    return WordTable(each(_describe), (np.uint64, np.bool_, np.bool_, np.int64))
+    return WordTable(_describe, (np.uint64, np.bool_, np.bool_, np.int8))
 
 
 def _short_lines(text: str, items: Items, cache: WordTable) -> Iterator[tuple[int, int, float, int, bool]]:
@@ -204,11 +242,8 @@ def _short_lines(text: str, items: Items, cache: WordTable) -> Iterator[tuple[in
         start += len(value)
 
 
-def _in_text(text: str, items: Items, cache: WordTable) -> Iterator[tuple]:
-    """item_id, start, covered, n_slots and exact of each occurrence in a text. Plain words add what the templates don't have at that place."""
-    if items.short:
-        yield from _short_lines(text, items, cache)
-    shape, value, kinds = template(text, cache)
+def _in_words(shape: np.ndarray, value: np.ndarray, kinds: np.ndarray, items: Items) -> Iterator[tuple]:
+    """item_id, start, covered, n_slots and exact of each occurrence in a text's words. Plain words add what the templates don't have at that place."""
     slots = np.where(kinds > 0, value, 0).astype(np.uint64).view(np.int64)
     places: dict[int, list[int]] = {}
     for *x, _ in items.templates.occurrences(shape, slots, True):
@@ -219,11 +254,43 @@ def _in_text(text: str, items: Items, cache: WordTable) -> Iterator[tuple]:
             yield tuple(x)
 
 
+def _in_texts(texts: list[str], items: Items, cache: WordTable) -> Iterator[tuple]:
+    """The number of the text, and item_id, start, covered, n_slots and exact of each occurrence in it.
+
+    Texts are read one after the other as one: a window that two of them share only costs a second look at these. Only texts with an anchor are looked at.
+    """
+    if items.short:
+        for k, text in enumerate(texts):
+            for x in _short_lines(text, items, cache):
+                yield (k, *x)
+    shape, value, kinds, upto = templates(texts, cache)
+    at = np.concatenate([items.templates.hits(windows(shape, WINDOW))[0], items.plain.hits(windows(value, WINDOW))[0]])
+    for k in np.unique(np.searchsorted(upto, at, side="right")).tolist():
+        part = slice(upto[k - 1] if k else 0, upto[k])
+        for x in _in_words(shape[part], value[part], kinds[part], items):
+            yield (k, *x)
+
+
+def _groups(batch: pd.DataFrame) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of a batch, without null and empty texts, in groups of about ``GROUP`` words."""
+    docs, texts, size = [], [], 0
+    for doc, text in zip(batch["doc_id"], batch["text"]):
+        if text:
+            docs.append(doc)
+            texts.append(text)
+            size += len(text)
+            if size >= 6 * GROUP:
+                yield docs, texts
+                docs, texts, size = [], [], 0
+    if texts:
+        yield docs, texts
+
+
 def _finder(sent):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items, cache = sent.value, _cache()
         for batch in batches:
-            out = [(doc, *x) for doc, text in zip(batch["doc_id"], batch["text"]) if text for x in _in_text(text, items, cache)]
+            out = [(docs[k], *x) for docs, texts in _groups(batch) for k, *x in _in_texts(texts, items, cache)]
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "start", "covered", "n_slots", "exact"])
 

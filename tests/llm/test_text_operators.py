@@ -5,6 +5,7 @@ import random
 import re
 import time
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -277,6 +278,36 @@ def test_decontamination_whatever_the_case(spark):
     assert out == {(10 * j + k, j, 40, True) for j in (0, 1) for k in range(6)} | {(100, 0, 9, False)}
 
 
+def test_texts_are_read_many_at_once(monkeypatch):
+    """Words of many texts are described at once; each text has the template that it has by itself, and its occurrences, wherever texts meet."""
+    rng = random.Random(9)
+    odd = ["Paris", "PARIS", "pARIS", "P", "\U0001d400bc", "\u01c5ab", "\u00c9t\u00e9", "\u0130x", "3", "-3.5%", "\u20ac5", "\u0663", "three", "Three.", "kg", "KG,", "--", "...", "(x)", "end.", "end.\u201d", "what?)", "a:b", "m", "\u00b2", "x\u00b2"]
+
+    def plain(token):
+        core = token.strip(decontamination._STRIP)
+        low, number = core.lower(), bool(decontamination._NUMBER.fullmatch(core))
+        kind = 1 if number or low in decontamination.NUMBER_WORDS else 3 if low in decontamination.UNITS else 0
+        return bool(core), len(core) > 1 and core[0].isupper() and core[1:].islower(), token.rstrip("\"'\u201d\u2019\u00bb)]")[-1:] in (".", "!", "?", ":"), kind
+
+    value, *others = decontamination._describe(odd)
+    assert list(zip((value != 0).tolist(), *others)) == [plain(x) for x in odd]
+    item = [rng.choice(odd) + rng.choice(("", "k")) for _ in range(12)] + made_words(rng, 12)
+    texts = [" ".join(rng.choices(odd + item, k=rng.randint(1, 12))) for _ in range(200)] + [None, "", "...", " ".join(item[:13]), " ".join(item[13:]), "3", "kg 4 5", "kg", " ".join(item)]
+    cache = decontamination._cache()
+    *together, upto = decontamination.templates(texts, cache)
+    alone = [decontamination.template(t, decontamination._cache()) for t in texts]
+    assert np.diff(upto, prepend=0).tolist() == [len(x[0]) for x in alone]
+    assert all(np.array_equal(a, np.concatenate([x[k] for x in alone])) for k, a in enumerate(together))
+    shape, words_of, kinds = decontamination.template(" ".join(item), cache)
+    rows = [(7, shape.tobytes(), words_of.tobytes(), np.where(kinds > 0, words_of, 0).astype(np.uint64).tobytes(), len(shape))]
+    items = decontamination.Items(pd.DataFrame(rows, columns=["item_id", "shape", "value", "slots", "n"]))
+    batch, found = pd.DataFrame({"doc_id": range(len(texts)), "text": texts}), []
+    for size in (1 << 13, 0):
+        monkeypatch.setattr(decontamination, "GROUP", size)
+        found.append(sorted(tuple(r) for f in decontamination._finder(SimpleNamespace(value=items))(iter([batch])) for r in f.itertuples(index=False)))
+    assert found[0] == found[1] and [x[0] for x in found[0]] == [len(texts) - 1]
+
+
 def test_items_of_placeholders_only(spark):
     """A list of numbers is found where it stands, and not wherever numbers stand; long texts of numbers take no time."""
     rng = random.Random(6)
