@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postlake.llm.features import remainder
 from postlake.llm.rows import bounded_batches
-from postlake.llm.words import WordCache, WordTable, words
+from postlake.llm.words import WordCache, words
 from postlake.sources.scratch import Scratch
 
 HEAD, TAILS, SLOTS, HIDDEN = 31, 32, 32, 16
@@ -145,20 +145,36 @@ class Vocabulary:
         with np.errstate(divide="ignore"):
             return np.maximum(np.log(classes / classes.sum()), -30), np.maximum(np.log(slots / slots.sum(axis=1, keepdims=True)), -30)
 
-    def describe(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, codes and counts of words; a count is -1 if the word isn't among the known ones."""
-        hashes = word_hashes(found)
+    def describe(self, hashes: np.ndarray, tokens: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and counts of the words ``at`` these places of ``tokens``, by their hashes; a count is -1 if the word isn't among the known ones."""
         k = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
-        known = self.words[k] == hashes if len(self.words) else np.zeros(len(found), dtype=bool)
-        codes, counts = np.empty(len(found), dtype=np.int64), np.full(len(found), -1)
+        known = self.words[k] == hashes if len(self.words) else np.zeros(len(hashes), dtype=bool)
+        codes, counts = np.empty(len(hashes), dtype=np.int64), np.full(len(hashes), -1)
         codes[known], counts[known] = self.codes[k[known]], self.counts[k[known]]
-        codes[~known] = SINGLE + SLOTS * tails([found[i] for i in np.flatnonzero(~known).tolist()])
-        return hashes, codes, counts
+        codes[~known] = SINGLE + SLOTS * tails([tokens[i] for i in at[~known].tolist()])
+        return codes, counts
 
 
-def word_table(vocabulary: Vocabulary) -> WordTable:
-    """Hash, code and count of words."""
-    return WordTable(vocabulary.describe, (np.int64, np.int16, np.int64))
+class WordLookup:
+    """Hash, code and count of words, each distinct one described once. Sorting hashes takes less time than a dictionary of so many words."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+
+    def rows(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hashes = word_hashes(tokens)
+        order = np.argsort(hashes)
+        in_order = hashes[order]
+        new = np.ones(len(hashes), dtype=bool)
+        np.not_equal(in_order[1:], in_order[:-1], out=new[1:])
+        inverse = np.empty(len(hashes), dtype=np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        codes, counts = self.vocabulary.describe(in_order[new], tokens, order[new])
+        return hashes, codes[inverse], counts[inverse]
+
+
+def word_table(vocabulary: Vocabulary) -> WordLookup:
+    return WordLookup(vocabulary)
 
 
 class GatedModel:

@@ -301,3 +301,22 @@ def test_model_computes_in_its_own_arrays():
     assert m.totals(long).tolist() == first and {k: id(v) for k, v in m.spaces.items()} == kept
     m.p["w"][0, 0] = 100  # logits beyond the bound
     assert np.isfinite(m.totals(long)).all()
+
+
+def test_distinct_words_are_described_once(monkeypatch):
+    """Hash, code and count of each token, from one description of each distinct word among them."""
+    rng = np.random.default_rng(8)
+    tokens = [f"w{k}.".encode() for k in rng.integers(0, 40, 500)]
+    batch = pd.DataFrame({"text": [b" ".join(tokens[:400]).decode()]})
+    counts = pd.concat(language_model._count(iter([batch])))
+    by_tail = counts.groupby("tail").agg(n=("n", "sum"), v=("n", "size")).reset_index()
+    vocabulary = language_model.Vocabulary(counts.sort_values("n").tail(20), by_tail, int(counts["n"].sum()), len(counts))
+    known, asked = dict(zip(vocabulary.words.tolist(), zip(vocabulary.codes.tolist(), vocabulary.counts.tolist()))), []
+    tails = language_model.tails
+    monkeypatch.setattr(language_model, "tails", lambda found: asked.append(list(found)) or tails(found))
+    rows = language_model.word_table(vocabulary).rows(tokens)
+    hashes = language_model.word_hashes(tokens).tolist()
+    wanted = [(h, *known.get(h, (language_model.SINGLE + language_model.SLOTS * language_model.tail(w), -1))) for h, w in zip(hashes, tokens)]
+    assert list(zip(*(x.tolist() for x in rows))) == wanted
+    assert [sorted(x) for x in asked] == [sorted({w for h, w in zip(hashes, tokens) if h not in known})]
+    assert [len(x) for x in language_model.word_table(vocabulary).rows([])] == [0, 0, 0]
