@@ -85,3 +85,17 @@ def test_shuffle_files_of_a_table_go(spark):
             break
         time.sleep(0.1)
     assert not files() - before and spark.conf.get(conf, None) == kept and table.count() == 100_000
+
+
+def test_the_pipelines_stage_compares_no_family_of_one_line(spark, monkeypatch):
+    """The same with the pipeline's limit and its own tables."""
+    import corpus_pipeline
+
+    rng, made = random.Random(3), []
+    monkeypatch.setattr(corpus_pipeline, "Scratch", lambda *a: made.append(Scratch(*a)) or made[-1])
+    line = " ".join(words_of(rng, 14))
+    rows = [(k, f"{line} {' '.join(words_of(rng, 40))}") for k in range(400)]
+    rows += [(1000 + k, rows[k][1] + " x" * 5) for k in range(0, 400, 40)] + [(None, rows[0][1]), (2000, None)]
+    out = corpus_pipeline.one_of_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r["doc_id"] for r in out if r["doc_id"] is not None) == [*range(400), 2000] and len(out) == 402
+    assert spark.read.parquet(f"{made[0].root}/mixed").count() > 300 and spark.read.parquet(f"{made[0].root}/members").count() == 0
